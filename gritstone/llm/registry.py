@@ -1,10 +1,15 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import mixing, sharding, simhash
+from . import media, mixing, pieces, secrets, sharding, simhash, tokens, toxicity
 
 QUERIES = {
+    "op1_media": media.op1_media,
     "op2_mixing": mixing.op2_mixing,
     "op3_simhash": simhash.op3_simhash,
+    "op5_secrets": secrets.op5_secrets,
+    "op6_tokens": tokens.op6_tokens,
+    "op7_pieces": pieces.op7_pieces,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_sharding": sharding.op10_sharding,
 }
 

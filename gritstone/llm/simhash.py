@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import checkpointed, table
 from .components import components
@@ -46,15 +47,21 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp holds the unsigned fingerprint's 64 bits as a long. Null texts count as empty."""
+def with_fingerprint(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """docs plus _fp, the fingerprint's 64 bits as a long. Null texts count as empty."""
+    at, names = docs.columns.index("text"), [*docs.columns, "_fp"]
 
     def run(batches):
         for batch in batches:
-            prints = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            prints = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in batch.column(at)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, fp) of every row of docs."""
+    return with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle, seed).select("doc_id", F.col("_fp").alias("fp"))
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -100,20 +107,23 @@ def fingerprint_links(prints: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> Data
     return pairs.union(stars.select(F.col("first").alias("a"), F.col("fp").alias("b"))).distinct()
 
 
+def classes(rows: DataFrame) -> DataFrame:
+    """(fp, n, root, component_id) of every distinct fingerprint in rows (doc_id, fp); root names its component."""
+    prints = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    found = components(fingerprint_links(prints))
+    named = checkpointed(prints.join(found, prints["fp"] == found["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return named.join(least, "root").select("fp", "n", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs; component_id is the smallest doc_id reachable by links.
+    """(doc_id, fp, root, component_id) for every row of docs; component_id is the smallest doc_id reachable by links.
 
     Copies collapse to one fingerprint before any comparison. Null texts and texts without words have fingerprint 0 and
     link like any other; rows whose component has only null ids get a null component_id; repeated rows are all returned.
     """
     rows = checkpointed(fingerprints(docs, shingle, seed))
-    prints = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    found = components(fingerprint_links(prints))
-    named = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    named = checkpointed(named)
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("fp", "n", "component_id")
-    return attach(rows, named, "fp")
+    return attach(rows, classes(rows), "fp")
 
 
 def attach(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
@@ -131,16 +141,20 @@ def attach(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each component the row with the smallest doc_id stays (one row if ids repeat).
+    """docs without near copies: of each component one row with its smallest doc_id stays.
 
-    Rows without doc_id stay: nothing names them.
+    Rows that share a doc_id but not a component each stand for their own. Rows without doc_id stay: nothing names them.
     """
-    ids = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(ids, docs["doc_id"] == F.col("_id"), "left_semi")
-    repeated = docs.groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").select("_id")
-    once = kept.join(repeated, kept["doc_id"] == F.col("_id"), "left_anti")
-    twice = kept.join(repeated, kept["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(twice).unionByName(docs.filter("doc_id IS NULL"))
+    found = near_duplicates(docs)
+    kept = checkpointed(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")))
+    nameless = docs.filter("doc_id IS NULL")
+    once = docs.join(kept.filter("_n = 1").select("_id"), docs["doc_id"] == F.col("_id"), "left_semi").unionByName(nameless)
+    if kept.filter("_n > 1").isEmpty():
+        return once
+    again = with_fingerprint(docs.join(kept.filter("_n > 1").select("_id"), docs["doc_id"] == F.col("_id"), "left_semi"))
+    roots = found.filter("doc_id = component_id").select(F.col("fp").alias("_of"), F.col("root").alias("_root"), F.col("component_id").alias("_least")).distinct()
+    again = again.join(roots, (F.col("_fp") == F.col("_of")) & (F.col("doc_id") == F.col("_least"))).dropDuplicates(["doc_id", "_root"])
+    return once.unionByName(again.select(*docs.columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import process_cache, shared_dir, table, two_generations
 
 MAGIC = b"GRITSST1"
-INDEX, FOOTER = struct.Struct("<9sQIIQ"), struct.Struct("<QIQQQI8s")
+INDEX, FOOTER = "<9sQIIQ", "<QIQQQI8s"
 BLOCK_BYTES, BLOOM_BITS, PROBES = 1 << 18, 10, 7
 END_ID = 2
 
@@ -81,7 +81,7 @@ class ShardWriter:
     def flush(self) -> None:
         if self.block:
             frame = self.pack.compress(b"".join(self.block))
-            self.index.append(INDEX.pack(self.last, self.at, len(frame), self.entries, self.ids))
+            self.index.append(struct.pack(INDEX, self.last, self.at, len(frame), self.entries, self.ids))
             self.out.write(frame)
             self.at += len(frame)
             self.all_entries, self.all_ids = self.all_entries + self.entries, self.all_ids + self.ids
@@ -96,21 +96,21 @@ class ShardWriter:
             field[_probes(key, bits)] = True
         bloom = struct.pack("<BI", PROBES, bits) + np.packbits(field).tobytes()
         self.out.write(index + bloom)
-        self.out.write(FOOTER.pack(self.at, len(self.index), self.at + len(index), self.all_entries, self.all_ids, zlib.crc32(bloom, zlib.crc32(index)), MAGIC))
+        self.out.write(struct.pack(FOOTER, self.at, len(self.index), self.at + len(index), self.all_entries, self.all_ids, zlib.crc32(bloom, zlib.crc32(index)), MAGIC))
 
 
 class ShardReader:
     """Random access to one shard through read_at(offset, size) of its bytes."""
 
     def __init__(self, read_at, size: int):
-        self.read_at = read_at
-        index_at, blocks, bloom_at, self.entries, self.ids, crc, magic = FOOTER.unpack(read_at(size - FOOTER.size, FOOTER.size))
+        self.read_at, foot = read_at, struct.calcsize(FOOTER)
+        index_at, blocks, bloom_at, self.entries, self.ids, crc, magic = struct.unpack(FOOTER, read_at(size - foot, foot))
         if magic != MAGIC:
             raise ValueError("not a shard")
-        tail = read_at(index_at, size - FOOTER.size - index_at)
+        tail = read_at(index_at, size - foot - index_at)
         if zlib.crc32(tail) != crc:
             raise ValueError("index or Bloom filter damaged")
-        self.blocks = [INDEX.unpack_from(tail, i * INDEX.size) for i in range(blocks)]
+        self.blocks = [struct.unpack_from(INDEX, tail, i * struct.calcsize(INDEX)) for i in range(blocks)]
         self.last_keys = [b[0] for b in self.blocks]
         bloom = tail[bloom_at - index_at :]
         self.bits = struct.unpack_from("<BI", bloom)[1]

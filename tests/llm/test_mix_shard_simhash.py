@@ -229,3 +229,9 @@ def test_keep_one(spark):
     found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
     assert sorted(i for i in ids if i is not None) == sorted({i for i, c in found.items() if i is not None and i == c})
     assert ids.count(None) == 1
+
+
+def test_keep_one_with_repeated_ids(spark):
+    rows = [(1, "alpha beta gamma delta", "en", "a", 1), (1, "one two three four five", "en", "a", 1), (1, "one two three four five", "en", "a", 1), (2, "alpha beta gamma delta", "en", "a", 1)]
+    kept = simhash.keep_one(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, "alpha beta gamma delta"), (1, "one two three four five")]
