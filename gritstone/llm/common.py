@@ -57,6 +57,21 @@ def two_generations(limit: int):
     return Cache()
 
 
+def text_slices(batch, column: int, most: int = 2 << 20):
+    """(slice of the batch, its texts as Python strings), about `most` UTF-8 bytes at a time; a longer text comes alone."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        part = batch.slice(start, stop - start)
+        yield part, part.column(column).to_pylist()
+        start = stop
+
+
 def bits_for(rows: int, rows_per_bucket: int, most: int = 24) -> int:
     """So many leading bits of a uniform key that a bucket holds about rows_per_bucket rows."""
     k = 0

@@ -17,13 +17,14 @@ import struct
 import uuid
 import zlib
 from bisect import bisect_left
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import process_cache, shared_dir, table, two_generations
+from .common import process_cache, shared_dir, table, text_slices
 
 MAGIC = b"GRITSST1"
 INDEX, FOOTER = "<9sQIIQ", "<QIQQQI8s"
@@ -158,54 +159,115 @@ class ShardReader:
         return found
 
 
-def _encoder(path: str):
-    """text -> little-endian unsigned 16-bit ids of the tokenizer file, word by word through a bounded cache.
+class WordEncoder:
+    """text -> unsigned 16-bit ids of a tokenizer file, through a bounded table of the ids of words seen before.
 
-    The tokenizer's normaliser and pre-tokeniser never join or compare characters across ASCII white space, so the
-    ids of a text are those of its white-space-separated words in turn; each distinct word is encoded once.
+    The tokenizer's normaliser and pre-tokeniser never join characters across ASCII white space, nor across the change
+    from an ASCII letter or digit to an ASCII mark, so the ids of a text are those of its pieces between such places in
+    turn, and ASCII pieces may be lower-cased first as the normaliser would. Pieces are known by two 64-bit hashes; a
+    new one is encoded by the tokenizer. Texts that may hold a special token's string are encoded whole.
     """
-    held = process_cache()
-    if ("encoder", path) not in held:
+
+    LONGEST, ENTRIES = 256, 2_000_000
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer, cache = Tokenizer.from_file(path), two_generations(300_000)
-        if tokenizer.get_vocab_size() > 1 << 16:
+        self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-
-        def encode(texts: list[str | None]) -> list[bytes]:
-            cache.age()
-            split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-            fresh = []
-            for word in set().union(*split):
-                if word not in cache:
-                    known = cache.old.get(word)
-                    if known is None:
-                        fresh.append(word)
-                    else:
-                        cache[word] = known
-            for at in range(0, len(fresh), 20_000):
-                part = fresh[at : at + 20_000]
-                for word, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                    cache[word] = np.array(e.ids, "<u2").tobytes()
-            get = cache.__getitem__
-            return [b"".join(map(get, words)) for words in split]
-
-        held["encoder", path] = encode
+        rng = np.random.default_rng(0)
+        self.by_byte = rng.integers(0, 2**64, (2, 256), dtype=np.uint64)
+        self.by_place = rng.integers(0, 2**64, (2, self.LONGEST), dtype=np.uint64) | np.uint64(1)
+        kind = np.full(256, 3, np.uint8)
+        kind[:128] = 2
+        kind[[9, 10, 11, 12, 13, 32]] = 0
+        lower = np.arange(256, dtype=np.uint8)
+        for c in b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz":
+            kind[c] = 1
+        lower[65:91] += 32
+        self.kind, self.lower = kind, lower
+        self.reset()
+
+    def reset(self) -> None:
+        self.runs: list[tuple[np.ndarray, ...]] = []
+        self.store, self.used = np.zeros(1 << 16, np.uint16), 0
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of each)."""
+        parts, sizes = [], []
+        for at in range(0, len(words), 20_000):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[at : at + 20_000]], add_special_tokens=False)]
+            sizes += map(len, ids)
+            parts.append(np.fromiter(chain.from_iterable(ids), np.uint16, sum(sizes[at:])))
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint16), np.array(sizes, np.int64)
+
+    def _learn(self, first: np.ndarray, second: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode new words, hashes ascending, into the table; their offsets in the store and numbers of ids."""
+        ids, sizes = self._encode(words)
+        if self.used + len(ids) > len(self.store):
+            self.store = np.concatenate((self.store, np.zeros(self.used + len(ids), np.uint16)))
+        self.store[self.used : self.used + len(ids)] = ids
+        offsets = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.runs.append((first, second, offsets, sizes))
+        if len(self.runs) > 8:
+            merged = [np.concatenate(c) for c in zip(*self.runs)]
+            order = np.argsort(merged[0], kind="stable")
+            self.runs = [tuple(c[order] for c in merged)]
+        return offsets, sizes
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        if sum(len(r[0]) for r in self.runs) > self.ENTRIES:
+            self.reset()
+        raws = [b"" if t is None or "<|" in t else t.encode("utf-8", "replace") for t in texts]
+        doc_ends = np.cumsum([len(r) + 1 for r in raws])
+        data = np.frombuffer(b"\n".join([*raws, b""]), np.uint8)
+        kind = self.kind[data]
+        before = np.concatenate(([0], kind[:-1]))
+        opens = (kind != 0) & ((before == 0) | ((before == 1) & (kind == 2)))
+        closes = (kind != 0) & np.concatenate(((kind[1:] == 0) | opens[1:], [True]))
+        starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        sizes = ends - starts
+        ids, counts = np.zeros(0, np.uint16), np.zeros(len(starts), np.int64)
+        if len(starts):
+            short = np.minimum(sizes, self.LONGEST)
+            heads = np.cumsum(short) - short
+            place = np.arange(int(short.sum())) - np.repeat(heads, short)
+            letters = data[np.repeat(starts, short) + place]
+            foreign = np.maximum.reduceat(letters, heads) > 127
+            letters = np.where(np.repeat(foreign, short), letters, self.lower[letters])
+            h1, h2 = (np.add.reduceat(self.by_byte[k][letters] * self.by_place[k][place], heads) ^ (short.astype(np.uint64) << np.uint64(56 - k)) for k in (0, 1))
+            known, at, back = np.unique(h1, return_index=True, return_inverse=True)
+            if not (h2[at][back] == h2).all() or (sizes > self.LONGEST).any():
+                # pieces that one hash cannot tell apart, or longer than are hashed: each is encoded as it stands
+                ids, counts = self._encode([data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())])
+            else:
+                check = h2[at]
+                offset, number = np.full(len(known), -1, np.int64), np.zeros(len(known), np.int64)
+                for run in self.runs:
+                    place = np.minimum(np.searchsorted(run[0], known), len(run[0]) - 1)
+                    hit = (run[0][place] == known) & (run[1][place] == check)
+                    offset[hit], number[hit] = run[2][place[hit]], run[3][place[hit]]
+                new = np.flatnonzero(offset < 0)
+                if len(new):
+                    flat = letters.tobytes()
+                    words = [flat[a : a + n] for a, n in zip(heads[at[new]].tolist(), short[at[new]].tolist())]
+                    offset[new], number[new] = self._learn(known[new], check[new], words)
+                counts = number[back]
+                ids = self.store[np.repeat(offset[back] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
+        cuts = np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(starts, doc_ends)]
+        out = np.split(ids, cuts[:-1])
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint16) if t and "<|" in t else part for t, part in zip(texts, out)]
+
+
+def _encoder(path: str) -> WordEncoder:
+    held = process_cache()
+    if ("encoder", path) not in held:
+        held["encoder", path] = WordEncoder(path)
     return held["encoder", path]
 
 
-def _batches_of(texts: list, most: int = 8 << 20):
-    """Slices of a list of texts of about `most` characters."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, docs_per_shard: int = 8192, end_id: int = END_ID) -> DataFrame:
     """Encode every whole text (null: empty), append end_id, and write shards under folder, a URI executors share.
 
@@ -225,12 +287,11 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, docs_per_sha
     def encode(batches):
         run = _encoder(tokenizer_path)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in _batches_of(texts):
-                part = ids.slice(a, b - a)
+            for rows, texts in text_slices(batch, 1):
+                part = rows.column(0)
                 shard = np.where(part.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(edges, part.fill_null(0).to_numpy(zero_copy_only=False), side="left"))
-                end = np.array([end_id], "<u2").tobytes()
-                yield pa.RecordBatch.from_arrays([part, pa.array(shard, pa.int32()), pa.array([x + end for x in run(texts[a:b])], pa.binary())], ["doc_id", "shard", "ids"])
+                end = np.array([end_id], np.uint16)
+                yield pa.RecordBatch.from_arrays([part, pa.array(shard, pa.int32()), pa.array([np.append(x, end).astype("<u2").tobytes() for x in run(texts)], pa.binary())], ["doc_id", "shard", "ids"])
 
     coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, shard int, ids binary")
     coded = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
