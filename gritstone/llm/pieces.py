@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import process_cache, table
+from .common import process_cache, table, text_slices
 
 UNIT = re.compile(rb"\n+| *[^ \n]+| +")
 OFFSET = 2.7
+#: Bytes of text whose lattices are held at once.
+SLICE = 1 << 20
 
 
 class Lattice:
@@ -104,11 +106,13 @@ def _filtered(model: Lattice, units: list[bytes]):
     data = np.frombuffer(b"".join(units), np.uint8)
     first_byte = np.concatenate(([0], np.cumsum(sizes)))
     base = first_byte[:-1] + np.arange(len(units))
-    owner = np.repeat(np.arange(len(units)), sizes)
     total = int(first_byte[-1] + len(units))
-    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    small = np.int32 if total < 1 << 31 else np.int64
+    owner = np.repeat(np.arange(len(units), dtype=small), sizes)
+    first_byte = first_byte.astype(small)
+    lead = np.flatnonzero((data & 0xC0) != 0x80).astype(small)
     unit_end = first_byte[1:][owner]
-    width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
+    width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4))).astype(np.int8)
     covered = np.zeros(len(data), bool)
     starts, ends, kinds = [], [], []
     at, depth, state = lead, 0, model.next[0][data[lead]]
@@ -135,7 +139,7 @@ def _filtered(model: Lattice, units: list[bytes]):
     start, end, kind = np.concatenate(starts), np.concatenate(ends), np.concatenate(kinds)
     unit = owner[start]
     reach = end - first_byte[unit]
-    order = np.argsort(reach * (total + 1) + end + unit, kind="stable")
+    order = np.lexsort((end, reach))
     start, end, kind, unit, reach = start[order], end[order], kind[order], unit[order], reach[order]
     from_node, to_node = start + unit, end + unit
     weight = np.where(kind >= 0, model.weight[kind], model.byte_weight ** (end - start))
@@ -143,7 +147,7 @@ def _filtered(model: Lattice, units: list[bytes]):
     mantissa[base] = 1.0
     heads = np.flatnonzero(np.concatenate(([True], to_node[1:] != to_node[:-1]))) if len(to_node) else np.zeros(0, np.int64)
     counts = np.diff(np.append(heads, len(to_node)))
-    group = np.repeat(np.arange(len(heads)), counts)
+    group = np.repeat(np.arange(len(heads), dtype=small), counts)
     share = np.zeros(len(start), np.uint32)
     steps = np.searchsorted(reach, np.arange(1, int(reach[-1]) + 2)) if len(reach) else np.zeros(1, np.int64)
     for a, b in zip(steps[:-1].tolist(), steps[1:].tolist()):
@@ -177,7 +181,7 @@ def _filtered(model: Lattice, units: list[bytes]):
         nodes = to_node[heads[g0:g1]]
         frac, shift = np.frexp(sums)
         mantissa[nodes], exponent[nodes] = frac, top + shift
-    first = np.zeros(total, np.int64)
+    first = np.zeros(total, small)
     first[to_node[heads]] = heads
     return base, sizes, first, share, from_node, kind, (end - start)
 
@@ -245,17 +249,6 @@ def decode_ids(model: Lattice, ids: np.ndarray) -> bytes:
     return model.bytes[at].tobytes()[1:]
 
 
-def _slices(texts: list, most: int = 3 << 20):
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode_documents(docs: DataFrame, path: str, seed: int = 7, alpha: float = 1.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *keep, ids array<int>): sampled piece ids of every whole text; null and empty texts get an empty array.
 
@@ -266,12 +259,11 @@ def encode_documents(docs: DataFrame, path: str, seed: int = 7, alpha: float = 1
     def run(batches):
         model = lattice(path, alpha)
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            for a, b in _slices(texts):
-                ids = encode_batch(model, texts[a:b], [row_key(seed, n) for n in names[a:b]])
+            for rows, texts in text_slices(batch, batch.num_columns - 1, SLICE):
+                ids = encode_batch(model, texts, [row_key(seed, n) for n in rows.column(0).to_pylist()])
                 cuts = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:-1]], lists], [*batch.schema.names[:-1], "ids"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], lists], [*rows.schema.names[:-1], "ids"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
     return chosen.mapInArrow(run, f"{fields}, ids array<int>")
