@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -37,18 +38,33 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _keys(word: str) -> list[str]:
-    """The patterns that a word counts for: itself and its beginnings."""
-    return [word, *[f"{word[:n]}*" for n in PREFIXES if len(word) >= n]]
+def _hash(key: str) -> int:
+    """30 bits, so that a pattern fits in 32."""
+    return zlib.crc32(key.encode("utf-8", "replace")) >> 2
 
 
-def patterns(text: str | None) -> set[str]:
-    """All patterns of a text: a key seen n times gives key, key#2 from 2 on and key#4 from 4 on."""
-    counts: Counter = Counter()
+def _keys(word: str) -> tuple[int, ...]:
+    """The patterns that a word counts for, as hashes: itself and its beginnings."""
+    return (_hash(word), *[_hash(f"{word[:n]}*") for n in PREFIXES if len(word) >= n])
+
+
+def _counts(text: str | None, cache) -> Counter:
+    """How often each of a text's patterns is seen; cache holds the patterns of words."""
+    cache.age()
+    hits: Counter = Counter()
     for word, n in Counter(WORDS.findall((text or "").lower())).items():
-        for key in _keys(word):
-            counts[key] += n
-    return {key if t == 1 else f"{key}#{t}" for key, n in counts.items() for t in TIMES if n >= t}
+        keys = cache.get(word)
+        if keys is None:
+            keys = cache[word] = cache.old.get(word) or _keys(word)
+        for key in keys:
+            hits[key] += n
+    return hits
+
+
+def patterns(text: str | None, cache) -> np.ndarray:
+    """All patterns of a text, ascending: hash * 4 + i for a key seen at least TIMES[i] times."""
+    hits = _counts(text, cache)
+    return np.array(sorted(key * 4 + i for key, n in hits.items() for i, t in enumerate(TIMES) if n >= t), np.uint32)
 
 
 def label_model(votes: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, dict]:
@@ -74,7 +90,7 @@ def label_model(votes: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, dict]:
     member = np.array([[b == x for x in names] for b in block], float)
     cast = v @ member
     r = np.zeros((n, 1 + len(names)))
-    r[:, 0] = np.where(cast.sum(axis=1) == 0, 0.98, 0.1)
+    r[:, 0] = np.array([0.98, 0.5, 0.1])[np.minimum(cast.sum(axis=1).astype(int), 2)]
     r[:, 1:] = (1 - r[:, :1]) * (cast + 0.01) / (cast + 0.01).sum(axis=1, keepdims=True)
     for _ in range(rounds):
         mass = r.sum(axis=0)
@@ -103,52 +119,62 @@ def _logistic(rows: list[np.ndarray], width: int, y: np.ndarray, rounds: int = 3
     return w, float(b)
 
 
-def fit(rows: list[tuple[set[str], int]]) -> dict:
+def fit(rows: list[tuple[np.ndarray, int]]) -> dict:
     """The classifier {weights: {pattern: weight}, bias} from labelled rows (patterns, label).
 
     Without toxic rows among them, only the lexicon speaks.
     """
-    only = {"weights": {**{w: 6.0 for w in LEXICON}}, "bias": -3.0, "voters": []}
+    lexicon = {_hash(w) * 4 for w in LEXICON}
+    only = {"weights": {str(w): 6.0 for w in sorted(lexicon)}, "bias": -3.0, "voters": 0}
     y = np.array([r[1] for r in rows])
     if not len(y) or y.sum() == 0 or y.sum() == len(y):
         return only
-    toxic, clean = Counter(), Counter()
-    for found, label in rows:
-        (toxic if label else clean).update(found)
     n1, n0 = int(y.sum()), int((1 - y).sum())
     least = max(3, n1 // 200)
-    rated = []
-    for key, k in toxic.items():
-        if k >= least or key in LEXICON:
-            odds = math.log((k + 0.5) / (n1 - k + 0.5)) - math.log((clean[key] + 0.5) / (n0 - clean[key] + 0.5))
-            # a lower bound: few sightings say little
-            rated.append((odds - 2 * math.sqrt(1 / (k + 0.5) + 1 / (clean[key] + 0.5)), key))
-    rated.sort(reverse=True)
-    features = [key for bound, key in rated[:FEATURES] if bound > 0.5]
-    features = list(dict.fromkeys([*[w for w in LEXICON if toxic[w] > clean[w] or not clean[w]], *features]))
-    if not features:
+    keys, k1 = np.unique(np.concatenate([found for found, label in rows if label]), return_counts=True)
+    often = (k1 >= least) | np.isin(keys, sorted(lexicon))
+    keys, k1 = keys[often], k1[often]
+    if not len(keys):
         return only
-    at = {key: i for i, key in enumerate(features)}
-    index = [np.array(sorted(at[k] for k in found if k in at), np.int64) for found, _ in rows]
-    # voters: rated patterns, each of which must add rows to those already covered, or be a lexicon word
-    holders: dict[int, set[int]] = {}
+    places = []
+    for found, _ in rows:
+        at = np.searchsorted(keys, found).astype(np.int32)
+        at[at == len(keys)] = 0
+        places.append(at[keys[at] == found])
+    k0 = np.zeros(len(keys), np.int64)
+    for at, label in zip(places, y):
+        if not label:
+            k0[at] += 1
+    odds = np.log((k1 + 0.5) / (n1 - k1 + 0.5)) - np.log((k0 + 0.5) / (n0 - k0 + 0.5))
+    # a lower bound: few sightings say little
+    bound = odds - 2 * np.sqrt(1 / (k1 + 0.5) + 1 / (k0 + 0.5))
+    listed = np.isin(keys, sorted(lexicon)) & ((k1 > k0) | (k0 == 0))
+    best = np.lexsort((keys, -bound, ~listed))
+    features = best[(listed | (bound > 0.5))[best]][:FEATURES]
+    if not len(features):
+        return only
+    number = np.full(len(keys), -1)
+    number[features] = np.arange(len(features))
+    index = [np.sort(number[at][number[at] >= 0]) for at in places]
+    holders: dict[int, list[int]] = {}
     for i, found in enumerate(index):
         for f in found.tolist():
-            holders.setdefault(f, set()).add(i)
-    voters, covered, mine = [], Counter(), {key: bound for bound, key in rated}
-    for f in sorted(holders, key=lambda f: -mine.get(features[f], 0) - 10 * (features[f] in LEXICON)):
-        toxic_rows = [i for i in holders[f] if y[i]]
-        precise = len(toxic_rows) >= 0.8 * len(holders[f])
-        if features[f] in LEXICON or precise and sum(1 for i in toxic_rows if covered[i] < 3) >= least:
+            holders.setdefault(f, []).append(i)
+    # voters: the lexicon's words, then patterns that are precise and add rows that few voters cover so far
+    voters, covered = [], np.zeros(len(rows), np.int64)
+    for f in sorted(holders, key=lambda f: (-10.0 * listed[features[f]] - bound[features[f]], f)):
+        own = np.array(holders[f])
+        toxic_rows = own[y[own] == 1]
+        if listed[features[f]] or len(toxic_rows) >= 0.8 * len(own) and (covered[toxic_rows] < 3).sum() >= least:
             voters.append(f)
-            covered.update(toxic_rows)
+            covered[toxic_rows] += 1
         if len(voters) >= VOTERS:
             break
     if not voters:
         return only
     votes = np.zeros((len(rows), len(voters)), np.int8)
     for j, f in enumerate(voters):
-        votes[list(holders[f]), j] = 1
+        votes[holders[f], j] = 1
     posterior, _ = label_model(votes)
     w, b = _logistic(index, len(features), posterior)
     z = b + np.array([w[i].sum() for i in index])
@@ -161,8 +187,8 @@ def fit(rows: list[tuple[set[str], int]]) -> dict:
         hess = np.array([[(h * z * z).mean(), (h * z).mean()], [(h * z).mean(), h.mean()]]) + 1e-4 * np.eye(2)
         d = np.linalg.solve(hess, g)
         slope, shift = max(0.05, slope - float(np.clip(d[0], -0.5, 0.5))), shift - float(np.clip(d[1], -1, 1))
-    kept = {features[i]: float(slope * w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3)}
-    return {"weights": kept, "bias": float(slope * b + shift), "voters": [features[f] for f in voters]}
+    kept = {str(keys[features[i]]): float(slope * w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3)}
+    return {"weights": kept, "bias": float(slope * b + shift), "voters": len(voters)}
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: dict[int, int] = FIT_ROWS) -> dict:
@@ -176,14 +202,12 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: dict[int, int] = FIT_ROW
     sample = docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), F.col("doc_id") == F.col("_id")).select("text", "_toxic", F.xxhash64("_id", "text").alias("_h"))
 
     def run(batches):
-        rows = []
+        rows, cache = [], two_generations(100_000)
         for batch in batches:
-            texts = batch.column(0)
-            rows += [(h, patterns(t.as_py()), label) for t, label, h in zip(texts, batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            for t, label, h in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                rows.append((h, patterns(t.as_py(), cache), label))
         rows.sort(key=lambda r: r[0])
-        seen = Counter(k for _, found, _ in rows for k in found)
-        rows = [({k for k in found if seen[k] >= 3 or k in LEXICON}, label) for _, found, label in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(fit(rows))])], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(fit([r[1:] for r in rows]))])], ["model"])
 
     found = sample.repartition(1).mapInArrow(run, "model string").collect()
     return json.loads(found[0][0]) if found else fit([])
@@ -194,25 +218,25 @@ def _scorer(model: dict):
     held, name = process_cache(), ("toxicity", json.dumps(model, sort_keys=True))
     if name in held:
         return held[name]
-    weights, bias = model["weights"], model["bias"]
-    plain = {k.partition("#")[0] for k in weights}
-    steps = {k: [(t, weights[k if t == 1 else f"{k}#{t}"]) for t in TIMES if (k if t == 1 else f"{k}#{t}") in weights] for k in plain}
-    cache = two_generations(400_000)
+    steps: dict[int, list[tuple[int, float]]] = {}
+    for pattern, weight in model["weights"].items():
+        steps.setdefault(int(pattern) >> 2, []).append((TIMES[int(pattern) & 3], weight))
+    bias, cache = model["bias"], two_generations(150_000)
 
     def score(text: str | None) -> float:
-        words = WORDS.findall((text or "").lower())
+        """Only words with a weighted pattern are counted; the cache holds those patterns of each word."""
+        cache.age()
         hits: Counter = Counter()
-        for word, n in Counter(words).items():
+        for word, n in Counter(WORDS.findall((text or "").lower())).items():
             keys = cache.get(word)
             if keys is None:
                 keys = cache.old.get(word)
                 if keys is None:
-                    keys = tuple(k for k in _keys(word) if k in plain)
+                    keys = tuple(k for k in _keys(word) if k in steps)
                 cache[word] = keys
             for key in keys:
                 hits[key] += n
         z = bias + math.fsum(w for key, n in hits.items() for t, w in steps[key] if n >= t)
-        cache.age()
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
     held[name] = score
