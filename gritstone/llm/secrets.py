@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import process_cache, table
+from .common import process_cache, table, text_slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -236,17 +236,6 @@ def scan(texts: list[str | None], net: dict) -> list[list[tuple[str, int, int, f
 SPANS = "array<struct<kind:string,start:long,end:long,score:double>>"
 
 
-def _slices(texts: list, most: int = 4 << 20):
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): spans of every whole text, base kinds and the network's; null and empty texts have none."""
     net = model()
@@ -254,10 +243,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts, out = batch.column(1).to_pylist(), []
-            for a, b in _slices(texts):
-                out += [[{"kind": f[0], "start": f[1], "end": f[2], "score": f[3]} for f in own] for own in scan(texts[a:b], net)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "spans"])
+            for rows, texts in text_slices(batch, 1):
+                out = [[{"kind": f[0], "start": f[1], "end": f[2], "score": f[3]} for f in own] for own in scan(texts, net)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out, kind)], ["doc_id", "spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, spans {SPANS}")
 
@@ -272,10 +260,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            changed = {}
-            for a, b in _slices(texts):
-                for k, own in enumerate(scan(texts[a:b], net), a):
+            for rows, texts in text_slices(batch, at):
+                changed = {}
+                for k, own in enumerate(scan(texts, net)):
                     if own:
                         parts, end = [], 0
                         for _, s, e, _ in own:
@@ -283,13 +270,13 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                                 parts += [texts[k][end:s], mark]
                             end = max(end, e)
                         changed[k] = "".join([*parts, texts[k][end:]])
-            columns = batch.columns
-            if changed:
-                columns[at] = pa.array([changed.get(i, t) for i, t in enumerate(texts)], batch.schema.field(at).type)
-                if count is not None:
-                    counts = columns[count].to_pylist()
-                    columns[count] = pa.array([len(changed[i]) if i in changed else c for i, c in enumerate(counts)], batch.schema.field(count).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+                columns = rows.columns
+                if changed:
+                    columns[at] = pa.array([changed.get(i, t) for i, t in enumerate(texts)], rows.schema.field(at).type)
+                    if count is not None:
+                        counts = columns[count].to_pylist()
+                        columns[count] = pa.array([len(changed[i]) if i in changed else c for i, c in enumerate(counts)], rows.schema.field(count).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=rows.schema)
 
     return docs.mapInArrow(run, schema)
 
