@@ -217,3 +217,10 @@ def prompt_text(item: Column) -> Column:
 
 def address_text(df: DataFrame, column: str = "ea") -> DataFrame:
     return df.withColumn(f"{column}_hex", hex_address(F.col(column)))
+
+
+def pass_summary(hashes: DataFrame, indirect: DataFrame, jumps: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """One row with how much each of the four passes found."""
+    one = lambda df, what, name: df.agg(what.alias(name))
+    out = one(hashes, F.count("*"), "hash_loads").crossJoin(one(indirect, F.count("*"), "indirect_calls"))
+    return out.crossJoin(one(jumps, F.countDistinct("func_ea"), "dispatchers")).crossJoin(one(wrappers, F.count("*"), "wrappers"))  # one row each

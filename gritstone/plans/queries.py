@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import answers, names
-from ..operators import code, graphs, indicators, state, triage
-from ..sources import decoded, provider
+from ..operators import code, contexts, graphs, indicators, state, triage
+from ..settings import Settings
+from ..sources import decoded, provider, store
+from . import runs
 from .tables import EDGES_SQL, FUNCTIONS_SQL, INSTRUCTIONS_SQL, QUEUE_SQL, call_edges, functions, instructions, messy, review_queue, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -681,3 +683,112 @@ def virtual_names(spark, sf):
 def blob_upsert(spark, sf):
     blobs = table(spark, sf, "customer").select(F.col("c_custkey").alias("func_ea"), F.lit("summary").alias("kind"), F.col("c_name").alias("value"))
     return state.put_blobs(blobs, blobs.filter("func_ea % 4 = 0").withColumn("value", F.lit("new"))).select("func_ea", "value")
+
+
+# Contexts and whole runs
+
+
+@query(f"""WITH {EDGES_SQL}, {FUNCTIONS_SQL}, s AS (SELECT caller AS src, 'name_' || callee AS name, min(ea) AS pos FROM raw WHERE callee NOT IN (SELECT ea FROM fn WHERE ea % 2 = 0) AND caller <> callee GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY pos, name) AS n FROM s) SELECT src AS ea, string_agg(name, ',' ORDER BY n) AS names FROM k WHERE n <= 30 GROUP BY src""")
+def imported_names(spark, sf):
+    edges = call_edges(spark, sf, False).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "ea")
+    every = functions(spark, sf).select("ea", F.concat(F.lit("name_"), "ea").alias("name"))
+    return code.imported_names(edges, every.filter("ea % 2 = 0"), every).select("ea", F.array_join("names", ",").alias("names"))
+
+
+@query("""WITH s AS (SELECT l_suppkey AS f, l_partkey AS a, min(l_orderkey * 8 + l_linenumber) AS pos FROM lineitem GROUP BY 1, 2), j AS (SELECT f, pos, substr(p_name, 1, 10) AS t FROM s JOIN part ON a = p_partkey WHERE length(p_name) >= 9),
+k AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY pos, t) AS n FROM j) SELECT f AS ea, string_agg(t, ',' ORDER BY n) AS names FROM k WHERE n <= 20 GROUP BY f""")
+def referenced_strings(spark, sf):
+    refs = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("func_ea"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ea"), F.col("l_partkey").alias("addr"))
+    strings = table(spark, sf, "part").select(F.col("p_partkey").alias("addr"), F.col("p_name").alias("text"))
+    return code.referenced_strings(refs, strings, 20, 9, 10).select("ea", F.array_join("names", ",").alias("names"))
+
+
+@query(f"""WITH {INSTRUCTIONS_SQL}, s AS (SELECT func_ea, reg, value // 50 AS o, min(ea) AS access_ea FROM insn WHERE op_type = 'displ' AND value // 50 BETWEEN 1 AND 4095 GROUP BY 1, 2, 3)
+SELECT func_ea, reg, o AS "offset", access_ea FROM (SELECT *, row_number() OVER (PARTITION BY func_ea ORDER BY access_ea, reg, o) AS n FROM s) WHERE n <= 48""")
+def struct_accesses(spark, sf):
+    found = code.struct_accesses(instructions(spark, sf).withColumn("value", F.expr("value div 50")))
+    return found.select("func_ea", F.col("reg").cast("long").alias("reg"), "offset", "access_ea")
+
+
+@query(f"""WITH {INSTRUCTIONS_SQL}, l AS (SELECT func_ea, mnem || ' ' || value AS line, row_number() OVER (PARTITION BY func_ea ORDER BY ea) AS n, count(*) OVER (PARTITION BY func_ea) AS c FROM insn),
+a AS (SELECT func_ea, string_agg(line, chr(10) ORDER BY n) FILTER (WHERE n <= 20) || CASE WHEN max(c) > 20 THEN chr(10) || '...' ELSE '' END AS t FROM l GROUP BY func_ea)
+SELECT c_custkey AS ea, md5(CASE WHEN c_custkey % 4 = 0 AND c_custkey * 100 <= 32768 THEN c_name ELSE coalesce(t, '') END) AS code, CASE WHEN c_custkey % 4 = 0 AND c_custkey * 100 <= 32768 THEN 'pseudocode' ELSE 'assembly' END AS code_type FROM customer LEFT JOIN a ON func_ea = c_custkey""")
+def code_texts(spark, sf):
+    f = table(spark, sf, "customer").select(F.col("c_custkey").alias("ea"), (F.col("c_custkey") * 100).alias("size_bytes"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_name")).alias("pseudo"))
+    lines = instructions(spark, sf).select("func_ea", "ea", F.concat("mnem", F.lit(" "), "value").alias("line"))
+    return code.code_text(f, lines, most=20).withColumn("code", F.md5(F.col("code").cast("binary")))
+
+
+@query()
+def four_passes(spark, sf):
+    insn, fn = instructions(spark, sf), functions(spark, sf)
+    single = code.single_targets(call_edges(spark, sf, False).select("caller", F.col("callee").alias("target")))
+    return code.pass_summary(hash_lookup(spark, sf), code.last_loads(insn), code.compare_jumps(insn, fn), code.wrapper_names(single, fn, code.push_counts(insn)))
+
+
+@query("SELECT c_custkey AS ea FROM customer ORDER BY 1 LIMIT 300")
+def scope_limited(spark, sf):
+    return contexts.scope(functions(spark, sf), "limited_program")
+
+
+@query(f"WITH {FUNCTIONS_SQL} SELECT ea FROM fn WHERE NOT (ea % 8 & 4 <> 0)")
+def library_filter(spark, sf):
+    return functions(spark, sf).filter(~contexts.is_library_or_thunk(F.col("ea") % 8)).select("ea")
+
+
+def function_context_frame(spark, sf):
+    """One wide row per customer-function from all the relations above."""
+    f = functions(spark, sf).select("ea", "name", (F.col("ea") * 7).alias("size_bytes"), (F.col("ea") * 1000).alias("start"), (F.col("ea") * 1000 + 700).alias("end"))
+    edges = call_edges(spark, sf, False).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "ea")
+    refs = table(spark, sf, "orders").select(F.col("o_custkey").alias("func_ea"), F.col("o_orderkey").alias("ea"), (F.col("o_orderkey") % 200).alias("addr"))
+    strings = table(spark, sf, "part").select(F.col("p_partkey").alias("addr"), F.concat(F.col("p_name"), F.when(F.col("p_partkey") % 9 == 0, F.lit(" http://x.org")).otherwise("")).alias("text"))
+    found = table(spark, sf, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("decoded "), "o_orderkey").alias("string"), (F.col("o_custkey") * 1000 + F.col("o_orderkey") % 900).alias("address"), F.lit(None).cast("long").alias("function_ea"), F.lit("decoded_strings").alias("kind"))
+    names_ = f.select("ea", "name")
+    full = contexts.function_contexts(f, instructions(spark, sf), edges, names_, refs, strings, found, triage.api_dimension(spark))
+    return full.withColumn("code", F.concat(F.lit("int "), "name", F.lit("()")))
+
+
+@query()
+def function_contexts(spark, sf):
+    return function_context_frame(spark, sf).select("ea", "name", "n_insn", "n_callers", "n_callees", *[F.size(c).alias(c) for c in ("callees", "callers", "apis", "strings", "decoded", "constants", "pre_tags")])
+
+
+@query()
+def analyzer_run(spark, sf):
+    """The program analyzer over the call graph, with the offline provider."""
+    edges = call_edges(spark, sf, False).select("caller", "callee")
+    parts = runs.analyze_program(function_context_frame(spark, sf), edges, _nodes(spark, sf).filter("ea % 400 = 5"), functions(spark, sf), Settings(spa_max_functions=60, spa_ai_function_limit=10, spa_min_priority_score=1))
+    return parts["results"].select("ea", "old_name", "mode", "r.function_name", "r.confidence", "r.priority")
+
+
+def _rename(spark, sf, order):
+    few = function_context_frame(spark, sf).filter("ea < 60")
+    return runs.rename_program(few, call_edges(spark, sf).select("caller", "callee"), Settings(rename_order=order, review_mode=False))["outcomes"]
+
+
+@query()
+def rename_best_effort(spark, sf):
+    return _rename(spark, sf, "best_effort_bottom_up")
+
+
+@query()
+def rename_strict(spark, sf):
+    return _rename(spark, sf, "strict_bottom_up")
+
+
+@query()
+def rename_proposal(spark, sf):
+    return _rename(spark, sf, "proposal_aware_bottom_up")
+
+
+@query()
+def forensic_top_decoded(spark, sf):
+    empty = lambda schema: spark.createDataFrame([], schema)
+    found = table(spark, sf, "orders").filter("o_orderkey % 20 = 0").select(F.concat(F.lit("decoded "), "o_orderkey").alias("string"))
+    return runs.forensic_report(function_context_frame(spark, sf), _merged(spark, sf), found, empty(store.SCHEMAS["history"]), empty(store.SCHEMAS["queue"]))["top_decoded"]
+
+
+@query()
+def program_summary(spark, sf):
+    return runs.program_summary(functions(spark, sf), _merged(spark, sf), "sample")
