@@ -174,3 +174,13 @@ def check_suggestions(df: DataFrame, known: DataFrame) -> DataFrame:
     conf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0))))
     clean = clean.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
     return clean.select("ea", "old_name", "new_name", F.round(F.when(reason == "", F.least(conf, F.lit(0.5))).otherwise(conf), 3).alias("confidence"), reason.alias("reason"))
+
+
+def pack(value: Column) -> Column:
+    """A structure as JSON text."""
+    return F.to_json(value)
+
+
+def unpack(text: Column) -> Column:
+    """Stored text as VARIANT: parsed where it is JSON, else the text itself; null for nothing."""
+    return F.when(F.coalesce(text, F.lit("")) != "", F.coalesce(_parsed(text), F.try_variant_get(F.try_parse_json(F.to_json(F.array(text))), "$[0]", "variant")))

@@ -273,3 +273,11 @@ def child_context(edges: DataFrame, virtual: DataFrame) -> DataFrame:
     )
     packed = rows.groupBy(F.col("caller").alias("ea")).agg(F.sort_array(F.collect_list(F.struct("child", text.alias("text")))).alias("c"), F.min("confidence").alias("least_confidence"))
     return packed.select("ea", F.concat(F.lit("Callee context (tentative suggestions, not ground truth):\n"), F.array_join("c.text", "\n")).alias("context"), F.col("c.child").alias("children"), "least_confidence")
+
+
+def budget_plan(estimate: DataFrame, max_requests: int = 25) -> DataFrame:
+    """(exceeded, message, options) for a request estimate."""
+    over = F.col("requests") > max_requests
+    message = F.concat(F.lit("Estimated AI requests: "), F.col("requests"), F.lit(f", configured max: {max_requests}."))
+    options = F.array(*[F.lit(o) for o in ("continue_anyway", "reduce_scope", "switch_to_best_effort_bottom_up", "cancel")])
+    return estimate.select(over.alias("exceeded"), message.alias("message"), options.alias("options"))

@@ -133,3 +133,26 @@ def virtual_names(candidates: DataFrame, queue: DataFrame) -> DataFrame:
     rows, has = candidates.join(q, F.col("ea") == F.col("_ea"), "left"), F.col("_ea").isNotNull()
     pick = lambda a, b: F.when(has, a).otherwise(b)
     return rows.select("ea", pick(F.col("_old"), F.col("name")).alias("idb_name"), pick(F.col("_new"), F.col("name")).alias("suggested_name"), pick(F.col("_conf"), F.lit(1.0)).alias("confidence"), pick(F.lit("pending_review"), F.lit("applied")).alias("status"), pick(F.col("_level"), F.lit(-1)).alias("level"))
+
+
+def cache_stats(cache: DataFrame) -> DataFrame:
+    """One row: entries and kB of stored results."""
+    return cache.agg(F.count("*").alias("entries"), F.round(F.coalesce(F.sum(F.octet_length("result")), F.lit(0)) / 1024.0, 1).alias("size_kb"))
+
+
+def pending_item(queue: DataFrame, ea: int, kind: str = "function_rename") -> DataFrame:
+    """The first pending row of a function and kind, or none."""
+    return queue.filter((F.col("ea") == ea) & (F.coalesce("kind", F.lit("function_rename")) == kind) & (F.col("status") == "pending")).sort("ord").limit(1)
+
+
+def dependency_text(deps: Column) -> Column:
+    """A line for each dependency: address and the name it waits for."""
+    return F.array_join(F.transform(deps, lambda d: F.concat(F.lit("0x"), F.hex(d["ea"]), F.lit(" -> "), d["suggested_name"])), "\n")
+
+
+def saved_functions(blobs: DataFrame) -> DataFrame:
+    return blobs.select("func_ea").distinct()
+
+
+def drop_blobs(blobs: DataFrame, keys: DataFrame) -> DataFrame:
+    return blobs.join(keys.select("func_ea", "kind"), ["func_ea", "kind"], "left_anti")

@@ -317,3 +317,22 @@ def test_instruction_passes(spark):
     assert [(r["ea"], r["pointer"]) for r in code.last_loads(insn).collect()] == [(8, 40)]
     assert code.push_counts(insn).first()["pushes"] == 1
     assert [r["names"] for r in code.constants(insn).collect()] == [["0x20000", "0x30000"]]
+
+
+def test_small_state(spark):
+    q = spark.createDataFrame([entry(1, "a", "applied", ord=1), entry(1, "b", ord=3, deps=[(16, "x")]), entry(1, "c", ord=2)], QUEUE)
+    assert state.pending_item(q, 1).first()["suggested_name"] == "c" and state.pending_item(q, 2).count() == 0
+    assert q.filter("ord = 3").select(state.dependency_text(F.col("deps"))).first()[0] == "0x10 -> x"
+    blobs = spark.createDataFrame([(1, "notes", "n"), (1, "code", "c"), (2, "notes", "m")], store.SCHEMAS["blobs"])
+    assert {r[0] for r in state.saved_functions(blobs).collect()} == {1, 2}
+    assert state.drop_blobs(blobs, blobs.filter("kind = 'notes'")).count() == 1
+    cache = spark.createDataFrame([("k", None, "o", "asm", "x" * 2048)], "key string, ts timestamp, old_name string, code_type string, result string")
+    assert state.cache_stats(cache).first().asDict() == {"entries": 1, "size_kb": 2.0}
+    est = spark.createDataFrame([(30,)], "requests long")
+    assert graphs.budget_plan(est).first()["exceeded"] and not graphs.budget_plan(est, 40).first()["exceeded"]
+
+
+def test_pack(spark):
+    got = values(spark, lambda c: answers.unpack(c).cast("string"), ['{"a": 1}', "plain", "", None])
+    assert got == ['{"a":1}', "plain", None, None]
+    assert spark.range(1).select(answers.pack(F.struct("id"))).first()[0] == '{"id":0}'
