@@ -6,6 +6,7 @@ import sys
 import tempfile
 import types
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,26 @@ def process_cache() -> dict:
     return sys.modules.setdefault("_gritstone_process_cache", types.ModuleType("_gritstone_process_cache")).__dict__
 
 
+def releasing(run):
+    """run (a mapInArrow function) that gives freed memory back to the system when a task ends; workers live on between tasks."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # not glibc
+
+    return task
+
+
 def two_generations(limit: int):
     """A bounded word cache: (young, old) dictionaries; when the young one is full it becomes the old one."""
 

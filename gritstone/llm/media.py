@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import releasing, table
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Payloads fill rows of 64 RGB pixels.
@@ -159,7 +159,7 @@ def store_media(docs: DataFrame) -> DataFrame:
                 images.append(encode_png(payload))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(images, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(run), "doc_id long, n_bytes long, media binary")
 
 
 def read_media(stored: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def read_media(stored: DataFrame) -> DataFrame:
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
-    return stored.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_bytes").cast("long").alias("n_bytes"), "media").mapInArrow(run, fields)
+    return stored.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_bytes").cast("long").alias("n_bytes"), "media").mapInArrow(releasing(run), fields)
 
 
 def media_payloads(stored: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def media_payloads(stored: DataFrame) -> DataFrame:
                     texts.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return stored.select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "media").mapInArrow(run, "doc_id long, text string")
+    return stored.select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "media").mapInArrow(releasing(run), "doc_id long, text string")
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import process_cache, table, text_slices
+from .common import process_cache, releasing, table, text_slices
 
 UNIT = re.compile(rb"\n+| *[^ \n]+| +")
 OFFSET = 2.7
@@ -266,7 +266,7 @@ def encode_documents(docs: DataFrame, path: str, seed: int = 7, alpha: float = 1
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], lists], [*rows.schema.names[:-1], "ids"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{fields}, ids array<int>")
+    return chosen.mapInArrow(releasing(run), f"{fields}, ids array<int>")
 
 
 def decode_documents(coded: DataFrame, path: str, alpha: float = 1.0) -> DataFrame:
@@ -281,7 +281,7 @@ def decode_documents(coded: DataFrame, path: str, alpha: float = 1.0) -> DataFra
             sums = [zlib.crc32(p.astype("<u4").tobytes()) for p in parts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64()), pa.array([len(p) for p in parts], pa.int64()), pa.array(texts)], ["doc_id", "ids_crc32", "n_tokens", "text"])
 
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids_crc32 long, n_tokens long, text string")
+    return coded.select("doc_id", "ids").mapInArrow(releasing(run), "doc_id long, ids_crc32 long, n_tokens long, text string")
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import process_cache, table, text_slices
+from .common import process_cache, releasing, table, text_slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -247,7 +247,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
                 out = [[{"kind": f[0], "start": f[1], "end": f[2], "score": f[3]} for f in own] for own in scan(texts, net)]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, spans {SPANS}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(run), f"doc_id long, spans {SPANS}")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -278,7 +278,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                         columns[count] = pa.array([len(changed[i]) if i in changed else c for i, c in enumerate(counts)], rows.schema.field(count).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=rows.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import checkpointed, table
+from .common import checkpointed, releasing, table
 from .components import components
 
 BITS, BUDGET = 64, 2
@@ -56,7 +56,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataF
             prints = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in batch.column(at)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+    return docs.mapInArrow(releasing(run), StructType([*docs.schema.fields, StructField("_fp", LongType())]))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:

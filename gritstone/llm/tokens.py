@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import process_cache, shared_dir, table, text_slices
+from .common import process_cache, releasing, shared_dir, table, text_slices
 
 MAGIC = b"GRITSST1"
 INDEX, FOOTER = "<9sQIIQ", "<QIQQQI8s"
@@ -293,7 +293,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, docs_per_sha
                 end = np.array([end_id], np.uint16)
                 yield pa.RecordBatch.from_arrays([part, pa.array(shard, pa.int32()), pa.array([np.append(x, end).astype("<u2").tobytes() for x in run(texts)], pa.binary())], ["doc_id", "shard", "ids"])
 
-    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, shard int, ids binary")
+    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(encode), "doc_id long, shard int, ids binary")
     coded = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
 
     def write(batches):
@@ -322,7 +322,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, docs_per_sha
             finish()
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["shard", "path", "entries", "ids"])
 
-    return coded.mapInArrow(write, "shard int, path string, entries long, ids long")
+    return coded.mapInArrow(releasing(write), "shard int, path string, entries long, ids long")
 
 
 def _open(uri: str):
@@ -363,7 +363,7 @@ def read_shards(spark: SparkSession, manifest: list[tuple[int, str, int, int]])
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
     files = spark.createDataFrame(starts, "path string, start long").repartition(max(1, len(starts)))
-    return files.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return files.mapInArrow(releasing(run), ", ".join(f"{n} long" for n in names))
 
 
 def look_up(manifest: list[tuple[int, str, int, int]], doc_id: int | None) -> list[list[int]]:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import process_cache, table, two_generations
+from .common import process_cache, releasing, table, two_generations
 
 #: English insults that vote on their own, whatever the labelled rows hold.
 LEXICON = ("idiot", "moron", "loser", "clown", "scum", "trash", "pathetic", "worthless", "stupid", "disgusting", "imbecile", "vermin", "filth", "garbage", "dumb", "crap", "bastard", "jerk")
@@ -202,14 +202,14 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: dict[int, int] = FIT_ROW
     sample = docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), F.col("doc_id") == F.col("_id")).select("text", "_toxic", F.xxhash64("_id", "text").alias("_h"))
 
     def run(batches):
-        rows, cache = [], two_generations(100_000)
+        rows, cache = [], two_generations(50_000)
         for batch in batches:
             for t, label, h in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 rows.append((h, patterns(t.as_py(), cache), label))
         rows.sort(key=lambda r: r[0])
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(fit([r[1:] for r in rows]))])], ["model"])
 
-    found = sample.repartition(1).mapInArrow(run, "model string").collect()
+    found = sample.repartition(1).mapInArrow(releasing(run), "model string").collect()
     return json.loads(found[0][0]) if found else fit([])
 
 
@@ -221,7 +221,7 @@ def _scorer(model: dict):
     steps: dict[int, list[tuple[int, float]]] = {}
     for pattern, weight in model["weights"].items():
         steps.setdefault(int(pattern) >> 2, []).append((TIMES[int(pattern) & 3], weight))
-    bias, cache = model["bias"], two_generations(150_000)
+    bias, cache = model["bias"], two_generations(100_000)
 
     def score(text: str | None) -> float:
         """Only words with a weighted pattern are counted; the cache holds those patterns of each word."""
@@ -253,7 +253,7 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([score(t.as_py()) for t in batch.column(at)], pa.float64())], names)
 
     schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
