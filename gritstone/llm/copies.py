@@ -24,8 +24,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SKETCH, BUDGET, PARTS = 256, 20, 8
 #: (minhashes in a band, bands); two texts of similarity 0.8 share some band with 99.6 %.
 BANDS = (5, 14)
-#: Texts of a bucket that are compared pair by pair; a larger bucket is dealt to cells of about that size.
-CELL = 10
+#: A larger bucket is dealt to cells of about so many texts, and each cell is compared with each.
+CELL = 500
 
 
 def _shingles(text: str | None) -> np.ndarray:
@@ -132,19 +132,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 def similar_links(texts: DataFrame, similarity: float = SIMILARITY, cell: int = CELL, bands: tuple[int, int] = BANDS) -> DataFrame:
     """Links (a, b) between ids of distinct texts (same, least, fp, sketch).
 
-    Every text of a bucket is compared with the bucket's first, and with the others of its cell: the whole bucket if it is
-    small, else a part dealt by a hash that differs from band to band. So work grows with the number of texts whatever the size
-    of a bucket, and the members of a large group are joined through the many texts they meet.
+    Every text of a bucket is compared with the bucket's first. Of a bucket whose texts are not all in one group by then, every
+    pair of texts of different groups is compared. So the groups are those that all pairs of all buckets would make; a large
+    bucket is dealt to cells, each compared with each, so that no task holds it whole.
     """
     rows = _banded(texts, *bands, 0)
     sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp")).alias("first")).filter("n > 1")
-    rows = rows.join(sizes, ["band", "key"]).withColumn("cell", F.when(F.col("n") <= cell, F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("n") / cell))))
-    rows = checkpointed(rows)
-    x = rows.select("band", "key", "cell", F.col("id").alias("a"), F.col("fp").alias("p"))
-    y = rows.select(F.col("band").alias("_b"), F.col("key").alias("_k"), F.col("cell").alias("_c"), F.col("id").alias("b"), F.col("fp").alias("q"))
-    met = x.join(y, (F.col("band") == F.col("_b")) & (F.col("key") == F.col("_k")) & (F.col("cell") == F.col("_c")) & (F.col("a") < F.col("b")) & in_ring(F.col("p"), F.col("q"))).select("a", "b")
-    stars = rows.filter((F.col("n") > cell) & (F.col("id") != F.col("first.id")) & in_ring(F.col("fp"), F.col("first.fp"))).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
-    return _verified(met.union(stars), texts, similarity)
+    rows = checkpointed(rows.join(sizes, ["band", "key"]).filter(F.col("id") != F.col("first.id")))
+    stars = rows.filter(in_ring(F.col("fp"), F.col("first.fp"))).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
+    links = checkpointed(_verified(stars, texts, similarity))
+    rows = rows.filter("n > 2").join(components(links), F.col("id") == F.col("node"), "left").select("band", "key", "id", "fp", F.coalesce("root", "id").alias("root"))
+    mixed = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("root").alias("_r"), F.max("root").alias("_s")).filter("_r <> _s").select("band", "key", F.ceil(F.col("n") / cell).cast("int").alias("cells"))
+    rows = checkpointed(rows.join(mixed, ["band", "key"]).withColumn("cell", F.pmod(F.xxhash64("id", "band"), F.col("cells")).cast("int")))
+    x = rows.select("band", "key", F.col("cell").alias("c"), F.explode(F.sequence("cell", F.col("cells") - 1)).alias("d"), F.col("id").alias("a"), F.col("fp").alias("p"), F.col("root").alias("r"))
+    y = rows.select(F.col("band").alias("_b"), F.col("key").alias("_k"), F.explode(F.sequence(F.lit(0), "cell")).alias("_c"), F.col("cell").alias("_d"), F.col("id").alias("b"), F.col("fp").alias("q"), F.col("root").alias("s"))
+    once = (F.col("c") < F.col("d")) | (F.col("a") < F.col("b"))
+    met = x.join(y, (F.col("band") == F.col("_b")) & (F.col("key") == F.col("_k")) & (F.col("c") == F.col("_c")) & (F.col("d") == F.col("_d")) & once & (F.col("r") != F.col("s")) & in_ring(F.col("p"), F.col("q")))
+    return links.union(_verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, similarity))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

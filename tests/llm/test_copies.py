@@ -76,3 +76,29 @@ def test_keep_one(spark):
         if i not in sets:
             assert max(similarity(every[i], every[j]) for j in range(len(texts)) if j != i) >= 0.75
     assert copies.keep_one(docs.limit(0)).count() == 0
+
+
+def groups(spark, texts, **k):
+    """The root of every text, by its number, from the links of similar_links."""
+    df = copies.with_sketch(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    distinct = df.groupBy(F.col("_same").alias("same")).agg(F.min("doc_id").alias("least"), F.first("_fp").alias("fp"), F.first("_sketch").alias("sketch"))
+    root = {r["node"]["least"]: r["root"]["least"] for r in components(copies.similar_links(distinct, **k)).collect()}
+    return [root.get(i, i) for i in range(len(texts))]
+
+
+def fresh(r, n):
+    return [f"w{r.randrange(10**9)}" for _ in range(n)]
+
+
+@pytest.mark.parametrize("k", [{}, {"cell": 10}])
+def test_pairs_in_a_family_with_a_template(spark, k):
+    r = random.Random(5)
+    template, texts = fresh(r, 200), []
+    for _ in range(150):
+        own = fresh(r, 11)
+        texts += [" ".join(template + own + fresh(r, 23)) for _ in range(2)]
+    sets = [shingles(t) for t in texts]
+    assert all(similarity(sets[i], sets[i + 1]) >= 0.8 for i in range(0, 300, 2)) and similarity(sets[0], sets[2]) < 0.75
+    root = groups(spark, texts, **k)
+    assert sum(root[i] == root[i + 1] for i in range(0, 300, 2)) >= 0.98 * 150
+    assert len(set(root)) >= 150
