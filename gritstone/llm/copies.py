@@ -3,8 +3,8 @@
 The fingerprint is that of simhash.py over five-word shingles. At a similarity of 0.8 two fingerprints differ in some ten of 64
 bits, too many for segments to be equal by force, so candidates share a band of minhashes; the ring of eight segments
 then prunes them (chains whose cumulative differences stay within the proportional budgets of BUDGET bits), the
-full Hamming check follows, and last the similarity of the shingle sets, from bottom-256 sketches: exact for sets that fit
-in them, else with a standard error below 0.025.
+full Hamming check follows, and last the similarity of the shingle sets: bottom-256 sketches decide for sets that fit in them and
+discard what is far below; the whole sets decide the rest.
 """
 
 from __future__ import annotations
@@ -15,13 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
 from .common import checkpointed, releasing
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCH, BUDGET, PARTS = 256, 20, 8
+#: Six standard errors of a sketch's similarity at 0.8; pairs that seem less similar by more are discarded unseen.
+MARGIN = 0.15
 #: (minhashes in a band, bands); two texts of similarity 0.8 share some band with 99.6 %.
 BANDS = (5, 14)
 #: A larger bucket is dealt to cells of about so many texts, and each cell is compared with each.
@@ -108,29 +110,68 @@ def in_ring(x: Column, y: Column) -> Column:
     return chains & (F.bit_count(x.bitwiseXOR(y)) <= BUDGET)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose shingle sets are as similar as asked for."""
+def _whole(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(same, hashes) with all shingle hashes of the wanted texts' ids (id), from docs (doc_id, text)."""
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(0):
+                hashes = _shingles(text.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(hashes.tobytes()).digest()]), pa.array([hashes.tobytes()])], ["same", "hashes"])
+
+    ids = wanted.select(F.col("id.least").alias("_l"), F.col("id.same").alias("_s"))
+    rows = docs.join(ids.select("_l").distinct(), docs["doc_id"].eqNullSafe(F.col("_l")), "left_semi").select("text")
+    sets = rows.mapInArrow(releasing(run), "same binary, hashes binary")
+    return sets.join(ids, sets["same"] == F.col("_s"), "left_semi").groupBy("same").agg(F.first("hashes").alias("hashes"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, docs: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) of ids whose shingle sets are as similar as asked for.
+
+    Sketches that hold whole sets decide; others only discard pairs MARGIN below, and the whole sets of the texts in docs (doc_id, text)
+    decide the rest. Without docs the sketches decide all.
+    """
     sketch = texts.select(F.struct("least", "same").alias("_id"), "sketch")
     both = pairs.select("a", "b").distinct().join(sketch.select(F.col("_id").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("_id").alias("b"), F.col("sketch").alias("y")), "b")
 
-    def run(batches):
+    floor = similarity if docs is None else similarity - MARGIN
+
+    def estimate(batches):
         for batch in batches:
-            keep = []
+            keep, sure = [], []
             for x, y in zip(batch.column(2), batch.column(3)):
                 u, v = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
                 every = np.union1d(u, v)
-                if len(u) >= SKETCH or len(v) >= SKETCH:
+                sure.append(len(u) < SKETCH and len(v) < SKETCH)
+                if not sure[-1]:
                     every = every[:SKETCH]
                 shared = np.intersect1d(np.intersect1d(u, v), every)
-                keep.append(len(shared) >= similarity * len(every))
+                keep.append(len(shared) >= (similarity if sure[-1] else floor) * len(every))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sure, pa.bool_())], ["a", "b", "sure"]).filter(pa.array(keep, pa.bool_()))
+
+    ids = both.select("a", "b").schema
+    near = both.select("a", "b", "x", "y").mapInArrow(releasing(estimate), StructType([*ids.fields, StructField("sure", BooleanType())]))
+    if docs is None:
+        return near.select("a", "b")
+
+    def decide(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(shared >= similarity * (len(u) + len(v) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    schema = both.select("a", "b").schema
-    return both.select("a", "b", "x", "y").mapInArrow(releasing(run), schema)
+    near = checkpointed(near)
+    unsure = near.filter("NOT sure").select("a", "b")
+    sets = checkpointed(_whole(docs, unsure.select(F.col("a").alias("id")).union(unsure.select("b")).distinct()))
+    both = unsure.join(sets.select(F.col("same").alias("_s"), F.col("hashes").alias("x")), F.col("a.same") == F.col("_s")).drop("_s").join(sets.select(F.col("same").alias("_s"), F.col("hashes").alias("y")), F.col("b.same") == F.col("_s"))
+    return near.filter("sure").select("a", "b").union(both.select("a", "b", "x", "y").mapInArrow(releasing(decide), ids))
 
 
-def similar_links(texts: DataFrame, similarity: float = SIMILARITY, cell: int = CELL, bands: tuple[int, int] = BANDS) -> DataFrame:
-    """Links (a, b) between ids of distinct texts (same, least, fp, sketch).
+def similar_links(texts: DataFrame, similarity: float = SIMILARITY, cell: int = CELL, bands: tuple[int, int] = BANDS, docs: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) between ids of distinct texts (same, least, fp, sketch); docs (doc_id, text) has the texts.
 
     Every text of a bucket is compared with the bucket's first. Of a bucket whose texts are not all in one group by then, every
     pair of texts of different groups is compared. So the groups are those that all pairs of all buckets would make; a large
@@ -140,7 +181,7 @@ def similar_links(texts: DataFrame, similarity: float = SIMILARITY, cell: int =
     sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp")).alias("first")).filter("n > 1")
     rows = checkpointed(rows.join(sizes, ["band", "key"]).filter(F.col("id") != F.col("first.id")))
     stars = rows.filter(in_ring(F.col("fp"), F.col("first.fp"))).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
-    links = checkpointed(_verified(stars, texts, similarity))
+    links = checkpointed(_verified(stars, texts, similarity, docs))
     rows = rows.filter("n > 2").join(components(links), F.col("id") == F.col("node"), "left").select("band", "key", "id", "fp", F.coalesce("root", "id").alias("root"))
     mixed = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("root").alias("_r"), F.max("root").alias("_s")).filter("_r <> _s").select("band", "key", F.ceil(F.col("n") / cell).cast("int").alias("cells"))
     rows = checkpointed(rows.join(mixed, ["band", "key"]).withColumn("cell", F.pmod(F.xxhash64("id", "band"), F.col("cells")).cast("int")))
@@ -148,7 +189,7 @@ def similar_links(texts: DataFrame, similarity: float = SIMILARITY, cell: int =
     y = rows.select(F.col("band").alias("_b"), F.col("key").alias("_k"), F.explode(F.sequence(F.lit(0), "cell")).alias("_c"), F.col("cell").alias("_d"), F.col("id").alias("b"), F.col("fp").alias("q"), F.col("root").alias("s"))
     once = (F.col("c") < F.col("d")) | (F.col("a") < F.col("b"))
     met = x.join(y, (F.col("band") == F.col("_b")) & (F.col("key") == F.col("_k")) & (F.col("c") == F.col("_c")) & (F.col("d") == F.col("_d")) & once & (F.col("r") != F.col("s")) & in_ring(F.col("p"), F.col("q")))
-    return links.union(_verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, similarity))
+    return links.union(_verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, similarity, docs))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -157,9 +198,10 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Texts with the same shingle set are copies. Null texts and texts without words count as equal. Rows that share a
     doc_id but not a group each stand for their own; rows without doc_id stay, nothing names them.
     """
-    sketched = with_sketch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", F.col("_same").alias("same"), F.col("_fp").alias("fp"), F.col("_sketch").alias("sketch"))
+    plain_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketched = with_sketch(plain_docs).select("doc_id", F.col("_same").alias("same"), F.col("_fp").alias("fp"), F.col("_sketch").alias("sketch"))
     texts = checkpointed(sketched.groupBy("same").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
-    roots = components(similar_links(texts, similarity))
+    roots = components(similar_links(texts, similarity, docs=plain_docs))
     named = texts.select("same", "n", F.struct("least", "same").alias("id")).join(roots, F.col("id") == F.col("node"), "left").select("same", "n", F.coalesce("root", "id").alias("root"), "id")
     named = checkpointed(named)
     least = named.groupBy("root").agg(F.min("id.least").alias("component_id"))

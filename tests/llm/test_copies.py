@@ -102,3 +102,26 @@ def test_pairs_in_a_family_with_a_template(spark, k):
     root = groups(spark, texts, **k)
     assert sum(root[i] == root[i + 1] for i in range(0, 300, 2)) >= 0.98 * 150
     assert len(set(root)) >= 150
+
+
+def replaced(r, base, n):
+    """base with the words of its end replaced, so that about n shingles differ."""
+    return base[: len(base) - n] + fresh(r, n)
+
+
+def test_long_texts_are_decided_on_whole_sets(spark):
+    r = random.Random(6)
+    texts, near = [], []
+    for k in range(80):
+        base = fresh(r, 1600)
+        pair = base, replaced(r, base, 200 if k % 2 == 0 else 184)  # similarity about 0.777 and 0.794
+        if k % 4 == 3:
+            pair = base, replaced(r, base, 176)  # about 0.801
+        sets = [shingles(" ".join(p)) for p in pair]
+        near.append(similarity(*sets) >= 0.8)
+        texts += [" ".join(p) for p in pair]
+    assert sum(near) == 20
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    kept = {r["doc_id"] for r in copies.keep_one(docs).select("doc_id").collect()}
+    assert sum(2 * k + 1 not in kept for k in range(80) if not near[k]) == 0
+    assert sum(2 * k + 1 not in kept for k in range(80) if near[k]) >= 18
