@@ -26,6 +26,9 @@ SKETCH, BUDGET, PARTS = 256, 20, 8
 MARGIN = 0.15
 #: (minhashes in a band, bands); two texts of similarity 0.8 share some band with 99.6 %.
 BANDS = (5, 14)
+_RNG = np.random.default_rng(0)
+_A = _RNG.integers(1, 2**63, (BANDS[0] * BANDS[1], 1), dtype=np.uint64) | np.uint64(1)
+_B = _RNG.integers(0, 2**63, (BANDS[0] * BANDS[1], 1), dtype=np.uint64)
 #: A larger bucket is dealt to cells of about so many texts, and each cell is compared with each.
 CELL = 500
 
@@ -53,8 +56,23 @@ def _majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def _band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band from the least values of all the hashes; zeros without any."""
+    width, bands = BANDS
+    mixed = np.zeros(bands, np.uint64)
+    if len(hashes):
+        low = np.full(width * bands, 2**64 - 1, np.uint64)
+        for at in range(0, len(hashes), 256):
+            np.minimum(low, (hashes[None, at : at + 256] * _A + _B).min(axis=1), out=low)
+        low = low.reshape(bands, width)
+        for j in range(width):
+            mixed = (mixed ^ low[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
 def with_sketch(docs: DataFrame) -> DataFrame:
-    """docs plus _same (digest of the shingle set), _fp (fingerprint) and _sketch (the smallest hashes, 32 bits each)."""
+    """docs plus _same (digest of the shingle set), _fp (fingerprint) and _sketch (the bands' keys, then the smallest hashes, 32 bits each)."""
     at, names = docs.columns.index("text"), [*docs.columns, "_same", "_fp", "_sketch"]
 
     def run(batches):
@@ -64,32 +82,23 @@ def with_sketch(docs: DataFrame) -> DataFrame:
                 hashes = _shingles(text.as_py())
                 same.append(hashlib.md5(hashes.tobytes()).digest())
                 prints.append(_majority(hashes) if len(hashes) else 0)
-                sketches.append((hashes[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
+                sketches.append(_band_keys(hashes).astype("<u8").tobytes() + (hashes[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(same, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sketches, pa.binary())], names)
 
     return docs.mapInArrow(releasing(run), StructType([*docs.schema.fields, StructField("_same", BinaryType()), StructField("_fp", LongType()), StructField("_sketch", BinaryType())]))
 
 
-def _banded(texts: DataFrame, width: int, bands: int, seed: int) -> DataFrame:
+def _banded(texts: DataFrame) -> DataFrame:
     """(band, key, id, fp) rows of texts (same, least, fp, sketch); id = (least doc_id, digest)."""
-    rng = np.random.default_rng(seed)
-    a = rng.integers(1, 2**63, (width * bands, 1), dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, 2**63, (width * bands, 1), dtype=np.uint64)
+    bands = BANDS[1]
 
     def run(batches):
         for batch in batches:
-            keys = np.zeros((batch.num_rows, bands), np.uint64)
+            keys = np.zeros((batch.num_rows, bands), np.int64)
             for i, sketch in enumerate(batch.column(3)):
-                values = np.frombuffer(sketch.as_buffer(), "<u4").astype(np.uint64)
-                if len(values):
-                    low = ((values[None, :] + np.uint64(1)) * a + b).min(axis=1).reshape(bands, width)
-                    mixed = np.zeros(bands, np.uint64)
-                    for j in range(width):
-                        mixed = (mixed ^ low[:, j]) * np.uint64(0x9E3779B97F4A7C15)
-                        mixed ^= mixed >> np.uint64(29)
-                    keys[i] = mixed
+                keys[i] = np.frombuffer(sketch.as_buffer(), "<i8", bands)
             repeat = pa.array(np.repeat(np.arange(batch.num_rows), bands))
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)), pa.array(keys.view(np.int64).ravel()), *[batch.column(i).take(repeat) for i in (0, 1, 2)]], ["band", "key", "same", "least", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)), pa.array(keys.ravel()), *[batch.column(i).take(repeat) for i in (0, 1, 2)]], ["band", "key", "same", "least", "fp"])
 
     rows = texts.select("same", "least", "fp", "sketch").mapInArrow(releasing(run), "band int, key long, same binary, least long, fp long")
     return rows.select("band", "key", F.struct("least", "same").alias("id"), "fp")
@@ -140,7 +149,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, docs: DataF
         for batch in batches:
             keep, sure = [], []
             for x, y in zip(batch.column(2), batch.column(3)):
-                u, v = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                u, v = (np.frombuffer(z.as_buffer(), "<u4", offset=8 * BANDS[1]) for z in (x, y))
                 every = np.union1d(u, v)
                 sure.append(len(u) < SKETCH and len(v) < SKETCH)
                 if not sure[-1]:
@@ -170,14 +179,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, docs: DataF
     return near.filter("sure").select("a", "b").union(both.select("a", "b", "x", "y").mapInArrow(releasing(decide), ids))
 
 
-def similar_links(texts: DataFrame, similarity: float = SIMILARITY, cell: int = CELL, bands: tuple[int, int] = BANDS, docs: DataFrame | None = None) -> DataFrame:
+def similar_links(texts: DataFrame, similarity: float = SIMILARITY, cell: int = CELL, docs: DataFrame | None = None) -> DataFrame:
     """Links (a, b) between ids of distinct texts (same, least, fp, sketch); docs (doc_id, text) has the texts.
 
     Every text of a bucket is compared with the bucket's first. Of a bucket whose texts are not all in one group by then, every
     pair of texts of different groups is compared. So the groups are those that all pairs of all buckets would make; a large
     bucket is dealt to cells, each compared with each, so that no task holds it whole.
     """
-    rows = _banded(texts, *bands, 0)
+    rows = _banded(texts)
     sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp")).alias("first")).filter("n > 1")
     rows = checkpointed(rows.join(sizes, ["band", "key"]).filter(F.col("id") != F.col("first.id")))
     stars = rows.filter(in_ring(F.col("fp"), F.col("first.fp"))).select(F.col("first.id").alias("a"), F.col("id").alias("b"))

@@ -125,3 +125,15 @@ def test_long_texts_are_decided_on_whole_sets(spark):
     kept = {r["doc_id"] for r in copies.keep_one(docs).select("doc_id").collect()}
     assert sum(2 * k + 1 not in kept for k in range(80) if not near[k]) == 0
     assert sum(2 * k + 1 not in kept for k in range(80) if near[k]) >= 18
+
+
+def test_long_texts_that_contain_another(spark):
+    r = random.Random(7)
+    texts = []
+    for _ in range(100):
+        base = fresh(r, 1600)
+        texts += [" ".join(base), " ".join(base + fresh(r, 390))]
+    assert 0.80 <= similarity(shingles(texts[0]), shingles(texts[1])) < 0.81
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    kept = {r["doc_id"] for r in copies.keep_one(docs).select("doc_id").collect()}
+    assert sum(2 * k in kept and 2 * k + 1 not in kept for k in range(100)) >= 97
