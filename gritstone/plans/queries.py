@@ -763,8 +763,7 @@ def analyzer_run(spark, sf):
 
 
 def _rename(spark, sf, order):
-    few = function_context_frame(spark, sf).filter("ea < 60")
-    return runs.rename_program(few, call_edges(spark, sf).select("caller", "callee"), Settings(rename_order=order, review_mode=False))["outcomes"]
+    return runs.rename_program(function_context_frame(spark, sf), call_edges(spark, sf).select("caller", "callee"), Settings(rename_order=order, review_mode=False))["outcomes"]
 
 
 @query()

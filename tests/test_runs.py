@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gritstone import settings
 from gritstone.operators import contexts
-from gritstone.plans import runs
+from gritstone.plans import queries, runs, tables
 from gritstone.sources import store
 
 FIELDS = "ea long, name string, callees array<string>, callers array<string>, strings array<string>, decoded array<string>, apis array<string>, constants array<string>, pre_tags array<string>, hints array<string>, n_insn int, code string"
@@ -104,3 +104,14 @@ def test_report(spark):
     assert "IPV4: 1.1.1.1" in runs.program_summary(ctx, iocs, "x").first()["text"]
     assert json.loads(runs.export_function(1, ctx, spark.createDataFrame([], store.SCHEMAS["blobs"]), q, h).first()["json"])["context"][0]["ea"] == 1
     assert store.html_table(ctx.sort("ea"), ["ea", "name"], 2).first()["html"].count("<tr>") == 3
+
+
+def test_rename_queries_take_the_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    size = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>")))
+    rows = queries.function_context_frame(spark, sf).select("ea", (size("pre_tags") * 10 + size("apis") + size("strings")).alias("w")).collect()
+    nodes = {r["ea"] for r in rows}
+    callers = {r["caller"] for r in tables.call_edges(spark, sf).collect() if r["callee"] in nodes and r["caller"] in nodes}
+    best = sorted(rows, key=lambda r: (r["ea"] in callers, -r["w"], r["ea"]))[:250]
+    got = {r["ea"] for r in queries.QUERIES["rename_best_effort"](spark, sf).collect()}
+    assert got == {r["ea"] for r in best} and max(got) >= 60
