@@ -48,7 +48,8 @@ def function_contexts(functions: DataFrame, insns: DataFrame, edges: DataFrame,
     callers = code.first_names(edges, functions.select("ea", "name"), 10, by="dst", of="src")
     apis = code.imported_names(edges, functions, names, 30)
     texts = code.referenced_strings(string_refs, strings)
-    found = code.decoded_for_functions(decoded, functions)
+    starts = functions.select(F.col("ea").alias("_ea"), "start")
+    found = code.decoded_for_functions(decoded, functions).withColumnRenamed("ea", "start").join(starts, "start").select(F.col("_ea").alias("ea"), "value")
     fresh = found.join(texts.select("ea", F.explode("names").alias("value")), ["ea", "value"], "left_anti").groupBy("ea").agg(F.sort_array(F.collect_list("value")).alias("names"))
     called = callees.select("ea", F.explode("names").alias("api")).union(apis.select("ea", F.explode("names").alias("api")))
     tagged = triage.api_tags(called, dimension)

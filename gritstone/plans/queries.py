@@ -743,7 +743,7 @@ def function_context_frame(spark, sf):
     edges = call_edges(spark, sf, False).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "ea")
     refs = table(spark, sf, "orders").select(F.col("o_custkey").alias("func_ea"), F.col("o_orderkey").alias("ea"), (F.col("o_orderkey") % 200).alias("addr"))
     strings = table(spark, sf, "part").select(F.col("p_partkey").alias("addr"), F.concat(F.col("p_name"), F.when(F.col("p_partkey") % 9 == 0, F.lit(" http://x.org")).otherwise("")).alias("text"))
-    found = table(spark, sf, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("decoded "), "o_orderkey").alias("string"), (F.col("o_custkey") * 1000 + F.col("o_orderkey") % 900).alias("address"), F.lit(None).cast("long").alias("function_ea"), F.lit("decoded_strings").alias("kind"))
+    found = table(spark, sf, "orders").select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("decoded "), "o_orderkey").alias("string"), (F.col("o_custkey") * 1000 + F.col("o_orderkey") % 900).alias("address"), F.lit(None).cast("long").alias("function_ea"), F.lit("decoded_strings").alias("kind"))
     names_ = f.select("ea", "name")
     full = contexts.function_contexts(f, instructions(spark, sf), edges, names_, refs, strings, found, triage.api_dimension(spark))
     return full.withColumn("code", F.concat(F.lit("int "), "name", F.lit("()")))
@@ -784,7 +784,7 @@ def rename_proposal(spark, sf):
 @query()
 def forensic_top_decoded(spark, sf):
     empty = lambda schema: spark.createDataFrame([], schema)
-    found = table(spark, sf, "orders").filter("o_orderkey % 20 = 0").select(F.concat(F.lit("decoded "), "o_orderkey").alias("string"))
+    found = table(spark, sf, "orders").select(F.concat(F.lit("decoded "), "o_orderkey").alias("string"))
     return runs.forensic_report(function_context_frame(spark, sf), _merged(spark, sf), found, empty(store.SCHEMAS["history"]), empty(store.SCHEMAS["queue"]))["top_decoded"]
 
 

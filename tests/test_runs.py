@@ -115,3 +115,21 @@ def test_rename_queries_take_the_whole_table(spark):
     best = sorted(rows, key=lambda r: (r["ea"] in callers, -r["w"], r["ea"]))[:250]
     got = {r["ea"] for r in queries.QUERIES["rename_best_effort"](spark, sf).collect()}
     assert got == {r["ea"] for r in best} and max(got) >= 60
+
+
+def test_contexts_and_report_take_every_decoded_string(spark):
+    sf = "/root/testdata/sf0.001"
+    orders = tables.table(spark, sf, "orders").select("o_orderkey", "o_custkey").collect()
+    contexts_ = queries.function_context_frame(spark, sf).select("ea", "decoded").collect()
+    placed = {r["ea"]: [] for r in contexts_}
+    for r in sorted(orders, key=lambda r: r["o_orderkey"]):
+        f, at = divmod(r["o_custkey"] * 1000 + r["o_orderkey"] % 900, 1000)
+        if f in placed and at < 700:
+            placed[f].append(f"decoded {r['o_orderkey']}")
+    assert {r["ea"]: set(r["decoded"]) for r in contexts_} == {f: set(v[:30]) for f, v in placed.items()}
+    times = {f"decoded {r['o_orderkey']}": 1 for r in orders}
+    for v in placed.values():
+        for x in v[:30]:
+            times[x] += 1
+    best = sorted(times.items(), key=lambda x: (-x[1], x[0]))[:40]
+    assert sorted((r["value"], r["n"]) for r in queries.QUERIES["forensic_top_decoded"](spark, sf).collect()) == sorted(best)
