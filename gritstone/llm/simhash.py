@@ -1,9 +1,9 @@
 """SimHash near-dedup with pigeonring filtering.
 
-A fingerprint's 64 bits lie on a ring of three segments. If two fingerprints differ in at most 2 bits, some segment
-starts a chain whose cumulative differences stay within the proportional budgets floor(2/3), floor(4/3), floor(6/3): the
-first segment equal, at most one difference over the first two, at most two over all three. Candidates share a segment,
-must pass the chain test from it, and only then meet the full Hamming check.
+A fingerprint's 64 bits lie on a ring of five segments. If two fingerprints differ in at most 2 bits, some segment starts a chain
+whose cumulative differences stay within the proportional budgets floor(2 * length / 5) = 0, 0, 1, 1, 2. So the first two segments of
+that chain are equal: they are the key that candidates meet by, 25 or 26 bits wide. Candidates then must keep the rest of the
+chain within its budgets, and only those that do meet the full Hamming check.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from .components import components
 
 BITS, BUDGET = 64, 2
 #: (lowest bit, width) of the ring's segments.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Within a bucket of more fingerprints than this, links are found through shared neighbours instead of pairs.
-PAIRS_UP_TO = 48
+SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Fingerprints in a cell; a bucket is dealt to as many as it needs, and each cell meets each.
+CELL = 1000
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -65,46 +65,45 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
 
 
 def _segment(fp: Column, i: int) -> Column:
-    low, width = SEGMENTS[i % 3]
+    low, width = SEGMENTS[i % len(SEGMENTS)]
     return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _differences(x: Column, y: Column, i: int) -> Column:
-    return F.bit_count(_segment(x, i).bitwiseXOR(_segment(y, i)))
+def _key(fp: Column, i: int) -> Column:
+    """The chain's first two segments and its start, as one number."""
+    pair = F.shiftleft(_segment(fp, i), SEGMENTS[(i + 1) % len(SEGMENTS)][1]).bitwiseOR(_segment(fp, i + 1))
+    return pair * len(SEGMENTS) + i
 
 
-def _in_ring(x: Column, y: Column, start: Column) -> Column:
-    """The chain test: prefix sums of differences from segment `start` within the proportional budgets."""
-    tests = []
-    for i in range(3):
+def _in_chain(x: Column, y: Column, start: Column) -> Column:
+    """Whether the chain from segment `start`, whose first two are equal, keeps within its budgets."""
+    apart, out = x.bitwiseXOR(y), None
+    for i in range(len(SEGMENTS)):
         total, within = F.lit(0), F.lit(True)
-        for length in range(1, 4):
-            total = total + _differences(x, y, i + length - 1)
-            within = within & (total <= BUDGET * length // 3)
-        tests.append((start == i) & within)
-    return tests[0] | tests[1] | tests[2]
+        for length in range(3, len(SEGMENTS)):
+            total = total + F.bit_count(_segment(apart, i + length - 1))
+            within = within & (total <= BUDGET * length // len(SEGMENTS))
+        out = F.when(start == i, within) if out is None else out.when(start == i, within)
+    return out
 
 
-def fingerprint_links(prints: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
-    """Edges (a, b) that connect exactly what Hamming distance <= 2 connects among the distinct fingerprints `fp`.
+def fingerprint_links(prints: DataFrame, cell: int = CELL) -> DataFrame:
+    """Links (a, b), a < b, between the distinct fingerprints `fp` that differ in at most 2 bits: all of them, each once.
 
-    Buckets of up to pairs_up_to fingerprints are joined pairwise. In larger ones every fingerprint names its 65
-    neighbours at distance <= 1; two fingerprints are within 2 bits exactly when they name one neighbour in common, so
-    linking each to the smallest that names the same neighbour finds all components without forming all pairs.
+    A fingerprint lies in one bucket for each start of a chain. Every bucket is dealt to ceil(size / cell) cells and each pair of cells
+    meets in a task of its own, so a crowded bucket is spread and no task holds it whole. A fingerprint has at most 2080 links.
     """
-    parts = prints.select("fp", F.posexplode(F.array(*[_segment(F.col("fp"), i) for i in range(3)])).alias("i", "key"))
-    sizes = parts.groupBy("i", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = checkpointed(parts.join(sizes, ["i", "key"]))
-    small = parts.filter(F.col("n") <= pairs_up_to)
-    x, y = small.select("i", "key", F.col("fp").alias("a")), small.select(F.col("i").alias("i2"), F.col("key").alias("key2"), F.col("fp").alias("b"))
-    pairs = x.join(y, (x["i"] == y["i2"]) & (x["key"] == y["key2"]) & (x["a"] < y["b"]) & _in_ring(x["a"], y["b"], x["i"]))
-    pairs = pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BUDGET).select("a", "b")
-    crowded = parts.filter(F.col("n") > pairs_up_to).select("fp").distinct()
-    around = F.concat(F.array(F.col("fp")), F.array(*[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")) for i in range(BITS)]))
-    named = crowded.select("fp", F.explode(around).alias("near"))
-    hubs = named.groupBy("near").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).filter("first <> last").select("near", "first")
-    stars = named.join(hubs, "near").filter((F.col("fp") != F.col("first")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("first"))) <= BUDGET))
-    return pairs.union(stars.select(F.col("first").alias("a"), F.col("fp").alias("b"))).distinct()
+    keyed = prints.select("fp", F.explode(F.array(*[_key(F.col("fp"), i) for i in range(len(SEGMENTS))])).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / cell).cast("int").alias("cells"))
+    rows = keyed.join(sizes, "key").withColumn("cell", F.pmod(F.xxhash64("fp", "key"), F.col("cells")).cast("int"))
+    rows = checkpointed(rows)
+    x = rows.select("key", F.col("cell").alias("c"), F.explode(F.sequence("cell", F.col("cells") - 1)).alias("d"), F.col("fp").alias("a"))
+    y = rows.select(F.col("key").alias("_k"), F.explode(F.sequence(F.lit(0), "cell")).alias("_c"), F.col("cell").alias("_d"), F.col("fp").alias("b"))
+    once = (F.col("c") < F.col("d")) | (F.col("a") < F.col("b"))
+    start = F.pmod(F.col("key"), F.lit(len(SEGMENTS)))
+    met = x.join(y, (x["key"] == y["_k"]) & (F.col("c") == F.col("_c")) & (F.col("d") == F.col("_d")) & once & _in_chain(F.col("a"), F.col("b"), start))
+    near = met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BUDGET)
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def classes(rows: DataFrame) -> DataFrame:

@@ -192,8 +192,8 @@ def test_simhash_brute(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("pairs_up_to", [48, 3, 0])
-def test_links_brute(spark, pairs_up_to):
+@pytest.mark.parametrize("cell", [1000, 20, 3])
+def test_links_brute(spark, cell):
     r = random.Random(9)
     centre = [r.getrandbits(64) for _ in range(12)]
     fps = set(centre)
@@ -205,7 +205,7 @@ def test_links_brute(spark, pairs_up_to):
             fps.add(x)
     want = brute_components(sorted(fps), lambda a, b: (a ^ b).bit_count() <= 2)
     signed = {f: f - 2**64 if f >> 63 else f for f in fps}
-    edges = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in signed.values()], "fp long"), pairs_up_to).collect()
+    edges = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in signed.values()], "fp long"), cell).collect()
     unsigned = {v: k for k, v in signed.items()}
     assert all((unsigned[e["a"]] ^ unsigned[e["b"]]).bit_count() <= 2 for e in edges)
     linked = {(unsigned[e["a"]], unsigned[e["b"]]) for e in edges}
