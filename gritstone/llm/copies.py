@@ -1,36 +1,39 @@
 """Near copies by SimHash and pigeonring at a set similarity, for stages that keep one document of each group.
 
-The fingerprint is that of simhash.py over five-word shingles. At a similarity of 0.8 two fingerprints differ in some ten of 64
-bits, too many for segments to be equal by force, so candidates share a band of minhashes; the ring of eight segments
-then prunes them (chains whose cumulative differences stay within the proportional budgets of BUDGET bits), the
-full Hamming check follows, and last the similarity of the shingle sets: bottom-256 sketches decide for sets that fit in them and
-discard what is far below; the whole sets decide the rest.
+The fingerprint is a SimHash of 256 bits over the distinct five-word shingles. At a similarity of 0.8 two of them differ in some 39 bits,
+so no segment need be equal: texts meet through bands of minhashes. Pairs that met must keep a chain on the ring of eight
+segments within the proportional budgets of BUDGET bits, then pass the full Hamming check; the whole shingle sets decide.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import checkpointed, releasing
 from .components import components
+from .simhash import attach
 
 SHINGLE, SIMILARITY = 5, 0.8
-SKETCH, BUDGET, PARTS = 256, 20, 8
-#: Six standard errors of a sketch's similarity at 0.8; pairs that seem less similar by more are discarded unseen.
-MARGIN = 0.15
+#: Words of 64 bits in a fingerprint, segments on its ring, and the bits two similar texts may differ in: 38 + 4.4 standard errors.
+LANES, PARTS, BUDGET = 4, 8, 64
 #: (minhashes in a band, bands); two texts of similarity 0.8 share some band with 99.6 %.
 BANDS = (5, 14)
+#: Texts, and shingles, in a cell: a bucket is dealt to as many cells as it needs, and each cell meets each.
+CELL, CELL_SHINGLES = 500, 1 << 20
+#: Pairs of one text that a task takes when stars are verified.
+SPREAD = 1000
 _RNG = np.random.default_rng(0)
 _A = _RNG.integers(1, 2**63, (BANDS[0] * BANDS[1], 1), dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 2**63, (BANDS[0] * BANDS[1], 1), dtype=np.uint64)
-#: A larger bucket is dealt to cells of about so many texts, and each cell is compared with each.
-CELL = 500
+_PRINT = [f"f{i}" for i in range(LANES)]
+_BAND = [f"b{i}" for i in range(BANDS[1])]
 
 
 def _shingles(text: str | None) -> np.ndarray:
@@ -48,18 +51,25 @@ def _shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts[:n].tolist(), ends[min(SHINGLE, len(words)) - 1 :].tolist())), np.uint64, n))
 
 
-def _majority(hashes: np.ndarray) -> int:
-    ones = np.zeros(64, np.int64)
-    packed = hashes.view(np.uint8).reshape(-1, 8)
-    for at in range(0, len(hashes), 1 << 15):
-        ones += np.unpackbits(packed[at : at + (1 << 15)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
+def _print(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint's words: a bit is 1 if set in over half of the shingles' hashes, each widened to 256 bits."""
+    ones = np.zeros(64 * LANES, np.int64)
+    for at in range(0, len(hashes), 1 << 12):
+        part = hashes[at : at + (1 << 12)]
+        wide = np.empty((len(part), LANES), np.uint64)
+        for i in range(LANES):
+            z = part + np.uint64(i * 0x9E3779B97F4A7C15 % 2**64)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            wide[:, i] = z ^ (z >> np.uint64(31))
+        ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)
 
 
 def _band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band from the least values of all the hashes; zeros without any."""
+    """A key for each band, different from band to band, from the least values of all the hashes; equal ones without any."""
     width, bands = BANDS
-    mixed = np.zeros(bands, np.uint64)
+    mixed = np.arange(bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     if len(hashes):
         low = np.full(width * bands, 2**64 - 1, np.uint64)
         for at in range(0, len(hashes), 256):
@@ -71,160 +81,241 @@ def _band_keys(hashes: np.ndarray) -> np.ndarray:
     return mixed
 
 
-def with_sketch(docs: DataFrame) -> DataFrame:
-    """docs plus _same (digest of the shingle set), _fp (fingerprint) and _sketch (the bands' keys, then the smallest hashes, 32 bits each)."""
-    at, names = docs.columns.index("text"), [*docs.columns, "_same", "_fp", "_sketch"]
+def _name(hashes: np.ndarray) -> tuple[int, int]:
+    digest = hashlib.md5(hashes.tobytes()).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def sketched(docs: DataFrame) -> DataFrame:
+    """(doc_id, id, id2, size, f0.., b0..) of docs (doc_id, text): the shingle set's name, its size, fingerprint and band keys."""
+    columns = ["doc_id", "id", "id2", "size", *_PRINT, *_BAND]
 
     def run(batches):
         for batch in batches:
-            same, prints, sketches = [], [], []
-            for text in batch.column(at):
+            out = np.zeros((batch.num_rows, 3 + LANES + BANDS[1]), np.int64)
+            for i, text in enumerate(batch.column(1)):
                 hashes = _shingles(text.as_py())
-                same.append(hashlib.md5(hashes.tobytes()).digest())
-                prints.append(_majority(hashes) if len(hashes) else 0)
-                sketches.append(_band_keys(hashes).astype("<u8").tobytes() + (hashes[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(same, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sketches, pa.binary())], names)
-
-    return docs.mapInArrow(releasing(run), StructType([*docs.schema.fields, StructField("_same", BinaryType()), StructField("_fp", LongType()), StructField("_sketch", BinaryType())]))
+                out[i, :2], out[i, 2] = _name(hashes), len(hashes)
+                out[i, 3:] = np.concatenate((_print(hashes), _band_keys(hashes))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[:, j]) for j in range(out.shape[1])]], columns)
 
+    return docs.mapInArrow(releasing(run), ", ".join(f"{c} long" for c in columns))
 
-def _banded(texts: DataFrame) -> DataFrame:
-    """(band, key, id, fp) rows of texts (same, least, fp, sketch); id = (least doc_id, digest)."""
-    bands = BANDS[1]
 
-    def run(batches):
-        for batch in batches:
-            keys = np.zeros((batch.num_rows, bands), np.int64)
-            for i, sketch in enumerate(batch.column(3)):
-                keys[i] = np.frombuffer(sketch.as_buffer(), "<i8", bands)
-            repeat = pa.array(np.repeat(np.arange(batch.num_rows), bands))
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)), pa.array(keys.ravel()), *[batch.column(i).take(repeat) for i in (0, 1, 2)]], ["band", "key", "same", "least", "fp"])
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(id, id2, least, n, size, f0.., b0..): one row for each shingle set in docs (doc_id, text)."""
+    first = [F.first(c).alias(c) for c in ["size", *_PRINT, *_BAND]]
+    return sketched(docs).groupBy("id", "id2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *first)
 
-    rows = texts.select("same", "least", "fp", "sketch").mapInArrow(releasing(run), "band int, key long, same binary, least long, fp long")
-    return rows.select("band", "key", F.struct("least", "same").alias("id"), "fp")
 
-
-def in_ring(x: Column, y: Column) -> Column:
-    """Whether a chain of consecutive segments keeps within the proportional budgets, and the whole within BUDGET."""
-    width = 64 // PARTS
+def in_chain(x: list[Column], y: list[Column]) -> Column:
+    """Whether some chain of consecutive segments keeps within the proportional budgets, at every length up to the whole ring."""
+    per, width = PARTS // LANES, 64 * LANES // PARTS
     mask = F.lit((1 << width) - 1)
-    d = [F.bit_count(F.shiftrightunsigned(x.bitwiseXOR(y), i * width).bitwiseAND(mask)) for i in range(PARTS)]
-    chains = None
+    d = F.array(*[F.bit_count(F.shiftrightunsigned(x[i // per].bitwiseXOR(y[i // per]), i % per * width).bitwiseAND(mask)) for i in range(PARTS)])
+    ends = F.array(*[F.lit(i) for i in range(2 * PARTS)])
+    # one running total over the ring gone round twice; a chain from s is total[s + length] - total[s]
+    totals = F.aggregate(ends, F.array(F.lit(0)), lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + F.get(d, i % PARTS))))
+    starts, lengths = F.array(*[F.lit(i) for i in range(PARTS)]), F.array(*[F.lit(i + 1) for i in range(PARTS)])
+    return F.exists(F.transform(F.array(totals), lambda t: F.exists(starts, lambda s: F.forall(lengths, lambda k: (F.get(t, s + k) - F.get(t, s)) * PARTS <= k * BUDGET))), lambda found: found)
+
+
+def chains(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """in_chain for every row of x against every row of y (fingerprints as rows of words), as a matrix; ends with the full Hamming check."""
+    d = np.bitwise_count(x.view("<u4")[:, None, :] ^ y.view("<u4")[None, :, :]).astype(np.int16)
+    totals = np.concatenate((np.zeros((*d.shape[:2], 1), np.int16), np.cumsum(np.concatenate((d, d), axis=2), axis=2, dtype=np.int16)), axis=2)
+    some = np.zeros(d.shape[:2], bool)
     for start in range(PARTS):
-        total, within = F.lit(0), F.lit(True)
+        within = ~some
         for length in range(1, PARTS + 1):
-            total = total + d[(start + length - 1) % PARTS]
-            within = within & (total <= BUDGET * length // PARTS)
-        chains = within if chains is None else chains | within
-    return chains & (F.bit_count(x.bitwiseXOR(y)) <= BUDGET)
+            within &= (totals[:, :, start + length] - totals[:, :, start]) * PARTS <= BUDGET * length
+        some |= within
+    return some & (totals[:, :, PARTS] <= BUDGET)
+
 
+def shingle_sets(docs: DataFrame, texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, hashes): the whole sets of the texts named in ids (id), from docs (doc_id, text); 32 bits of every hash, ascending.
 
-def _whole(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(same, hashes) with all shingle hashes of the wanted texts' ids (id), from docs (doc_id, text)."""
+    Two shingles of one pair share 32 bits with n * m / 2^32: some 0.00003 shingles for two texts of 330 words.
+    """
+    wanted = texts.join(ids.distinct(), "id", "left_semi").select("least", "id")
+    rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["least"])).select("id", "text")
 
     def run(batches):
         for batch in batches:
-            for text in batch.column(0):
+            ids, sets = [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 hashes = _shingles(text.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(hashes.tobytes()).digest()]), pa.array([hashes.tobytes()])], ["same", "hashes"])
+                if _name(hashes)[0] == i:  # rows may share a doc_id
+                    ids.append(i)
+                    sets.append(np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "hashes"])
 
-    ids = wanted.select(F.col("id.least").alias("_l"), F.col("id.same").alias("_s"))
-    rows = docs.join(ids.select("_l").distinct(), docs["doc_id"].eqNullSafe(F.col("_l")), "left_semi").select("text")
-    sets = rows.mapInArrow(releasing(run), "same binary, hashes binary")
-    return sets.join(ids, sets["same"] == F.col("_s"), "left_semi").groupBy("same").agg(F.first("hashes").alias("hashes"))
+    return rows.mapInArrow(releasing(run), "id long, hashes binary").groupBy("id").agg(F.first("hashes").alias("hashes"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, docs: DataFrame | None) -> DataFrame:
-    """The pairs (a, b) of ids whose shingle sets are as similar as asked for.
+def _similar(u: np.ndarray, v: np.ndarray, similarity: float) -> bool:
+    shared = len(np.intersect1d(u, v, assume_unique=True))
+    return shared >= similarity * (len(u) + len(v) - shared)
 
-    Sketches that hold whole sets decide; others only discard pairs MARGIN below, and the whole sets of the texts in docs (doc_id, text)
-    decide the rest. Without docs the sketches decide all.
-    """
-    sketch = texts.select(F.struct("least", "same").alias("_id"), "sketch")
-    both = pairs.select("a", "b").distinct().join(sketch.select(F.col("_id").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("_id").alias("b"), F.col("sketch").alias("y")), "b")
 
-    floor = similarity if docs is None else similarity - MARGIN
+def _stars(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's first text and each other, once, that pass sizes, chains and the Hamming check."""
+    pairs = checkpointed(rows.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    prints = texts.select("id", "size", *_PRINT)
+    many = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    centres = many.join(prints.withColumnRenamed("id", "a"), "a").select("a", "n", F.col("size").alias("_size"), *[F.col(c).alias(f"_{c}") for c in _PRINT])
+    met = attach(pairs, centres, "a").join(prints.withColumnRenamed("id", "b"), "b")
+    met = met.filter((F.least("size", "_size") >= SIMILARITY * F.greatest("size", "_size")) & in_chain([F.col(c) for c in _PRINT], [F.col(f"_{c}") for c in _PRINT]))
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in _PRINT[1:]), F.bit_count(F.col(_PRINT[0]).bitwiseXOR(F.col(f"_{_PRINT[0]}"))))
+    return met.filter(apart <= BUDGET).select("a", "b")
 
-    def estimate(batches):
-        for batch in batches:
-            keep, sure = [], []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                u, v = (np.frombuffer(z.as_buffer(), "<u4", offset=8 * BANDS[1]) for z in (x, y))
-                every = np.union1d(u, v)
-                sure.append(len(u) < SKETCH and len(v) < SKETCH)
-                if not sure[-1]:
-                    every = every[:SKETCH]
-                shared = np.intersect1d(np.intersect1d(u, v), every)
-                keep.append(len(shared) >= (similarity if sure[-1] else floor) * len(every))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sure, pa.bool_())], ["a", "b", "sure"]).filter(pa.array(keep, pa.bool_()))
-
-    ids = both.select("a", "b").schema
-    near = both.select("a", "b", "x", "y").mapInArrow(releasing(estimate), StructType([*ids.fields, StructField("sure", BooleanType())]))
-    if docs is None:
-        return near.select("a", "b")
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets are as similar as asked for. A text in many pairs as a is dealt over tasks by a salt."""
+    pairs = checkpointed(pairs)
+    many = checkpointed(pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / SPREAD).cast("int")))
+    salted = attach(pairs, many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    x = sets.join(many, sets["id"] == many["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hashes").alias("x"))
+    both = salted.join(x, ["a", "salt"]).select("a", "b", "x").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
 
     def decide(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(shared >= similarity * (len(u) + len(v) - shared))
+            keep = [_similar(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4"), similarity) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    near = checkpointed(near)
-    unsure = near.filter("NOT sure").select("a", "b")
-    sets = checkpointed(_whole(docs, unsure.select(F.col("a").alias("id")).union(unsure.select("b")).distinct()))
-    both = unsure.join(sets.select(F.col("same").alias("_s"), F.col("hashes").alias("x")), F.col("a.same") == F.col("_s")).drop("_s").join(sets.select(F.col("same").alias("_s"), F.col("hashes").alias("y")), F.col("b.same") == F.col("_s"))
-    return near.filter("sure").select("a", "b").union(both.select("a", "b", "x", "y").mapInArrow(releasing(decide), ids))
+    return both.mapInArrow(releasing(decide), "a long, b long")
 
 
-def similar_links(texts: DataFrame, similarity: float = SIMILARITY, cell: int = CELL, docs: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) between ids of distinct texts (same, least, fp, sketch); docs (doc_id, text) has the texts.
+def block_links(ids: list[int], roots: np.ndarray, left: np.ndarray, right: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between texts of different roots, left rows against right rows.
 
-    Every text of a bucket is compared with the bucket's first. Of a bucket whose texts are not all in one group by then, every
-    pair of texts of different groups is compared. So the groups are those that all pairs of all buckets would make; a large
-    bucket is dealt to cells, each compared with each, so that no task holds it whole.
+    Sizes, chains and the Hamming check choose the pairs; whole sets decide them, one pair at a time where they are few, else
+    by a product of the texts' membership rows.
+    """
+    sizes = np.array([len(s) for s in sets])
+    near = chains(prints[left], prints[right]) & (roots[left][:, None] != roots[right][None, :])
+    near &= np.minimum(sizes[left][:, None], sizes[right][None, :]) >= similarity * np.maximum(sizes[left][:, None], sizes[right][None, :])
+    i, j = np.nonzero(near)
+    i, j = left[i], right[j]
+    once = i != j
+    i, j = i[once], j[once]
+    if len(i) > 4 * len(ids):
+        used = np.unique(np.concatenate((i, j)))
+        place = np.zeros(len(ids), np.int64)
+        place[used] = np.arange(len(used))
+        owner = np.repeat(np.arange(len(used)), sizes[used])
+        held, column, often = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True, return_counts=True)
+        again = often > 1
+        renamed = np.cumsum(again) - 1
+        owner, column = owner[again[column]], renamed[column[again[column]]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        shared = np.zeros((len(used), len(used)), np.float32)
+        step = max(256, (8 << 20) // len(used))
+        for first in range(0, int(again.sum()), step):
+            lo, hi = np.searchsorted(column, (first, first + step))
+            rows = np.zeros((len(used), step), np.float32)
+            rows[owner[lo:hi], column[lo:hi] - first] = 1
+            shared += rows @ rows.T
+        both = shared[place[i], place[j]]
+        sure = both >= similarity * (sizes[i] + sizes[j] - both)
+    else:
+        sure = np.fromiter((_similar(sets[a], sets[b], similarity) for a, b in zip(i.tolist(), j.tolist())), bool, len(i))
+    parent: dict = {}
+
+    def find(v):
+        while parent.get(v, v) != v:
+            v = parent[v]
+        return v
+
+    links = []
+    for a, b in zip(i[sure].tolist(), j[sure].tolist()):
+        p, q = find(roots[a]), find(roots[b])
+        if p != q:
+            parent[q] = p
+            links.append((ids[a], ids[b]))
+    return links
+
+
+def _blocks(rows: DataFrame, texts: DataFrame, sets: DataFrame, similarity: float, cell: int, cell_shingles: int) -> DataFrame:
+    """Links within buckets whose texts (rows: key, id, n, root) have different roots: every pair of such texts is looked at.
+
+    A bucket is dealt to cells, and each pair of cells is one block, compared in one task; the work grows with the square of a
+    bucket, its memory does not. A block gives at most one link for each of its texts.
+    """
+    sized = rows.join(texts.select("id", "size", *_PRINT), "id")
+    mixed = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("_size"), F.min("root").alias("_r"), F.max("root").alias("_s")).filter("_r <> _s")
+    mixed = checkpointed(mixed.select("key", "n", F.ceil(F.greatest(F.col("n") / cell, F.col("_size") / cell_shingles)).cast("int").alias("cells")))
+    members = attach(rows.select("key", "id", "root"), mixed, "key").join(texts.select("id", *_PRINT), "id").join(sets, "id")
+    members = members.withColumn("cell", F.pmod(F.xxhash64("id", "key"), F.col("cells")).cast("int"))
+    other = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    blocks = other.select("key", F.least("cell", "other").alias("c"), F.greatest("cell", "other").alias("d"), "cell", "id", "root", *_PRINT, "hashes")
+
+    def compare(batches):
+        def rows():
+            for batch in batches:
+                columns = [batch.column(k).to_pylist() for k in range(batch.num_columns - 1)]
+                for k, values in enumerate(zip(*columns)):
+                    yield values, np.frombuffer(batch.column(batch.num_columns - 1)[k].as_buffer(), "<u4")
+
+        for (_, c, d), block in itertools.groupby(rows(), key=lambda r: r[0][:3]):
+            block = list(block)
+            cells = np.array([r[0][3] for r in block])
+            prints = np.array([r[0][6:] for r in block], np.int64).view(np.uint64)
+            left, right = np.flatnonzero(cells == c), np.flatnonzero(cells == d)
+            links = block_links([r[0][4] for r in block], np.array([r[0][5] for r in block]), left, right, prints, [r[1] for r in block], similarity)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return blocks.repartition("key", "c", "d").sortWithinPartitions("key", "c", "d").mapInArrow(releasing(compare), "a long, b long")
+
+
+def similar_roots(docs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, cell: int = CELL, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """(node, root) of every text of `texts` that is linked; docs (doc_id, text) has the texts.
+
+    Every text of a bucket is compared with the bucket's first; of a bucket whose texts are not all in one group by then, all
+    texts of different groups are. So the groups are those that all pairs of all buckets would make.
     """
-    rows = _banded(texts)
-    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp")).alias("first")).filter("n > 1")
-    rows = checkpointed(rows.join(sizes, ["band", "key"]).filter(F.col("id") != F.col("first.id")))
-    stars = rows.filter(in_ring(F.col("fp"), F.col("first.fp"))).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
-    links = checkpointed(_verified(stars, texts, similarity, docs))
-    rows = rows.filter("n > 2").join(components(links), F.col("id") == F.col("node"), "left").select("band", "key", "id", "fp", F.coalesce("root", "id").alias("root"))
-    mixed = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("root").alias("_r"), F.max("root").alias("_s")).filter("_r <> _s").select("band", "key", F.ceil(F.col("n") / cell).cast("int").alias("cells"))
-    rows = checkpointed(rows.join(mixed, ["band", "key"]).withColumn("cell", F.pmod(F.xxhash64("id", "band"), F.col("cells")).cast("int")))
-    x = rows.select("band", "key", F.col("cell").alias("c"), F.explode(F.sequence("cell", F.col("cells") - 1)).alias("d"), F.col("id").alias("a"), F.col("fp").alias("p"), F.col("root").alias("r"))
-    y = rows.select(F.col("band").alias("_b"), F.col("key").alias("_k"), F.explode(F.sequence(F.lit(0), "cell")).alias("_c"), F.col("cell").alias("_d"), F.col("id").alias("b"), F.col("fp").alias("q"), F.col("root").alias("s"))
-    once = (F.col("c") < F.col("d")) | (F.col("a") < F.col("b"))
-    met = x.join(y, (F.col("band") == F.col("_b")) & (F.col("key") == F.col("_k")) & (F.col("c") == F.col("_c")) & (F.col("d") == F.col("_d")) & once & (F.col("r") != F.col("s")) & in_ring(F.col("p"), F.col("q")))
-    return links.union(_verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, similarity, docs))
-
-
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    keys = texts.select("id", F.explode(F.array(*_BAND)).alias("key"))
+    buckets = checkpointed(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").withColumn("many", F.col("n")))
+    rows = checkpointed(attach(keys, buckets, "key"))
+    sets = checkpointed(shingle_sets(docs, texts, rows.select("id")))
+    stars = components(_verified(_stars(rows, texts), sets, similarity))
+    rooted = rows.filter("many > 2").join(stars, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    rooted = checkpointed(rooted)
+    links = _blocks(rooted, texts, sets, similarity, cell, cell_shingles)
+    return components(stars.select(F.col("root").alias("a"), F.col("node").alias("b")).union(links))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """docs without near copies: of each group linked by the similarity one row with its smallest doc_id stays.
 
     Texts with the same shingle set are copies. Null texts and texts without words count as equal. Rows that share a
     doc_id but not a group each stand for their own; rows without doc_id stay, nothing names them.
     """
-    plain_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = with_sketch(plain_docs).select("doc_id", F.col("_same").alias("same"), F.col("_fp").alias("fp"), F.col("_sketch").alias("sketch"))
-    texts = checkpointed(sketched.groupBy("same").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
-    roots = components(similar_links(texts, similarity, docs=plain_docs))
-    named = texts.select("same", "n", F.struct("least", "same").alias("id")).join(roots, F.col("id") == F.col("node"), "left").select("same", "n", F.coalesce("root", "id").alias("root"), "id")
-    named = checkpointed(named)
-    least = named.groupBy("root").agg(F.min("id.least").alias("component_id"))
-    classes = checkpointed(named.join(least, "root").select("same", "n", "component_id", F.col("id.least").alias("own"), F.col("root.same").alias("group")))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = checkpointed(distinct_texts(plain))
+    roots = similar_roots(plain, texts, similarity, cell)
+    named = checkpointed(texts.select("id", "least").join(roots, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root")))
+    groups = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     # a group's row is among the copies of a text whose smallest doc_id is the group's
-    firsts = classes.filter("own = component_id").select("own", "group", "same").withColumnRenamed("own", "_id")
-    one = checkpointed(firsts.groupBy("_id").agg(F.count("*").alias("_groups")))
-    repeated = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_r")).agg(F.count("*").alias("_rows")).filter("_rows > 1")
-    odd = checkpointed(one.join(repeated.select("_r"), F.col("_id") == F.col("_r"), "left_semi").select("_id"))
+    firsts = checkpointed(attach(named, checkpointed(groups), "root").filter("least = component_id").select(F.col("least").alias("_id"), F.col("root").alias("_group"), F.col("id").alias("_text")))
     nameless = docs.filter("doc_id IS NULL")
+    rows = docs.join(firsts.select("_id").distinct(), docs["doc_id"] == F.col("_id"), "left_semi")
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")).filter("_rows > 1")
+    odd = checkpointed(repeated.select("_id").join(firsts.select("_id"), "_id", "left_semi"))
     if odd.isEmpty():
-        return docs.join(one.select("_id"), docs["doc_id"] == F.col("_id"), "left_semi").unionByName(nameless)
-    plain = one.join(odd.withColumnRenamed("_id", "_o"), F.col("_id") == F.col("_o"), "left_anti").select("_id")
-    once = docs.join(plain, docs["doc_id"] == F.col("_id"), "left_semi")
-    again = with_sketch(docs.join(odd, docs["doc_id"] == F.col("_id"), "left_semi")).drop("_fp", "_sketch")
-    again = again.join(firsts.select(F.col("_id").alias("_i"), F.col("same").alias("_w"), "group"), (F.col("_same") == F.col("_w")) & (F.col("doc_id") == F.col("_i"))).dropDuplicates(["doc_id", "group"])
+        return rows.unionByName(nameless)
+    once = rows.join(odd, rows["doc_id"] == odd["_id"], "left_anti")
+    # of rows that share a doc_id, one for each group that it stands for
+    names, schema = [*docs.columns, "_text"], StructType([*docs.schema.fields, StructField("_text", LongType())])
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_name(_shingles(t.as_py()))[0] for t in batch.column(at)], pa.int64())], names)
+
+    again = rows.join(odd, rows["doc_id"] == odd["_id"], "left_semi").select(*docs.columns).mapInArrow(releasing(run), schema)
+    again = again.join(firsts.withColumnRenamed("_text", "_of"), (F.col("_text") == F.col("_of")) & (F.col("doc_id") == F.col("_id"))).dropDuplicates(["doc_id", "_group"])
     return once.unionByName(again.select(*docs.columns)).unionByName(nameless)
