@@ -1,10 +1,10 @@
 """Embedding near-dedup with robust-pruned graphs.
 
-Distinct vectors go to overlapping cluster shards; each shard builds a flat graph whose edges are robust-pruned; a vector's adjacency
-lists from all its shards are united. Every vector then searches the graphs of its shards from their medoids with a greedy
-beam that keeps expanding while it finds vectors in range. Pairs found are verified in double precision, and an audit
-measures recall against brute force over a stated sample of queries; below the level asked for, the shards'
-overlap is widened and the search repeated.
+Distinct vectors are dealt to regions around centres fitted on samples; every vector has one home region and visits the nearest others. Inside
+a region, overlapping cluster shards each give robust-pruned adjacency lists; their union is one flat graph, searched from the
+shards' medoids by a beam that keeps expanding while it finds vectors in range. Pairs found are verified in double precision and
+counted once, in the one region that both vectors' homes and visits name. An audit measures recall against brute force; below
+the level asked for, the regions' overlap is widened, and at last every block is compared by plain products, which is exact.
 """
 
 from __future__ import annotations
@@ -15,45 +15,57 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import checkpointed, table
+from .common import checkpointed, releasing, table
 from .components import components
 from .simhash import attach
 
-COSINE = 0.9
-#: Vectors per shard aimed at; a cluster beyond twice that is dealt to several shards by a hash, searched against one another.
-SHARD = 1000
-#: Rows, by hash, that the cluster centres are fitted on; and queries of the recall audit.
-SAMPLE, AUDIT = 20_000, 256
-DEGREE, CANDIDATES, ALPHA, BEAM = 24, 48, 1.2, 32
+COSINE, RECALL = 0.9, 0.95
+#: Home vectors of a region aimed at; vectors (homes and visitors) in a part: a region beyond that is dealt to parts, each meeting each.
+REGION, PART = 2000, 8192
+#: Vectors, by hash, that the centres of one region's split are fitted on; most centres of one split; rows that a task assigns.
+SAMPLE, SPLIT, CHUNK = 20_000, 500, 20_000
+#: Queries of the recall audit, of those whose vec_id is divisible by 50, by hash.
+AUDIT = 1024
+#: Vectors of a cluster shard inside a region, shards of a vector, graph degree, candidates for pruning, its slack, beam, queries at a time.
+SHARD, SHARDS, DEGREE, CANDIDATES, ALPHA, BEAM, ASK = 400, 2, 16, 32, 1.2, 16, 512
 
 
 def keyed(vectors: DataFrame) -> DataFrame:
-    """(vec_id, key, embedding): key names equal vectors; null for vectors that link with nothing."""
+    """(vec_id, id, id2, embedding): id and id2 name equal vectors; null for vectors that link with nothing. Floats stay floats, all else is double."""
+    inner = getattr(vectors.schema["embedding"].dataType, "elementType", None)
+    kind, dtype = ("float", np.float32) if isinstance(inner, FloatType) else ("double", np.float64)
 
     def run(batches):
         for batch in batches:
-            keys = []
+            ids = [[], []]
             for v in batch.column(1):
                 x = v.as_py()
-                x = None if x is None or None in x else np.array(x, np.float32) + np.float32(0)
+                x = None if x is None or None in x else np.array(x, dtype) + dtype(0)
                 good = x is not None and len(x) and np.isfinite(x).all() and x.any()
-                keys.append(hashlib.md5(x.tobytes()).digest() if good else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(1)], ["vec_id", "key", "embedding"])
+                digest = hashlib.md5(x.tobytes()).digest() if good else None
+                for k in (0, 1):
+                    ids[k].append(int.from_bytes(digest[8 * k : 8 * k + 8], "little", signed=True) if good else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids[0], pa.int64()), pa.array(ids[1], pa.int64()), batch.column(1)], ["vec_id", "id", "id2", "embedding"])
 
-    chosen = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    return chosen.mapInArrow(run, "vec_id long, key binary, embedding array<float>")
+    chosen = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
+    return chosen.mapInArrow(releasing(run), f"vec_id long, id long, id2 long, embedding array<{kind}>")
 
 
-def _matrix(column) -> np.ndarray:
-    """Unit rows in double precision of a list column without nulls."""
+def _plain(column) -> np.ndarray:
+    """Rows in double precision of a list column without nulls, each divided by its largest component so that no square overflows."""
     flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False)
     x = flat.reshape(len(column), -1).astype(np.float64)
+    return x / np.abs(x).max(axis=1, keepdims=True)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def centres(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """Spherical k-means on a bounded sample, from evenly spaced rows."""
+    """Spherical k-means on unit rows, from evenly spaced ones."""
     middle = sample[np.linspace(0, len(sample) - 1, min(k, len(sample))).astype(int)].copy()
     for _ in range(rounds):
         near = (sample @ middle.T).argmax(axis=1)
@@ -64,11 +76,17 @@ def centres(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return middle
 
 
-def build_graph(x: np.ndarray) -> list[np.ndarray]:
-    """Adjacency lists of a robust-pruned graph over unit vectors, reverse edges included, all reached from the medoid."""
+def _nearest(near: np.ndarray, overlap: int, margin: float) -> np.ndarray:
+    """Marks, per row of similarities, of the `overlap` largest and of all within margin of the largest."""
+    top = -np.sort(-near, axis=1)
+    return near >= np.minimum(top[:, 0] - margin, top[:, min(overlap, near.shape[1]) - 1])[:, None]
+
+
+def pruned_lists(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to) edges of a robust-pruned graph over unit rows, reverse edges included."""
     n = len(x)
     if n == 1:
-        return [np.zeros(0, np.int64)]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     near = x @ x.T
     np.fill_diagonal(near, -2)
     k = min(CANDIDATES, n - 1)
@@ -84,187 +102,317 @@ def build_graph(x: np.ndarray) -> list[np.ndarray]:
         alive &= ~(take[:, None] & (ALPHA * between <= far))
     a, j = np.nonzero(edges)
     b = picked[a, j]
-    pairs = np.unique(np.concatenate((a * n + b, b * n + a)))
-    lists = [part for part in np.split(pairs % n, np.searchsorted(pairs // n, np.arange(1, n)))]
-    return _reached(x, lists)
+    return np.concatenate((a, b)), np.concatenate((b, a))
 
 
-def range_search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, cosine: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vector) numbers in range found by greedy search from the medoid, all queries at once.
+def flat_graph(x: np.ndarray) -> dict:
+    """One graph over unit rows x: the union of the pruned lists of overlapping cluster shards, with the shards' medoids as entries.
 
-    Each round a query expands the best few unexpanded vectors of its beam, and every unexpanded vector in range, so the
-    search spreads as long as it finds more; a query ends when neither is left.
+    The medoids are joined in a chain, and every row that the first one does not reach gets an edge from it.
     """
-    n, q = len(x), len(queries)
-    counts = np.array([len(v) for v in lists])
-    firsts, flat = np.cumsum(counts) - counts, np.concatenate(lists) if counts.sum() else np.zeros(0, np.int64)
-    sim, expanded = np.full((q, n), -2.0), np.zeros((q, n), bool)
-    medoid = int((x @ x.mean(axis=0)).argmax())
-    sim[:, medoid] = queries @ x[medoid]
-    live, least = np.arange(q), cosine - 1e-9
-    while len(live):
-        s = sim[live]
-        open_ = np.where(expanded[live], -2.0, s)
-        kth = np.partition(s, n - beam, axis=1)[:, n - beam] if n > beam else np.full(len(live), -2.0)
-        few = np.partition(open_, n - 4, axis=1)[:, n - 4] if n > 4 else np.full(len(live), -2.0)
-        chosen = (open_ > -2) & ((open_ >= least) | ((open_ >= kth[:, None]) & (open_ >= few[:, None])))
-        who, at = np.nonzero(chosen)
-        if not len(who):
+    n = len(x)
+    middle = centres(x, max(1, -(-n // SHARD)), 4)
+    mine = _nearest(x @ middle.T, SHARDS, 0.0)
+    sources, targets, medoids = [], [], []
+    for s in range(len(middle)):
+        members = np.flatnonzero(mine[:, s])
+        if len(members):
+            medoids.append(int(members[(x[members] @ x[members].mean(axis=0)).argmax()]))
+            # a crowded shard is cut into runs of nearby rows, neighbours along the centre's similarity, so products stay small
+            members = members[np.argsort(-(x[members] @ middle[s]), kind="stable")]
+            for at in range(0, len(members), 4 * SHARD):
+                part = members[max(0, at - SHARD) : at + 4 * SHARD]
+                a, b = pruned_lists(x[part])
+                sources.append(part[a])
+                targets.append(part[b])
+    medoids = np.unique(medoids)
+    sources += [medoids[:-1], medoids[1:]]
+    targets += [medoids[1:], medoids[:-1]]
+
+    def lists(a, b):
+        code = np.unique(a * n + b)
+        return np.searchsorted(code // n, np.arange(n + 1)), code % n
+
+    a, b = np.concatenate(sources).astype(np.int64), np.concatenate(targets).astype(np.int64)
+    starts, flat = lists(a, b)
+    seen, front = np.zeros(n, bool), medoids[:1]
+    seen[front] = True
+    lost = np.zeros(0, np.int64)
+    while True:
+        while len(front):
+            front = np.unique(_spread(starts, flat, front)[1])
+            front = front[~seen[front]]
+            seen[front] = True
+        if seen.all():
             break
-        live_rows = live[who]
-        expanded[live_rows, at] = True
-        sizes = counts[at]
-        to = flat[np.repeat(firsts[at], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
-        code = np.unique(np.repeat(live_rows, sizes) * n + to)
-        code = code[sim.ravel()[code] == -2.0]
-        for part in np.array_split(code, max(1, len(code) // 100_000)):
-            sim.ravel()[part] = np.einsum("ij,ij->i", queries[part // n], x[part % n])
-        live = live[np.unique(who)]
-    return np.nonzero(sim >= least)
+        front = np.flatnonzero(~seen)[:1]
+        seen[front] = True
+        lost = np.append(lost, front)
+    if len(lost):
+        starts, flat = lists(np.append(a, np.full(len(lost), medoids[0])), np.append(b, lost))
+    return {"starts": starts, "flat": flat, "medoids": medoids}
 
 
-def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of rows in double precision."""
-    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+def _spread(starts: np.ndarray, flat: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position in nodes, neighbour) of all neighbours of nodes."""
+    sizes = starts[nodes + 1] - starts[nodes]
+    who = np.repeat(np.arange(len(nodes)), sizes)
+    return who, flat[np.repeat(starts[nodes], sizes) + np.arange(len(who)) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
 
 
-def _plain(column) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1).astype(np.float64)
-
-
-def found_links(distinct: DataFrame, n: int, cosine: float, overlap: int, margin: float, shard: int = SHARD) -> DataFrame:
-    """Pairs (a, b), a < b, of keys whose vectors (key, embedding; one length) have at least the cosine."""
-    k = max(1, min(-(-n // shard), SAMPLE // 10))
-    sample = distinct.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("embedding").toArrow()
-    middle = centres(_matrix(sample.column(0)), k)
+def range_search(graph: dict, x: np.ndarray, queries: np.ndarray, cosine: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) pairs in range, found greedily from the three medoids nearest to each query, all queries at once.
 
-    def assign(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            near = _matrix(batch.column(1)) @ middle.T
-            top = -np.sort(-near, axis=1)
-            bar = np.minimum(top[:, 0] - margin, top[:, min(overlap, len(middle)) - 1]) if len(middle) > 1 else top[:, 0]
-            row, at = np.nonzero(near >= bar[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], ["shard", "key", "embedding"])
-
-    members = checkpointed(distinct.select("key", "embedding").mapInArrow(assign, "shard int, key binary, embedding array<float>"))
-    # one row for each centre, of which there are at most SAMPLE / 10
-    parts = {r["shard"]: -(-r["n"] // (2 * shard)) for r in members.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    split = F.lit(1)
-    for s, p in parts.items():
-        if p > 1:
-            split = F.when(F.col("shard") == s, F.lit(p)).otherwise(split)
-    members = members.withColumn("parts", split).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-
-    def graph(group):
-        keys = group.column("key").to_pylist()
-        lists = build_graph(_matrix(group.column("embedding")))
-        return pa.table({"key": pa.array(keys, pa.binary()), "near": pa.array([[keys[j] for j in v.tolist()] for v in lists], pa.list_(pa.binary()))})
-
-    lists = members.groupBy("shard", "part").applyInArrow(graph, "key binary, near array<binary>")
-    united = checkpointed(lists.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
-    members = members.join(united, "key")
-    # parts (i, j), i <= j, of one cluster meet once: part i is searched, part j asks
-    spread = members.select("shard", "key", "embedding", "near", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    spread = spread.select("shard", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "key", "embedding", "near")
+    Each round a query expands the best unexpanded rows of its beam, and every row in range not yet expanded; it ends when
+    neither is left. Only the beams and the rows met are held, and marks of one bit's worth for the rows met.
+    """
+    n, q, least = len(x), len(queries), np.float32(cosine - 1e-5)
+    starts, flat, medoids = graph["starts"], graph["flat"], graph["medoids"]
+    entry = queries @ x[medoids].T
+    first = np.argsort(-entry, axis=1, kind="stable")[:, :3]
+    seen = np.zeros((q, n), bool)
+    rows, places = np.full((q, beam), -1), np.full((q, beam), -2.0, np.float32)
+    rows[:, : first.shape[1]], places[:, : first.shape[1]] = medoids[first], np.take_along_axis(entry, first, axis=1)
+    np.put_along_axis(seen, medoids[first], True, axis=1)
+    done = rows < 0
+    hit = np.nonzero(places >= least)
+    found = [(hit[0], rows[hit])]
+    fresh_q, fresh_v = hit[0], rows[hit]  # in range and met in the last round
+    while True:
+        # the best two unexpanded rows of each beam; rows in range are expanded by their own list, whether still in the beam or not
+        open_ = ~done
+        rank = np.cumsum(open_, axis=1)
+        who, at = np.nonzero(open_ & (rank <= 2))
+        done[who, at] = True
+        near = places[who, at] < least
+        ask, node = np.concatenate((who[near], fresh_q)), np.concatenate((rows[who, at][near], fresh_v))
+        if not len(ask):
+            if not (~done).any():
+                break
+            fresh_q, fresh_v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            continue
+        new_q, new_v, new_s = [], [], []
+        for cut in range(0, len(ask), 1 << 15):
+            k, to = _spread(starts, flat, node[cut : cut + (1 << 15)])
+            code = np.unique(ask[cut : cut + (1 << 15)][k] * n + to)
+            code = code[~seen.ravel()[code]]
+            seen.ravel()[code] = True
+            for part in np.array_split(code, max(1, len(code) >> 16)):
+                a, b = part // n, part % n
+                new_q.append(a)
+                new_v.append(b)
+                new_s.append(np.einsum("ij,ij->i", queries[a], x[b]))
+        a, b, s = np.concatenate(new_q), np.concatenate(new_v), np.concatenate(new_s)
+        close = s >= least
+        fresh_q, fresh_v = a[close], b[close]
+        found.append((fresh_q, fresh_v))
+        order = np.lexsort((-s, a))
+        a, b, s = a[order], b[order], s[order]
+        nth = np.arange(len(a)) - np.searchsorted(a, a)
+        kept = nth < beam
+        a, b, s, nth = a[kept], b[kept], s[kept], nth[kept]
+        changed, place = np.unique(a, return_inverse=True)
+        if len(changed):
+            more_v, more_s = np.full((len(changed), beam), -1), np.full((len(changed), beam), -2.0, np.float32)
+            more_v[place, nth], more_s[place, nth] = b, s
+            all_v, all_s = np.concatenate((rows[changed], more_v), axis=1), np.concatenate((places[changed], more_s), axis=1)
+            all_d = np.concatenate((done[changed], more_v < 0), axis=1)
+            best = np.argsort(-all_s, axis=1, kind="stable")[:, :beam]
+            rows[changed], places[changed], done[changed] = (np.take_along_axis(m, best, axis=1) for m in (all_v, all_s, all_d))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def block_links(raw: np.ndarray, held: np.ndarray, asking: np.ndarray, cosine: float, exact: bool) -> np.ndarray:
+    """Verified marks, held x asking, of the pairs of rows of raw with at least the cosine; found on the graph, or with exact by product."""
+    unit = _unit(raw)
+    near = np.zeros((len(held), len(asking)), bool)
+    x = unit[held].astype(np.float32)
+    graph = None if exact else flat_graph(x)
+    for at in range(0, len(asking), ASK):
+        q = unit[asking[at : at + ASK]].astype(np.float32)
+        if exact:
+            near[:, at : at + ASK] = x @ q.T >= np.float32(cosine - 1e-5)
+        else:
+            who, row = range_search(graph, x, q, cosine)
+            near[row, at + who] = True
+    if len(held) == len(asking) and (held == asking).all():
+        near |= near.T
+    a, b = np.nonzero(near)
+    for at in range(0, len(a), 1 << 16):
+        i, j = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+        near[i, j] = np.einsum("ij,ij->i", unit[held[i]], unit[asking[j]]) >= cosine
+    return near
+
+
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number reachable from each of n nodes over the links a, b."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def regions(distinct: DataFrame, n: int, overlap: int, margin: float, region: int = REGION) -> DataFrame:
+    """(region, home, id, embedding): every vector once with home true, and once for each other region that it visits.
+
+    Starts from one region of all and splits those with over twice `region` homes, each by centres fitted on a bounded sample of its
+    own, until none is left or a round makes no more of them. Tasks hold CHUNK rows and one region's centres.
+    """
+    kind = distinct.schema["embedding"].dataType.simpleString()
+    members = distinct.select(F.lit(0).cast("long").alias("region"), F.lit(True).alias("home"), "id", "embedding")
+    largest, schema = n + 1, f"region long, home boolean, id long, embedding {kind}"
+    for level in range(4):
+        sizes = checkpointed(members.groupBy("region").agg(F.count_if("home").alias("n"), F.count("*").alias("rows")).filter(F.col("n") > 2 * region))
+        most = sizes.agg(F.max("n")).first()[0]
+        if most is None or most > 0.9 * largest:
+            break
+        largest = most
+        sizes = sizes.withColumns({"salts": F.ceil(F.col("rows") / CHUNK).cast("int"), "parts": F.least(F.lit(SPLIT), F.ceil(F.col("n") / region)).cast("int")})
+        rows = attach(members, sizes, "region") if level else members.crossJoin(F.broadcast(sizes.select("rows", "salts", "parts")))  # one row
+        sample = rows.filter(F.col("home") & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(1 << 30) * F.lit(SAMPLE) / F.col("rows")))
+
+        def fit(group):
+            order = np.argsort(group.column("id").to_numpy())
+            middle = centres(_unit(_plain(group.column("embedding")))[order], int(group.column("parts")[0].as_py()))
+            return pa.table({"region": pa.array([group.column("region")[0].as_py()] * len(middle), pa.int64()), "centre": pa.array(middle.tolist(), pa.list_(pa.float64())), "salts": pa.array([group.column("salts")[0].as_py()] * len(middle), pa.int32())})
+
+        middles = checkpointed(sample.select("region", "id", "embedding", "parts", "salts").groupBy("region").applyInArrow(fit, "region long, centre array<double>, salts int"))
+        given = middles.select("region", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "centre")
+        salted = rows.select("region", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), "home", "id", "embedding")
+
+        def assign(left, right):
+            if not left.num_rows or not right.num_rows:
+                return left.select(["region", "home", "id", "embedding"])
+            middle = np.array(right.column("centre").to_pylist())
+            middle = middle[np.lexsort(middle.T[::-1])]
+            near = _unit(_plain(left.column("embedding"))) @ middle.T
+            row, at = np.nonzero(_nearest(near, overlap if level == 0 else 2, margin))
+            home = left.column("home").to_numpy()[row] & (near.argmax(axis=1)[row] == at)
+            base = left.column("region")[0].as_py() * (SPLIT + 1) + 1
+            taken = left.take(pa.array(row))
+            return pa.table({"region": pa.array(base + at, pa.int64()), "home": pa.array(home), "id": taken.column("id"), "embedding": taken.column("embedding")})
+
+        dealt = salted.groupBy("region", "salt").cogroup(given.groupBy("region", "salt")).applyInArrow(assign, schema)
+        rest = members.join(sizes.select("region"), "region", "left_anti") if level else None
+        members = checkpointed(dealt if rest is None else dealt.unionByName(rest.select(*dealt.columns)))
+    # a vector may come to a region by two ways
+    return members.groupBy("region", "id").agg(F.max("home").alias("home"), F.first("embedding").alias("embedding"))
+
+
+def found_links(distinct: DataFrame, n: int, cosine: float, overlap: int, margin: float, region: int = REGION, part: int = PART, exact: bool = False) -> DataFrame:
+    """(id, n, root) rows: how many vectors (copies counted) a block links to id, and the least id that id is joined to in that block.
+
+    A pair of homes A and B is counted in A if B's vector visits A, else in B; in the smaller of both if both visit. Pairs of visitors are
+    left to others. So every link is counted in one block, and blocks give rows for vectors, not for links.
+    """
+    if exact:
+        members = distinct.select(F.lit(0).cast("long").alias("region"), F.lit(True).alias("home"), "id", "embedding")
+    else:
+        members = regions(distinct, n, overlap, margin, region)
+    members = checkpointed(members.join(distinct.select("id", F.col("n").alias("mass")), "id"))
+    stays = members.groupBy("id").agg(F.max(F.when(F.col("home"), F.col("region"))).alias("home_region"), F.sort_array(F.collect_list("region")).alias("visits"))
+    sizes = checkpointed(members.groupBy("region").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / part).cast("int")))
+    placed = attach(members, sizes, "region").join(stays, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    spread = spread.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "home", "home_region", "visits", "mass", "embedding")
 
     def search(key, group):
-        i, j = key[1].as_py(), key[2].as_py()
-        raw, part = _plain(group.column("embedding")), group.column("part").to_numpy()
-        unit = raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
-        held, asking = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        none = pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+        here, i, j = (k.as_py() for k in key)
+        group = group.take(pa.array(np.argsort(group.column("id").to_numpy(), kind="stable")))
+        own, home, ids = (group.column(c).to_numpy() for c in ("own", "home", "id"))
+        held = np.flatnonzero(own == i)
+        asking = held if i == j else np.flatnonzero(own == j)
+        none = pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
         if not len(held) or not len(asking):
             return none
-        keys, near = group.column("key").to_pylist(), group.column("near").to_pylist()
-        at = {keys[v]: k for k, v in enumerate(held.tolist())}
-        lists = [np.array(sorted({at[o] for o in near[v] if o in at}), np.int64) for v in held.tolist()]
-        lists = _reached(unit[held], lists)
-        q, v = range_search(unit[held], lists, unit[asking], cosine)
-        a, b = asking[q], held[v]
-        good = (a != b) & ((i != j) | (a < b))
-        a, b = a[good], b[good]
-        sure = _exact(raw[a], raw[b]) >= cosine
-        pairs = [(min(keys[x], keys[y]), max(keys[x], keys[y])) for x, y in zip(a[sure].tolist(), b[sure].tolist())]
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())}) if pairs else none
-
-    return spread.groupBy("shard", "i", "j").applyInArrow(search, "a binary, b binary").distinct()
-
-
-def _reached(x: np.ndarray, lists: list[np.ndarray]) -> list[np.ndarray]:
-    """The lists with an edge from the medoid to every part of the graph that it does not reach."""
-    n = len(x)
-    medoid = int((x @ x.mean(axis=0)).argmax())
-    seen, extra = np.zeros(n, bool), []
-    for start in [medoid, *range(n)]:
-        if seen[start]:
-            continue
-        if start != medoid:
-            extra.append(start)
-        stack, seen[start] = [start], True
-        while stack:
-            fresh = [v for v in lists[stack.pop()].tolist() if not seen[v]]
-            seen[fresh] = True
-            stack += fresh
-    if extra:
-        lists[medoid] = np.union1d(lists[medoid], extra).astype(np.int64)
-    return lists
-
-
-def audit(distinct: DataFrame, links: DataFrame, cosine: float, queries: int = AUDIT) -> float:
-    """Share of the true links of a hash-chosen sample of queries, by brute force against all vectors, that links holds."""
-    sample = distinct.orderBy(F.xxhash64("key", F.lit("audit")), "key").limit(queries).select("key", "embedding").toArrow()
-    asked, x = sample.column(0).to_pylist(), _matrix(sample.column(1))
+        near = block_links(_plain(group.column("embedding")), held, asking, cosine, exact)
+        if i == j:
+            near = np.triu(near, 1)
+        # a pair of a home and a visitor whose home B comes before this region is B's, if the first visits B
+        x, y = np.nonzero(near)
+        a, b = held[x], asking[y]
+        mine = home[a] & home[b]
+        abroad = np.flatnonzero(home[a] != home[b])
+        if len(abroad):
+            visits, homes = group.column("visits").to_pylist(), group.column("home_region").to_numpy()
+            local, guest = np.where(home[a[abroad]], a[abroad], b[abroad]), np.where(home[a[abroad]], b[abroad], a[abroad])
+            mine[abroad] = [homes[g] > here or homes[g] not in visits[v] for v, g in zip(local.tolist(), guest.tolist())]
+        a, b = a[mine], b[mine]
+        if not len(a):
+            return none
+        mass = group.column("mass").to_numpy()
+        total = np.bincount(a, mass[b], len(ids)) + np.bincount(b, mass[a], len(ids))
+        root = _forest(len(ids), a, b)
+        some = np.flatnonzero(total > 0)
+        return pa.table({"id": pa.array(ids[some]), "n": pa.array(total[some].astype(np.int64)), "root": pa.array(ids[root[some]])})
+
+    return spread.groupBy("region", "i", "j").applyInArrow(search, "id long, n long, root long")
+
+
+def audit(distinct: DataFrame, found: DataFrame, cosine: float, queries: int = AUDIT) -> float | None:
+    """Share of the true links of the audit's queries that found (id, links) holds, by brute force against all vectors; None without any.
+
+    The queries are those vectors with a vec_id divisible by 50, at most `queries` of them by hash.
+    """
+    sample = distinct.filter("asked").orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(queries).select("id", "embedding", "n").toArrow()
+    if not sample.num_rows:
+        return None
+    asked, x = sample.column(0).to_pylist(), _unit(_plain(sample.column(1)))
 
     def run(batches):
+        total = np.zeros(len(asked))
         for batch in batches:
             if batch.num_rows:
-                row, at = np.nonzero(_matrix(batch.column(1)) @ x.T >= cosine)
-                keys = batch.column(0).to_pylist()
-                pairs = {(min(keys[r], asked[c]), max(keys[r], asked[c])) for r, c in zip(row.tolist(), at.tolist()) if keys[r] != asked[c]}
-                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["a", "b"])
+                total += batch.column(1).to_numpy() @ (_unit(_plain(batch.column(0))) @ x.T >= cosine)
+        yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array(total.astype(np.int64))], ["q", "m"])
 
-    true = checkpointed(distinct.select("key", "embedding").mapInArrow(run, "a binary, b binary").distinct())
-    every = true.count()
-    return true.join(links, ["a", "b"], "left_semi").count() / every if every else 1.0
+    true = distinct.select("embedding", "n").mapInArrow(releasing(run), "q long, m long").groupBy("q").agg(F.sum("m").alias("m"))
+    held = true.join(found.select("id", "links"), F.col("q") == F.col("id"), "left").join(distinct.select(F.col("id").alias("_d"), "n"), F.col("q") == F.col("_d"))
+    got = held.agg(F.sum(F.coalesce("links", F.lit(0))).alias("found"), F.sum(F.col("m") - F.col("n")).alias("true")).first()
+    return got["found"] / got["true"] if got["true"] else None
 
 
-def vector_classes(vectors: DataFrame, cosine: float = COSINE, recall: float = 0.95, shard: int = SHARD) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding).
+def vector_classes(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, region: int = REGION, part: int = PART) -> DataFrame:
+    """(vec_id, n_links, component_id, kept, recall) for every row of vectors (vec_id, embedding).
 
     Equal vectors form one class, link with one another and are searched once. Vectors of different lengths never
     link; null, zero, empty and non-finite ones, or ones with a null component, link with nothing and are their own component.
-    kept is vec_id = component_id (false without vec_id). Repeated rows count as further vectors.
+    kept is vec_id = component_id (false without vec_id). Repeated rows count as further vectors. recall is what the audit measured for the
+    vector's length, null where its queries have no links to find.
     """
     rows = checkpointed(keyed(vectors))
-    distinct = checkpointed(rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("embedding").alias("embedding")))
-    links = None
-    for size in [r[0] for r in distinct.select(F.size("embedding").alias("d")).distinct().collect()]:
+    asked = F.max(F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False))).alias("asked")
+    distinct = checkpointed(rows.filter("id IS NOT NULL").groupBy("id", "id2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), asked, F.first("embedding").alias("embedding")))
+    every = None
+    for size in sorted(r[0] for r in distinct.select(F.size("embedding").alias("d")).distinct().collect()):
         same = distinct.filter(F.size("embedding") == size)
         n, overlap, margin = same.count(), 3, 0.08
         while True:
-            found = checkpointed(found_links(same, n, cosine, overlap, margin, shard))
-            if audit(same, found, cosine) >= recall:
+            exact = overlap > 12
+            found = checkpointed(found_links(same, n, cosine, overlap, margin, region, part, exact))
+            links = found.groupBy("id").agg(F.sum("n").alias("links"))
+            measured = audit(same, links, cosine)
+            if exact or measured is None or measured >= recall:
                 break
-            if overlap > 24:
-                raise RuntimeError("the audit's recall stays too low")
             overlap, margin = overlap * 2, margin * 2
-        links = found if links is None else links.union(found)
-    if links is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    mass = distinct.select(F.col("key").alias("b"), F.col("n").alias("m"))
-    both = links.union(links.select("b", "a")).toDF("a", "b")
-    linked = both.join(mass, "b").groupBy(F.col("a").alias("_key")).agg(F.sum("m").alias("_others"))
-    roots = components(links)
-    named = distinct.select("key", "least", "n").join(linked, F.col("key") == F.col("_key"), "left").join(roots, F.col("key") == F.col("node"), "left")
-    named = checkpointed(named.select("key", "least", "n", (F.coalesce("_others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "key").alias("root")))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("key", "n", "n_links", "component_id")
-    sound = attach(rows.filter("key IS NOT NULL").select("vec_id", "key"), named, "key").select("vec_id", "n_links", "component_id")
-    alone = rows.filter("key IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return sound.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+        found = found.withColumn("recall", F.lit(measured).cast("double"))
+        sizes = same.select("id", F.lit(measured).cast("double").alias("recall"))
+        every = (found, sizes) if every is None else (every[0].union(found), every[1].union(sizes))
+    alone = rows.filter("id IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("double").alias("recall"))
+    if every is not None:
+        found, sizes = every
+        links = found.groupBy("id").agg(F.sum("n").alias("links"))
+        roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        named = distinct.select("id", "least", "n").join(links, "id", "left").join(roots, F.col("id") == F.col("node"), "left").join(sizes, "id")
+        named = checkpointed(named.select("id", "least", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"), "recall"))
+        least = checkpointed(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+        classes = attach(named.select("id", F.col("n").alias("copies"), "n_links", "recall", "root"), least, "root").select("id", F.col("copies").alias("n"), "n_links", "component_id", "recall")
+        alone = attach(rows.filter("id IS NOT NULL").select("vec_id", "id"), checkpointed(classes), "id").select("vec_id", "n_links", "component_id", "recall").unionByName(alone)
+    return alone.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))).select("vec_id", "n_links", "component_id", "kept", "recall")
 
 
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

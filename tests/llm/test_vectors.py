@@ -40,28 +40,66 @@ def brute(rows):
     return sorted((str(ids[k]), len(links[k]), str(root[k]), ids[k] is not None and ids[k] == root[k]) for k in range(len(rows)))
 
 
-@pytest.mark.parametrize("shard", [1000, 60, 8])
-def test_against_brute_force(spark, shard):
+def odd():
     rows = [(i, v) for i, v in enumerate(made())]
     rows += [(900, None), (901, []), (902, [0.0] * 16), (903, [float("nan")] * 16), (904, [1.0, None] * 8), (905, [float("inf")] + [1.0] * 15), (906, [1.0, 2.0]), (907, [1.0, 2.0]), (None, rows[3][1]), (5, rows[5][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("key", F.lit("clash"))
-    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in vectors.vector_classes(df, recall=0.999, shard=shard).collect())
-    assert got == brute(rows)
+    return rows
+
+
+def answers(df, **k):
+    return sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in vectors.vector_classes(df, **k).collect())
+
+
+@pytest.mark.parametrize("k", [{}, {"region": 30}, {"part": 100}, {"region": 40, "part": 50}])
+def test_against_brute_force(spark, k):
+    """One region; many, split twice; crowded ones dealt to parts."""
+    df = spark.createDataFrame(odd(), "vec_id long, embedding array<float>").withColumn("id", F.lit("clash"))
+    assert answers(df, recall=0.999, **k) == brute(odd())
+
+
+def test_default_recall(spark):
+    df = spark.createDataFrame(odd(), "vec_id long, embedding array<float>")
+    got, want = {r[0]: r for r in answers(df, region=60)}, brute(odd())
+    assert sum(got[w[0]][1] for w in want if w[0] not in ("5", "None")) >= 0.95 * sum(w[1] for w in want if w[0] not in ("5", "None"))
+    assert all(got[w[0]][1] <= w[1] for w in want)
+
+
+def test_plain_products_when_the_audit_fails(spark, monkeypatch):
+    """Searches that find nothing fail the audit at every overlap; the exact way follows and is whole."""
+    asked = []
+    whole = vectors.found_links
+
+    def blind(distinct, n, cosine, overlap, margin, region, part, exact):
+        asked.append((overlap, exact))
+        found = whole(distinct, n, cosine, overlap, margin, region, 100, exact)
+        return found if exact else found.filter("false")
+
+    monkeypatch.setattr(vectors, "found_links", blind)
+    df = spark.createDataFrame(odd(), "vec_id long, embedding array<float>")
+    assert answers(df) == brute(odd())
+    assert (24, True) in asked and (3, False) in asked
+
+
+def test_double_components_are_compared_as_doubles(spark):
+    """Two vectors that are equal as floats, and huge ones whose squares overflow."""
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 1e-12]), (3, [1e300, 0.0]), (4, [0.0, 1e-300])]
+    got = {r["vec_id"]: r for r in vectors.vector_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i]["n_links"] for i in (1, 2, 3, 4)] == [2, 2, 2, 0] and got[3]["component_id"] == 1
 
 
 def test_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectors.vector_classes(none).count() == 0
-    assert vectors.vector_classes(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()[0].asDict() == {"vec_id": 1, "n_links": 0, "component_id": 1, "kept": True}
+    assert vectors.vector_classes(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()[0].asDict() == {"vec_id": 1, "n_links": 0, "component_id": 1, "kept": True, "recall": None}
 
 
 def test_graph_search_recall():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 32))
     x[::3] = x[:500] + rng.normal(0, 0.05, (500, 32))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    lists = vectors.build_graph(x)
-    assert np.mean([len(v) for v in lists]) < 80
-    q, v = vectors.range_search(x, lists, x, 0.9)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    graph = vectors.flat_graph(x)
+    assert len(graph["flat"]) < 60 * len(x) and len(graph["medoids"]) > 2
+    q, v = vectors.range_search(graph, x, x, 0.9)
     true = int((x @ x.T >= 0.9).sum())
-    assert len(q) >= 0.98 * true and (np.einsum("ij,ij->i", x[q], x[v]) >= 0.9 - 1e-9).all()
+    assert len(set(zip(q.tolist(), v.tolist()))) == len(q) >= 0.98 * true and (np.einsum("ij,ij->i", x[q], x[v]) >= 0.9 - 1e-4).all()
