@@ -1,8 +1,9 @@
 """Chat formatting in budgeted, turn-aligned windows (DataFrame functions only).
 
-Prefix sums of turn tokens place every turn in the span of `budget - history` tokens in which it begins. A span's window
-holds the conversation's leading system turn, then up to `history` tokens of the turns just before the span, repeated, then the
-span's own turns. Loss falls on the texts of the span's own assistant turns, so each assistant text is a target once.
+Prefix sums of turn tokens lay a conversation's turns on a line, cut into cells of `budget - history - system turn` tokens. The turns that lie
+wholly in a cell form its span; a turn that crosses a cell's end is a span of its own. A span's window holds the conversation's
+leading system turn, then up to `history` tokens of the span before, repeated, then the span's own turns. Loss falls on the texts of
+the span's own assistant turns, so each assistant text is a target once.
 
 A turn is written `<turn ROLE>` newline TEXT `</turn>` newline. In roles and texts `&`, `<` and `>` become `&amp;`,
 `&lt;` and `&gt;`, so no text can hold a control string, and the escape is undone exactly.
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, checkpointed, running_totals, table
+from .simhash import attach
 
 BUDGET, HISTORY = 256, 64
 #: Tokens that the marks of a turn count for.
@@ -39,28 +41,35 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY)
 
     loss is an array of (start, end) code-point offsets into text; the first n_repeated turns of a window repeat earlier
     ones. Null roles and texts count as empty; turns that share a number come in the order of role and text; a null
-    conv_id is a conversation of its own. A window exceeds the budget only by the system turn and its last turn, and an
-    empty table gives no windows. A conversation of any length is dealt over many tasks: no task needs a whole one.
+    conv_id is a conversation of its own. A window exceeds the budget only where a single turn is longer than a cell, or where the
+    system turn and history leave no room at all (then each window has one turn); no turn is cut. An empty table gives no
+    windows. A conversation of any length is dealt over many tasks: no task needs a whole one, but for its spans' first places.
     """
-    stride = budget - history
-    if not 0 <= history <= stride:
+    if not 0 <= history <= budget - history:
         raise ValueError("history must not be negative or exceed half the budget")
     rows = turns.select(F.col("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns({"tokens": (F.regexp_count("text", F.lit(WORD)) + MARKS).cast("long"), "one": F.lit(1).cast("long"), "block": F.floor(F.col("turn") / 256)})
     rows = running_totals(rows, ["conv"], ["block"], [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")], {"seq": "one", "before": "tokens"})
-    rows = checkpointed(rows.select("conv", "seq", "role", "text", "before", F.expr(f"before div {stride}").alias("span")))
+    lead = (F.col("seq") == 0) & (F.col("role") == "system")
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv").cast("string")), F.lit(""))
+    rows = checkpointed(rows.select("conv", key.alias("key"), "seq", "role", "text", "before", "tokens"))
+    convs = checkpointed(rows.groupBy("key").agg(F.count("*").alias("n"), F.coalesce(F.max(F.when(lead, F.col("tokens"))), F.lit(0)).alias("head")))
+    cell = F.greatest(F.lit(budget - history) - F.col("head"), F.lit(1))
+    rows = attach(rows, convs, "key").withColumns({"begin": F.greatest(F.col("before") - F.col("head"), F.lit(0)), "cell": cell})
+    rows = rows.withColumns({"first_cell": F.expr("begin div cell"), "last_cell": F.expr("(begin + tokens - 1) div cell")})
+    span = F.when(lead, 0).otherwise(2 * F.col("first_cell") + F.when(F.col("first_cell") < F.col("last_cell"), 1).otherwise(0))
+    rows = checkpointed(rows.select("conv", "seq", "role", "text", "before", span.cast("long").alias("span")))
     spans = rows.groupBy("conv", "span").agg(F.min("before").alias("first"))
     order = Window.partitionBy("conv").orderBy("span")
-    spans = spans.withColumns({"next": F.lead("span").over(order), "next_first": F.lead("first").over(order)})
-    spans = spans.select(F.col("conv").alias("c"), F.col("span").alias("s"), "next", "next_first")
-    lead = (F.col("seq") == 0) & (F.col("role") == "system")
+    spans = spans.withColumns({"next": F.lead("span").over(order), "next_first": F.lead("first").over(order), "nth": F.row_number().over(order)})
+    spans = spans.select(F.col("conv").alias("c"), F.col("span").alias("s"), "next", "next_first", "nth")
     placed = rows.join(spans, rows["conv"].eqNullSafe(spans["c"]) & (rows["span"] == spans["s"]))
     again = F.when(~lead & (F.col("next_first") - F.col("before") <= history), F.col("next"))
     places = F.array_compact(F.array(F.struct(F.col("span").alias("window"), F.lit(0).alias("repeated")), F.when(again.isNotNull(), F.struct(again.alias("window"), F.lit(1).alias("repeated")))))
     shown = placed.select("conv", "seq", "role", "text", F.explode(places).alias("at")).select("conv", "at.window", "seq", "at.repeated", "role", "text")
     heads = rows.filter(lead).select(F.col("conv").alias("h"), "seq", "role", "text")
-    kept = heads.join(spans.filter("s > 0").select("c", "s"), heads["h"].eqNullSafe(spans["c"])).select(F.col("c").alias("conv"), F.col("s").alias("window"), "seq", F.lit(1).alias("repeated"), "role", "text")
-    # the leading turn lies in span 0, so any other window repeats it
+    kept = heads.join(spans.filter("nth > 1").select("c", "s"), heads["h"].eqNullSafe(spans["c"])).select(F.col("c").alias("conv"), F.col("s").alias("window"), "seq", F.lit(1).alias("repeated"), "role", "text")
+    # the leading turn lies in the first span, so any other window repeats it
     written = shown.unionByName(kept).withColumn("body", escape(F.col("text"))).withColumn("head", F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(BODY)))
     written = written.select("conv", "window", F.struct("seq", "repeated", (F.col("role") == TARGET).alias("target"), "head", "body").alias("t"))
     windows = written.groupBy("conv", "window").agg(F.sort_array(F.collect_list("t")).alias("turns"))
@@ -116,10 +125,13 @@ t AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 3 AS tokens
 p AS (SELECT *, row_number() OVER w - 1 AS seq,
         coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
       FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-q AS (SELECT *, before // 192 AS span, seq = 0 AND role = 'system' AS head FROM p),
+g AS (SELECT *, seq = 0 AND role = 'system' AS head FROM p),
+h AS (SELECT *, coalesce(max(tokens) FILTER (WHERE head) OVER (PARTITION BY conv_id), 0) AS kept FROM g),
+k AS (SELECT *, greatest(before - kept, 0) AS start, greatest(192 - kept, 1) AS cell FROM h),
+q AS (SELECT *, CASE WHEN head THEN 0 ELSE 2 * (start // cell) + (start // cell < (start + tokens - 1) // cell)::BIGINT END AS span FROM k),
 s AS (SELECT conv_id, span, lead(first) OVER (PARTITION BY conv_id ORDER BY span) AS next_first
       FROM (SELECT conv_id, span, min(before) AS first FROM q GROUP BY ALL)),
-c AS (SELECT conv_id, count(*) FILTER (WHERE span > 0) AS later FROM s GROUP BY conv_id)
+c AS (SELECT conv_id, count(*) - 1 AS later FROM s GROUP BY conv_id)
 SELECT q.conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,

@@ -41,6 +41,7 @@ def test_windows_and_round_trip(spark):
         if own[0][2] == "system":
             assert all(g["read"][0]["role"] == "system" and g["read"][0]["text"] == own[0][3] for g in ws)
         before = []
+        assert not any(len(g["read"]) == g["n_repeated"] for g in ws)
         for k, g in enumerate(ws):
             repeated = [(t["role"], t["text"]) for t in g["read"][: g["n_repeated"]]]
             if repeated and repeated[0][0] == "system" and own[0][2] == "system":
@@ -48,7 +49,11 @@ def test_windows_and_round_trip(spark):
             assert not repeated or before[-len(repeated) :] == repeated
             words = [len(t["text"].split()) + chat.MARKS for t in g["read"]]
             head = words[0] if own[0][2] == "system" else 0
-            assert sum(words[:-1]) - head < 64
+            own_words = words[g["n_repeated"] :]
+            room = max(1, 64 - 16 - head)
+            if own_words and k == 0 and head:
+                own_words = own_words[1:]
+            assert sum(words) <= 64 or len(own_words) <= 1 and sum(own_words) > room
             assert sum(len(t[1].split()) + chat.MARKS for t in repeated) <= 16
             before += [(t["role"], t["text"]) for t in g["read"][g["n_repeated"] :]]
     assert len(by[60]) > 100
@@ -67,3 +72,25 @@ def test_query(spark):
         assert g["n_turns"] == len(own)
         assert g["turns_sha256"] == hashlib.sha256("".join(f"{r[2]}\n{r[3] or ''}\n" for r in own).encode()).hexdigest()
         assert g["loss_chars"] == len(loss) and g["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_query_against_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    found = con.execute(chat.OP4_SQL)
+    names = [d[0] for d in found.description]
+    want = sorted((dict(zip(names, r)) for r in found.fetchall()), key=lambda r: r["conv_id"])
+    assert sorted((r.asDict() for r in chat.op4_chat(spark, sf).collect()), key=lambda r: r["conv_id"]) == want
+
+
+def test_a_long_system_turn(spark):
+    """It leaves no room: every window has one turn beside it; with room, every window keeps the budget."""
+    rows = [(c, 0, "system", "rule " * long) for c, long in ((1, 300), (2, 100))] + [(c, t, "user" if t % 2 else "assistant", "word " * 9) for c in (1, 2) for t in range(1, 40)]
+    got = chat.chat_windows(spark.createDataFrame(rows, SCHEMA)).withColumn("read", chat.read_turns(F.col("text"))).collect()
+    for g in got:
+        total = sum(len(t["text"].split()) + chat.MARKS for t in g["read"])
+        assert g["read"][0]["role"] == "system"
+        assert total <= chat.BUDGET if g["conv_id"] == 2 else len(g["read"]) - g["n_repeated"] <= 1 + (g["window"] == 0)
