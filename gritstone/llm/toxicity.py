@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import process_cache, releasing, table, two_generations
+from .common import checkpointed, process_cache, releasing, table, two_generations
 
 #: English insults that vote on their own, whatever the labelled rows hold.
 LEXICON = ("idiot", "moron", "loser", "clown", "scum", "trash", "pathetic", "worthless", "stupid", "disgusting", "imbecile", "vermin", "filth", "garbage", "dumb", "crap", "bastard", "jerk")
@@ -119,59 +119,52 @@ def _logistic(rows: list[np.ndarray], width: int, y: np.ndarray, rounds: int = 3
     return w, float(b)
 
 
-def fit(rows: list[tuple[np.ndarray, int]]) -> dict:
-    """The classifier {weights: {pattern: weight}, bias} from labelled rows (patterns, label).
+def _least(toxic: int) -> int:
+    """Toxic rows of the sample that a pattern must be seen in."""
+    return max(3, toxic // 200)
 
-    Without toxic rows among them, only the lexicon speaks.
+
+def select_features(keys: np.ndarray, k1: np.ndarray, k0: np.ndarray, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(patterns, ascending; their bounds; whether each is a word of the lexicon): at most FEATURES patterns that may get a weight.
+
+    keys were seen in k1 of n1 toxic and k0 of n0 clean rows.
     """
-    lexicon = {_hash(w) * 4 for w in LEXICON}
-    only = {"weights": {str(w): 6.0 for w in sorted(lexicon)}, "bias": -3.0, "voters": 0}
-    y = np.array([r[1] for r in rows])
-    if not len(y) or y.sum() == 0 or y.sum() == len(y):
-        return only
-    n1, n0 = int(y.sum()), int((1 - y).sum())
-    least = max(3, n1 // 200)
-    keys, k1 = np.unique(np.concatenate([found for found, label in rows if label]), return_counts=True)
-    often = (k1 >= least) | np.isin(keys, sorted(lexicon))
-    keys, k1 = keys[often], k1[often]
-    if not len(keys):
-        return only
-    places = []
-    for found, _ in rows:
-        at = np.searchsorted(keys, found).astype(np.int32)
-        at[at == len(keys)] = 0
-        places.append(at[keys[at] == found])
-    k0 = np.zeros(len(keys), np.int64)
-    for at, label in zip(places, y):
-        if not label:
-            k0[at] += 1
     odds = np.log((k1 + 0.5) / (n1 - k1 + 0.5)) - np.log((k0 + 0.5) / (n0 - k0 + 0.5))
     # a lower bound: few sightings say little
     bound = odds - 2 * np.sqrt(1 / (k1 + 0.5) + 1 / (k0 + 0.5))
-    listed = np.isin(keys, sorted(lexicon)) & ((k1 > k0) | (k0 == 0))
+    listed = np.isin(keys, [_hash(w) * 4 for w in LEXICON]) & ((k1 > k0) | (k0 == 0))
     best = np.lexsort((keys, -bound, ~listed))
-    features = best[(listed | (bound > 0.5))[best]][:FEATURES]
-    if not len(features):
-        return only
-    number = np.full(len(keys), -1)
-    number[features] = np.arange(len(features))
-    index = [np.sort(number[at][number[at] >= 0]) for at in places]
+    best = np.sort(best[(listed | (bound > 0.5))[best]][:FEATURES])
+    return keys[best], bound[best], listed[best]
+
+
+def lexicon_model() -> dict:
+    """What is used where no labelled rows tell more: only the lexicon speaks."""
+    return {"weights": {str(w): 6.0 for w in sorted({_hash(w) * 4 for w in LEXICON})}, "bias": -3.0, "voters": 0}
+
+
+def fit(rows: list[tuple[np.ndarray, int]], features: np.ndarray, bound: np.ndarray, listed: np.ndarray) -> dict:
+    """The classifier {weights: {pattern: weight}, bias} from labelled rows (the features they hold, label) of both labels."""
+    y = np.array([r[1] for r in rows])
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    least = _least(n1)
+    index = [np.searchsorted(features, found).astype(np.int64) for found, _ in rows]
     holders: dict[int, list[int]] = {}
     for i, found in enumerate(index):
         for f in found.tolist():
             holders.setdefault(f, []).append(i)
     # voters: the lexicon's words, then patterns that are precise and add rows that few voters cover so far
     voters, covered = [], np.zeros(len(rows), np.int64)
-    for f in sorted(holders, key=lambda f: (-10.0 * listed[features[f]] - bound[features[f]], f)):
+    for f in sorted(holders, key=lambda f: (-10.0 * listed[f] - bound[f], f)):
         own = np.array(holders[f])
         toxic_rows = own[y[own] == 1]
-        if listed[features[f]] or len(toxic_rows) >= 0.8 * len(own) and (covered[toxic_rows] < 3).sum() >= least:
+        if listed[f] or len(toxic_rows) >= 0.8 * len(own) and (covered[toxic_rows] < 3).sum() >= least:
             voters.append(f)
             covered[toxic_rows] += 1
         if len(voters) >= VOTERS:
             break
     if not voters:
-        return only
+        return lexicon_model()
     votes = np.zeros((len(rows), len(voters)), np.int8)
     for j, f in enumerate(voters):
         votes[holders[f], j] = 1
@@ -187,13 +180,15 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> dict:
         hess = np.array([[(h * z * z).mean(), (h * z).mean()], [(h * z).mean(), h.mean()]]) + 1e-4 * np.eye(2)
         d = np.linalg.solve(hess, g)
         slope, shift = max(0.05, slope - float(np.clip(d[0], -0.5, 0.5))), shift - float(np.clip(d[1], -1, 1))
-    kept = {str(keys[features[i]]): float(slope * w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3)}
+    kept = {str(features[i]): float(slope * w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3)}
     return {"weights": kept, "bias": float(slope * b + shift), "voters": len(voters)}
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: dict[int, int] = FIT_ROWS) -> dict:
-    """Fit on a bounded sample of labelled rows outside the held-out third, in one executor task; returns the model.
+    """Fit on a bounded sample of labelled rows outside the held-out third; returns the model.
 
+    Patterns are extracted and counted in parallel; one task then fits on the FEATURES chosen, and sees no text.
+    Without toxic or without clean rows among the labelled ones, only the lexicon speaks.
     At most fit_rows[1] toxic and fit_rows[0] clean rows are taken, those of smallest hash; a doc_id labelled more than
     once counts as toxic if any of its labels says so. Only the sample's ids (a few hundred kB) are broadcast.
     """
@@ -201,16 +196,51 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: dict[int, int] = FIT_ROW
     parts = [usable.filter(F.col("_toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(n) for k, n in fit_rows.items()]
     sample = docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), F.col("doc_id") == F.col("_id")).select("text", "_toxic", F.xxhash64("_id", "text").alias("_h"))
 
+    def extract(batches):
+        cache = two_generations(50_000)
+        for batch in batches:
+            found = [patterns(t.as_py(), cache).astype("<u4").tobytes() for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(found, pa.binary())], ["h", "label", "patterns"])
+
+    found = checkpointed(sample.mapInArrow(releasing(extract), "h long, label int, patterns binary"))
+    rows = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not rows.get(0) or not rows.get(1):
+        return lexicon_model()
+    least = _least(rows[1])
+
+    def count(batches):
+        for batch in batches:
+            labels = batch.column(1).to_numpy()
+            own = [np.frombuffer(v.as_buffer(), "<u4") for v in batch.column(2)]
+            label = np.repeat(labels, [len(v) for v in own])
+            both, n = np.unique(np.concatenate([*own, np.zeros(0, "<u4")]).astype(np.int64) * 2 + label, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(both >> 1), pa.array(np.where(both & 1, n, 0)), pa.array(np.where(both & 1, 0, n))], ["key", "k1", "k0"])
+
+    # patterns that enough of the toxic sample has: at most all of its patterns / least of them come to the driver
+    words = [_hash(w) * 4 for w in LEXICON]
+    seen = found.mapInArrow(releasing(count), "key long, k1 long, k0 long").groupBy("key").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0")).filter((F.col("k1") >= least) | (F.col("key").isin(words) & (F.col("k1") > 0)))
+    keys, k1, k0 = (c.to_numpy() for c in seen.sort("key").toArrow().columns)
+    features, bound, listed = select_features(keys.astype(np.uint32), k1, k0, rows[1], rows[0])
+    if not len(features):
+        return lexicon_model()
+
+    def thin(batches):
+        for batch in batches:
+            kept = []
+            for v in batch.column(2):
+                own = np.frombuffer(v.as_buffer(), "<u4")
+                kept.append(own[np.isin(own, features)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary())], ["h", "label", "patterns"])
+
     def run(batches):
-        rows, cache = [], two_generations(50_000)
+        rows = []
         for batch in batches:
-            for t, label, h in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                rows.append((h, patterns(t.as_py(), cache), label))
-        rows.sort(key=lambda r: r[0])
-        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(fit([r[1:] for r in rows]))])], ["model"])
+            rows += [(h, np.frombuffer(v.as_buffer(), "<u4"), label) for h, label, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))]
+        rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2]))
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(fit([r[1:] for r in rows], features, bound, listed))])], ["model"])
 
-    found = sample.repartition(1).mapInArrow(releasing(run), "model string").collect()
-    return json.loads(found[0][0]) if found else fit([])
+    model = found.mapInArrow(releasing(thin), "h long, label int, patterns binary").repartition(1).mapInArrow(releasing(run), "model string").collect()
+    return json.loads(model[0][0])
 
 
 def _scorer(model: dict):
