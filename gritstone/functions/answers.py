@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .names import holds_any, sanitize_name
+from .names import bound, holds_any, sanitize_name
 
 # Categories a result can have.
 CATEGORIES = ("WRAPPER", "NETWORK", "CRYPTO", "INJECT", "PERSIST", "EVASION", "RECON", "EXEC", "FILE", "MEMORY", "DISPATCH", "CTOR", "INIT", "LOADER", "CONFIG", "UTIL", "UNKNOWN")
@@ -27,18 +27,23 @@ def repair_json(text: Column) -> Column:
     s = F.regexp_replace(s, r"(?s)(?<=[}\]])[^}\]]*$", "")
     s = F.translate(s, "“”‘’", "\"\"''")
     s = F.regexp_replace(s, r",\s*([}\]])", "$1")
-    doubled = F.regexp_replace(s, r"(?<!\\)'", '"')
-    single = (F.length(s) - F.length(F.replace(s, F.lit("'"), F.lit(""))) >= 2) & ~F.contains(F.substring(s, 1, 20), F.lit('"'))
-    return F.when(F.coalesce(text, F.lit("")) == "", "{}").when(single & _parsed(doubled).isNotNull(), doubled).otherwise(s)
+
+    def straightened(s: Column) -> Column:
+        single = (F.length(s) - F.length(F.replace(s, F.lit("'"), F.lit(""))) >= 2) & ~F.contains(F.substring(s, 1, 20), F.lit('"'))
+        return F.when(single, bound(F.regexp_replace(s, r"(?<!\\)'", '"'), lambda doubled: F.when(_parsed(doubled).isNotNull(), doubled).otherwise(s))).otherwise(s)
+
+    return F.when(F.coalesce(text, F.lit("")) == "", "{}").otherwise(bound(s, straightened))
 
 
 def parse_json(text: Column) -> Column:
     """The first of six readings that parses, as VARIANT: the text and its repaired form, each whole, as its outermost braces, or as
     a fenced block. Null if none does or there is no text."""
-    tries = []
-    for form in (text, repair_json(text)):
-        tries += [_parsed(form), _parsed(F.regexp_extract(form, r"(?s)(\{.*\})", 1)), _parsed(F.regexp_extract(form, r"(?s)```json\s*(\{.*?\})\s*```", 1))]
-    return F.when(F.coalesce(text, F.lit("")) != "", F.coalesce(*tries))
+
+    def readings(form: Column) -> list[Column]:
+        return [_parsed(form), _parsed(F.regexp_extract(form, r"(?s)(\{.*\})", 1)), _parsed(F.regexp_extract(form, r"(?s)```json\s*(\{.*?\})\s*```", 1))]
+
+    mended = bound(repair_json(text), lambda form: F.coalesce(*readings(form)))
+    return F.when(F.coalesce(text, F.lit("")) != "", F.coalesce(*readings(text), mended))
 
 
 def with_parsed(df: DataFrame, column: str, out: str = "parsed") -> DataFrame:
@@ -66,37 +71,42 @@ def _kept(items: Column, width: int) -> Column:
 def normalize_answer(v: Column, original: Column, prefix: str = "", require_evidence: bool = True) -> Column:
     """A struct with name, confidence, category, description, evidence, warnings, tags and error from a parsed answer."""
     none = F.array().cast("array<string>")
-    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     given = F.coalesce(F.nullif(_get(v, "name", "string"), F.lit("")), _get(v, "function_name", "string"), F.lit(""))
-    own = sanitize_name(given, prefix)
-    name = F.when(own == "unknown_func", sanitize_name(original, prefix)).otherwise(own)
-    evidence = _kept(_strings(v, "evidence", "evidence_list"), 300)
-    conf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(_get(v, "confidence", "double"), _get(v, "score", "double"), F.lit(0.5))))
-    if require_evidence:
-        conf = F.when(F.size(evidence) == 0, F.least(conf, F.lit(0.5))).otherwise(conf)
-    tag_text = _get(v, "tags", "array<string>")
-    tags = F.filter(F.transform(F.coalesce(tag_text, F.split(_get(v, "tags", "string"), r"[,;\s]+"), none), lambda t: F.upper(t)), lambda t: t.isin(*CATEGORIES))
-    category = F.upper(F.coalesce(_get(v, "category", "string"), F.lit("UNKNOWN")))
-    category = F.when(category.isin(*CATEGORIES), category).otherwise(F.coalesce(F.try_element_at(tags, F.lit(1)), F.lit("UNKNOWN")))
-    warnings = F.transform(F.slice(_strings(v, "warnings", "analyst_warnings"), 1, 10), lambda w: F.substring(w, 1, 200))
-    bold = holds_any(F.lower(name), OVERCLAIMS) & (F.size(evidence) < 2)
-    conf = F.when(bold, F.least(conf, F.lit(0.55))).otherwise(conf)
-    warnings = F.when(bold, F.concat(warnings, F.array(F.concat(F.lit("overclaim_name_without_sufficient_evidence: "), name)))).otherwise(warnings)
+    named = bound(sanitize_name(given, prefix), lambda own: F.when(own == "unknown_func", sanitize_name(original, prefix)).otherwise(own))
+    tag_text = F.coalesce(_get(v, "tags", "array<string>"), F.split(_get(v, "tags", "string"), r"[,;\s]+"), none)
+    found = F.struct(
+        F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("is_object"),
+        named.alias("name"),
+        _kept(_strings(v, "evidence", "evidence_list"), 300).alias("evidence"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(_get(v, "confidence", "double"), _get(v, "score", "double"), F.lit(0.5)))).alias("conf"),
+        F.filter(F.transform(tag_text, lambda t: F.upper(t)), lambda t: t.isin(*CATEGORIES)).alias("tags"),
+        F.upper(F.coalesce(_get(v, "category", "string"), F.lit("UNKNOWN"))).alias("category"),
+        F.transform(F.slice(_strings(v, "warnings", "analyst_warnings"), 1, 10), lambda w: F.substring(w, 1, 200)).alias("warnings"),
+    )
     description = F.substring(F.trim(F.coalesce(_get(v, "description", "string"), _get(v, "summary", "string"), F.lit(""))), 1, 600)
 
-    def pick(good: Column, bad: Column) -> Column:
-        return F.when(is_object, good).otherwise(bad)
+    def result(b: Column) -> Column:
+        conf = F.when(F.size(b["evidence"]) == 0, F.least(b["conf"], F.lit(0.5))).otherwise(b["conf"]) if require_evidence else b["conf"]
+        bold = holds_any(F.lower(b["name"]), OVERCLAIMS) & (F.size(b["evidence"]) < 2)
+        conf = F.when(bold, F.least(conf, F.lit(0.55))).otherwise(conf)
+        category = F.when(b["category"].isin(*CATEGORIES), b["category"]).otherwise(F.coalesce(F.try_element_at(b["tags"], F.lit(1)), F.lit("UNKNOWN")))
+        warnings = F.when(bold, F.concat(b["warnings"], F.array(F.concat(F.lit("overclaim_name_without_sufficient_evidence: "), b["name"])))).otherwise(b["warnings"])
+
+        def pick(good: Column, bad: Column) -> Column:
+            return F.when(b["is_object"], good).otherwise(bad)
+
+        return F.struct(
+            pick(b["name"], sanitize_name(original, prefix)).alias("name"),
+            pick(F.round(conf, 3), F.lit(0.0)).alias("confidence"),
+            pick(category, F.lit("UNKNOWN")).alias("category"),
+            pick(description, F.lit("Parse error: the answer could not be decoded.")).alias("description"),
+            pick(F.slice(b["evidence"], 1, 15), none).alias("evidence"),
+            pick(warnings, F.array(F.lit("parse_error"))).alias("warnings"),
+            pick(b["tags"], none).alias("tags"),
+            (~b["is_object"]).alias("error"),
+        )
 
-    return F.struct(
-        pick(name, sanitize_name(original, prefix)).alias("name"),
-        pick(F.round(conf, 3), F.lit(0.0)).alias("confidence"),
-        pick(category, F.lit("UNKNOWN")).alias("category"),
-        pick(description, F.lit("Parse error: the answer could not be decoded.")).alias("description"),
-        pick(F.slice(evidence, 1, 15), none).alias("evidence"),
-        pick(warnings, F.array(F.lit("parse_error"))).alias("warnings"),
-        pick(tags, none).alias("tags"),
-        (~is_object).alias("error"),
-    )
+    return bound(found, result)
 
 
 def answer_issues(r: Column) -> Column:

@@ -27,6 +27,11 @@ ERROR_WORDS = (
 )
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value evaluated once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def holds_any(text: Column, words) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
@@ -36,10 +41,10 @@ def sanitize_name(name: Column, prefix: str = "") -> Column:
     cleaned = F.regexp_replace(F.trim(name), "`", "")
     cleaned = F.trim(F.regexp_extract(cleaned, r"^([^/#]*)", 1))
     cleaned = F.trim(F.regexp_replace(cleaned, "[^a-zA-Z0-9]+", "_"), F.lit("_"))
-    cleaned = F.when(cleaned.rlike("^[0-9]"), F.concat(F.lit("_"), cleaned)).otherwise(cleaned)
+    cleaned = F.regexp_replace(cleaned, "^(?=[0-9])", "_")
     lead = "".join(c for c in prefix if c.isascii() and (c.isalnum() or c == "_"))
     whole = F.concat(F.lit(lead), F.substring(cleaned, 1, 64))
-    return F.when(F.coalesce(whole, F.lit("")) == "", "unknown_func").otherwise(whole)
+    return F.coalesce(F.regexp_replace(whole, "^$", "unknown_func"), F.lit("unknown_func"))
 
 
 def is_default_name(name: Column) -> Column:

@@ -9,13 +9,28 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import hash_djb2, hash_fnv1a, hash_ror13, hex_address, is_default_name, sanitize_name
-from .triage import API_CATEGORIES
 
-# Names whose hashes are looked up besides the plain, A and W forms of the categorised ones.
-MORE_NAMES = (
-    "VirtualFree", "ReadProcessMemory", "OpenProcess", "CloseHandle", "bind", "listen", "accept", "gethostbyname", "gethostbyaddr", "CreateThread", "ExitProcess", "ExitThread", "TerminateProcess", "TerminateThread", "SuspendThread", "ResumeThread",
-    "Sleep", "SleepEx", "WaitForSingleObject", "WaitForMultipleObjects", "CreateMutex", "OpenMutex", "CreateEvent", "OpenEvent", "CryptGenRandom", "RtlCompressBuffer", "DeleteService", "CallNextHookEx", "UnhookWindowsHookEx", "Module32First",
-    "Module32Next", "Thread32First", "Thread32Next", "CoCreateInstance", "OleInitialize", "CoInitialize",
+# Names whose hashes are looked up.
+HASHED_NAMES = (
+    "VirtualAlloc", "VirtualAllocEx", "VirtualFree", "VirtualProtect", "VirtualProtectEx", "WriteProcessMemory", "ReadProcessMemory",
+    "CreateRemoteThread", "NtCreateThreadEx", "OpenProcess", "CreateProcessA", "CreateProcessW", "ShellExecuteA", "ShellExecuteW", "LoadLibraryA",
+    "LoadLibraryW", "GetProcAddress", "GetModuleHandleA", "GetModuleHandleW", "CreateFileA", "CreateFileW", "ReadFile", "WriteFile", "CloseHandle",
+    "DeleteFileA", "DeleteFileW", "MoveFileA", "MoveFileW", "CopyFileA", "CopyFileW", "RegOpenKeyExA", "RegOpenKeyExW", "RegQueryValueExA",
+    "RegQueryValueExW", "RegSetValueExA", "RegSetValueExW", "RegCreateKeyA", "RegCreateKeyW", "WSAStartup", "socket", "connect", "send", "recv",
+    "closesocket", "bind", "listen", "accept", "gethostbyname", "gethostbyaddr", "InternetOpenA", "InternetOpenW", "InternetConnectA",
+    "InternetConnectW", "InternetReadFile", "InternetWriteFile", "HttpSendRequestA", "HttpSendRequestW", "HttpOpenRequestA", "HttpOpenRequestW",
+    "WinHttpOpen", "WinHttpConnect", "WinHttpSendRequest", "WinHttpReadData", "URLDownloadToFileA", "URLDownloadToFileW", "CreateThread", "ExitProcess",
+    "ExitThread", "TerminateProcess", "TerminateThread", "SuspendThread", "ResumeThread", "GetTickCount", "GetTickCount64", "Sleep", "SleepEx",
+    "WaitForSingleObject", "WaitForMultipleObjects", "CreateMutexA", "CreateMutexW", "OpenMutexA", "OpenMutexW", "CreateEventA", "CreateEventW",
+    "OpenEventA", "OpenEventW", "SetFileAttributesA", "SetFileAttributesW", "GetTempPathA", "GetTempPathW", "CryptAcquireContextA",
+    "CryptAcquireContextW", "CryptCreateHash", "CryptHashData", "CryptEncrypt", "CryptDecrypt", "CryptGenKey", "CryptDeriveKey", "CryptGenRandom",
+    "BCryptEncrypt", "BCryptDecrypt", "BCryptGenerateSymmetricKey", "BCryptOpenAlgorithmProvider", "NtAllocateVirtualMemory", "NtWriteVirtualMemory",
+    "NtMapViewOfSection", "NtQueryInformationProcess", "NtSetInformationThread", "NtResumeThread", "RtlDecompressBuffer", "RtlCompressBuffer",
+    "RtlAllocateHeap", "IsDebuggerPresent", "CheckRemoteDebuggerPresent", "DbgBreakPoint", "CreateServiceA", "CreateServiceW", "OpenSCManagerA",
+    "OpenSCManagerW", "StartServiceA", "StartServiceW", "DeleteService", "SetWindowsHookExA", "SetWindowsHookExW", "CallNextHookEx",
+    "UnhookWindowsHookEx", "EnumProcesses", "Process32First", "Process32Next", "CreateToolhelp32Snapshot", "Module32First", "Module32Next",
+    "Thread32First", "Thread32Next", "GetComputerNameA", "GetComputerNameW", "GetUserNameA", "GetUserNameW", "GetSystemInfo", "GetAdaptersInfo",
+    "GetAdaptersAddresses", "QueueUserAPC", "ZwCreateSection", "RtlCreateUserThread", "CoCreateInstance", "OleInitialize", "CoInitialize",
 )
 CONDITIONAL_JUMPS = ("je", "jz", "jne", "jnz", "jg", "jl", "jge", "jle")
 DISPATCHER = r"(?i)dispatch|resolver|wrapper|indirect|vtable|thunk|trampoline|gateway"
@@ -25,15 +40,14 @@ BIG = 0xFFFF
 
 def hashed_names(spark: SparkSession) -> DataFrame:
     """(value, api, family): names under three hashes; where a value occurs under two families, the rotating hash wins."""
-    plain = [n for names in API_CATEGORIES.values() for n in names] + list(MORE_NAMES)
-    names = spark.createDataFrame([(n + s,) for n in dict.fromkeys(plain) for s in ("", "A", "W")], "api string")
+    names = spark.createDataFrame([(n,) for n in HASHED_NAMES], "api string")
     kinds = F.array(F.struct(F.lit(0).alias("family"), hash_ror13(F.col("api")).alias("value")), F.struct(F.lit(1).alias("family"), hash_djb2(F.col("api")).alias("value")), F.struct(F.lit(1).alias("family"), hash_fnv1a(F.col("api")).alias("value")))
     each = names.select("api", F.explode(kinds).alias("h")).select("h.value", "api", "h.family")
     return each.groupBy("value").agg(F.min(F.struct("family", "api")).alias("m")).select("value", "m.api", "m.family")
 
 
 def hash_loads(insns: DataFrame, table: DataFrame) -> DataFrame:
-    """(func_ea, ea, api): large immediates moved or pushed that are the hash of a known name; the table is broadcast (some 1500 rows)."""
+    """(func_ea, ea, api): large immediates moved or pushed that are the hash of a known name; the table is broadcast (three rows for each of HASHED_NAMES at most)."""
     low = insns.filter(F.col("mnem").isin("mov", "push") & (F.col("op_type") == "imm")).withColumn("_v", F.col("value").bitwiseAND(F.lit(0xFFFFFFFF)))
     return low.filter(F.col("_v") > BIG).drop("value").join(F.broadcast(table), F.col("_v") == F.col("value")).select("func_ea", "ea", "api")
 

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -20,6 +22,16 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """df with `name`: 1, 2, ... in order. Rows are range-partitioned; only one count for each partition passes through one task."""
+    dealt = saved(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select(F.col("_part").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    rows = dealt.withColumn("_k", inside).join(F.broadcast(starts), F.col("_part") == F.col("_q"))  # one row for each partition
+    return rows.select(*df.columns, (F.col("_start") + F.col("_k")).cast("long").alias(name))
+
+
 def edges_within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct edges (caller, callee) with both ends among nodes (ea), no self-calls."""
     a, b = nodes.select(F.col("ea").alias("_a")).distinct(), nodes.select(F.col("ea").alias("_b")).distinct()
@@ -142,6 +154,7 @@ def bottom_up_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         ready = saved(left.join(waiting, F.col("ea") == F.col("_w"), "left_anti"))
         now = ready.withColumn("level", F.lit(level))
         levels = now if levels is None else levels.union(now)
+        levels = saved(levels) if level % 16 == 15 else levels  # keeps the plan of a deep graph short
         done = ready.select(F.col("ea").alias("_d"))
         left = saved(left.join(done, F.col("ea") == F.col("_d"), "left_anti"))
         rest = saved(rest.join(done, F.col("callee") == F.col("_d"), "left_anti"))
@@ -153,12 +166,14 @@ def bottom_up_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def callees_first(levels: DataFrame) -> DataFrame:
-    """(ea, ord): a callee-first order of the levels, cyclic functions last; one sorted pass over the level sizes and members."""
-    key = [F.col("level").asc_nulls_last(), F.col("group_id").asc_nulls_first()]
-    sizes = levels.groupBy("level", "group_id").agg(F.count("*").alias("n"))
-    starts = sizes.select(F.col("level").alias("_l"), F.col("group_id").alias("_g"), F.coalesce(F.sum("n").over(Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    inside = levels.withColumn("_k", F.row_number().over(Window.partitionBy("level", "group_id").orderBy("ea")))
-    return inside.join(starts, inside["level"].eqNullSafe(starts["_l"]) & inside["group_id"].eqNullSafe(starts["_g"])).select("ea", (F.col("_start") + F.col("_k")).alias("ord"))
+    """(ea, ord): a callee-first order of the levels, cyclic functions last."""
+    order = [F.col("level").asc_nulls_last(), F.col("group_id").asc_nulls_first(), F.col("ea")]
+    return numbered(levels, order, "ord").select("ea", "ord")
+
+
+def level_members(levels: DataFrame, index: int) -> DataFrame:
+    """(ea): the functions of one level, by its index; none where there is no such level."""
+    return levels.filter(F.col("level") == index).select("ea")
 
 
 def back_edges(edges: DataFrame, program: str = "program_id") -> DataFrame:
@@ -240,19 +255,28 @@ def dynamic_batch(mode: str, target: int = 40, most: int = 60, least: int = 8, s
 def packed_batches(items: DataFrame, slot: int, most: int = 0, group: str | None = None) -> DataFrame:
     """(group, ord, batch): items (ord, chars, optional group) in order, a batch closed when the next would pass slot characters or `most` items.
 
-    An item larger than the slot is a batch by itself. The fold runs over each group's lengths as an array.
+    An item larger than the slot is a batch by itself. Each group is one stream in order, folded row by row: a task holds one Arrow
+    batch, however long the group is. Packing is sequential by nature, so one group (all rows, without a group) is one task.
     """
     by = [group] if group else []
-    lists = items.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("ord", F.col("chars").cast("long").alias("chars")))).alias("l"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc, x):
-        closes = (acc["n"] > 0) & ((acc["sum"] + x["chars"] > slot) | (F.lit(most > 0) & (acc["n"] >= most)))
-        batch = acc["batch"] + F.when(closes, 1).otherwise(0)
-        return F.struct(batch.alias("batch"), (F.when(closes, F.lit(0).cast("long")).otherwise(acc["sum"]) + x["chars"]).alias("sum"), (F.when(closes, 0).otherwise(acc["n"]) + 1).alias("n"), F.concat(acc["out"], F.array(batch)).alias("out"))
-
-    folded = lists.select(*by, "l", F.aggregate("l", start, step, lambda acc: acc["out"]).alias("b"))
-    return folded.select(*by, F.explode(F.arrays_zip("l", "b")).alias("x")).select(*by, F.col("x.l.ord").alias("ord"), F.col("x.b").alias("batch"))
+    rows = items.select(*by, "ord", F.col("chars").cast("long").alias("chars"))
+    ordered = (rows.repartition(group) if group else rows.repartition(1)).sortWithinPartitions(*by, "ord")
+
+    def fold(batches):
+        now, batch, total, n = (), 0, 0, 0
+        for part in batches:
+            out = []
+            keys = part.column(0).to_pylist() if group else [None] * part.num_rows
+            for key, chars in zip(keys, part.column(part.num_columns - 1).to_pylist()):
+                if now != (key,):
+                    now, batch, total, n = (key,), 0, 0, 0
+                elif n and (total + chars > slot or 0 < most <= n):
+                    batch, total, n = batch + 1, 0, 0
+                total, n = total + chars, n + 1
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.int32())], [*by, "ord", "batch"])
+
+    return ordered.mapInArrow(fold, StructType([*rows.schema.fields[:-1], StructField("batch", IntegerType())]))
 
 
 def child_context(edges: DataFrame, virtual: DataFrame) -> DataFrame:

@@ -138,6 +138,11 @@ def top_candidates(df: DataFrame, limit: int = 80, min_score: int = 3, include_n
     return once.sort(*keys).limit(limit)
 
 
+def tagged_count(df: DataFrame) -> DataFrame:
+    """One row, n: functions with any tag (tags)."""
+    return df.agg(F.count_if(F.size(F.coalesce("tags", F.array().cast("array<string>"))) > 0).alias("n"))
+
+
 def high_risk(df: DataFrame) -> DataFrame:
     return df.filter(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in HIGH_RISK])))
 

@@ -160,12 +160,20 @@ def hash_ror13(spark, sf):
     return table(spark, sf, "part").select("p_partkey", names.hash_ror13(F.col("p_name")).alias("h"))
 
 
-@query()
+_HASHED_SQL = f"""nm AS (SELECT unnest([{", ".join(f"'{n}'" for n in code.HASHED_NAMES)}]) AS api),
+hs AS (SELECT api, 0 AS family, list_reduce(list_append(list_prepend(0::BIGINT, {_codes_sql('api')}), 0::BIGINT), lambda h, c: (((h >> 13) | ((h % 8192) << 19)) + c) & 4294967295) AS value FROM nm
+  UNION ALL SELECT api, 1, list_reduce(list_prepend(5381::BIGINT, {_codes_sql('api')}), lambda h, c: (h * 33 + c) & 4294967295) FROM nm
+  UNION ALL SELECT api, 1, list_reduce(list_prepend(2166136261::BIGINT, {_codes_sql('api')}), lambda h, c: (xor(h, c) * 16777619) & 4294967295) FROM nm),
+hashed AS (SELECT value, api FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY family, api) AS n FROM hs) WHERE n = 1),
+known AS (SELECT list_sort(list(value)) AS v FROM hashed)"""
+
+
+@query(f"""WITH {INSTRUCTIONS_SQL}, {_HASHED_SQL}, i AS (SELECT func_ea, ea, mnem, op_type, v[ea % len(v) + 1] AS value FROM insn, known)
+SELECT func_ea, ea, api FROM i JOIN hashed USING (value) WHERE mnem IN ('mov', 'push') AND op_type = 'imm' AND value > 65535""")
 def hash_lookup(spark, sf):
     """Instructions whose immediate is the hash of a known name; here every immediate is made one."""
-    t = code.hashed_names(spark).sort("value").limit(500)
-    known = t.agg(F.sort_array(F.collect_list("value")).alias("v"))
-    i = instructions(spark, sf).crossJoin(F.broadcast(known)).withColumn("value", F.element_at("v", (F.col("ea") % F.size("v") + 1).cast("int"))).drop("v")  # one row of 500 values
+    known = code.hashed_names(spark).agg(F.sort_array(F.collect_list("value")).alias("v"))
+    i = instructions(spark, sf).crossJoin(F.broadcast(known)).withColumn("value", F.element_at("v", (F.col("ea") % F.size("v") + 1).cast("int"))).drop("v")  # one row, three values for each known name
     return code.hash_loads(i, code.hashed_names(spark))
 
 
@@ -195,7 +203,11 @@ def comment_text(spark, sf):
     return table(spark, sf, "part").select("p_partkey", names.result_comment(F.col("p_name"), tags, warnings, F.col("p_size") / 50.0, F.when(F.col("p_type") == "SMALL", "UNKNOWN").otherwise(F.col("p_type"))).alias("comment"))
 
 
-@query()
+_CLEAN = lambda text: f"(SELECT CASE WHEN c = '' THEN 'unknown_func' ELSE substr(c, 1, 64) END FROM (SELECT {_SANITIZE.format(text)} AS c))"
+
+
+@query(f"""SELECT p_partkey, concat_ws(chr(10), printf('// Inferred structure  (confidence=%.2f)', p_size / 50.0::DOUBLE), 'typedef struct _' || {_CLEAN('p_name')} || ' {{',
+'    int        ' || {_CLEAN('p_brand')} || ';  // +0x00', '    QWORD      ' || {_CLEAN('p_type')} || ';  // +0x08 size', '}} ' || {_CLEAN('p_name')} || ';') AS text FROM part""")
 def struct_texts(spark, sf):
     fields = F.array(F.struct(F.lit(8).alias("offset"), F.col("p_type").alias("name"), F.lit("QWORD").alias("type"), F.lit("size").alias("purpose")), F.struct(F.lit(0).alias("offset"), F.col("p_brand").alias("name"), F.lit("int").alias("type"), F.lit("").alias("purpose")))
     return table(spark, sf, "part").select("p_partkey", names.struct_text(F.col("p_name"), F.col("p_size") / 50.0, fields).alias("text"))
@@ -307,7 +319,8 @@ def ai_topk(spark, sf):
     return triage.top_candidates(scored, 80, 3, include_named=False).select("ea", "name", "score")
 
 
-@query()
+@query(f"""WITH {_CONTEXT_SQL} SELECT count(*) AS total, count(*) FILTER (WHERE score >= 6) AS ai_analyzed, count(*) FILTER (WHERE priority IN ('high', 'critical')) AS high_or_critical,
+count(*) FILTER (WHERE score >= 9) AS suggestions, count(*) FILTER (WHERE score < 6) AS static_only FROM p""")
 def analysis_counts(spark, sf):
     scored = triage.review_score(_contexts(spark, sf)).withColumns({"ai_analyzed": F.col("score") >= 6, "apply": F.col("score") >= 9})
     return triage.analysis_summary(scored)
@@ -352,6 +365,12 @@ def run_counts(spark, sf):
     return state.run_counts(decision(spark, sf))
 
 
+@query(f"SELECT count(DISTINCT l_suppkey) AS n FROM lineitem JOIN {_API_TAGS_SQL} ON {_API_SQL}[l_partkey % {len(_API_LIST)} + 1] = d.api")
+def tagged_functions(spark, sf):
+    """How many functions of the program have any tag."""
+    return triage.tagged_count(triage.classify(triage.api_tags(_api_refs(spark, sf), triage.api_dimension(spark))))
+
+
 # Instruction passes and references
 
 
@@ -377,7 +396,17 @@ def single_target(spark, sf):
     return code.single_targets(call_edges(spark, sf, False).select("caller", F.col("callee").alias("target")))
 
 
-@query()
+_WRAPPERS_SQL = f"""WITH {EDGES_SQL}, {FUNCTIONS_SQL}, {INSTRUCTIONS_SQL}, one AS (SELECT caller, min(callee) AS target FROM raw GROUP BY caller HAVING count(DISTINCT callee) = 1),
+fc AS (SELECT func_ea, min(ea) FILTER (WHERE mnem = 'call') AS first FROM insn GROUP BY func_ea), ps AS (SELECT insn.func_ea, count(*) AS pushes FROM insn JOIN fc ON fc.func_ea = insn.func_ea WHERE mnem = 'push' AND ea < first GROUP BY insn.func_ea),
+w AS (SELECT caller, f.name AS old_name, regexp_replace(t.name, '^(j_|_+)', '') AS bare, coalesce(pushes, 0) AS n FROM one JOIN fn f ON caller = f.ea JOIN fn t ON target = t.ea LEFT JOIN ps ON caller = func_ea
+  WHERE ({_DEFAULT_SQL.format('f.name')} OR regexp_matches(f.name, '(?i)(wrapper|indirect|dynamic|dispatch|thunk|sub_)')) AND NOT {_DEFAULT_SQL.format('t.name')}),
+v AS (SELECT caller, old_name, CASE WHEN {_DEFAULT_SQL.format('old_name')} THEN 'resolve_and_call_' || bare || CASE WHEN n > 0 THEN '_a' || n ELSE '' END WHEN contains(lower(old_name), 'indirect') THEN 'indirect_call_' || bare ELSE 'wrap_' || bare END AS made FROM w),
+m AS (SELECT caller, old_name, substr({_SANITIZE.format('made')}, 1, 64) AS fresh FROM v), tk AS (SELECT name, min(ea) AS owner FROM fn GROUP BY name),
+x AS (SELECT m.*, owner, row_number() OVER (PARTITION BY fresh ORDER BY caller) AS nth FROM m LEFT JOIN tk ON fresh = name)
+SELECT caller AS ea, old_name, CASE WHEN (owner IS NOT NULL AND owner <> caller) OR nth > 1 THEN fresh || '_' || lower(to_hex(caller & 4095)) ELSE fresh END AS new_name FROM x"""
+
+
+@query(_WRAPPERS_SQL)
 def wrapper_names(spark, sf):
     single = code.single_targets(call_edges(spark, sf, False).select("caller", F.col("callee").alias("target")))
     return code.wrapper_names(single, functions(spark, sf), code.push_counts(instructions(spark, sf)))
@@ -423,13 +452,13 @@ def struct_offsets(spark, sf):
     return code.struct_offsets(code.struct_accesses(small, 10_000)).select("func_ea", F.array_join("offsets", ",").alias("offsets"))
 
 
-@query("""WITH f AS (SELECT s_suppkey * 1000 AS s, s_suppkey * 1000 + 700 AS e FROM supplier), r AS (SELECT l_orderkey * 8 + l_linenumber AS ord, 'text ' || (l_partkey % 50) AS string, l_partkey * 53 % 101000 AS address, CASE WHEN l_partkey % 9 = 0 THEN l_suppkey * 1000 END AS owner FROM lineitem WHERE l_linenumber = 1),
+@query("""WITH f AS (SELECT s_suppkey * 1000 AS s, s_suppkey * 1000 + 700 AS e FROM supplier), r AS (SELECT l_orderkey * 8 + l_linenumber AS ord, 'text ' || (l_partkey % 50) AS string, l_partkey * 53 % 101000 AS address, CASE WHEN l_partkey % 9 = 0 THEN l_suppkey * 1000 END AS owner FROM lineitem),
 b AS (SELECT s AS ea, ord, string FROM r JOIN f ON owner = s UNION ALL SELECT s, ord, string FROM r JOIN f ON address >= s AND address < e), g AS (SELECT ea, string AS value, min(ord) AS o FROM b GROUP BY 1, 2)
 SELECT ea, value FROM (SELECT *, row_number() OVER (PARTITION BY ea ORDER BY o) AS n FROM g) WHERE n <= 30""")
 def range_join(spark, sf):
     f = table(spark, sf, "supplier").select((F.col("s_suppkey") * 1000).alias("start"), (F.col("s_suppkey") * 1000 + 700).alias("end"))
     k = F.col("l_partkey")
-    r = table(spark, sf, "lineitem").filter("l_linenumber = 1").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("text "), k % 50).alias("string"), (k * 53 % 101000).alias("address"), F.when(k % 9 == 0, F.col("l_suppkey") * 1000).alias("function_ea"), F.lit("x").alias("kind"))
+    r = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("text "), k % 50).alias("string"), (k * 53 % 101000).alias("address"), F.when(k % 9 == 0, F.col("l_suppkey") * 1000).alias("function_ea"), F.lit("x").alias("kind"))
     return code.decoded_for_functions(r, f, width=1024).select("ea", "value")
 
 
@@ -490,16 +519,36 @@ def kahn_order(spark, sf):
     return graphs.callees_first(graphs.bottom_up_levels(_nodes(spark, sf), call_edges(spark, sf)))
 
 
-@query()
+_SCC_SQL = f"""WITH RECURSIVE {EDGES_SQL}, e AS (SELECT DISTINCT caller, callee FROM raw WHERE caller <> callee), nd AS (SELECT caller AS ea FROM raw UNION SELECT callee FROM raw),
+r(a, b) AS (SELECT caller, callee FROM e UNION SELECT r.a, e.callee FROM r JOIN e ON r.b = e.caller),
+mutual AS (SELECT x.a AS ea, min(x.b) AS low FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+scc AS (SELECT nd.ea, least(nd.ea, coalesce(low, nd.ea)) AS component FROM nd LEFT JOIN mutual ON nd.ea = mutual.ea),
+cyc AS (SELECT ea, component AS group_id FROM scc WHERE component IN (SELECT component FROM scc GROUP BY component HAVING count(*) > 1) OR ea IN (SELECT caller FROM raw WHERE caller = callee))"""
+
+
+@query(f"{_SCC_SQL} SELECT ea, component FROM scc")
 def scc_groups(spark, sf):
     return graphs.strong_components(call_edges(spark, sf, False))
 
 
-@query()
+@query(f"{_SCC_SQL} SELECT ea, group_id FROM cyc")
 def cycle_split(spark, sf):
     return graphs.cyclic_nodes(call_edges(spark, sf, False))
 
 
+@query(f"""{_SCC_SQL}, rest AS (SELECT * FROM e WHERE caller NOT IN (SELECT ea FROM cyc) AND callee NOT IN (SELECT ea FROM cyc)),
+walk(ea, level) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey NOT IN (SELECT caller FROM rest) AND c_custkey NOT IN (SELECT ea FROM cyc) UNION SELECT rest.caller, walk.level + 1 FROM walk JOIN rest ON rest.callee = walk.ea)
+SELECT ea, max(level)::INT AS level, false AS is_cycle, NULL::BIGINT AS group_id FROM walk GROUP BY ea UNION ALL SELECT ea, NULL, true, group_id FROM cyc WHERE ea IN (SELECT c_custkey FROM customer)""")
+def levels_with_cycles(spark, sf):
+    """Levels on a graph that has cycles: their members have a group and no level."""
+    return graphs.bottom_up_levels(_nodes(spark, sf), call_edges(spark, sf, False))
+
+
+@query(f"{_LEVELS_SQL} SELECT ea FROM lv WHERE level = 1")
+def level_members(spark, sf):
+    return graphs.level_members(graphs.bottom_up_levels(_nodes(spark, sf), call_edges(spark, sf)), 1)
+
+
 @query()
 def back_edges(spark, sf):
     return graphs.back_edges(call_edges(spark, sf, False).withColumn("program_id", F.col("caller") % 7)).withColumn("path", F.array_join("path", ">"))
@@ -549,7 +598,9 @@ def child_context(spark, sf):
 # Answers
 
 
-@query()
+@query("""SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN '{"name": "fun ' || k || '", "confidence": 0.75, "evidence": ["calls"], "category": "util"}'
+WHEN 1 THEN '{"name": "steal_' || k || '", "confidence": 0.9, "category": "weird", "tags": ["file", "x"]}' WHEN 2 THEN '{"name": "n' || k || '", "confidence": 2}' WHEN 3 THEN 'no json ' || k WHEN 4 THEN '{}'
+ELSE '{"function_name": "/' || k || '", "score": 0.25, "evidence": "one"}' END AS repaired FROM (SELECT event_id, regexp_extract(props, '([0-9]+)', 1) AS k FROM events)""")
 def json_repair(spark, sf):
     return messy(spark, sf).select("id", answers.repair_json(F.col("raw")).alias("repaired"))
 
@@ -568,7 +619,8 @@ def validate_result(spark, sf):
     return rows.select("id", F.array_join(answers.answer_issues(F.col("r")), ";").alias("issues"))
 
 
-@query()
+@query("""SELECT id, CASE m WHEN 5 THEN 'unknown_func' ELSE 'sub_' || id END AS function_name, CASE m WHEN 0 THEN 0.75 WHEN 1 THEN 0.5 WHEN 2 THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence, CASE m WHEN 0 THEN 'UTIL' ELSE 'UNKNOWN' END AS category,
+'low' AS priority, false AS apply, CASE WHEN m IN (0, 5) THEN '' ELSE 'evidence missing' END AS issues FROM (SELECT event_id AS id, event_id % 6 AS m FROM events)""")
 def normalize_analysis(spark, sf):
     rows = answers.with_parsed(messy(spark, sf), "raw").select("id", answers.normalize_analysis(F.col("parsed"), F.concat(F.lit("sub_"), "id")).alias("r"))
     return rows.select("id", "r.function_name", "r.confidence", "r.category", "r.priority", "r.rename_recommendation.apply", F.array_join(answers.analysis_issues(F.col("r")), ";").alias("issues"))
@@ -618,10 +670,10 @@ def queue_upsert(spark, sf):
     return state.upsert_queue(q, _new_rows(q)).select("kind", "ea", "suggested_name", "status", "ord")
 
 
-@query(f"WITH {QUEUE_SQL} SELECT ord, row_number() OVER (ORDER BY n_deps > 0, dependency_level, n_deps, ts, ord) AS place FROM q WHERE status = 'pending' ORDER BY place LIMIT 200")
+@query(f"WITH {QUEUE_SQL} SELECT ord, row_number() OVER (ORDER BY n_deps > 0, dependency_level, n_deps, ts, ord) AS place FROM q WHERE status = 'pending'")
 def queue_sort(spark, sf):
-    top = state.sort_queue(review_queue(spark, sf).filter("status = 'pending'")).limit(200)
-    return top.select("ord", F.row_number().over(Window.orderBy(*state.queue_order())).cast("long").alias("place"))
+    pending = review_queue(spark, sf).filter("status = 'pending'")
+    return graphs.numbered(pending, state.queue_order()).select("ord", "place")
 
 
 @query(f"WITH {QUEUE_SQL} SELECT ord, CASE WHEN status = 'pending' AND ord % 4 = 1 THEN 'rejected' ELSE status END AS status FROM q")
@@ -720,7 +772,8 @@ def code_texts(spark, sf):
     return code.code_text(f, lines, most=20).withColumn("code", F.md5(F.col("code").cast("binary")))
 
 
-@query()
+@query(f"""SELECT (SELECT count(*) FROM ({ORACLES["hash_lookup"]})) AS hash_loads, (SELECT count(*) FROM ({ORACLES["pass2_lastload"]})) AS indirect_calls,
+(SELECT count(DISTINCT func_ea) FROM ({ORACLES["pass3_cmp_jcc"]})) AS dispatchers, (SELECT count(*) FROM ({_WRAPPERS_SQL})) AS wrappers""")
 def four_passes(spark, sf):
     insn, fn = instructions(spark, sf), functions(spark, sf)
     single = code.single_targets(call_edges(spark, sf, False).select("caller", F.col("callee").alias("target")))
