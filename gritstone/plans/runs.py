@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import answers, names
+from ..functions import answers, names, prompts
 from ..operators import code, graphs, indicators, state, triage
 from ..settings import Settings, request_size
 from ..sources.provider import ask, offline
@@ -53,8 +53,26 @@ def analyze_program(contexts: DataFrame, edges: DataFrame, roots: DataFrame, nod
     return {"nodes": kept, "edges": inner, "skipped": skipped, "scores": scored.select("ea", "name", "score", "priority", "reasons", "tags"), "results": every, "suggestions": suggestions, "summary": triage.analysis_summary(marked)}
 
 
+def ask_in_batches(items: DataFrame, batches: DataFrame, settings: Settings, provider: Callable[[str, str], str]) -> DataFrame:
+    """(ea, raw) of items (ea, name, ord, prompt) that a batch's answer names; one request for each batch of batches (ea, batch).
+
+    An answer is an object of results under the functions' names; functions of one name in a batch share theirs. The answer to a
+    request for one function may be that function's result itself.
+    """
+    rows = items.join(batches, "ea")
+    requests = rows.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("ord", "prompt"))).alias("p"), F.count("*").alias("n"))
+    text = F.concat_ws("\n\n", F.lit(prompts.instruction(settings.naming_mode)), F.array_join("p.prompt", "\n\n"))
+    raw = ask(requests.select(F.col("batch").alias("id"), text.alias("prompt")), provider, settings.api_keys or ("offline",), workers=settings.request_workers)
+    parsed = answers.with_parsed(raw, "raw").filter("parse_error IS NULL").select(F.col("id").cast("int").alias("batch"), "parsed")
+    by_name = F.try_variant_get("parsed", "$", "map<string,variant>")
+    alone = F.when((F.col("n") == 1) & (F.try_variant_get("parsed", "$.name", "string").isNotNull() | F.try_variant_get("parsed", "$.function_name", "string").isNotNull()), F.col("parsed"))
+    found = rows.join(parsed, "batch").join(requests.select("batch", "n"), "batch")
+    return found.select("ea", F.to_json(F.coalesce(F.try_element_at(by_name, F.col("name")), alone)).alias("raw")).filter("raw IS NOT NULL")
+
+
 def rename_program(candidates: DataFrame, edges: DataFrame, settings: Settings, provider: Callable[[str, str], str] = offline, cache: DataFrame | None = None, queue: DataFrame | None = None) -> dict[str, DataFrame]:
-    """outcomes (ea, old_name, name, confidence, outcome, level), the request estimate, and the level at which a strict run paused.
+    """outcomes (ea, old_name, name, confidence, outcome, level), the request estimate, and the level at which a strict run paused; answers
+    (ea, raw) to put in the cache, the number of requests sent, and unasked (ea), which the cap on requests left out.
 
     candidates (ea, name and prompt fields). best_effort asks for everything at once, callees first; strict finishes a level before
     the next and pauses when something waits for review; proposal-aware hands pending names of callees to their callers and
@@ -65,7 +83,7 @@ def rename_program(candidates: DataFrame, edges: DataFrame, settings: Settings,
     candidates = graphs.saved(graphs.reduced_scope(candidates, inner, s.max_functions_per_rename_run).select(*candidates.columns))
     inner = graphs.saved(graphs.edges_within(inner, candidates))
     levels = graphs.saved(graphs.bottom_up_levels(candidates.select("ea"), inner))
-    known = cache.select("ea", "raw") if cache is not None else candidates.filter("false").select("ea", F.lit(None).cast("string").alias("raw"))
+    known = cache.select("ea", "raw") if cache is not None and s.enable_cache else candidates.filter("false").select("ea", F.lit(None).cast("string").alias("raw"))
     size = s.batch_size if s.rename_order == "best_effort_bottom_up" else request_size(s, s.rename_order)
     estimate = graphs.request_estimate(levels if s.rename_order != "best_effort_bottom_up" else levels.withColumns({"level": F.lit(0), "group_id": F.lit(None).cast("long")}), known, size, s.max_ai_requests_per_run, s.warn_if_estimated_requests_above)
     steps = [(None, levels)]
@@ -74,7 +92,8 @@ def rename_program(candidates: DataFrame, edges: DataFrame, settings: Settings,
         steps = [(k, levels.filter(F.col("level").eqNullSafe(F.lit(g["level"])) & F.col("group_id").eqNullSafe(F.lit(g["group_id"])))) for k, g in enumerate(groups)]
     virtual = state.virtual_names(candidates, queue) if queue is not None else candidates.select("ea", F.col("name").alias("idb_name"), F.col("name").alias("suggested_name"), F.lit(1.0).alias("confidence"), F.lit("applied").alias("status"), F.lit(-1).alias("level"))
     virtual = graphs.saved(virtual.withColumn("evidence", F.array().cast("array<string>")))
-    outcomes, paused = None, None
+    order = graphs.saved(graphs.callees_first(levels))
+    outcomes, paused, sent, retried, asked_rows, unasked = None, None, 0, 0, None, candidates.select("ea").filter("false")
     for k, (step, members) in enumerate(steps):
         now = candidates.join(members.select("ea"), "ea")
         children = graphs.child_context(inner, virtual)
@@ -83,8 +102,22 @@ def rename_program(candidates: DataFrame, edges: DataFrame, settings: Settings,
         prompt = code.prompt_text(F.struct("name", "callees", "callers", "strings", "decoded", "apis", "constants", "pre_tags", "hints", "code"))
         prompt = F.concat_ws("\n", prompt, F.col("context")) if with_children else prompt
         hits = now.join(known, "ea").select("ea", "raw")
-        asked = ask(now.join(known.select("ea"), "ea", "left_anti").select(F.col("ea").alias("id"), prompt.alias("prompt")), provider, s.api_keys or ("offline",))
-        raw = graphs.saved(hits.unionByName(asked.select(F.col("id").alias("ea"), "raw")))
+        items = graphs.saved(now.join(known.select("ea"), "ea", "left_anti").join(order, "ea").select("ea", "name", "ord", prompt.alias("prompt")))
+        packed = graphs.packed_batches(items.select("ord", F.length("prompt").alias("chars")), names.budget_chars(s.model), size)
+        batches = graphs.saved(items.select("ea", "ord").join(packed, "ord").select("ea", "batch"))
+        left = max(0, s.max_ai_requests_per_run - sent)
+        unasked = unasked.union(batches.filter(F.col("batch") >= left).select("ea"))
+        batches = batches.filter(F.col("batch") < left)
+        sent += batches.select("batch").distinct().count()
+        asked = graphs.saved(ask_in_batches(items, batches, s, provider))
+        missing = graphs.saved(items.join(batches.select("ea"), "ea", "left_semi").join(asked.select("ea"), "ea", "left_anti"))
+        if s.max_retry_requests_per_run > retried and not missing.isEmpty():
+            again = graphs.saved(graphs.retry_batches(missing.select("ea", "ord"), size, s.retry_batch_shrink_factor, s.max_retry_requests_per_run - retried))
+            retried += again.select("batch").distinct().count()
+            asked = graphs.saved(asked.union(ask_in_batches(missing, again, s, provider)))
+        asked_rows = asked if asked_rows is None else asked_rows.union(asked)
+        failed = missing.join(asked.select("ea"), "ea", "left_anti").select("ea", F.lit(None).cast("string").alias("raw"))
+        raw = graphs.saved(hits.unionByName(asked).unionByName(failed))
         rows = answers.with_parsed(raw, "raw").join(now.select("ea", "name", "least_confidence"), "ea")
         rows = rows.select("ea", F.col("name").alias("old_name"), "least_confidence", answers.normalize_answer(F.col("parsed"), F.col("name"), s.prefix, s.require_evidence).alias("r"))
         conf = F.col("r.confidence")
@@ -93,13 +126,15 @@ def rename_program(candidates: DataFrame, edges: DataFrame, settings: Settings,
         out = triage.decision(F.col("r.error"), F.col("r.name"), F.col("old_name"), conf, F.size("r.evidence"), s.review_mode, s.auto_apply_confidence, s.comment_only_below_confidence, s.require_evidence)
         done = graphs.saved(rows.select("ea", "old_name", "r.name", conf.alias("confidence"), "r.evidence", out.alias("outcome"), F.lit(k).alias("level")))
         outcomes = done if outcomes is None else outcomes.union(done)
+        if k % 16 == 15:
+            outcomes, asked_rows = graphs.saved(outcomes), graphs.saved(asked_rows)
         status = F.when(F.col("outcome") == "renamed", "applied").otherwise("pending_review")
         fresh = done.filter("outcome IN ('renamed', 'queued')").select("ea", F.when(F.col("outcome") == "renamed", F.col("name")).otherwise(F.col("old_name")).alias("idb_name"), F.col("name").alias("suggested_name"), "confidence", status.alias("status"), F.lit(k).alias("level"), F.slice("evidence", 1, 8).alias("evidence"))
         virtual = graphs.saved(virtual.join(fresh.select("ea"), "ea", "left_anti").unionByName(fresh.select(*virtual.columns)))
         if s.rename_order == "strict_bottom_up" and s.review_mode and s.strict_pause_for_review and not done.filter("outcome = 'queued'").isEmpty():
             paused = step
             break
-    return {"outcomes": outcomes.drop("evidence"), "counts": state.run_counts(outcomes), "estimate": estimate, "virtual": virtual, "paused": candidates.sparkSession.range(1).select(F.lit(paused).cast("int").alias("level"))}
+    return {"outcomes": outcomes.drop("evidence"), "counts": state.run_counts(outcomes), "estimate": estimate, "virtual": virtual, "answers": asked_rows, "unasked": unasked, "requests": candidates.sparkSession.range(1).select(F.lit(sent).alias("sent"), F.lit(retried).alias("retried")), "paused": candidates.sparkSession.range(1).select(F.lit(paused).cast("int").alias("level"))}
 
 
 def history_items(outcomes: DataFrame, batch_id: str, provider: str, model: str) -> DataFrame:

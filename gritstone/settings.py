@@ -14,7 +14,11 @@ class Settings:
     # The defaults.
     provider: str = "gemini"
     model: str = "gemini-2.5-flash-preview-04-17"
+    base_url: str = ""
     api_keys: tuple[str, ...] = ()
+    timeout_sec: int = 60
+    request_workers: int = 0
+    naming_mode: str = "conservative"
     skip_named: bool = True
     use_pseudocode: bool = True
     prefix: str = ""

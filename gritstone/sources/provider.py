@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -54,15 +55,107 @@ class KeyRing:
             raise ProviderError(message[:300], kind)
 
 
-def offline(prompt: str, key: str) -> str:
-    """A deterministic stand-in for a model: names a function after the first call or API its prompt lists."""
+def by_section(one: Callable[[str, str], str]) -> Callable[[str, str], str]:
+    """A provider for requests of several functions from one for a single function: an object of answers under the functions' names.
+
+    A function's part begins with the line `--- NAME ---`; what stands before the first such line goes to all of them.
+    """
+
+    def many(prompt: str, key: str) -> str:
+        parts = re.split(r"(?m)^--- (.+) ---$", prompt)
+        if len(parts) == 1:
+            return one(prompt, key)
+        return json.dumps({name: json.loads(one(f"--- {name} ---{body}", key)) for name, body in zip(parts[1::2], parts[2::2])})
+
+    return many
+
+
+def _named_by_calls(prompt: str, key: str) -> str:
     calls = next((line.split(": ", 1)[1].split(", ")[0] for line in prompt.split("\n") if line.startswith(("// APIs: ", "// Calls: "))), "")
     name = f"call_{calls}" if calls else prompt.split("\n", 1)[0].strip("- ")
     return json.dumps({"name": name, "confidence": 0.7 if calls else 0.3, "category": "UTIL", "evidence": [f"calls {calls}"] if calls else []})
 
 
-def ask(requests: DataFrame, provider: Callable[[str, str], str] = offline, keys: tuple[str, ...] = ("offline",), tries: int = 4) -> DataFrame:
-    """(id, raw, error) for requests (id, prompt); one partition for each key, so keys work side by side.
+def offline(prompt: str, key: str) -> str:
+    """A deterministic stand-in for a model. It names a function after the first call or API its prompt lists; several functions get an
+    answer each, by name. Structures, prototypes and variables get plain names from what the prompt lists."""
+    task, field = re.match(r"Task: (\w+)", prompt), lambda title: next((line.split(": ", 1)[1] for line in prompt.split("\n") if line.startswith(f"{title}: ")), "")
+    if task and task[1] == "structure":
+        return json.dumps({"struct_name": f"{field('Function')}_data", "confidence": 0.7, "fields": [{"offset": int(o, 16), "name": f"field_{o}", "type": "QWORD"} for o in re.findall(r"0x([0-9a-f]+) ", field("Offsets") + " ")]})
+    if task and task[1] == "prototype":
+        return json.dumps({"prototype": f"int {field('Function')}(void)", "confidence": 0.6, "reason": "no arguments seen"})
+    if task and task[1] == "variables":
+        return json.dumps({"variables": [{"old_name": name, "new_name": f"{kind}_{i}", "confidence": 0.6, "reason": f"a {kind}"} for i, (name, kind) in enumerate(re.findall(r"(?m)^- (\S+) : (\w+)", prompt))]})
+    if len(re.findall(r"(?m)^--- .+ ---$", prompt)) > 1:
+        return by_section(_named_by_calls)(prompt, key)
+    return _named_by_calls(prompt[max(0, prompt.find("--- ")) :], key)
+
+
+#: Public addresses that the named services answer at; local ones for programs on the same machine.
+BASE_URLS = {"gemini": "https://generativelanguage.googleapis.com/v1beta", "groq": "https://api.groq.com/openai/v1", "openai": "https://api.openai.com/v1", "ollama": "http://127.0.0.1:11434", "lmstudio": "http://127.0.0.1:1234/v1"}
+KEYLESS = ("ollama", "lmstudio")
+
+
+def http_request(kind: str, model: str, prompt: str, key: str, base_url: str = "", temperature: float = 0.1, max_tokens: int = 900, chat: bool = True) -> tuple[str, dict, dict]:
+    """(url, headers, body) of one request to a service: gemini, ollama without its chat form, or any that speaks the chat-completions form."""
+    base = (base_url or BASE_URLS.get(kind, "")).rstrip("/")
+    if not base:
+        raise ProviderError(f"{kind} needs a base_url", "unknown_error")
+    if kind == "gemini":
+        return f"{base}/models/{model}:generateContent", {"x-goog-api-key": key}, {"contents": [{"parts": [{"text": prompt}]}], "generationConfig": {"temperature": temperature, "maxOutputTokens": max_tokens}}
+    messages = [{"role": "user", "content": prompt}]
+    if kind == "ollama" and not chat:
+        return f"{base}/api/chat", {}, {"model": model, "messages": messages, "stream": False, "options": {"temperature": temperature}}
+    if kind == "ollama":
+        base += "/v1"
+    return f"{base}/chat/completions", {} if kind in KEYLESS else {"Authorization": f"Bearer {key}"}, {"model": model, "messages": messages, "temperature": temperature, "max_tokens": max_tokens}
+
+
+def answer_text(kind: str, reply: dict) -> str:
+    """The text in a service's reply; empty where it has none."""
+    if kind == "gemini":
+        return "".join(p.get("text", "") for c in reply.get("candidates", [])[:1] for p in c.get("content", {}).get("parts", []))
+    if "message" in reply:
+        return reply["message"].get("content") or ""
+    return next((c.get("message", {}).get("content") or "" for c in reply.get("choices", [])), "")
+
+
+def post(url: str, headers: dict, body: dict, timeout: float) -> dict:
+    import urllib.request
+
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
+    with urllib.request.urlopen(request, timeout=timeout) as reply:
+        return json.loads(reply.read())
+
+
+def service(kind: str, model: str, base_url: str = "", temperature: float = 0.1, timeout: float = 60, send: Callable = post) -> Callable[[str, str], str]:
+    """A provider over HTTP. ollama is asked in the chat-completions form first and in its own form if that fails."""
+
+    def call(prompt: str, key: str) -> str:
+        try:
+            return answer_text(kind, send(*http_request(kind, model, prompt, key, base_url, temperature), timeout))
+        except Exception:
+            if kind != "ollama":
+                raise
+            return answer_text(kind, send(*http_request(kind, model, prompt, key, base_url, temperature, chat=False), timeout))
+
+    return call
+
+
+def make_provider(settings, send: Callable = post) -> Callable[[str, str], str]:
+    """The provider that settings (provider, model, base_url, api_keys) name; services that need a key are refused without one."""
+    kind = settings.provider.strip().lower()
+    if kind == "offline":
+        return offline
+    if kind not in (*BASE_URLS, "openai_compatible"):
+        raise ProviderError(f"no provider is called {kind}", "unknown_error")
+    if kind not in KEYLESS and not any(k.strip() for k in settings.api_keys):
+        raise ProviderError(f"{kind} needs an API key", "auth_error")
+    return service(kind, settings.model, settings.base_url, timeout=settings.timeout_sec, send=send)
+
+
+def ask(requests: DataFrame, provider: Callable[[str, str], str] = offline, keys: tuple[str, ...] = ("offline",), tries: int = 4, workers: int = 0) -> DataFrame:
+    """(id, raw, error) for requests (id, prompt) from `workers` tasks side by side, each beginning with its own key; 0: one for each key.
 
     A failed request has a null raw and the kind of its error; it does not stop the others.
     """
@@ -94,5 +187,6 @@ def ask(requests: DataFrame, provider: Callable[[str, str], str] = offline, keys
                 errors.append(error)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raws, pa.string()), pa.array(errors, pa.string())], ["id", "raw", "error"])
 
-    spread = requests.select(F.col("id").cast("long").alias("id"), "prompt", F.pmod(F.xxhash64("id"), F.lit(len(keys))).cast("int").alias("part"))
-    return spread.repartition(len(keys), "part").mapInArrow(run, "id long, raw string, error string")
+    tasks = workers or len(keys)
+    spread = requests.select(F.col("id").cast("long").alias("id"), "prompt", F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int").alias("part"))
+    return spread.repartition(tasks, "part").mapInArrow(run, "id long, raw string, error string")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from gritstone import settings
 from gritstone.operators import contexts
 from gritstone.plans import queries, runs, tables
-from gritstone.sources import store
+from gritstone.plans import drivers
+from gritstone.sources import provider, store
 
 FIELDS = "ea long, name string, callees array<string>, callers array<string>, strings array<string>, decoded array<string>, apis array<string>, constants array<string>, pre_tags array<string>, hints array<string>, n_insn int, code string"
 
@@ -34,7 +35,7 @@ def test_settings():
 
 @pytest.mark.parametrize("order", settings.ORDERS)
 def test_rename_runs(spark, order):
-    got = runs.rename_program(frame(spark), edges(spark), settings.Settings(rename_order=order, review_mode=False), sure)
+    got = runs.rename_program(frame(spark), edges(spark), settings.Settings(rename_order=order, review_mode=False), provider.by_section(sure))
     out = {r["ea"]: r for r in got["outcomes"].collect()}
     assert set(out) == set(range(5)) and all(r["outcome"] == "renamed" for r in out.values())
     if order != "best_effort_bottom_up":
@@ -44,7 +45,7 @@ def test_rename_runs(spark, order):
 
 
 def test_strict_run_pauses(spark):
-    got = runs.rename_program(frame(spark), edges(spark), settings.Settings(rename_order="strict_bottom_up"), sure)
+    got = runs.rename_program(frame(spark), edges(spark), settings.Settings(rename_order="strict_bottom_up"), provider.by_section(sure))
     assert got["paused"].first()["level"] == 0
     assert {r["ea"]: r["outcome"] for r in got["outcomes"].collect()} == {2: "queued"}
     assert runs.queue_items(got["outcomes"]).columns == spark.createDataFrame([], store.SCHEMAS["queue"]).columns
@@ -54,7 +55,7 @@ def test_children_hold_confidence_down(spark):
     def weak_leaf(prompt, key):
         return json.dumps({"name": "n" + prompt.split("\n")[0].strip("- "), "confidence": 0.7 if "sub_2" in prompt.split("\n")[0] else 0.95, "evidence": ["e"]})
 
-    got = runs.rename_program(frame(spark), edges(spark), settings.Settings(rename_order="proposal_aware_bottom_up", review_mode=False), weak_leaf)
+    got = runs.rename_program(frame(spark), edges(spark), settings.Settings(rename_order="proposal_aware_bottom_up", review_mode=False), provider.by_section(weak_leaf))
     out = {r["ea"]: (r["confidence"], r["outcome"]) for r in got["outcomes"].collect()}
     assert out[2] == (0.7, "queued") and out[1] == (0.88, "renamed")
 
@@ -133,3 +134,73 @@ def test_contexts_and_report_take_every_decoded_string(spark):
             times[x] += 1
     best = sorted(times.items(), key=lambda x: (-x[1], x[0]))[:40]
     assert sorted((r["value"], r["n"]) for r in queries.QUERIES["forensic_top_decoded"](spark, sf).collect()) == sorted(best)
+
+
+def counting(tmp_path, one):
+    """A provider that notes each request in a file, as tasks run in other processes."""
+
+    def ask(prompt, key):
+        with open(tmp_path / "asked", "a") as f:
+            f.write(str(prompt.count("\n--- ")) + "\n")
+        return provider.by_section(one)(prompt, key)
+
+    return ask
+
+
+def test_batches_answers_by_name_and_cap(spark, tmp_path):
+    s = settings.Settings(review_mode=False, batch_size=2, max_ai_requests_per_run=2)
+    got = runs.rename_program(frame(spark), edges(spark), s, counting(tmp_path, sure))
+    out = {r["ea"]: r for r in got["outcomes"].collect()}
+    assert len(out) == 4 and all(r["name"] == f"n_sub_{ea}" for ea, r in out.items())
+    assert {r["ea"] for r in got["unasked"].collect()} | set(out) == set(range(5))
+    assert (tmp_path / "asked").read_text().split() == ["2", "2"] and got["requests"].first().asDict() == {"sent": 2, "retried": 0}
+    assert {r["ea"] for r in got["answers"].collect()} == set(out)
+
+
+def test_left_out_functions_are_asked_again(spark, tmp_path):
+    def forgetful(prompt, key):
+        """Answers only for the first function of a request, and never for sub_4."""
+        first = json.loads(provider.by_section(sure)(prompt, key))
+        return json.dumps({k: v for k, v in list(first.items())[:1] if k != "sub_4"})
+
+    s = settings.Settings(review_mode=False, batch_size=4, max_functions_per_request=4, min_functions_per_request=1)
+    got = runs.rename_program(frame(spark), edges(spark), s, forgetful)
+    out = {r["ea"]: r["outcome"] for r in got["outcomes"].collect()}
+    counts = got["requests"].first()
+    assert set(out) == set(range(5)) and counts["sent"] == 2 and 1 <= counts["retried"] <= 5
+    assert out[4] == "failed_queued" and sum(v == "renamed" for v in out.values()) >= 3
+
+
+def test_drivers(spark):
+    s = settings.Settings()
+    ctx = frame(spark)
+    acc = spark.createDataFrame([(1, 8), (1, 16), (3, 8)], "func_ea long, offset long")
+    got = {r["ea"]: r for r in drivers.structures(ctx, acc, s).collect()}
+    assert set(got) == {1, 3} and [f["offset"] for f in got[1]["fields"]] == [8, 16]
+    assert "typedef struct _sub_1_data {" in got[1]["definition"] and got[3]["note"] == "[AI-Struct] Struct: sub_3_data (fields: field_8@+8)"
+    protos = drivers.prototypes(ctx, s)
+    assert {(r["ea"], r["new_prototype"]) for r in protos.collect()} == {(i, f"int sub_{i}(void);") for i in range(5)}
+    assert protos.columns == spark.createDataFrame([], store.SCHEMAS["queue"]).columns
+    local = spark.createDataFrame([(2, 0, "v1", "int", False), (2, 1, "v2", "char", True)], "ea long, ord int, name string, type string, is_arg boolean")
+    assert [(r["old_var"], r["new_var"], r["confidence"]) for r in drivers.variables(ctx, local, s).sort("old_var").collect()] == [("v1", "int_0", 0.6), ("v2", "char_1", 0.6)]
+    assert drivers.structures(ctx, acc, s, lambda prompt, key: "no json").count() == 0
+
+
+def test_services():
+    sent = []
+
+    def send(url, headers, body, timeout):
+        sent.append((url, headers, body))
+        if url.endswith("/v1/chat/completions") and ":11434" in url:
+            raise OSError("connection refused")
+        return {"message": {"content": "own"}} if url.endswith("/api/chat") else {"choices": [{"message": {"content": "chat"}}]} if "contents" not in body else {"candidates": [{"content": {"parts": [{"text": "g"}]}}]}
+
+    make = lambda **k: provider.make_provider(settings.Settings(**k), send)
+    assert make(provider="gemini", model="m", api_keys=("k",))("p", "k") == "g" and sent[-1][0].endswith("/models/m:generateContent")
+    assert make(provider="groq", api_keys=("k",))("p", "k2") == "chat" and sent[-1][1] == {"Authorization": "Bearer k2"}
+    assert make(provider="ollama")("p", "") == "own" and make(provider="lmstudio")("p", "") == "chat"
+    assert make(provider="openai_compatible", base_url="http://x/v1/", api_keys=("k",))("p", "k") == "chat" and sent[-1][0] == "http://x/v1/chat/completions"
+    for bad in ({"provider": "openai"}, {"provider": "none"}):
+        with pytest.raises(provider.ProviderError):
+            make(**bad)
+    assert make(provider="offline") is provider.offline
