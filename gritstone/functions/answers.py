@@ -15,18 +15,27 @@ PRIORITIES = ("low", "medium", "high", "critical")
 OVERCLAIMS = ("exfiltrate", "steal", "backdoor", "c2", "c&c", "keylog", "rootkit", "bootkit", "ransom")
 
 
+# What repair and reading look for: fences, what stands before the first and after the last bracket, commas before a
+# closing bracket, the outermost braces, a fenced object.
+FENCE, BEFORE, AFTER, LOOSE_COMMA = r"```(?:json)?\s*", r"(?s)^[^\[{]+(?=[\[{])", r"(?s)(?<=[}\]])[^}\]]*$", r",\s*([}\]])"
+BRACES, FENCED = r"(?s)(\{.*\})", r"(?s)```json\s*(\{.*?\})\s*```"
+# The issues of an answer and of an analysis.
+ISSUES = ("invalid name", "confidence out of range", "unknown category", "evidence missing or empty")
+ANALYSIS_ISSUES = ("evidence missing", "confidence out of range", "invalid priority", "invalid category", "rename recommendation missing name")
+
+
 def _parsed(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
 def repair_json(text: Column) -> Column:
     """Strip fences and prose, straighten quotes, drop trailing commas; single quotes turn double if that parses."""
-    s = F.regexp_replace(F.coalesce(text, F.lit("")), r"```(?:json)?\s*", "")
+    s = F.regexp_replace(F.coalesce(text, F.lit("")), FENCE, "")
     # from the first opening bracket to the last closing one
-    s = F.regexp_replace(s, r"(?s)^[^\[{]+(?=[\[{])", "")
-    s = F.regexp_replace(s, r"(?s)(?<=[}\]])[^}\]]*$", "")
+    s = F.regexp_replace(s, BEFORE, "")
+    s = F.regexp_replace(s, AFTER, "")
     s = F.translate(s, "“”‘’", "\"\"''")
-    s = F.regexp_replace(s, r",\s*([}\]])", "$1")
+    s = F.regexp_replace(s, LOOSE_COMMA, "$1")
 
     def straightened(s: Column) -> Column:
         single = (F.length(s) - F.length(F.replace(s, F.lit("'"), F.lit(""))) >= 2) & ~F.contains(F.substring(s, 1, 20), F.lit('"'))
@@ -40,7 +49,7 @@ def parse_json(text: Column) -> Column:
     a fenced block. Null if none does or there is no text."""
 
     def readings(form: Column) -> list[Column]:
-        return [_parsed(form), _parsed(F.regexp_extract(form, r"(?s)(\{.*\})", 1)), _parsed(F.regexp_extract(form, r"(?s)```json\s*(\{.*?\})\s*```", 1))]
+        return [_parsed(form), _parsed(F.regexp_extract(form, BRACES, 1)), _parsed(F.regexp_extract(form, FENCED, 1))]
 
     mended = bound(repair_json(text), lambda form: F.coalesce(*readings(form)))
     return F.when(F.coalesce(text, F.lit("")) != "", F.coalesce(*readings(text), mended))
@@ -112,10 +121,10 @@ def normalize_answer(v: Column, original: Column, prefix: str = "", require_evid
 def answer_issues(r: Column) -> Column:
     """What is wrong with a normalised answer; empty if nothing."""
     issues = F.array(
-        F.when(~F.coalesce(r["name"], F.lit("")).rlike("^[a-zA-Z_][a-zA-Z0-9_]{0,63}$"), "invalid name"),
-        F.when(~F.coalesce(r["confidence"].between(0, 1), F.lit(False)), "confidence out of range"),
-        F.when(~F.coalesce(r["category"].isin(*CATEGORIES), F.lit(False)), "unknown category"),
-        F.when(F.size(F.coalesce(r["evidence"], F.array().cast("array<string>"))) == 0, "evidence missing or empty"),
+        F.when(~F.coalesce(r["name"], F.lit("")).rlike("^[a-zA-Z_][a-zA-Z0-9_]{0,63}$"), ISSUES[0]),
+        F.when(~F.coalesce(r["confidence"].between(0, 1), F.lit(False)), ISSUES[1]),
+        F.when(~F.coalesce(r["category"].isin(*CATEGORIES), F.lit(False)), ISSUES[2]),
+        F.when(F.size(F.coalesce(r["evidence"], F.array().cast("array<string>"))) == 0, ISSUES[3]),
     )
     return F.array_compact(issues)
 
@@ -149,11 +158,11 @@ def normalize_analysis(v: Column, original: Column, threshold: float = 0.85) ->
 def analysis_issues(r: Column) -> Column:
     return F.array_compact(
         F.array(
-            F.when(F.size(F.coalesce(r["evidence"], F.array().cast("array<string>"))) == 0, "evidence missing"),
-            F.when(~F.coalesce(r["confidence"].between(0, 1), F.lit(False)), "confidence out of range"),
-            F.when(~F.coalesce(r["priority"].isin(*PRIORITIES), F.lit(False)), "invalid priority"),
-            F.when(~F.coalesce(r["category"].isin(*ANALYZER_CATEGORIES), F.lit(False)), "invalid category"),
-            F.when(r["rename_recommendation"]["apply"] & (F.coalesce(r["rename_recommendation"]["name"], F.lit("")) == ""), "rename recommendation missing name"),
+            F.when(F.size(F.coalesce(r["evidence"], F.array().cast("array<string>"))) == 0, ANALYSIS_ISSUES[0]),
+            F.when(~F.coalesce(r["confidence"].between(0, 1), F.lit(False)), ANALYSIS_ISSUES[1]),
+            F.when(~F.coalesce(r["priority"].isin(*PRIORITIES), F.lit(False)), ANALYSIS_ISSUES[2]),
+            F.when(~F.coalesce(r["category"].isin(*ANALYZER_CATEGORIES), F.lit(False)), ANALYSIS_ISSUES[3]),
+            F.when(r["rename_recommendation"]["apply"] & (F.coalesce(r["rename_recommendation"]["name"], F.lit("")) == ""), ANALYSIS_ISSUES[4]),
         )
     )
 

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 
+# What can be chosen when a run would send too many requests.
+BUDGET_OPTIONS = ("continue_anyway", "reduce_scope", "switch_to_best_effort_bottom_up", "cancel")
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Computed once, in spark.checkpoint.dir; where the session names none (tests), in a folder of its own."""
     context = df.sparkSession.sparkContext
@@ -228,7 +232,7 @@ def request_estimate(levels: DataFrame, cached: DataFrame, size: int, max_reques
     by = marked.groupBy("level", "group_id").agg(F.count_if(F.col("_c").isNull()).alias("open"), F.count_if(F.col("_c").isNotNull()).alias("known"))
     out = by.agg(F.sum(F.ceil(F.col("open") / size)).cast("long").alias("requests"), F.sum("known").alias("cached"), F.sum("open").alias("uncached"), F.count("level").alias("levels"), F.count("group_id").alias("cycle_groups"))
     out = out.na.fill(0).withColumn("exceeded", F.col("requests") > min(max_requests, warn_above))
-    return out.withColumn("recommendation", F.when(F.col("exceeded"), "reduce scope, use cache, or switch to best_effort_bottom_up for fewer requests").otherwise("within request budget"))
+    return out.withColumn("recommendation", F.when(F.col("exceeded"), "over budget: take fewer functions, more cached answers, or best_effort_bottom_up").otherwise("fits the budget"))
 
 
 def reduced_scope(candidates: DataFrame, edges: DataFrame, limit: int = 250) -> DataFrame:
@@ -286,22 +290,15 @@ def child_context(edges: DataFrame, virtual: DataFrame) -> DataFrame:
     """
     v = virtual.filter((F.coalesce("suggested_name", F.lit("")) != "") & ~((F.col("status") == "applied") & (F.col("suggested_name") == F.col("idb_name")))).select(F.col("ea").alias("child"), "idb_name", "suggested_name", "confidence", "status", F.slice("evidence", 1, 5).alias("evidence"))
     rows = edges.select("caller", "callee").distinct().join(v, F.col("callee") == F.col("child"))
-    text = F.concat_ws(
-        "\n",
-        F.concat(F.lit("- EA 0x"), F.hex("child")),
-        F.concat(F.lit("  IDB name: "), F.col("idb_name")),
-        F.concat(F.lit("  Pending suggested name: "), F.col("suggested_name")),
-        F.concat(F.lit("  confidence: "), F.format_string("%.2f", F.col("confidence"))),
-        F.concat(F.lit("  status: "), F.col("status")),
-        F.when(F.size("evidence") > 0, F.concat(F.lit("  evidence:\n"), F.array_join(F.transform(F.slice("evidence", 1, 3), lambda e: F.concat(F.lit("    - "), e)), "\n"))),
-    )
+    head = F.concat(F.lit("0x"), F.hex("child"), F.lit(" "), F.col("idb_name"), F.lit(" -> "), F.col("suggested_name"), F.lit(" ("), F.format_string("%.2f", F.col("confidence")), F.lit(", "), F.col("status"), F.lit(")"))
+    text = F.concat(head, F.when(F.size("evidence") > 0, F.concat(F.lit(" because "), F.array_join(F.slice("evidence", 1, 3), "; "))).otherwise(""))
     packed = rows.groupBy(F.col("caller").alias("ea")).agg(F.sort_array(F.collect_list(F.struct("child", text.alias("text")))).alias("c"), F.min("confidence").alias("least_confidence"))
-    return packed.select("ea", F.concat(F.lit("Callee context (tentative suggestions, not ground truth):\n"), F.array_join("c.text", "\n")).alias("context"), F.col("c.child").alias("children"), "least_confidence")
+    return packed.select("ea", F.concat(F.lit("// Callees may get these names, nobody has confirmed them yet:\n"), F.array_join("c.text", "\n")).alias("context"), F.col("c.child").alias("children"), "least_confidence")
 
 
 def budget_plan(estimate: DataFrame, max_requests: int = 25) -> DataFrame:
     """(exceeded, message, options) for a request estimate."""
     over = F.col("requests") > max_requests
-    message = F.concat(F.lit("Estimated AI requests: "), F.col("requests"), F.lit(f", configured max: {max_requests}."))
-    options = F.array(*[F.lit(o) for o in ("continue_anyway", "reduce_scope", "switch_to_best_effort_bottom_up", "cancel")])
+    message = F.concat(F.lit("This run would send "), F.col("requests"), F.lit(f" requests; {max_requests} are allowed."))
+    options = F.array(*[F.lit(o) for o in BUDGET_OPTIONS])
     return estimate.select(over.alias("exceeded"), message.alias("message"), options.alias("options"))

@@ -59,6 +59,11 @@ def merge_sources(*tagged: tuple[DataFrame, str, str], types=tuple(PATTERNS)) ->
     return merged.select("type", "value", F.get("sources", F.lit(0)).alias("source"), "sources")
 
 
+def from_records(records: DataFrame, source: str = "floss_decoded") -> DataFrame:
+    """(type, value, source, sources) of decoded-string records (string): each value of a type once, under one source tag."""
+    return merge_sources((records, "string", source))
+
+
 def type_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("type").agg(F.countDistinct("value").alias("n"))
 
@@ -69,9 +74,11 @@ def report_lines(merged: DataFrame, known: int = 30, other: int = 10) -> DataFra
     section = F.when(order > 0, order).otherwise(len(REPORT_ORDER) + 1)
     limit = F.when(order > 0, known).otherwise(other)
     by = Window.partitionBy("type").orderBy("value")
-    ranked = merged.withColumns({"section": section, "limit": limit, "rn": F.row_number().over(by)}).filter("rn <= limit")
-    body = ranked.select("section", "type", F.col("rn").alias("line_no"), F.concat(F.lit("  "), F.col("value"), F.lit("  ["), F.array_join("sources", ","), F.lit("]")).alias("line"))
-    counts = merged.groupBy("type").agg(F.count("*").alias("n")).withColumn("section", section)
-    head = counts.select("section", "type", F.lit(0).alias("line_no"), F.concat(F.lit("["), F.upper("type"), F.lit("] ("), F.col("n"), F.lit(")")).alias("line"))
-    rest = counts.filter((F.col("n") > known) & (F.col("section") <= len(REPORT_ORDER))).select("section", "type", F.lit(known + 1).alias("line_no"), F.concat(F.lit("  ... ("), F.col("n") - known, F.lit(" more)")).alias("line"))
-    return head.unionByName(body).unionByName(rest)
+    # one pass: the first line of a type carries its heading, the first one beyond the limit the line that counts the rest
+    size = F.count("*").over(Window.partitionBy("type"))
+    ranked = merged.withColumns({"section": section, "limit": limit, "rn": F.row_number().over(by), "n": size}).filter("rn <= limit + 1")
+    line = lambda at, text: F.struct(at.cast("int").alias("line_no"), text.alias("line"))
+    body = F.when(F.col("rn") <= F.col("limit"), line(F.col("rn"), F.concat(F.lit("  "), F.col("value"), F.lit("  ["), F.array_join("sources", ","), F.lit("]"))))
+    head = F.when(F.col("rn") == 1, line(F.lit(0), F.concat(F.lit("["), F.upper("type"), F.lit("] ("), F.col("n"), F.lit(")"))))
+    rest = F.when((F.col("rn") > F.col("limit")) & (F.col("section") <= len(REPORT_ORDER)), line(F.lit(known + 1), F.concat(F.lit("  ... ("), F.col("n") - known, F.lit(" more)"))))
+    return ranked.select("section", "type", F.explode(F.array_compact(F.array(head, body, rest))).alias("l")).select("section", "type", "l.line_no", "l.line")

@@ -156,3 +156,25 @@ def saved_functions(blobs: DataFrame) -> DataFrame:
 
 def drop_blobs(blobs: DataFrame, keys: DataFrame) -> DataFrame:
     return blobs.join(keys.select("func_ea", "kind"), ["func_ea", "kind"], "left_anti")
+
+
+def apply_counts(chosen: DataFrame, failed: DataFrame) -> DataFrame:
+    """One row: requested, applied, failed, skipped. chosen are the rows of an apply plan; those not pending are skipped; failed (ord) are the rows that a host could not apply."""
+    rows = chosen.select("ord", "status").join(failed.select(F.col("ord").alias("_f")).distinct(), F.col("ord") == F.col("_f"), "left")
+    pending = F.col("status") == "pending"
+    return rows.agg(F.count("*").alias("requested"), F.count_if(pending & F.col("_f").isNull()).alias("applied"), F.count_if(pending & F.col("_f").isNotNull()).alias("failed"), F.count_if(~F.coalesce(pending, F.lit(False))).alias("skipped"))
+
+
+def change_of(queue: DataFrame) -> DataFrame:
+    """(ord, kind, ea, target, value): what applying a row of the queue changes: a function's name, one of its variables, or its prototype."""
+    kind = F.coalesce("kind", F.lit("function_rename"))
+    value = F.when(kind == "variable_rename", F.col("new_var")).when(kind == "prototype_change", F.col("new_prototype")).otherwise(F.col("suggested_name"))
+    target = F.when(kind == "variable_rename", F.col("old_var")).when(kind == "prototype_change", F.lit("prototype")).otherwise(F.lit("name"))
+    return queue.select("ord", kind.alias("kind"), "ea", target.alias("target"), value.alias("value")).filter(F.coalesce("value", F.lit("")) != "")
+
+
+def append_batch(history: DataFrame, batch: DataFrame, keep: int = 50) -> DataFrame:
+    """history with a batch's rows; only the newest `keep` batches stay, and confidences have three digits."""
+    every = history.unionByName(batch.select(*history.columns).withColumn("confidence", F.round("confidence", 3)))
+    newest = every.groupBy("batch_id").agg(F.max("ts").alias("ts")).sort(F.col("ts").desc(), F.col("batch_id").desc()).limit(keep)
+    return every.join(F.broadcast(newest.select("batch_id")), "batch_id", "left_semi")  # `keep` ids

@@ -83,6 +83,23 @@ FILE_CALLS = ("createfile", "writefile", "deletefile", "movefile")
 LIBRARY_NAMES = ("memcpy", "strlen", "strcmp", "free", "malloc")
 
 
+# Points, reason and tag of each scoring rule, in the order that reasons come in.
+SCORE_RULES = {
+    "network": (3, "network-related API or URL-like string", "NETWORK"),
+    "crypto": (2, "encryption/compression/static transform hint", "CRYPTO"),
+    "memory": (3, "memory allocation/protection/copy API", "MEMORY"),
+    "process": (3, "process/thread interaction API", "PROCESS"),
+    "persistence": (3, "registry/service/task related API", "PERSISTENCE"),
+    "evasion": (2, "anti-debug or environment-check API", "EVASION"),
+    "file": (2, "file API with notable path or extension", "FILE"),
+    "decoded": (2, "decoded strings available from optional string discovery", "DECODED_STRINGS"),
+    "dispatch": (2, "dispatcher-like or high fan-out structure", "DISPATCH"),
+    "wrapper": (1, "wrapper/resolver naming hint", "WRAPPER"),
+    "tiny": (-2, "tiny function with no useful references", None),
+    "library": (-1, "known utility/library-like wrapper", "UTIL"),
+}
+
+
 def review_score(df: DataFrame) -> DataFrame:
     """df (name, apis, callees, strings, decoded, pre_tags, n_insn) plus score, priority, reasons, tags, interesting.
 
@@ -94,24 +111,24 @@ def review_score(df: DataFrame) -> DataFrame:
     texts = F.lower(F.array_join(F.concat(listed["strings"], listed["decoded"]), " "))
     name, n = F.lower(F.coalesce("name", F.lit(""))), F.coalesce("n_insn", F.lit(0))
     quiet = (F.size(listed["apis"]) + F.size(listed["callees"]) == 0) & (F.size(listed["strings"]) + F.size(listed["decoded"]) == 0)
-    rules = [
-        (3, "network-related API or URL-like string", "NETWORK", holds_any(calls, NETWORK_CALLS) | texts.rlike(r"https?://|ftp://|\b[a-z0-9.-]+\.(com|net|org|ru|cn|io)\b")),
-        (2, "encryption/compression/static transform hint", "CRYPTO", holds_any(calls, CRYPTO_CALLS) | F.contains(texts, F.lit("xor"))),
-        (3, "memory allocation/protection/copy API", "MEMORY", holds_any(calls, MEMORY_CALLS)),
-        (3, "process/thread interaction API", "PROCESS", holds_any(calls, PROCESS_CALLS)),
-        (3, "registry/service/task related API", "PERSISTENCE", holds_any(calls, PERSIST_CALLS)),
-        (2, "anti-debug or environment-check API", "EVASION", holds_any(calls, EVASION_CALLS)),
-        (2, "file API with notable path or extension", "FILE", holds_any(calls, FILE_CALLS) & texts.rlike(r"\.(exe|dll|sys|ps1|bat|vbs|tmp)|appdata|temp|system32")),
-        (2, "decoded strings available from optional string discovery", "DECODED_STRINGS", F.size(listed["decoded"]) > 0),
-        (2, "dispatcher-like or high fan-out structure", "DISPATCH", F.array_contains(listed["pre_tags"], "DISPATCH") | (F.size(listed["callees"]) >= 15)),
-        (1, "wrapper/resolver naming hint", "WRAPPER", holds_any(name, ("wrapper", "resolve")) | F.startswith(name, F.lit("j_"))),
-        (-2, "tiny function with no useful references", None, (n > 0) & (n <= 4) & quiet),
-    ]
-    points = reduce(lambda a, b: a + b, [F.when(test, p).otherwise(0) for p, _, _, test in rules])
-    library = holds_any(name, LIBRARY_NAMES) & (points <= 2)
-    score = points - F.when(library, 1).otherwise(0)
-    reasons = F.array_compact(F.array(*[F.when(test, reason) for _, reason, _, test in rules], F.when(library, "known utility/library-like wrapper")))
-    tags = F.array_compact(F.array(*[F.when(test, tag) for _, _, tag, test in rules if tag], F.when(library, "UTIL")))
+    tests = {
+        "network": holds_any(calls, NETWORK_CALLS) | texts.rlike(r"https?://|ftp://|\b[a-z0-9.-]+\.(com|net|org|ru|cn|io)\b"),
+        "crypto": holds_any(calls, CRYPTO_CALLS) | F.contains(texts, F.lit("xor")),
+        "memory": holds_any(calls, MEMORY_CALLS),
+        "process": holds_any(calls, PROCESS_CALLS),
+        "persistence": holds_any(calls, PERSIST_CALLS),
+        "evasion": holds_any(calls, EVASION_CALLS),
+        "file": holds_any(calls, FILE_CALLS) & texts.rlike(r"\.(exe|dll|sys|ps1|bat|vbs|tmp)|appdata|temp|system32"),
+        "decoded": F.size(listed["decoded"]) > 0,
+        "dispatch": F.array_contains(listed["pre_tags"], "DISPATCH") | (F.size(listed["callees"]) >= 15),
+        "wrapper": holds_any(name, ("wrapper", "resolve")) | F.startswith(name, F.lit("j_")),
+        "tiny": (n > 0) & (n <= 4) & quiet,
+    }
+    points = reduce(lambda a, b: a + b, [F.when(test, SCORE_RULES[rule][0]).otherwise(0) for rule, test in tests.items()])
+    tests["library"] = holds_any(name, LIBRARY_NAMES) & (points <= 2)
+    score = points + F.when(tests["library"], SCORE_RULES["library"][0]).otherwise(0)
+    reasons = F.array_compact(F.array(*[F.when(test, SCORE_RULES[rule][1]) for rule, test in tests.items()]))
+    tags = F.array_compact(F.array(*[F.when(test, SCORE_RULES[rule][2]) for rule, test in tests.items() if SCORE_RULES[rule][2]]))
     out = df.withColumns({"score": score.cast("int"), "reasons": reasons, "tags": F.sort_array(F.array_union(listed["pre_tags"], tags))})
     priority = F.when(F.col("score") >= 9, "critical").when(F.col("score") >= 6, "high").when(F.col("score") >= 3, "medium").otherwise("low")
     return out.withColumns({"priority": priority, "interesting": F.col("score") >= 3})

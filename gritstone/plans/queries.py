@@ -68,7 +68,13 @@ def ioc_base64(spark, sf):
     return indicators.extract(table(spark, sf, "documents"), types=("base64",)).select("value")
 
 
-@query()
+_BASE64_SQL = r"""SELECT DISTINCT v AS value FROM (SELECT unnest(regexp_extract_all(' ' || replace(text, chr(10), ' ' || chr(10) || ' ') || ' ', '[A-Za-z0-9+/]+={0,9}')) AS v FROM every)
+WHERE regexp_matches(v, '^[A-Za-z0-9+/]{40,}={0,2}$') AND NOT regexp_matches(v, '^(AAAA|////|MMMM)') AND len(list_distinct(string_split(v, ''))) >= 6"""
+_TESTS = {"ipv4": IPV4_TEST, "domain": DOMAIN_TEST}
+_ALL_TYPES_SQL = " UNION ALL ".join(f"SELECT '{t}' AS type, value FROM ({_BASE64_SQL if t == 'base64' else _extract_sql('every', 'text', t, _TESTS.get(t, 'true'))})" for t in indicators.PATTERNS)
+
+
+@query(f"WITH every AS (SELECT text FROM documents UNION ALL SELECT html FROM pages UNION ALL SELECT url FROM pages UNION ALL SELECT text FROM conversations) {_ALL_TYPES_SQL}")
 def ioc_all_types(spark, sf):
     """Every type over every text of the corpus."""
     texts = table(spark, sf, "documents").select("text").union(table(spark, sf, "pages").select("html")).union(table(spark, sf, "pages").select("url")).union(table(spark, sf, "conversations").select("text"))
@@ -98,6 +104,12 @@ def ioc_type_counts(spark, sf):
     return indicators.type_counts(_merged(spark, sf))
 
 
+@query(f"WITH every AS (SELECT url AS text FROM pages) SELECT type, value, 'floss_decoded' AS source FROM ({_ALL_TYPES_SQL})")
+def ioc_decoded(spark, sf):
+    """Indicators in decoded-string records, under their one source."""
+    return indicators.from_records(table(spark, sf, "pages").select(F.col("url").alias("string"))).select("type", "value", "source")
+
+
 _REPORT_SQL = ", ".join(f"'{t}'" for t in indicators.REPORT_ORDER)
 
 
@@ -562,7 +574,7 @@ def level_batches(spark, sf):
 
 @query(f"""{_LEVELS_SQL}, g AS (SELECT level, count(*) FILTER (WHERE ea % 3 > 0) AS o, count(*) FILTER (WHERE ea % 3 = 0) AS k FROM lv GROUP BY level)
 SELECT sum((o + 39) // 40)::BIGINT AS requests, sum(k)::BIGINT AS cached, sum(o)::BIGINT AS uncached, count(*) AS levels, 0::BIGINT AS cycle_groups, sum((o + 39) // 40) > 25 AS exceeded,
-CASE WHEN sum((o + 39) // 40) > 25 THEN 'reduce scope, use cache, or switch to best_effort_bottom_up for fewer requests' ELSE 'within request budget' END AS recommendation FROM g""")
+CASE WHEN sum((o + 39) // 40) > 25 THEN 'over budget: take fewer functions, more cached answers, or best_effort_bottom_up' ELSE 'fits the budget' END AS recommendation FROM g""")
 def request_estimate(spark, sf):
     levels = graphs.bottom_up_levels(_nodes(spark, sf), call_edges(spark, sf))
     return graphs.request_estimate(levels, _nodes(spark, sf).filter("ea % 3 = 0"), 40)
@@ -691,6 +703,19 @@ def queue_missing_deps(spark, sf):
     return state.missing_dependencies(q.filter("ord % 5 = 3 AND status = 'pending'"), q).select("parent_ea", "ea", "suggested_name")
 
 
+@query(f"""WITH {QUEUE_SQL} SELECT count(*) AS requested, count(*) FILTER (WHERE status = 'pending' AND ord % 10 <> 3) AS applied, count(*) FILTER (WHERE status = 'pending' AND ord % 10 = 3) AS failed,
+count(*) FILTER (WHERE status <> 'pending') AS skipped FROM q WHERE ord % 5 = 3""")
+def queue_apply_counts(spark, sf):
+    q = review_queue(spark, sf).filter("ord % 5 = 3")
+    return state.apply_counts(q, q.filter("ord % 10 = 3"))
+
+
+@query(f"""WITH {QUEUE_SQL} SELECT ord, kind, ea, CASE kind WHEN 'variable_rename' THEN old_var WHEN 'prototype_change' THEN 'prototype' ELSE 'name' END AS target,
+CASE kind WHEN 'variable_rename' THEN new_var WHEN 'prototype_change' THEN 'int f' || ord || '(void);' ELSE suggested_name END AS value FROM q""")
+def queue_changes(spark, sf):
+    return state.change_of(review_queue(spark, sf))
+
+
 @query(f"WITH {QUEUE_SQL}, {_WANT_SQL} SELECT ord FROM q WHERE ord % 5 = 3 AND status = 'pending' UNION SELECT q.ord FROM w JOIN q ON q.ea = dea AND q.suggested_name = dname AND q.status = 'pending' AND q.kind = 'function_rename'")
 def queue_apply_plan(spark, sf):
     q = review_queue(spark, sf)
@@ -711,6 +736,14 @@ def rollback_plan(spark, sf):
     return state.rollback_plan(items, functions(spark, sf)).select("ea", "restore", "outcome")
 
 
+@query("""WITH h AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS batch_id, o_orderkey AS ea, round(o_totalprice / 1000000, 3) AS confidence FROM orders)
+SELECT batch_id, ea, confidence FROM h WHERE batch_id IN (SELECT DISTINCT batch_id FROM h ORDER BY 1 DESC LIMIT 50)""")
+def history_append(spark, sf):
+    """A batch for every day, put into an empty history; the newest 50 stay."""
+    o = table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("batch_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderkey").alias("ea"), (F.col("o_totalprice") / 1000000).alias("confidence"))
+    return state.append_batch(o.filter("false"), o).select("batch_id", "ea", "confidence")
+
+
 @query("""SELECT c_custkey AS k, max(o_totalprice) AS best FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '1998-06-01' - INTERVAL 90 DAY AND o_orderkey % 10 > 0 GROUP BY c_custkey""")
 def cache_ttl(spark, sf):
     cache = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("key"), F.col("o_orderdate").alias("ts"), F.when(F.col("o_orderkey") % 10 > 0, F.col("o_totalprice").cast("string")).alias("result"))
@@ -785,6 +818,21 @@ def scope_limited(spark, sf):
     return contexts.scope(functions(spark, sf), "limited_program")
 
 
+@query("SELECT c_custkey AS ea FROM customer WHERE c_custkey % 37 = 1")
+def scope_entry_points(spark, sf):
+    return contexts.scope(functions(spark, sf).withColumn("is_entry", F.col("ea") % 37 == 1), "entry_points")
+
+
+@query("SELECT c_custkey AS ea FROM customer WHERE c_custkey = 42")
+def scope_current(spark, sf):
+    return contexts.scope(functions(spark, sf).withColumn("is_current", F.col("ea") == 42), "current_function")
+
+
+@query("SELECT c_custkey AS ea FROM customer ORDER BY 1 LIMIT 300")
+def scope_priority(spark, sf):
+    return contexts.scope(functions(spark, sf), "review_priority_only")
+
+
 @query(f"WITH {FUNCTIONS_SQL} SELECT ea FROM fn WHERE NOT (ea % 8 & 4 <> 0)")
 def library_filter(spark, sf):
     return functions(spark, sf).filter(~contexts.is_library_or_thunk(F.col("ea") % 8)).select("ea")
@@ -802,7 +850,22 @@ def function_context_frame(spark, sf):
     return full.withColumn("code", F.concat(F.lit("int "), "name", F.lit("()")))
 
 
-@query()
+_TEXT_TAGS_SQL = " + ".join(f"(text IS NOT NULL AND {_any_sql('text', words)})::INT" for words in triage.STRING_WORDS.values())
+_DISPATCH_WORD = "(text IS NOT NULL AND " + (_any_sql("text", triage.STRING_WORDS["DISPATCH"]) if "DISPATCH" in triage.STRING_WORDS else "false") + ")"
+
+
+@query(f"""WITH {EDGES_SQL}, {FUNCTIONS_SQL}, {INSTRUCTIONS_SQL},
+ins AS (SELECT func_ea AS ea, count(*) AS n, least(30, count(DISTINCT value) FILTER (WHERE op_type = 'imm' AND value > 65535)) AS constants, count(*) > 80 AND count(*) FILTER (WHERE mnem = 'call' AND op_type = 'reg') >= 3 AS dispatch FROM insn GROUP BY 1),
+cin AS (SELECT callee AS ea, count(*) AS n FROM raw GROUP BY 1), cout AS (SELECT caller AS ea, count(DISTINCT callee) AS n FROM raw GROUP BY 1),
+cn AS (SELECT caller AS ea, least(20, count(DISTINCT name)) AS n FROM raw JOIN fn ON fn.ea = callee WHERE caller <> callee GROUP BY 1),
+rn AS (SELECT callee AS ea, least(10, count(DISTINCT name)) AS n FROM raw JOIN fn ON fn.ea = caller WHERE caller <> callee GROUP BY 1),
+st AS (SELECT o_custkey AS ea, o_orderkey % 200 AS addr, min(o_orderkey) AS pos FROM orders GROUP BY 1, 2),
+sx AS (SELECT st.ea, p_name || CASE WHEN p_partkey % 9 = 0 THEN ' http://x.org' ELSE '' END AS t, row_number() OVER (PARTITION BY st.ea ORDER BY pos, p_name || CASE WHEN p_partkey % 9 = 0 THEN ' http://x.org' ELSE '' END) AS k FROM st JOIN part ON p_partkey = addr),
+sl AS (SELECT ea, least(20, count(*)) AS n, lower(string_agg(t, ' ' ORDER BY k) FILTER (WHERE k <= 15)) AS text FROM sx GROUP BY 1),
+dc AS (SELECT o_custkey AS ea, least(30, count(*)) AS n FROM orders WHERE o_orderkey % 900 < 700 GROUP BY 1)
+SELECT fn.ea, fn.name, coalesce(ins.n, 0) AS n_insn, coalesce(cin.n, 0) AS n_callers, coalesce(cout.n, 0) AS n_callees, coalesce(cn.n, 0)::INT AS callees, coalesce(rn.n, 0)::INT AS callers, 0 AS apis,
+  coalesce(sl.n, 0)::INT AS strings, coalesce(dc.n, 0)::INT AS decoded, coalesce(constants, 0)::INT AS constants, ({_TEXT_TAGS_SQL} + (coalesce(dispatch, false) AND NOT {_DISPATCH_WORD})::INT)::INT AS pre_tags
+FROM fn LEFT JOIN ins ON ins.ea = fn.ea LEFT JOIN cin ON cin.ea = fn.ea LEFT JOIN cout ON cout.ea = fn.ea LEFT JOIN cn ON cn.ea = fn.ea LEFT JOIN rn ON rn.ea = fn.ea LEFT JOIN sl ON sl.ea = fn.ea LEFT JOIN dc ON dc.ea = fn.ea""")
 def function_contexts(spark, sf):
     return function_context_frame(spark, sf).select("ea", "name", "n_insn", "n_callers", "n_callees", *[F.size(c).alias(c) for c in ("callees", "callers", "apis", "strings", "decoded", "constants", "pre_tags")])
 
@@ -834,13 +897,17 @@ def rename_proposal(spark, sf):
     return _rename(spark, sf, "proposal_aware_bottom_up")
 
 
-@query()
+@query("""WITH d AS (SELECT o_orderkey, o_orderkey % 900 < 700 AS placed, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 900 < 700 ORDER BY o_orderkey) AS k FROM orders)
+SELECT 'decoded ' || o_orderkey AS value, 1 + (placed AND k <= 30 AND o_orderkey IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey))::INT AS n FROM d ORDER BY n DESC, value LIMIT 40""")
 def forensic_top_decoded(spark, sf):
     empty = lambda schema: spark.createDataFrame([], schema)
     found = table(spark, sf, "orders").select(F.concat(F.lit("decoded "), "o_orderkey").alias("string"))
     return runs.forensic_report(function_context_frame(spark, sf), _merged(spark, sf), found, empty(store.SCHEMAS["history"]), empty(store.SCHEMAS["queue"]))["top_decoded"]
 
 
-@query()
+@query(f"""{_MERGED_SQL}, {FUNCTIONS_SQL}, nm AS (SELECT ea, name FROM fn WHERE NOT {_DEFAULT_SQL.format('name')}),
+ln AS (SELECT upper(type) || ': ' || string_agg(value, ', ' ORDER BY value) AS line FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY value) AS n FROM m) WHERE n <= 8 GROUP BY type)
+SELECT 'Binary: sample' || chr(10) || 'Total functions: ' || (SELECT count(*) FROM fn) || '  Renamed: ' || (SELECT count(*) FROM nm) || chr(10) || 'Top renamed: ' || (SELECT string_agg(name, ', ' ORDER BY ea) FROM (SELECT * FROM nm ORDER BY ea LIMIT 20))
+  || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY line) FROM ln) AS text""")
 def program_summary(spark, sf):
     return runs.program_summary(functions(spark, sf), _merged(spark, sf), "sample")

@@ -71,3 +71,20 @@ def read_files(spark: SparkSession, path: str, least: int = 4) -> DataFrame:
     """All decoded-string files under a path any Spark reader opens; doc is the file."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), F.col("value").alias("raw"))
     return parse_any(files, "raw", least)
+
+
+def load_cache(spark: SparkSession, path: str, least: int = 4) -> DataFrame:
+    """The decoded strings stored at path; none where there is nothing or nothing that can be read."""
+    try:
+        return read_files(spark, path, least)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "doc string, ord long, string string, kind string, address long, function_ea long, detail string")
+
+
+def store_cache(records: DataFrame, path: str) -> None:
+    """Records (string, kind, address, function_ea, detail) as JSON lists that load_cache reads, one file for each partition."""
+    item = F.to_json(F.struct("string", F.col("address").cast("string").alias("address"), F.col("function_ea").cast("string").alias("function_ea"), "detail"))
+    by = records.groupBy("kind", F.pmod(F.xxhash64("string"), F.lit(64)).alias("_part")).agg(F.array_join(F.collect_list(item), ",").alias("items"))
+    by.select(F.concat(F.lit('{"strings": {"'), "kind", F.lit('": ['), "items", F.lit("]}}")).alias("value")).repartition(64).write.mode("overwrite").option("lineSep", "\n").text(path)

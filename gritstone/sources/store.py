@@ -15,16 +15,16 @@ SCHEMAS = {
 }
 
 
-def _current(spark: SparkSession, root: str, name: str) -> str | None:
-    """The version named last, read with Spark so that any store it can open will do."""
+def _current(spark: SparkSession, root: str, name: str) -> tuple[str, int] | None:
+    """The version of the highest number, with it, read with Spark so that any store it can open will do."""
     try:
-        versions = spark.read.schema("version string, at timestamp").json(f"{root}/{name}/_versions_json")
-        last = versions.sort(F.col("at").desc()).first()
+        versions = spark.read.schema("version string, number long").json(f"{root}/{name}/_versions_json")
+        last = versions.sort(F.col("number").desc(), F.col("version")).first()
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return None
-    return last["version"] if last else None
+    return (last["version"], last["number"]) if last else None
 
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -32,14 +32,15 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     version = _current(spark, root, name)
     if version is None:
         return spark.createDataFrame([], SCHEMAS[name])
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}/{version}")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}/{version[0]}")
 
 
 def save(df: DataFrame, root: str, name: str) -> None:
     """Write a new version, then name it as current; readers never see half a table, and df may read the old version."""
     spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{name}/{version}")
-    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").json(f"{root}/{name}/_versions_json")
+    before = _current(spark, root, name)
+    spark.range(1).select(F.lit(version).alias("version"), F.lit(before[1] + 1 if before else 1).cast("long").alias("number")).coalesce(1).write.mode("append").json(f"{root}/{name}/_versions_json")
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
