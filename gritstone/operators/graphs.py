@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 
+#: A graph, or what is left of one, of up to so many edges is finished in one task; a larger one is worked off by rounds until it is that small.
+SMALL_GRAPH = 200_000
+
 # What can be chosen when a run would send too many requests.
 BUDGET_OPTIONS = ("continue_anyway", "reduce_scope", "switch_to_best_effort_bottom_up", "cancel")
 
@@ -88,16 +91,92 @@ def _without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(a, F.col("caller") == F.col("_a"), "left_anti").join(b, F.col("callee") == F.col("_b"), "left_anti")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def _in_one_task(edges: DataFrame, solve) -> DataFrame:
+    """(ea, n) rows that solve makes of the list of edges (caller, callee); only for edges counted to be at most SMALL_GRAPH."""
+
+    def run(batches):
+        pairs = [p for batch in batches for p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        found = solve(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["ea", "n"])
+
+    return edges.select(F.col("caller").cast("long"), F.col("callee").cast("long")).repartition(1).mapInArrow(run, "ea long, n long")
+
+
+def _chain_lengths(pairs: list[tuple[int, int]]) -> dict[int, int]:
+    """Length of the longest chain of calls below each node of an acyclic graph."""
+    callers: dict[int, list[int]] = {}
+    open_, longest = {}, {}
+    for a, b in pairs:
+        callers.setdefault(b, []).append(a)
+        open_[a] = open_.get(a, 0) + 1
+        open_.setdefault(b, 0)
+    ready = [n for n, k in open_.items() if not k]
+    longest = dict.fromkeys(open_, 0)
+    while ready:
+        b = ready.pop()
+        for a in callers.get(b, ()):
+            longest[a] = max(longest[a], longest[b] + 1)
+            open_[a] -= 1
+            if not open_[a]:
+                ready.append(a)
+    return longest
+
+
+def _component_of(pairs: list[tuple[int, int]]) -> dict[int, int]:
+    """The smallest node of each node's strongly connected component: finishing order of one walk, then a walk backwards."""
+    out: dict[int, list[int]] = {}
+    back: dict[int, list[int]] = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+    seen, finished = set(), []
+    for root in {n for p in pairs for n in p}:
+        if root in seen:
+            continue
+        seen.add(root)
+        walk = [(root, iter(out.get(root, ())))]
+        while walk:
+            node, left = walk[-1]
+            step = next((n for n in left if n not in seen), None)
+            if step is None:
+                finished.append(node)
+                walk.pop()
+            else:
+                seen.add(step)
+                walk.append((step, iter(out.get(step, ()))))
+    label: dict[int, int] = {}
+    for root in reversed(finished):
+        if root in label:
+            continue
+        members, front = [root], [root]
+        label[root] = root
+        while front:
+            for n in back.get(front.pop(), ()):
+                if n not in label:
+                    label[n] = root
+                    members.append(n)
+                    front.append(n)
+        least = min(members)
+        for n in members:
+            label[n] = least
+    return label
+
+
+def strong_components(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
     """(ea, component): the smallest address of the node's strongly connected component, for nodes on edges (caller, callee).
 
     Nodes without a caller or callee left are peeled off first; what remains is coloured by the largest node that
-    reaches it, and the nodes that reach their own colour backwards form components; repeat on the rest.
+    reaches it, and the nodes that reach their own colour backwards form components; repeat on the rest, until it has at most `small`
+    edges, which one task finishes.
     """
     rest = saved(edges.filter(F.col("caller") != F.col("callee")).select("caller", "callee").distinct())
     every = edges.select(F.col("caller").alias("ea")).union(edges.select("callee")).distinct()
     done = None
     while True:
+        if rest.count() <= small:
+            last = saved(_in_one_task(rest, _component_of).select("ea", F.col("n").alias("c")))
+            done = last if done is None else done.union(last)
+            break
         while True:
             called, calling = rest.select(F.col("callee").alias("_t")).distinct(), rest.select(F.col("caller").alias("_s")).distinct()
             cut = saved(rest.join(called, F.col("caller") == F.col("_t"), "left_semi").join(calling, F.col("callee") == F.col("_s"), "left_semi"))
@@ -127,33 +206,39 @@ def strong_components(edges: DataFrame) -> DataFrame:
             back = saved(back.union(front))
         done = back if done is None else done.union(back)
         rest = saved(_without(rest, back))
-    if done is None:
+    if done is None:  # all were peeled off
         return every.select("ea", F.col("ea").alias("component"))
     least = done.groupBy("c").agg(F.min("ea").alias("component"))
     named = done.join(least, "c").select(F.col("ea").alias("_n"), "component")
     return every.join(named, F.col("ea") == F.col("_n"), "left").select("ea", F.coalesce("component", "ea").alias("component"))
 
 
-def cyclic_nodes(edges: DataFrame) -> DataFrame:
+def cyclic_nodes(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
     """(ea, group_id): nodes in components of two or more, or that call themselves; group_id is the smallest member."""
-    found = strong_components(edges)
+    found = strong_components(edges, small)
     several = found.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
     own = edges.filter(F.col("caller") == F.col("callee")).select(F.col("caller").alias("_s")).distinct()
     return found.join(several, "component", "left_semi").unionByName(found.join(own, F.col("ea") == F.col("_s"), "left_semi")).select("ea", F.col("component").alias("group_id")).distinct()
 
 
-def bottom_up_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def bottom_up_levels(nodes: DataFrame, edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
     """(ea, level, is_cycle, group_id) for nodes (ea) under edges (caller, callee) among them.
 
     Cyclic nodes have no level and come in groups; edges to them do not count. The others' level is the length of the
-    longest chain of calls below them, found by peeling off functions whose callees are all done.
+    longest chain of calls below them, found by peeling off functions whose callees are all done; what has at most `small` edges
+    left is finished in one task, however deep it is.
     """
-    cyclic = saved(cyclic_nodes(edges))
+    cyclic = saved(cyclic_nodes(edges, small))
     gone = cyclic.select(F.col("ea").alias("_g"))
     rest = saved(_without(edges.filter(F.col("caller") != F.col("callee")).select("caller", "callee").distinct(), cyclic))
     left = saved(nodes.select("ea").distinct().join(gone, F.col("ea") == F.col("_g"), "left_anti"))
     levels, level = None, 0
     while not left.isEmpty():
+        if rest.count() <= small:
+            below = _in_one_task(rest, _chain_lengths).withColumnRenamed("ea", "_e")
+            last = left.join(below, F.col("ea") == F.col("_e"), "left").select("ea", (F.coalesce("n", F.lit(0)) + level).cast("int").alias("level"))
+            levels = saved(last if levels is None else levels.union(last))
+            break
         waiting = rest.select(F.col("caller").alias("_w")).distinct()
         ready = saved(left.join(waiting, F.col("ea") == F.col("_w"), "left_anti"))
         now = ready.withColumn("level", F.lit(level))

@@ -336,3 +336,55 @@ def test_pack(spark):
     got = values(spark, lambda c: answers.unpack(c).cast("string"), ['{"a": 1}', "plain", "", None])
     assert got == ['{"a":1}', "plain", None, None]
     assert spark.range(1).select(answers.pack(F.struct("id"))).first()[0] == '{"id":0}'
+
+
+def small_graph(spark):
+    r = random.Random(4)
+    pairs = [(r.randrange(60), r.randrange(60)) for _ in range(75)] + [(100, 101), (101, 102), (102, 100), (103, 100), (7, 7)]
+    return spark.createDataFrame(pairs, "caller long, callee long"), spark.createDataFrame([(i,) for i in range(110)], "ea long")
+
+
+def test_rounds_and_one_task_agree(spark):
+    e, n = small_graph(spark)
+    by_rounds, at_once = ({(r["ea"], r["component"]) for r in graphs.strong_components(e, k).collect()} for k in (0, 1000))
+    assert by_rounds == at_once and (102, 100) in at_once
+    a, b = ({tuple(r) for r in graphs.bottom_up_levels(n, e, k).collect()} for k in (0, 1000))
+    assert a == b and len(a) == 110
+    assert {tuple(r) for r in graphs.bottom_up_levels(n, e, 20).collect()} == a
+
+
+def test_a_deep_chain(spark):
+    e = spark.range(2000).selectExpr("id AS caller", "id + 1 AS callee")
+    got = {r["ea"]: r["level"] for r in graphs.bottom_up_levels(spark.range(2001).withColumnRenamed("id", "ea"), e).collect()}
+    assert got == {i: 2000 - i for i in range(2001)}
+
+
+def test_numbered(spark):
+    df = spark.range(1000).selectExpr("id", "id % 7 AS k").repartition(5)
+    got = {r["id"]: r["place"] for r in graphs.numbered(df, [F.col("k").desc(), F.col("id")]).collect()}
+    assert got == {i: p + 1 for p, i in enumerate(sorted(range(1000), key=lambda i: (-(i % 7), i)))}
+    assert graphs.numbered(df.limit(0), [F.col("id")]).count() == 0
+
+
+def test_packing_without_groups(spark):
+    items = spark.createDataFrame([(i, c) for i, c in enumerate([5, 5, 5, 20, 1, 1, 1, 9])], "ord long, chars long").repartition(3)
+    assert [r["batch"] for r in graphs.packed_batches(items, 10, 2).sort("ord").collect()] == [0, 0, 1, 2, 3, 3, 4, 4]
+
+
+def test_decoded_cache(spark, tmp_path):
+    assert decoded.load_cache(spark, f"{tmp_path}/none").count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.json").write_text("")
+    assert decoded.load_cache(spark, f"{tmp_path}/bad").count() == 0
+    rows = [("first text", "decoded_strings", 16, None, "d"), ("second", "stack_strings", None, 32, None)]
+    decoded.store_cache(spark.createDataFrame(rows, "string string, kind string, address long, function_ea long, detail string"), f"{tmp_path}/c")
+    back = decoded.load_cache(spark, f"{tmp_path}/c").select("string", "kind", "address", "function_ea", "detail").collect()
+    assert sorted(map(tuple, back)) == rows
+
+
+def test_versions_are_numbered(spark, tmp_path):
+    one = spark.createDataFrame([(1, "k", "a")], store.SCHEMAS["blobs"])
+    store.save(one, str(tmp_path), "blobs")
+    store.save(store.load(spark, str(tmp_path), "blobs").withColumn("value", F.lit("b")), str(tmp_path), "blobs")
+    assert store.load(spark, str(tmp_path), "blobs").first()["value"] == "b"
+    assert sorted(r["number"] for r in spark.read.json(f"{tmp_path}/blobs/_versions_json").collect()) == [1, 2]
