@@ -84,7 +84,10 @@ def load_cache(spark: SparkSession, path: str, least: int = 4) -> DataFrame:
 
 
 def store_cache(records: DataFrame, path: str) -> None:
-    """Records (string, kind, address, function_ea, detail) as JSON lists that load_cache reads, one file for each partition."""
+    """Records (string, kind, address, function_ea, detail) as JSON lists that load_cache reads, one file for each partition.
+
+    Only a record with a function but no address reads back otherwise: readers take the function for its address.
+    """
     item = F.to_json(F.struct("string", F.col("address").cast("string").alias(ADDRESS_KEYS[0]), F.col("function_ea").cast("string").alias(FUNCTION_KEYS[0]), F.col("detail").alias(DETAIL_KEYS[0])))
     by = records.groupBy("kind", F.pmod(F.xxhash64("string"), F.lit(64)).alias("_part")).agg(F.array_join(F.collect_list(item), ",").alias("items"))
     by.select(F.concat(F.lit('{"strings": {"'), "kind", F.lit('": ['), "items", F.lit("]}}")).alias("value")).repartition(64).write.mode("overwrite").option("lineSep", "\n").text(path)

@@ -376,7 +376,7 @@ def test_decoded_cache(spark, tmp_path):
     (tmp_path / "bad").mkdir()
     (tmp_path / "bad" / "x.json").write_text("")
     assert decoded.load_cache(spark, f"{tmp_path}/bad").count() == 0
-    rows = [("first text", "decoded_strings", 16, None, "d"), ("second", "stack_strings", None, 32, None)]
+    rows = [("first text", "decoded_strings", 16, None, "d"), ("second", "stack_strings", 48, 32, None), ("third", "stack_strings", None, None, None)]
     decoded.store_cache(spark.createDataFrame(rows, "string string, kind string, address long, function_ea long, detail string"), f"{tmp_path}/c")
     back = decoded.load_cache(spark, f"{tmp_path}/c").select("string", "kind", "address", "function_ea", "detail").collect()
     assert sorted(map(tuple, back)) == rows
