@@ -264,7 +264,7 @@ def regions(distinct: DataFrame, n: int, overlap: int, margin: float, region: in
     """
     kind = distinct.schema["embedding"].dataType.simpleString()
     members = distinct.select(F.lit(0).cast("long").alias("region"), F.lit(True).alias("home"), "id", "embedding")
-    largest, schema = n + 1, f"region long, home boolean, id long, embedding {kind}"
+    largest, schema = float("inf"), f"region long, home boolean, id long, embedding {kind}"
     for level in range(4):
         sizes = checkpointed(members.groupBy("region").agg(F.count_if("home").alias("n"), F.count("*").alias("rows")).filter(F.col("n") > 2 * region))
         most = sizes.agg(F.max("n")).first()[0]
@@ -273,7 +273,7 @@ def regions(distinct: DataFrame, n: int, overlap: int, margin: float, region: in
         largest = most
         sizes = sizes.withColumns({"salts": F.ceil(F.col("rows") / CHUNK).cast("int"), "parts": F.least(F.lit(SPLIT), F.ceil(F.col("n") / region)).cast("int")})
         rows = attach(members, sizes, "region") if level else members.crossJoin(F.broadcast(sizes.select("rows", "salts", "parts")))  # one row
-        sample = rows.filter(F.col("home") & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(1 << 30) * F.lit(SAMPLE) / F.col("rows")))
+        sample = rows.filter(F.col("home") & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(float(SAMPLE << 30)) / F.col("rows")))
 
         def fit(group):
             order = np.argsort(group.column("id").to_numpy())
@@ -325,13 +325,17 @@ def found_links(distinct: DataFrame, n: int, cosine: float, overlap: int, margin
         group = group.take(pa.array(np.argsort(group.column("id").to_numpy(), kind="stable")))
         own, home, ids = (group.column(c).to_numpy() for c in ("own", "home", "id"))
         held = np.flatnonzero(own == i)
-        asking = held if i == j else np.flatnonzero(own == j)
+        # visitors of one part need not ask: what they link with among the homes, the homes find
+        asking = held[home[held]] if i == j else np.flatnonzero(own == j)
         none = pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
         if not len(held) or not len(asking):
             return none
         near = block_links(_plain(group.column("embedding")), held, asking, cosine, exact)
         if i == j:
-            near = np.triu(near, 1)
+            near, half = np.zeros((len(held), len(held)), bool), near
+            near[:, np.searchsorted(held, asking)] = half
+            near = np.triu(near | near.T, 1)
+            asking = held
         # a pair of a home and a visitor whose home B comes before this region is B's, if the first visits B
         x, y = np.nonzero(near)
         a, b = held[x], asking[y]

@@ -103,3 +103,12 @@ def test_graph_search_recall():
     q, v = vectors.range_search(graph, x, x, 0.9)
     true = int((x @ x.T >= 0.9).sum())
     assert len(set(zip(q.tolist(), v.tolist()))) == len(q) >= 0.98 * true and (np.einsum("ij,ij->i", x[q], x[v]) >= 0.9 - 1e-4).all()
+
+
+def test_a_region_over_its_size_is_split(spark):
+    """Every vector has one home, no region keeps over twice the homes aimed at, and visits overlap."""
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(made())], "vec_id long, embedding array<float>")
+    distinct = vectors.keyed(df).dropDuplicates(["id"]).select("id", "embedding")
+    rows = vectors.regions(distinct, distinct.count(), 3, 0.08, region=60).collect()
+    homes = [r["region"] for r in rows if r["home"]]
+    assert len(homes) == distinct.count() and len(set(homes)) > 4 and max(homes.count(k) for k in set(homes)) <= 120 and len(rows) > 2 * len(homes)
