@@ -22,10 +22,13 @@ BUDGET_OPTIONS = ("continue_anyway", "reduce_scope", "switch_to_best_effort_bott
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Computed once, in spark.checkpoint.dir; where the session names none (tests), in a folder of its own."""
+    """Computed once, in spark.checkpoint.dir; where a local session names none (tests), in a folder of its own."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gritstone-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gritstone-"))
     return df.checkpoint(eager=True)
 
 
