@@ -1,6 +1,6 @@
 """Exact nearest neighbours by score, as a join of Voronoi groups.
 
-Queries and data go to the cell of their nearest pivot. Of a cell of data the summary is the distance of its rows to the pivot: the
+Data go to the cell of their nearest pivot, queries to the group of theirs, of fewer pivots. Of a cell of data the summary is the distance of its rows to the pivot: the
 smallest few and the largest; of a group of queries, the range of their products with every pivot and their largest length. By
 the triangle inequality a row at distance d from its pivot c scores between q.c - |q| d and q.c + |q| d. So the summaries alone give each
 group a score that enough rows must reach, and, for every cell, the least distance to its pivot from which a row can reach
@@ -119,25 +119,32 @@ def _same_length(rows: DataFrame, top: int, every: int, cell: int, block: int, g
     spark, n = rows.sparkSession, rows.count()
     middle = pivots(rows, n, cell)
     placed = checkpointed(in_cells(rows, middle))
-    asks = F.col("vec_id") % every == 0
-    # at most PIVOTS rows
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.count_if(asks) / group)).cast("int").alias("parts"), F.max("d").alias("most"))
-    sizes = spark.createDataFrame(sizes.collect(), sizes.schema)
-    dealt = placed.join(F.broadcast(sizes), "cell")
-    data = dealt.select("cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "d", "v")
-    queries = dealt.filter(asks).select(F.col("cell").alias("grp"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+
+    def small(sizes: DataFrame) -> DataFrame:
+        """Sizes by cell, at most PIVOTS rows."""
+        return F.broadcast(spark.createDataFrame(sizes.collect(), sizes.schema))
+
+    sizes = small(placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.max("d").alias("most")))
+    data = placed.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "d", "v")
+    # queries are few, so they have wider cells of their own: rows are sent once for each group, not once for each cell
+    asking = checkpointed(in_cells(rows.filter(F.col("vec_id") % every == 0), pivots(rows, n, group * every)))
+    parts = small(asking.groupBy("cell").agg(F.ceil(F.count("*") / group).cast("int").alias("parts")))
+    queries = asking.join(parts, "cell").select(F.col("cell").alias("grp"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
 
     ranges = checkpointed(query_ranges(queries, middle))
     # a group of queries may have one of its own among the nearest of a cell, so one row more is asked for
-    nth = F.row_number().over(Window.partitionBy("cell").orderBy("d", "vec_id"))
-    nearest = placed.select("cell", "d", "vec_id").withColumn("nth", nth).filter(F.col("nth") <= top + 1).select("cell", "d")
+    nearest = data.select("cell", "block", "d", "vec_id")
+    for keys in (["cell", "block"], ["cell"]):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("d", "vec_id"))
+        nearest = nearest.withColumn("nth", nth).filter(F.col("nth") <= top + 1).drop("nth")
+    nearest = nearest.select("cell", "d")
     slack = F.lit(SLACK) * (F.abs(F.col("low")) + F.abs(F.col("high")) + F.col("length") * F.col("d")) + F.lit(1e-6)
     sure = ranges.join(nearest, "cell").select("grp", "part", (F.col("low") - F.col("length") * F.col("d") - slack).alias("sure"))
     place = F.row_number().over(Window.partitionBy("grp", "part").orderBy(F.col("sure").desc()))
     floor = sure.withColumn("nth", place).filter(F.col("nth") <= top + 1).filter(F.col("nth") == top + 1).select("grp", "part", F.col("sure").alias("floor"))
     slack = F.lit(SLACK) * (F.abs(F.col("high")) + F.abs(F.col("floor")) + F.col("length") * F.col("most")) + F.lit(1e-6)
     reach = F.when(F.col("floor").isNull() | (F.col("length") == 0), 0.0).otherwise((F.col("floor") - F.col("high") - slack) / F.col("length"))
-    needs = ranges.join(floor, ["grp", "part"], "left").join(F.broadcast(sizes.select("cell", "blocks", "most")), "cell").withColumn("reach", reach).filter("most >= reach")
+    needs = ranges.join(floor, ["grp", "part"], "left").join(sizes, "cell").withColumn("reach", reach).filter("most >= reach")
     needs = checkpointed(needs.select("grp", "part", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "reach"))
 
     asked = needs.groupBy("cell", "block").agg(F.collect_list(F.struct("grp", "part", "reach")).alias("by"))

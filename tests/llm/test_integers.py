@@ -67,7 +67,7 @@ def test_few_rows_are_sent(spark):
     real = neighbours.solve
     try:
         neighbours.solve = lambda top: seen.append(top) or (lambda left, right: _count(left, right))
-        blocks = neighbours._same_length(integers.one_per_id(integers.integer_vectors(df, 64)), 20, 20, 300, 4096, 1024).collect()
+        blocks = neighbours._same_length(integers.one_per_id(integers.integer_vectors(df, 64)), 20, 20, 300, 4096, 15).collect()
     finally:
         neighbours.solve = real
     assert seen and sum(r["vec_id"] for r in blocks) == 600  # each row went to one group
