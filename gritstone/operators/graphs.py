@@ -6,32 +6,60 @@ short and a lost executor costs one round.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 
-#: A graph, or what is left of one, of up to so many edges is finished in one task; a larger one is worked off by rounds until it is that small.
-SMALL_GRAPH = 200_000
-
 # What can be chosen when a run would send too many requests.
 BUDGET_OPTIONS = ("continue_anyway", "reduce_scope", "switch_to_best_effort_bottom_up", "cancel")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Computed once, in spark.checkpoint.dir; where a local session names none (tests), in a folder of its own."""
-    context = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where a local session names none (tests), a folder of its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gritstone-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Computed once, as a checkpoint in the shared folder."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def rounds(spark: SparkSession):
+    """A function that computes a DataFrame once, as a table in the shared folder; the tables go when the block ends.
+
+    Rounds join their own results with themselves. A checkpoint would carry the estimate of its size on, squared by every such join;
+    a table has the size of its files.
+    """
+    folder = f"{_folder(spark)}/rounds-{uuid.uuid4().hex}"
+    number = itertools.count()
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{next(number)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
     """df with `name`: 1, 2, ... in order. Rows are range-partitioned; only one count for each partition passes through one task."""
     dealt = saved(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
@@ -94,167 +122,213 @@ def _without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(a, F.col("caller") == F.col("_a"), "left_anti").join(b, F.col("callee") == F.col("_b"), "left_anti")
 
 
-def _in_one_task(edges: DataFrame, solve) -> DataFrame:
-    """(ea, n) rows that solve makes of the list of edges (caller, callee); only for edges counted to be at most SMALL_GRAPH."""
-
-    def run(batches):
-        pairs = [p for batch in batches for p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        found = solve(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["ea", "n"])
-
-    return edges.select(F.col("caller").cast("long"), F.col("callee").cast("long")).repartition(1).mapInArrow(run, "ea long, n long")
-
-
-def _chain_lengths(pairs: list[tuple[int, int]]) -> dict[int, int]:
-    """Length of the longest chain of calls below each node of an acyclic graph."""
-    callers: dict[int, list[int]] = {}
-    open_, longest = {}, {}
-    for a, b in pairs:
-        callers.setdefault(b, []).append(a)
-        open_[a] = open_.get(a, 0) + 1
-        open_.setdefault(b, 0)
-    ready = [n for n, k in open_.items() if not k]
-    longest = dict.fromkeys(open_, 0)
-    while ready:
-        b = ready.pop()
-        for a in callers.get(b, ()):
-            longest[a] = max(longest[a], longest[b] + 1)
-            open_[a] -= 1
-            if not open_[a]:
-                ready.append(a)
-    return longest
-
-
-def _component_of(pairs: list[tuple[int, int]]) -> dict[int, int]:
-    """The smallest node of each node's strongly connected component: finishing order of one walk, then a walk backwards."""
-    out: dict[int, list[int]] = {}
-    back: dict[int, list[int]] = {}
-    for a, b in pairs:
-        out.setdefault(a, []).append(b)
-        back.setdefault(b, []).append(a)
-    seen, finished = set(), []
-    for root in {n for p in pairs for n in p}:
-        if root in seen:
-            continue
-        seen.add(root)
-        walk = [(root, iter(out.get(root, ())))]
-        while walk:
-            node, left = walk[-1]
-            step = next((n for n in left if n not in seen), None)
-            if step is None:
-                finished.append(node)
-                walk.pop()
-            else:
-                seen.add(step)
-                walk.append((step, iter(out.get(step, ()))))
-    label: dict[int, int] = {}
-    for root in reversed(finished):
-        if root in label:
-            continue
-        members, front = [root], [root]
-        label[root] = root
-        while front:
-            for n in back.get(front.pop(), ()):
-                if n not in label:
-                    label[n] = root
-                    members.append(n)
-                    front.append(n)
-        least = min(members)
-        for n in members:
-            label[n] = least
-    return label
-
-
-def strong_components(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
-    """(ea, component): the smallest address of the node's strongly connected component, for nodes on edges (caller, callee).
-
-    Nodes without a caller or callee left are peeled off first; what remains is coloured by the largest node that
-    reaches it, and the nodes that reach their own colour backwards form components; repeat on the rest, until it has at most `small`
-    edges, which one task finishes.
+def _busy_ranks(edges: DataFrame) -> DataFrame:
+    """(n, rank) of the nodes on edges: a number for each, larger for nodes on more ways, ties by hash."""
+    ends = edges.select(F.col("caller").alias("n"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("callee", F.lit(0), F.lit(1)))
+    ways = ends.groupBy("n").agg((F.sum("o") * F.sum("i")).alias("ways"))
+    return numbered(ways, [F.col("ways"), F.xxhash64("n"), F.col("n")], "rank").select("n", "rank")
+
+
+def _trimmed(edges: DataFrame, keep) -> DataFrame:
+    """edges (a, b) without those that cannot lie on a cycle because an end is not called or calls nothing, as long as each round drops a tenth."""
+
+    def once(e: DataFrame) -> DataFrame:
+        called, calling = e.select(F.col("b").alias("_t")).distinct(), e.select(F.col("a").alias("_s")).distinct()
+        return e.join(called, F.col("a") == F.col("_t"), "left_semi").join(calling, F.col("b") == F.col("_s"), "left_semi")
+
+    n = edges.count()
+    while n:
+        edges = keep(once(once(edges)))
+        before, n = n, edges.count()
+        if n > 0.9 * before:
+            break
+    return edges
+
+
+def _without_chains(edges: DataFrame, keep) -> tuple[DataFrame, DataFrame | None]:
+    """(edges, links): nodes with one caller and one callee are bypassed by pointer doubling.
+
+    edges (a, b) then join the ends of each chain; links (v, l, r, ring) names the ends of every node that was bypassed, and for those on a ring
+    of such nodes alone the ring's smallest. None where hardly any node is of that kind.
+    """
+    into = edges.groupBy("b").agg(F.count("*").alias("i"), F.first("a").alias("l"))
+    out = edges.groupBy("a").agg(F.count("*").alias("o"), F.first("b").alias("r"))
+    links = into.filter("i = 1").join(out.filter("o = 1"), F.col("b") == F.col("a")).filter("l <> b").select(F.col("b").alias("v"), "l", "r", F.col("b").alias("least"), F.lit(False).alias("ended"))
+    links = keep(links)
+    many = links.count()
+    if many * 10 < edges.count():
+        return edges, None
+    for _ in range(many.bit_length() + 1):
+        right = links.select(F.col("v").alias("_rv"), F.col("r").alias("_r"), F.col("least").alias("_m"))
+        left = links.select(F.col("v").alias("_lv"), F.col("l").alias("_l"))
+        moved = links.join(right, F.col("r") == F.col("_rv"), "left").join(left, F.col("l") == F.col("_lv"), "left")
+        links = keep(moved.select("v", F.coalesce("_l", "l").alias("l"), F.coalesce("_r", "r").alias("r"), F.least("least", F.coalesce("_m", "least")).alias("least"), (F.col("_rv").isNull() & F.col("_lv").isNull()).alias("ended")))
+        if links.filter("NOT ended").isEmpty():
+            break
+    inner = links.select(F.col("v").alias("_v"))
+    rest = edges.join(inner, F.col("a") == F.col("_v"), "left_anti").join(inner, F.col("b") == F.col("_v"), "left_anti")
+    across = links.filter("ended AND l <> r").select(F.col("l").alias("a"), F.col("r").alias("b"))
+    return keep(rest.union(across).distinct()), links.select("v", "l", "r", F.when(~F.col("ended"), F.col("least")).alias("ring"))
+
+
+def _furthest(edges: DataFrame, keep) -> DataFrame:
+    """(n, c): the largest node from which n can be reached, itself included, over edges (a, b).
+
+    Each round takes the best of the callers' and what the best so far has found itself, so what is found travels ever farther.
+    """
+    best = keep(edges.select(F.col("a").alias("n")).union(edges.select("b")).distinct().withColumn("c", F.col("n")))
+    while True:
+        pushed = edges.join(best, F.col("a") == F.col("n")).groupBy(F.col("b").alias("_to")).agg(F.max("c").alias("_p"))
+        known = best.select(F.col("n").alias("_n"), F.col("c").alias("_c"))
+        step = best.join(pushed, F.col("n") == F.col("_to"), "left").select("n", F.col("c").alias("_old"), F.greatest("c", F.coalesce("_p", "c")).alias("_g"))
+        new = keep(step.join(known, F.col("_g") == F.col("_n")).select("n", F.greatest("_g", "_c").alias("c"), "_old"))
+        same = new.filter("c <> _old").isEmpty()
+        best = new.select("n", "c")
+        if same:
+            return best
+
+
+def _coloured(edges: DataFrame, colour: DataFrame) -> DataFrame:
+    """edges (a, b) whose ends have the same colour, and that colour, c."""
+    x, y = colour.select(F.col("n").alias("_a"), F.col("c").alias("_ca")), colour.select(F.col("n").alias("_b"), F.col("c").alias("_cb"))
+    return edges.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b")).filter("_ca = _cb").select("a", "b", F.col("_ca").alias("c"))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(ea, component): the smallest node of the node's strongly connected component, for nodes on edges (caller, callee) of any one type.
+
+    Nodes on no cycle are trimmed and chains bypassed. The rest is coloured by the largest node that reaches it, and inside each
+    colour by the largest that it reaches: where both agree, a component is found, one in each colour and round; edges between
+    colours lie in no component. Nodes are numbered so that the busiest are the largest, which find large components first.
     """
-    rest = saved(edges.filter(F.col("caller") != F.col("callee")).select("caller", "callee").distinct())
+    with rounds(edges.sparkSession) as keep:
+        return saved(_components(edges, keep))
+
+
+def _components(edges: DataFrame, keep) -> DataFrame:
     every = edges.select(F.col("caller").alias("ea")).union(edges.select("callee")).distinct()
+    plain = edges.filter(F.col("caller") != F.col("callee")).select("caller", "callee").distinct()
+    ranks = keep(_busy_ranks(plain))
+    x, y = ranks.select(F.col("n").alias("_x"), F.col("rank").alias("a")), ranks.select(F.col("n").alias("_y"), F.col("rank").alias("b"))
+    rest = _trimmed(plain.join(x, F.col("caller") == F.col("_x")).join(y, F.col("callee") == F.col("_y")).select("a", "b"), keep)
+    rest, links = _without_chains(rest, keep)
+    rest = rest if links is None else _trimmed(rest, keep)
     done = None
-    while True:
-        if rest.count() <= small:
-            last = saved(_in_one_task(rest, _component_of).select("ea", F.col("n").alias("c")))
-            done = last if done is None else done.union(last)
-            break
-        while True:
-            called, calling = rest.select(F.col("callee").alias("_t")).distinct(), rest.select(F.col("caller").alias("_s")).distinct()
-            cut = saved(rest.join(called, F.col("caller") == F.col("_t"), "left_semi").join(calling, F.col("callee") == F.col("_s"), "left_semi"))
-            before, after = rest.count(), cut.count()
-            rest = cut
-            if before == after:
-                break
-        if rest.isEmpty():
-            break
-        colour = saved(rest.select(F.col("caller").alias("ea")).union(rest.select("callee")).distinct().withColumn("c", F.col("ea")))
-        while True:
-            pushed = rest.join(colour, F.col("caller") == F.col("ea")).groupBy(F.col("callee").alias("_to")).agg(F.max("c").alias("_c"))
-            new = saved(colour.join(pushed, F.col("ea") == F.col("_to"), "left").select("ea", F.greatest("c", F.coalesce("_c", "c")).alias("c"), F.col("c").alias("_old")))
-            moved = not new.filter("c <> _old").isEmpty()
-            colour = new.select("ea", "c")
-            if not moved:
-                break
-        same = rest.join(colour.select(F.col("ea").alias("_a"), F.col("c").alias("_ca")), F.col("caller") == F.col("_a")).join(colour.select(F.col("ea").alias("_b"), F.col("c").alias("_cb")), F.col("callee") == F.col("_b")).filter("_ca = _cb")
-        same = saved(same.select("caller", "callee"))
-        back = saved(colour.filter("ea = c"))
-        front = back
-        while True:
-            step = same.join(front.select(F.col("ea").alias("_f"), "c"), F.col("callee") == F.col("_f")).select(F.col("caller").alias("ea"), "c").distinct()
-            front = saved(step.join(back.select(F.col("ea").alias("_seen")), F.col("ea") == F.col("_seen"), "left_anti"))
-            if front.isEmpty():
-                break
-            back = saved(back.union(front))
-        done = back if done is None else done.union(back)
-        rest = saved(_without(rest, back))
-    if done is None:  # all were peeled off
+    while not rest.isEmpty():
+        to = _furthest(rest, keep)
+        inside = keep(_coloured(rest, to))
+        back = _furthest(inside.select(F.col("b").alias("a"), F.col("a").alias("b")), keep)
+        found = back.withColumnRenamed("c", "own").join(to.select(F.col("n").alias("_n"), "c"), F.col("n") == F.col("_n")).filter("own = c").select("n", "c")
+        found = keep(found)
+        done = found if done is None else done.union(found)
+        gone = found.select(F.col("n").alias("_g"))
+        rest = _trimmed(_coloured(inside.drop("c").join(gone, F.col("a") == F.col("_g"), "left_anti"), back).select("a", "b"), keep)
+    if links is not None:
+        label = links.select(F.col("v").alias("n"), F.col("ring").alias("c")).filter("c IS NOT NULL")
+        open_ = links.filter("ring IS NULL")
+        if done is not None:
+            p, q = done.select(F.col("n").alias("_p"), F.col("c").alias("_pc")), done.select(F.col("n").alias("_q"), F.col("c").alias("_qc"))
+            open_ = open_.join(p, F.col("l") == F.col("_p"), "left").join(q, F.col("r") == F.col("_q"), "left").withColumns({"l": F.coalesce("_pc", "l"), "r": F.coalesce("_qc", "r")})
+        label = label.union(open_.filter("l = r").select("v", F.col("l")))
+        done = label if done is None else done.union(label)
+    if done is None:
         return every.select("ea", F.col("ea").alias("component"))
-    least = done.groupBy("c").agg(F.min("ea").alias("component"))
-    named = done.join(least, "c").select(F.col("ea").alias("_n"), "component")
-    return every.join(named, F.col("ea") == F.col("_n"), "left").select("ea", F.coalesce("component", "ea").alias("component"))
+    named = ranks.join(done.withColumnRenamed("n", "_d"), F.col("rank") == F.col("_d"), "left").select("n", F.coalesce("c", "rank").alias("c"))
+    named = keep(named)
+    least = named.groupBy("c").agg(F.min("n").alias("component"))
+    members = named.join(least, "c").select(F.col("n").alias("_m"), "component")
+    return every.join(members, F.col("ea") == F.col("_m"), "left").select("ea", F.coalesce("component", "ea").alias("component"))
 
 
-def cyclic_nodes(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """(ea, group_id): nodes in components of two or more, or that call themselves; group_id is the smallest member."""
-    found = strong_components(edges, small)
+    found = saved(strong_components(edges))
     several = found.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
     own = edges.filter(F.col("caller") == F.col("callee")).select(F.col("caller").alias("_s")).distinct()
     return found.join(several, "component", "left_semi").unionByName(found.join(own, F.col("ea") == F.col("_s"), "left_semi")).select("ea", F.col("component").alias("group_id")).distinct()
 
 
-def bottom_up_levels(nodes: DataFrame, edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+def _longest_chains(edges: DataFrame, most: int, keep) -> DataFrame | None:
+    """(n, m): calls on the longest chain below n, for nodes on acyclic edges (a, b), by pointer doubling; 0 where n is not listed.
+
+    Round k joins the pairs that a chain of 2^k calls connects with themselves, and takes a node's longest chain of under 2^(k+1) calls from
+    those of under 2^k. So the rounds are the logarithm of the depth. None as soon as a round would make over `most` pairs.
+    """
+    pairs, longest = edges, None
+    step = 1
+    while not pairs.isEmpty():
+        if longest is None:
+            longest = pairs.groupBy(F.col("a").alias("n")).agg(F.lit(1).alias("m"))
+        else:
+            below = longest.select(F.col("n").alias("_n"), "m")
+            far = pairs.join(below, F.col("b") == F.col("_n"), "left").groupBy(F.col("a").alias("_a")).agg((F.max(F.coalesce("m", F.lit(0))) + step).alias("far"))
+            longest = longest.join(far, F.col("n") == F.col("_a"), "left").select("n", F.coalesce("far", "m").cast("int").alias("m"))
+        longest = keep(longest)
+        ways = pairs.groupBy(F.col("b").alias("_v")).agg(F.count("*").alias("i")).join(pairs.groupBy("a").agg(F.count("*").alias("o")), F.col("_v") == F.col("a")).agg(F.sum(F.col("i") * F.col("o"))).first()[0]
+        if (ways or 0) > most:
+            return None
+        on = pairs.select(F.col("a").alias("_m"), F.col("b").alias("c"))
+        pairs = keep(pairs.join(on, F.col("b") == F.col("_m")).select("a", F.col("c").alias("b")).distinct())
+        step *= 2
+    return edges.select(F.col("a").alias("n"), F.lit(0).alias("m")) if longest is None else longest
+
+
+#: Pairs that a round of doubling may make, for each edge; beyond it leaves are peeled off first.
+GROWTH = 8
+
+
+def bottom_up_levels(nodes: DataFrame, edges: DataFrame, growth: int = GROWTH) -> DataFrame:
     """(ea, level, is_cycle, group_id) for nodes (ea) under edges (caller, callee) among them.
 
-    Cyclic nodes have no level and come in groups; edges to them do not count. The others' level is the length of the
-    longest chain of calls below them, found by peeling off functions whose callees are all done; what has at most `small` edges
-    left is finished in one task, however deep it is.
+    Cyclic nodes have no level and come in groups; edges to them do not count. The others' level is the length of the longest
+    chain of calls below them, found by doubling. Where chains branch so much that a round would make over `growth` pairs for each edge,
+    1, 2, 4, ... levels of functions whose callees are all done are peeled off before it is tried again.
     """
-    cyclic = saved(cyclic_nodes(edges, small))
+    with rounds(nodes.sparkSession) as keep:
+        return saved(_levels(nodes, edges, growth, keep))
+
+
+def _levels(nodes: DataFrame, edges: DataFrame, growth: int, keep) -> DataFrame:
+    cyclic = saved(cyclic_nodes(edges))
     gone = cyclic.select(F.col("ea").alias("_g"))
-    rest = saved(_without(edges.filter(F.col("caller") != F.col("callee")).select("caller", "callee").distinct(), cyclic))
-    left = saved(nodes.select("ea").distinct().join(gone, F.col("ea") == F.col("_g"), "left_anti"))
-    levels, level = None, 0
-    while not left.isEmpty():
-        if rest.count() <= small:
-            below = _in_one_task(rest, _chain_lengths).withColumnRenamed("ea", "_e")
-            last = left.join(below, F.col("ea") == F.col("_e"), "left").select("ea", (F.coalesce("n", F.lit(0)) + level).cast("int").alias("level"))
-            levels = saved(last if levels is None else levels.union(last))
+    rest = keep(_without(edges.filter(F.col("caller") != F.col("callee")).select("caller", "callee").distinct(), cyclic))
+    left = keep(nodes.select("ea").distinct().join(gone, F.col("ea") == F.col("_g"), "left_anti"))
+    levels, level, burst = None, 0, 1
+    while True:
+        longest = _longest_chains(rest.select(F.col("caller").alias("a"), F.col("callee").alias("b")), growth * rest.count(), keep)
+        if longest is not None:
+            last = left.join(longest, F.col("ea") == F.col("n"), "left").select("ea", (F.coalesce("m", F.lit(0)) + level).cast("int").alias("level"))
+            levels = last if levels is None else levels.union(last)
             break
-        waiting = rest.select(F.col("caller").alias("_w")).distinct()
-        ready = saved(left.join(waiting, F.col("ea") == F.col("_w"), "left_anti"))
-        now = ready.withColumn("level", F.lit(level))
-        levels = now if levels is None else levels.union(now)
-        levels = saved(levels) if level % 16 == 15 else levels  # keeps the plan of a deep graph short
-        done = ready.select(F.col("ea").alias("_d"))
-        left = saved(left.join(done, F.col("ea") == F.col("_d"), "left_anti"))
-        rest = saved(rest.join(done, F.col("callee") == F.col("_d"), "left_anti"))
-        level += 1
+        for _ in range(burst):
+            waiting = rest.select(F.col("caller").alias("_w")).distinct()
+            ready = keep(left.join(waiting, F.col("ea") == F.col("_w"), "left_anti"))
+            now = ready.withColumn("level", F.lit(level))
+            levels = keep(now if levels is None else levels.union(now))
+            done = ready.select(F.col("ea").alias("_d"))
+            left = keep(left.join(done, F.col("ea") == F.col("_d"), "left_anti"))
+            rest = keep(rest.join(done, F.col("callee") == F.col("_d"), "left_anti"))
+            level += 1
+        burst *= 2
     loops = cyclic.join(nodes.select(F.col("ea").alias("_n")).distinct(), F.col("ea") == F.col("_n"), "left_semi").select("ea", F.lit(None).cast("int").alias("level"), F.lit(True).alias("is_cycle"), "group_id")
-    if levels is None:
-        return loops
-    return levels.select("ea", "level", F.lit(False).alias("is_cycle"), F.lit(None).cast("long").alias("group_id")).unionByName(loops)
+    return levels.select("ea", "level", F.lit(False).alias("is_cycle"), F.lit(None).cast(dict(cyclic.dtypes)["group_id"]).alias("group_id")).unionByName(loops)
+
+
+def callees_first_with_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(ea, component, height, ord): an order in which every function comes after all its callees but those of its own cycle.
+
+    Components are contracted; height is the longest chain of calls between components below the function's own. Within
+    a height, components come by their smallest address and their members by address.
+    """
+    inner = saved(edges_within(edges, nodes))
+    found = strong_components(inner)
+    placed = nodes.select("ea").distinct().join(found.withColumnRenamed("ea", "_e"), F.col("ea") == F.col("_e"), "left").select("ea", F.coalesce("component", "ea").alias("component"))
+    placed = saved(placed)
+    x, y = placed.select(F.col("ea").alias("_x"), F.col("component").alias("_cx")), placed.select(F.col("ea").alias("_y"), F.col("component").alias("_cy"))
+    between = inner.join(x, F.col("caller") == F.col("_x")).join(y, F.col("callee") == F.col("_y")).filter("_cx <> _cy").select(F.col("_cx").alias("caller"), F.col("_cy").alias("callee")).distinct()
+    heights = bottom_up_levels(placed.select(F.col("component").alias("ea")).distinct(), saved(between)).select(F.col("ea").alias("_c"), F.col("level").alias("height"))
+    rows = placed.join(heights, F.col("component") == F.col("_c")).drop("_c")
+    return numbered(rows, [F.col("height"), F.col("component"), F.col("ea")], "ord")
 
 
 def callees_first(levels: DataFrame) -> DataFrame:
@@ -269,46 +343,60 @@ def level_members(levels: DataFrame, index: int) -> DataFrame:
 
 
 def back_edges(edges: DataFrame, program: str = "program_id") -> DataFrame:
-    """(program, caller, callee, path): one cycle for each back edge of a depth-first walk in address order, program by program.
+    """(program, caller, callee, path): one cycle for each back edge of a depth-first walk, program by program.
 
-    The walk is sequential by nature; a program's graph is small, so each goes to one pandas group.
+    Every cycle lies in one strongly connected component, so components are found first, by rounds; each is walked by itself, from its
+    smallest address, callees in address order. Functions on no cycle never reach the walk. A walk is sequential by nature: one component is
+    one group, and a path is at most as long as its component. A function that calls itself is a cycle of its own.
     """
-    import pandas as pd
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    import numpy as np
+
+    kind = edges.schema[program].dataType
+    rows = saved(edges.select(F.col(program).alias("p"), F.col("caller").cast("long").alias("x"), F.col("callee").cast("long").alias("y")).distinct())
+    node = lambda c: F.struct(F.col("p").alias("p"), F.col(c).alias("ea"))
+    found = strong_components(rows.select(node("x").alias("caller"), node("y").alias("callee")))
+    home = saved(found.select(F.col("ea.p").alias("_p"), F.col("ea.ea").alias("_e"), F.col("component.ea").alias("c")))
+    at = rows.join(home, F.col("p").eqNullSafe(F.col("_p")) & (F.col("x") == F.col("_e"))).select("p", "x", "y", "c")
+    inside = at.join(home.select(F.col("_p").alias("_q"), F.col("_e").alias("_f"), F.col("c").alias("_d")), F.col("p").eqNullSafe(F.col("_q")) & (F.col("y") == F.col("_f")) & (F.col("c") == F.col("_d"))).select("p", "c", "x", "y")
+
+    def walk(group: pa.Table) -> pa.Table:
+        order = np.lexsort((group.column("y").to_numpy(), group.column("x").to_numpy()))
+        group = group.take(pa.array(order))
         out: dict[int, list[int]] = {}
-        for a, b in sorted(set(zip(pdf["caller"].tolist(), pdf["callee"].tolist()))):
+        for a, b in zip(group.column("x").to_pylist(), group.column("y").to_pylist()):
             out.setdefault(a, []).append(b)
-        state, found = {}, []
-        for root in sorted(set(out)):
-            if root in state:
-                continue
-            path, iters = [root], [iter(out[root])]
-            state[root] = 1
-            while path:
-                nxt = next(iters[-1], None)
-                if nxt is None:
-                    state[path.pop()] = 2
-                    iters.pop()
-                elif state.get(nxt) == 1:
-                    found.append((path[-1], nxt, [*path[path.index(nxt) :], nxt]))
-                elif nxt not in state:
-                    state[nxt] = 1
-                    path.append(nxt)
-                    iters.append(iter(out.get(nxt, [])))
-        return pd.DataFrame({program: [pdf[program].iloc[0]] * len(found), "caller": [f[0] for f in found], "callee": [f[1] for f in found], "path": pd.Series([f[2] for f in found], dtype=object)})
-
-    kind = dict(edges.dtypes)[program]
-    return edges.select(program, F.col("caller").cast("long").alias("caller"), F.col("callee").cast("long").alias("callee")).groupBy(program).applyInPandas(walk, f"{program} {kind}, caller long, callee long, path array<long>")
+        root = group.column("c")[0].as_py()
+        path, depth, left, cycles = [root], {root: 0}, [iter(out.get(root, ()))], []
+        finished = set()
+        while path:
+            nxt = next(left[-1], None)
+            if nxt is None:
+                node = path.pop()
+                left.pop()
+                finished.add(node)
+                del depth[node]
+            elif nxt in depth:
+                cycles.append((path[-1], nxt, [*path[depth[nxt] :], nxt]))
+            elif nxt not in finished:
+                depth[nxt] = len(path)
+                path.append(nxt)
+                left.append(iter(out.get(nxt, ())))
+        p = group.column("p")[0].as_py()
+        return pa.table({program: pa.array([p] * len(cycles), group.schema.field("p").type), "caller": pa.array([c[0] for c in cycles], pa.int64()), "callee": pa.array([c[1] for c in cycles], pa.int64()), "path": pa.array([c[2] for c in cycles], pa.list_(pa.int64()))})
+
+    return inside.groupBy("p", "c").applyInArrow(walk, StructType([StructField(program, kind), StructField("caller", LongType()), StructField("callee", LongType()), StructField("path", ArrayType(LongType()))]))
 
 
 def level_batches(levels: DataFrame, size: int) -> DataFrame:
-    """(ea, group_no, is_cycle, batch): levels, then cycle groups, each cut into batches of `size` in address order."""
+    """(ea, group_no, is_cycle, batch): levels, then cycle groups, each cut into batches of `size` in address order.
+
+    Rows are numbered over all groups, and a group's first number is taken off, so that a large level is no task of its own.
+    """
     key = [F.col("level").asc_nulls_last(), F.col("group_id").asc_nulls_first()]
-    groups = levels.select("level", "group_id").distinct().select(F.col("level").alias("_l"), F.col("group_id").alias("_g"), (F.row_number().over(Window.orderBy(*key)) - 1).alias("group_no"))
-    nth = F.row_number().over(Window.partitionBy("level", "group_id").orderBy("ea")) - 1
-    rows = levels.withColumn("batch", F.floor(nth / size).cast("int"))
-    return rows.join(groups, rows["level"].eqNullSafe(groups["_l"]) & rows["group_id"].eqNullSafe(groups["_g"])).select("ea", "group_no", "is_cycle", "batch")
+    placed = saved(numbered(levels.select("ea", "level", "is_cycle", "group_id"), [*key, F.col("ea")]))
+    heads = numbered(placed.groupBy("level", "group_id").agg(F.min("place").alias("first")), key, "nth").select(F.col("level").alias("_l"), F.col("group_id").alias("_g"), "first", (F.col("nth") - 1).cast("int").alias("group_no"))
+    rows = placed.join(heads, F.col("level").eqNullSafe(F.col("_l")) & F.col("group_id").eqNullSafe(F.col("_g")))
+    return rows.select("ea", "group_no", "is_cycle", F.floor((F.col("place") - F.col("first")) / size).cast("int").alias("batch"))
 
 
 def request_estimate(levels: DataFrame, cached: DataFrame, size: int, max_requests: int = 25, warn_above: int = 25) -> DataFrame:
@@ -344,31 +432,97 @@ def dynamic_batch(mode: str, target: int = 40, most: int = 60, least: int = 8, s
     return max(1, min(max(base, target, least), most))
 
 
+def _dealt(df: DataFrame, order: list[Column], keep) -> DataFrame:
+    """df in range partitions, computed once, with `_part`, the partition's number."""
+    return keep(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
+
+def _carried(dealt: DataFrame, group: str, order: list[Column], functions: dict[str, tuple]) -> DataFrame:
+    """dealt (in range partitions by group and order) with running aggregates within group, the row included: name: (function, column).
+
+    Each partition's part of a group is aggregated once; what earlier parts have is one row for each partition and group.
+    """
+    parts = dealt.groupBy("_part", group).agg(*[f(c).alias(f"_t_{n}") for n, (f, c) in functions.items()])
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = parts.select(F.col("_part").alias("_q"), F.col(group).alias("_h"), *[f(f"_t_{n}").over(before).alias(f"_b_{n}") for n, (f, _) in functions.items()])
+    inside = Window.partitionBy("_part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = dealt.withColumns({f"_i_{n}": f(c).over(inside) for n, (f, c) in functions.items()})
+    rows = rows.join(heads, (F.col("_part") == F.col("_q")) & F.col(group).eqNullSafe(F.col("_h")))
+    joined = {n: F.coalesce(F.col(f"_i_{n}") + F.col(f"_b_{n}"), f"_i_{n}", f"_b_{n}") if f is F.sum else F.greatest(f"_i_{n}", f"_b_{n}") for n, (f, _) in functions.items()}
+    return rows.select(*dealt.columns, *[c.alias(n) for n, c in joined.items()])
+
+
 def packed_batches(items: DataFrame, slot: int, most: int = 0, group: str | None = None) -> DataFrame:
     """(group, ord, batch): items (ord, chars, optional group) in order, a batch closed when the next would pass slot characters or `most` items.
 
-    An item larger than the slot is a batch by itself. Each group is one stream in order, folded row by row: a task holds one Arrow
-    batch, however long the group is. Packing is sequential by nature, so one group (all rows, without a group) is one task.
+    An item larger than the slot is a batch by itself; null chars count as 0; ord is unique within a group. From running sums and a lookup by
+    range each item gets the place where the next batch would start if one starts at it. A block (the part of a group in one range
+    partition) follows these pointers to where they leave it; pointer doubling over blocks finds where each is entered and how many
+    batches come before. So a long group is dealt over many tasks, and the rounds are the logarithm of its number of blocks.
     """
-    by = [group] if group else []
-    rows = items.select(*by, "ord", F.col("chars").cast("long").alias("chars"))
-    ordered = (rows.repartition(group) if group else rows.repartition(1)).sortWithinPartitions(*by, "ord")
-
-    def fold(batches):
-        now, batch, total, n = (), 0, 0, 0
-        for part in batches:
-            out = []
-            keys = part.column(0).to_pylist() if group else [None] * part.num_rows
-            for key, chars in zip(keys, part.column(part.num_columns - 1).to_pylist()):
-                if now != (key,):
-                    now, batch, total, n = (key,), 0, 0, 0
-                elif n and (total + chars > slot or 0 < most <= n):
-                    batch, total, n = batch + 1, 0, 0
-                total, n = total + chars, n + 1
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.int32())], [*by, "ord", "batch"])
-
-    return ordered.mapInArrow(fold, StructType([*rows.schema.fields[:-1], StructField("batch", IntegerType())]))
+    with rounds(items.sparkSession) as keep:
+        return saved(_packed(items, slot, most, group, keep))
+
+
+def _packed(items: DataFrame, slot: int, most: int, group: str | None, keep) -> DataFrame:
+    rows = items.select((F.col(group) if group else F.lit(0)).alias("g"), F.col("ord").alias("ord"), F.coalesce(F.col("chars").cast("long"), F.lit(0)).alias("chars"))
+    kinds = rows.schema
+    placed = keep(_carried(_dealt(rows.withColumn("one", F.lit(1).cast("long")), [F.col("g"), F.col("ord")], keep), "g", [F.col("ord")], {"place": (F.sum, "one"), "upto": (F.sum, "chars")}).drop("one"))
+
+    # the last item that still fits into a batch that starts at `place`: ends and limits in one order
+    ends = placed.select("g", F.col("upto").alias("x"), F.lit(0).alias("k"), "place", F.col("place").alias("end"))
+    limits = placed.select("g", (F.col("upto") - F.col("chars") + slot).alias("x"), F.lit(1).alias("k"), "place", F.lit(None).cast("long").alias("end"))
+    merged = _dealt(ends.union(limits), [F.col(c) for c in ("g", "x", "k", "place")], keep)
+    fits = _carried(merged, "g", [F.col("x"), F.col("k"), F.col("place")], {"last": (F.max, "end")}).filter("k = 1")
+    after = F.greatest(F.col("place") + 1, F.coalesce(F.col("last"), F.lit(0)) + 1)
+    after = F.least(after, F.col("place") + most) if most > 0 else after
+    nexts = fits.select(F.col("g").alias("_g"), F.col("place").alias("_p"), after.alias("next"))
+    linked = keep(placed.join(nexts, F.col("g").eqNullSafe(F.col("_g")) & (F.col("place") == F.col("_p"))).select("_part", "g", "ord", "place", "next"))
+
+    def leave(block: pa.Table) -> pa.Table:
+        """For every place of a block: the first place behind the block that its pointers lead to, and the batches on the way."""
+        block = block.sort_by("place")
+        place, nxt = block.column("place").to_pylist(), block.column("next").to_pylist()
+        first, n = place[0], len(place)
+        out, hops = [0] * n, [0] * n
+        for i in range(n - 1, -1, -1):
+            j = nxt[i] - first
+            out[i], hops[i] = (nxt[i], 1) if j >= n else (out[j], hops[j] + 1)
+        return pa.table({"_part": block.column("_part"), "g": block.column("g"), "place": block.column("place"), "out": pa.array(out, pa.int64()), "hops": pa.array(hops, pa.int64())})
+
+    g_kind, ord_kind = kinds["g"].dataType, kinds["ord"].dataType
+    leaves = StructType([StructField("_part", IntegerType()), StructField("g", g_kind), StructField("place", LongType()), StructField("out", LongType()), StructField("hops", LongType())])
+    left = keep(linked.groupBy("_part", "g").applyInArrow(leave, leaves))
+    entries = left.select(F.col("g").alias("_g"), F.col("out").alias("_p")).distinct()
+    firsts = left.filter("place = 1")
+    jumps = keep(left.filter("place > 1").join(entries, F.col("g").eqNullSafe(F.col("_g")) & (F.col("place") == F.col("_p")), "left_semi").unionByName(firsts))
+    blocks, reached = jumps, firsts.select("g", "place", F.lit(0).cast("long").alias("batch"))
+    while not jumps.isEmpty():
+        hop = jumps.select(F.col("g").alias("_g"), F.col("place").alias("_p"), "out", "hops")
+        on = lambda g, p: F.col(g).eqNullSafe(F.col("_g")) & (F.col(p) == F.col("_p"))
+        reached = keep(reached.union(reached.join(hop, on("g", "place")).select("g", F.col("out").alias("place"), (F.col("batch") + F.col("hops")).alias("batch"))))
+        longer = jumps.select("g", "place", F.col("out").alias("via"), F.col("hops").alias("so_far"))
+        jumps = keep(longer.join(hop, on("g", "via")).select("g", "place", "out", (F.col("so_far") + F.col("hops")).alias("hops")))
+    # where each block is entered; a block inside one batch is entered nowhere and goes on with the last batch before it
+    entered = blocks.join(reached.select(F.col("g").alias("_g"), F.col("place").alias("_p"), "batch"), F.col("g").eqNullSafe(F.col("_g")) & (F.col("place") == F.col("_p"))).select("_part", "g", F.col("place").alias("entry"), "batch", "hops")
+    known = linked.select("_part", "g").distinct().join(entered.select(F.col("_part").alias("_q"), F.col("g").alias("_h"), "entry", "batch", "hops"), (F.col("_part") == F.col("_q")) & F.col("g").eqNullSafe(F.col("_h")), "left")
+    past = F.last(F.col("batch") + F.col("hops"), ignorenulls=True).over(Window.partitionBy("g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = known.select(F.col("_part").alias("part"), F.col("g").alias("of"), "entry", F.coalesce("batch", past).alias("batch"))
+
+    def number(block: pa.Table, start: pa.Table) -> pa.Table:
+        block = block.sort_by("place")
+        place, nxt = block.column("place").to_pylist(), block.column("next").to_pylist()
+        entry, batch = start.column("entry")[0].as_py(), start.column("batch")[0].as_py() - 1
+        out, due = [], entry
+        for p, n in zip(place, nxt):
+            if p == due:
+                batch, due = batch + 1, n
+            out.append(batch)
+        return pa.table({"g": block.column("g"), "ord": block.column("ord"), "batch": pa.array(out, pa.int32())})
+
+    schema = StructType([StructField("g", g_kind), StructField("ord", ord_kind), StructField("batch", IntegerType())])
+    out = linked.groupBy("_part", "g").cogroup(starts.groupBy("part", "of")).applyInArrow(number, schema)
+    return out.withColumnRenamed("g", group) if group else out.drop("g")
 
 
 def child_context(edges: DataFrame, virtual: DataFrame) -> DataFrame:

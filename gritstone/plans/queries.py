@@ -556,6 +556,19 @@ def levels_with_cycles(spark, sf):
     return graphs.bottom_up_levels(_nodes(spark, sf), call_edges(spark, sf, False))
 
 
+@query(f"""{_SCC_SQL}, home AS (SELECT c_custkey AS ea, coalesce(component, c_custkey) AS component FROM customer LEFT JOIN (SELECT * FROM scc2) ON c_custkey = ea),
+between AS (SELECT DISTINCT x.component AS caller, y.component AS callee FROM within JOIN home x ON caller = x.ea JOIN home y ON callee = y.ea WHERE x.component <> y.component),
+walk(c, height) AS (SELECT DISTINCT component, 0 FROM home UNION SELECT between.caller, walk.height + 1 FROM walk JOIN between ON between.callee = walk.c),
+top AS (SELECT c, max(height)::INT AS height FROM walk GROUP BY c)
+SELECT ea, component, height, row_number() OVER (ORDER BY height, component, ea) AS ord FROM home JOIN top ON component = c""".replace("cyc AS", """within AS (SELECT caller, callee FROM e WHERE caller IN (SELECT c_custkey FROM customer) AND callee IN (SELECT c_custkey FROM customer)),
+r2(a, b) AS (SELECT caller, callee FROM within UNION SELECT r2.a, within.callee FROM r2 JOIN within ON r2.b = within.caller),
+mutual2 AS (SELECT x.a AS ea, min(x.b) AS low FROM r2 x JOIN r2 y ON x.a = y.b AND x.b = y.a GROUP BY x.a), scc2 AS (SELECT ea, least(ea, low) AS component FROM mutual2),
+cyc AS"""))
+def callee_order(spark, sf):
+    """Callees first on a graph with cycles: only members of one cycle may come in any order."""
+    return graphs.callees_first_with_cycles(_nodes(spark, sf), call_edges(spark, sf, False))
+
+
 @query(f"{_LEVELS_SQL} SELECT ea FROM lv WHERE level = 1")
 def level_members(spark, sf):
     return graphs.level_members(graphs.bottom_up_levels(_nodes(spark, sf), call_edges(spark, sf)), 1)
@@ -563,7 +576,7 @@ def level_members(spark, sf):
 
 @query()
 def back_edges(spark, sf):
-    return graphs.back_edges(call_edges(spark, sf, False).withColumn("program_id", F.col("caller") % 7)).withColumn("path", F.array_join("path", ">"))
+    return graphs.back_edges(call_edges(spark, sf, False).withColumn("program_id", F.col("ea") % 2)).withColumn("path", F.array_join("path", ">"))
 
 
 @query(f"{_LEVELS_SQL} SELECT ea, level::BIGINT AS group_no, false AS is_cycle, ((row_number() OVER (PARTITION BY level ORDER BY ea) - 1) // 40)::BIGINT AS batch FROM lv")

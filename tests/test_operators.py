@@ -1,5 +1,6 @@
 import json
 import random
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -344,19 +345,126 @@ def small_graph(spark):
     return spark.createDataFrame(pairs, "caller long, callee long"), spark.createDataFrame([(i,) for i in range(110)], "ea long")
 
 
-def test_rounds_and_one_task_agree(spark):
+def counted_rounds(monkeypatch):
+    """Counts the tables that rounds write."""
+    made, real = [], graphs.rounds
+
+    @contextmanager
+    def counting(spark):
+        with real(spark) as keep:
+            yield lambda df: made.append(1) or keep(df)
+
+    monkeypatch.setattr(graphs, "rounds", counting)
+    return made
+
+
+def depths(nodes, pairs):
+    """Level or cycle of every node, by recursion over the components of tarjan()."""
+    home = {n: n for n in nodes} | tarjan(pairs)
+    size = {c: sum(v == c for v in home.values()) for c in home.values()}
+    cyclic = {n for n in nodes if size[home[n]] > 1 or (n, n) in pairs}
+    level = {}
+
+    def deep(n):
+        if n not in level:
+            level[n] = max([deep(b) + 1 for a, b in pairs if a == n and b not in cyclic], default=0)
+        return level[n]
+
+    return {n: f"c{home[n]}" if n in cyclic else deep(n) for n in nodes}
+
+
+@pytest.mark.parametrize("growth", [8, 0])
+def test_doubling_and_peeling(spark, growth):
+    """growth 0 lets no round of doubling pass that makes a pair."""
     e, n = small_graph(spark)
-    by_rounds, at_once = ({(r["ea"], r["component"]) for r in graphs.strong_components(e, k).collect()} for k in (0, 1000))
-    assert by_rounds == at_once and (102, 100) in at_once
-    a, b = ({tuple(r) for r in graphs.bottom_up_levels(n, e, k).collect()} for k in (0, 1000))
-    assert a == b and len(a) == 110
-    assert {tuple(r) for r in graphs.bottom_up_levels(n, e, 20).collect()} == a
+    pairs = {(r[0], r[1]) for r in e.collect()}
+    got = graphs.bottom_up_levels(n, e, growth).collect()
+    assert {r["ea"]: f"c{r['group_id']}" if r["is_cycle"] else r["level"] for r in got} == depths(range(110), pairs) and len(got) == 110
 
 
-def test_a_deep_chain(spark):
+def test_a_deep_chain(spark, monkeypatch):
+    made = counted_rounds(monkeypatch)
     e = spark.range(2000).selectExpr("id AS caller", "id + 1 AS callee")
     got = {r["ea"]: r["level"] for r in graphs.bottom_up_levels(spark.range(2001).withColumnRenamed("id", "ea"), e).collect()}
-    assert got == {i: 2000 - i for i in range(2001)}
+    assert got == {i: 2000 - i for i in range(2001)} and len(made) < 60
+
+
+def test_rings_and_chains_between_cycles(spark):
+    """A ring of links alone, a chain that closes on one anchor, and a chain between two cycles."""
+    ring = [(i, i % 40 + 1) for i in range(1, 41)]
+    loop = [(100, 101), (101, 102), (102, 100), (100, 103), (103, 104), (104, 100)]
+    bridge = [(104, 200), (200, 201), (201, 202), (202, 300), (300, 301), (301, 300), (300, 302), (302, 300)]
+    got = {r["ea"]: r["component"] for r in graphs.strong_components(edges_df(spark, ring + loop + bridge)).collect()}
+    assert got == tarjan(ring + loop + bridge)
+    assert graphs.strong_components(edges_df(spark, [(1, 1)])).collect() == [(1, 1)] and graphs.strong_components(edges_df(spark, [(1, 2)]).limit(0)).count() == 0
+
+
+def walked(pairs, members):
+    """Back edges of a plain recursive walk of one component."""
+    found, path, finished = [], [], set()
+
+    def visit(n):
+        path.append(n)
+        for m in sorted(b for a, b in pairs if a == n and b in members):
+            if m in path:
+                found.append((n, m, tuple(path[path.index(m) :] + [m])))
+            elif m not in finished:
+                visit(m)
+        finished.add(path.pop())
+
+    visit(min(members))
+    return found
+
+
+def test_back_edges_of_several_programs(spark):
+    r, rows = random.Random(8), []
+    for p in (None, "a", "b"):
+        rows += [(p, r.randrange(20), r.randrange(20)) for _ in range(34)]
+    got = sorted((str(x["program_id"]), x["caller"], x["callee"], tuple(x["path"])) for x in graphs.back_edges(spark.createDataFrame(rows, "program_id string, caller long, callee long")).collect())
+    want = []
+    for p in (None, "a", "b"):
+        pairs = {(x, y) for q, x, y in rows if q == p}
+        home = tarjan(pairs)
+        for c in set(home.values()):
+            want += [(str(p), *f) for f in walked(pairs, {n for n in home if home[n] == c})]
+    assert got == sorted(want) and len(want) > 5
+
+
+def test_order_with_cycles(spark):
+    e, n = small_graph(spark)
+    pairs = {(r[0], r[1]) for r in e.collect()}
+    rows = {r["ea"]: r for r in graphs.callees_first_with_cycles(n, e).collect()}
+    assert sorted(r["ord"] for r in rows.values()) == list(range(1, 111))
+    assert all(rows[a]["ord"] > rows[b]["ord"] for a, b in pairs if rows[a]["component"] != rows[b]["component"])
+    assert {n: rows[n]["component"] for n in tarjan(pairs)} == tarjan(pairs)
+
+
+def greedy(sizes, slot, most):
+    out, batch, total, n = [], 0, 0, 0
+    for c in sizes:
+        if n and (total + c > slot or 0 < most <= n):
+            batch, total, n = batch + 1, 0, 0
+        total, n = total + c, n + 1
+        out.append(batch)
+    return out
+
+
+@pytest.mark.parametrize("slot, most", [(50, 0), (50, 3), (0, 2), (1000, 0), (100_000, 0)])
+def test_packing_over_many_blocks(spark, slot, most):
+    """One group with most rows, small ones, one without a name; zero, null and oversize items; batches longer than a block."""
+    r, rows = random.Random(slot + most), []
+    for g, n in (("hot", 400), ("b", 30), (None, 20), ("one", 1)):
+        rows += [(g, i * 3, None if i % 17 == 5 else r.choice([0, 1, 5, 20, 49, 50, 51, 200])) for i in range(n)]
+    r.shuffle(rows)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(x["g"], x["ord"]): x["batch"] for x in graphs.packed_batches(spark.createDataFrame(rows, "g string, ord long, chars long").repartition(9), slot, most, "g").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    for g in {x[0] for x in rows}:
+        mine = sorted((o, c or 0) for h, o, c in rows if h == g)
+        assert [got[g, o] for o, _ in mine] == greedy([c for _, c in mine], slot, most)
 
 
 def test_numbered(spark):
