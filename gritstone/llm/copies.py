@@ -138,20 +138,23 @@ def shingle_sets(docs: DataFrame, texts: DataFrame, ids: DataFrame) -> DataFrame
 
     Two shingles of one pair share 32 bits with n * m / 2^32: some 0.00003 shingles for two texts of 330 words.
     """
-    wanted = texts.join(ids.distinct(), "id", "left_semi").select("least", "id")
-    rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["least"])).select("id", "text")
+    wanted = checkpointed(texts.join(ids.distinct(), "id", "left_semi").select("least", "id"))
+    rows = docs.select("doc_id", "text").join(wanted.filter("least IS NOT NULL").select(F.col("least").alias("_w")).distinct(), F.col("doc_id") == F.col("_w"), "left_semi").select("text")
+    if not wanted.filter("least IS NULL").isEmpty():
+        rows = rows.union(docs.filter("doc_id IS NULL").select("text"))
 
     def run(batches):
         for batch in batches:
             ids, sets = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for text in batch.column(0):
                 hashes = _shingles(text.as_py())
-                if _name(hashes)[0] == i:  # rows may share a doc_id
-                    ids.append(i)
-                    sets.append(np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes())
+                ids.append(_name(hashes)[0])
+                sets.append(np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "hashes"])
 
-    return rows.mapInArrow(releasing(run), "id long, hashes binary").groupBy("id").agg(F.first("hashes").alias("hashes"))
+    # rows may share a doc_id, or have none: each is read once, and the set's name says which are wanted
+    found = rows.mapInArrow(releasing(run), "id long, hashes binary").join(wanted.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_semi")
+    return found.groupBy("id").agg(F.first("hashes").alias("hashes"))
 
 
 def _similar(u: np.ndarray, v: np.ndarray, similarity: float) -> bool:

@@ -55,17 +55,18 @@ def source_targets(totals: DataFrame, share: float, most: float, schedules=SCHED
     return kinds.withColumn("level", level).withColumn("level", F.max("level").over(every)).select("source", "source_size", "kind", "weight", F.least(F.col("ceiling"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, schedules=SCHEDULES, rows_per_bucket: int = 4096) -> DataFrame:
+def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, schedules=SCHEDULES, rows_per_bucket: int = 4096, named: bool = False) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, position, again.
 
     taken is the number of words the mix takes of the document, all passes together; the document at which a source's
     target is met is taken in part. position and again are the training times (0..1) of its first and second pass, null
     where that pass takes nothing. Within a source, documents come in the order of a hash of doc_id, so reruns agree.
     Null texts have size 0 and are taken 0 times; a null source is a source of its own; a null doc_id sorts first;
-    repeated rows are mixed one by one. most is at most 2 (two passes).
+    repeated rows are mixed one by one. most is at most 2 (two passes). With named, _h is a hash of each row's text.
     """
+    hashed = [F.xxhash64("text").alias("_h")] if named else []
     slim = checkpointed(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(0)).alias("_order"))
+        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(0)).alias("_order"), *hashed)
     )
     bits = bits_for(slim.count(), rows_per_bucket)
     slim = slim.withColumn("_bucket", F.shiftright("_order", 60 - bits).cast("int"))
@@ -84,7 +85,7 @@ def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, schedules=S
     return (
         joined.withColumns({"_first": first, "_second": second})
         .withColumns({"position": moment("_first", F.col("_before")), "again": moment("_second", F.col("_before") + F.col("source_size"))})
-        .select("doc_id", "source", "size", "source_size", "target", (F.col("_first") + F.col("_second")).alias("taken"), "position", "again")
+        .select("doc_id", "source", "size", "source_size", "target", (F.col("_first") + F.col("_second")).alias("taken"), "position", "again", *(["_h"] if named else []))
     )
 
 
@@ -92,13 +93,25 @@ def mix_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0, schedu
     """The mixed corpus with docs' columns, range-sorted by training position.
 
     A document comes once for each pass that takes at least half of it, so documents stay whole; those of which no pass
-    does are left out. Documents without words carry no tokens and are left out as well. Rows that share a doc_id get
-    the larger number of passes among them.
+    does are beyond their source's target. Documents without words take nothing from any target: each comes once, before the others. Rows
+    that share a doc_id are planned one by one; where they have equal text and source too, each gets one of their plans.
     """
-    plan = plan_mix(docs, share, most, schedules)
-    passes = plan.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.struct(F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + F.lit(0.5)).cast("int").alias("n"), "position", "again")).alias("_p"))
-    passes = passes.filter("_p.n > 0").select("_id", F.explode(F.slice(F.array("_p.position", F.coalesce("_p.again", "_p.position")), F.lit(1), F.col("_p.n"))).alias("_at"))
-    return docs.join(passes, docs["doc_id"].eqNullSafe(F.col("_id"))).sort("_at", "_id").select(*[docs[c] for c in docs.columns])
+    named = lambda df: df.withColumns({"_h": F.xxhash64("text"), "_source": F.col("source"), "_id": F.col("doc_id")})
+    keys, own = ["_id", "_source", "_h"], ["_pid", "_psource", "_ph"]
+    plan = plan_mix(docs, share, most, schedules, named=True)
+    n = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + F.lit(0.5)).cast("int"))
+    plan = plan.select(F.col("doc_id").alias("_pid"), F.col("source").alias("_psource"), F.col("_h").alias("_ph"), F.struct(n.alias("n"), "position", F.coalesce("again", "position").alias("again")).alias("_p"))
+    same = lambda: reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(keys, own)])
+    grouped = checkpointed(plan.groupBy(*own).agg(F.count("*").alias("_m"), F.min("_p").alias("_p")))
+    once = named(docs).join(grouped.filter("_m = 1").drop("_m"), same())
+    if not grouped.filter("_m > 1").isEmpty():
+        repeated = grouped.filter("_m > 1").select(*own)
+        nth = lambda by, order: F.row_number().over(Window.partitionBy(*by).orderBy(order))
+        plans = plan.join(repeated.select(*[F.col(c).alias(f"{c}2") for c in own]), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}2")) for c in own]), "left_semi").withColumn("_k", nth(own, "_p"))
+        rows = named(docs).join(repeated, same(), "left_semi").withColumn("_j", nth(keys, F.xxhash64(*docs.columns)))
+        once = once.unionByName(rows.join(plans, same() & (F.col("_j") == F.col("_k"))).select(*once.columns))
+    twice = once.withColumn("_at", F.explode(F.slice(F.array("_p.position", "_p.again"), F.lit(1), F.col("_p.n"))))
+    return twice.sort(F.col("_at").asc_nulls_first(), "_id", "_h").select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

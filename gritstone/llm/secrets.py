@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -116,10 +117,14 @@ def window_starts(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return spans[number, 0] + np.minimum(nth * INSIDE, np.maximum(long[number] - INSIDE, 0)), number
 
 
-def windows(blob: np.ndarray, spans: np.ndarray, first: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, inside marks) of the windows whose inside begins at first, with what stands before and after."""
+def windows(blob: np.ndarray, spans: np.ndarray, first: np.ndarray, number: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, inside marks) of the windows whose inside begins at first, with what stands before and after.
+
+    bounds are the first byte and the end of each span's text in blob (all of it by default); what lies outside is zero.
+    """
     at = first[:, None] - LEFT + np.arange(WINDOW)[None, :]
-    real = (at >= 0) & (at < len(blob))
+    low, high = (0, len(blob)) if bounds is None else (bounds[number, 0][:, None], bounds[number, 1][:, None])
+    real = (at >= low) & (at < high)
     x = np.where(real, blob[np.clip(at, 0, max(0, len(blob) - 1))] if len(blob) else 0, 0)
     inside = real & (at >= spans[number, 0][:, None]) & (at < spans[number, 1][:, None])
     return x.astype(np.uint8), inside
@@ -210,16 +215,19 @@ def model() -> dict:
     return held["secrets"]
 
 
-def score(net: dict, blob: np.ndarray, spans: np.ndarray) -> np.ndarray:
-    """Calibrated probability of each candidate span; a long candidate has the largest of its windows' scores."""
+def score(net: dict, blob: np.ndarray, spans: np.ndarray, bounds: np.ndarray | None = None) -> np.ndarray:
+    """Calibrated probability of each candidate span, to five places; a long candidate has the largest of its windows' scores.
+
+    It depends on the span's own text alone: places beyond the fifth, in which sums of more or fewer windows at a time may differ, go.
+    """
     out = np.zeros(len(spans))
     if len(spans):
         first, number = window_starts(spans)
         for k in range(0, len(first), 1024):
             own = number[k : k + 1024]
-            z = _forward(net["w"], *windows(blob, spans, first[k : k + 1024], own))[-1]
+            z = _forward(net["w"], *windows(blob, spans, first[k : k + 1024], own, bounds))[-1]
             np.maximum.at(out, own, 1 / (1 + np.exp(-np.clip(net["a"] * z + net["b"], -40, 40))))
-    return out
+    return np.round(out, 5)
 
 
 def scan(texts: list[str | None], net: dict) -> list[list[tuple[str, int, int, float]]]:
@@ -275,14 +283,23 @@ def scan(texts: list[str | None], net: dict) -> list[list[tuple[str, int, int, f
             if m.end() - m.start() >= 24:
                 add(k, "hex", a + m.start(), a + m.end())
         add(k, "neural", a, b)
-    scores = score(net, data, np.array(placed, np.int64).reshape(-1, 2))
-    base: dict[int, list[tuple[int, int]]] = {}
-    for k, kind, s, e in named:
-        if kind != "neural":
-            base.setdefault(k, []).append((s, e))
+    texts_of = np.array([n[0] for n in named], np.int64)
+    scores = score(net, data, np.array(placed, np.int64).reshape(-1, 2), np.stack((starts[texts_of], starts[texts_of + 1] - 1), axis=1))
+    # per text, the exact findings' starts and the farthest end up to each
+    base: dict[int, tuple[list[int], list[int]]] = {}
+    for k, s, e in sorted((n[0], n[2], n[3]) for n in named if n[1] != "neural"):
+        own = base.setdefault(k, ([], []))
+        own[0].append(s)
+        own[1].append(max(e, own[1][-1] if own[1] else e))
+
+    def held(k, s, e):
+        first, far = base.get(k, ((), ()))
+        at = bisect_right(first, s)
+        return at > 0 and far[at - 1] >= e
+
     found: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
     for (k, kind, s, e), value in zip(named, scores.tolist()):
-        if kind != "neural" or value >= net["threshold"] and not any(x <= s and e <= y for x, y in base.get(k, ())):
+        if kind != "neural" or value >= net["threshold"] and not held(k, s, e):
             found[k].append((kind, s, e, value))
     for own in found:
         own.sort(key=lambda f: (f[1], KINDS.index(f[0])))

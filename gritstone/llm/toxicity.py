@@ -190,11 +190,12 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: dict[int, int] = FIT_ROW
     Patterns are extracted and counted in parallel; one task then fits on the FEATURES chosen, and sees no text.
     Without toxic or without clean rows among the labelled ones, only the lexicon speaks.
     At most fit_rows[1] toxic and fit_rows[0] clean rows are taken, those of smallest hash; a doc_id labelled more than
-    once counts as toxic if any of its labels says so. Only the sample's ids (a few hundred kB) are broadcast.
+    once counts as toxic if any of its labels says so, and of rows that share a doc_id one is taken. Only the sample's ids (a few hundred kB) are broadcast.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
     parts = [usable.filter(F.col("_toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(n) for k, n in fit_rows.items()]
-    sample = docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), F.col("doc_id") == F.col("_id")).select("text", "_toxic", F.xxhash64("_id", "text").alias("_h"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), F.col("doc_id") == F.col("_id")).select("_id", "text", "_toxic", F.xxhash64("_id", "text").alias("_h"))
+    sample = sample.groupBy("_id").agg(F.min(F.struct("_h", "text", "_toxic")).alias("_row")).select("_row.text", "_row._toxic", "_row._h")
 
     def extract(batches):
         cache = two_generations(50_000)

@@ -196,3 +196,14 @@ def test_keep_one(spark):
     want, _ = brute_groups(texts)
     assert len(set(want) ^ set(sets)) <= 2
     assert copies.keep_one(docs.limit(0)).count() == 0
+
+
+def test_rows_without_id_are_read_once(spark):
+    """Many rows without a doc_id, and many with one, in pairs of near copies: as many sets as texts, and one of each pair stays."""
+    base = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(60)]
+    rows = [(None if i % 2 else 5, t + end) for i, t in enumerate(base) for end in ("", " tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = copies.distinct_texts(docs)
+    sets = copies.shingle_sets(docs, texts, texts.select("id"))
+    assert sets.count() == 120
+    assert copies.keep_one(docs).count() >= 60

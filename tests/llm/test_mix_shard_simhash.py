@@ -84,6 +84,16 @@ def test_mix_documents(spark):
     assert 0 < out.count() <= 2 * len(rows) + 10
 
 
+def test_mixing_plans_rows_that_share_an_id(spark):
+    """Each row has its own passes, texts without words come once, and equal rows get one plan each."""
+    rows = [(1, " ".join(["w"] * (5 + i)), "en", "a" if i % 2 else "b", 1) for i in range(20)] + [(None, "", "en", "a", 0), (3, None, "en", None, 0)] + [(4, "x y z", "en", "a", 3)] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    plan, out = mixing.plan_mix(docs).collect(), mixing.mix_documents(docs).collect()
+    want = sorted(((str(r["doc_id"]), r["size"]) for r in plan for _ in range(int(r["taken"] / r["size"] + 0.5) if r["size"] else 1)))
+    assert sorted((str(r["doc_id"]), len((r["text"] or "").split())) for r in out) == want
+    assert [r["text"] for r in out[:2]] in (["", None], [None, ""])
+
+
 def brute_capacity(sizes, k):
     lo, hi = max(sizes), sum(sizes)
     while lo < hi:

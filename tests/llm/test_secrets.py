@@ -100,3 +100,28 @@ def test_query_and_redaction(spark):
         want = brute(texts[r["doc_id"]])
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(f[0] == k for f in want) for k in secrets.KINDS[:3])
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in want).encode()).hexdigest()
+
+
+def test_spans_depend_on_the_text_alone(spark, net):
+    """A random token at the beginning and end of each text; other rows before and after, other partitions."""
+    import random
+
+    r = random.Random(3)
+    token = lambda: "".join(r.choice("abcdefghijkmnpqrstuvwxyz0123456789ABCDEFGH") for _ in range(r.randint(16, 24)))
+    texts = [f"{token()} some words {token()}" if i % 3 else token() for i in range(600)]
+    alone = [secrets.scan([t], net)[0] for t in texts]
+    assert secrets.scan(texts, net) == alone
+    shuffled = list(range(len(texts)))
+    r.shuffle(shuffled)
+    assert secrets.scan([texts[i] for i in shuffled], net) == [alone[i] for i in shuffled]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, many = ({x["doc_id"]: x["spans"] for x in secrets.scan_secrets(docs.repartition(k)).collect()} for k in (1, 7))
+    assert one == many and sum(map(bool, one.values())) > 50
+
+
+def test_containment_is_not_quadratic(net):
+    import time
+
+    text = " ".join(["password=abcdefghij"] * 4000 + ["Zx81kQpLm20VbTr7sYw3NcHd9Qw"] * 4000)
+    began = time.time()
+    assert sum(f[0] == "assign" for f in secrets.scan([text], net)[0]) == 4000 and time.time() - began < 30

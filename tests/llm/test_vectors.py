@@ -93,6 +93,47 @@ def test_empty(spark):
     assert vectors.vector_classes(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()[0].asDict() == {"vec_id": 1, "n_links": 0, "component_id": 1, "kept": True, "recall": None}
 
 
+def test_recall_is_measured_without_links(spark):
+    """No vector links with another: small tables are compared whole."""
+    rows = [(i, [1.0 if k == i else 0.0 for k in range(40)]) for i in range(40)]
+    got = vectors.vector_classes(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert all(r["recall"] == 1.0 and r["n_links"] == 0 and r["kept"] for r in got) and len(got) == 40
+
+
+def test_the_audit_asks_every_query(spark):
+    """Its share is the true one, over all ids divisible by 50, in blocks of any size."""
+    rows = [(25 * i, v) for i, v in enumerate(made())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    keyed = vectors.keyed(df)
+    same = keyed.groupBy("id", "id2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.collect_set((F.col("vec_id") % 50).cast("int")).alias("rests"), F.first("embedding").alias("embedding")).cache()
+    want = {r[0]: r[1] for r in brute(rows)}
+    named = keyed.select("id", "vec_id").collect()
+    per = {}
+    for r in named:
+        per.setdefault(r["id"], []).append(str(r["vec_id"]))
+    copies = {k: len(v) for k, v in per.items()}
+    links = {k: want[v[0]] - (copies[k] - 1) for k, v in per.items()}
+    asked = [k for k, v in per.items() if any(int(i) % 50 == 0 for i in v)]
+    half = [(k, links[k] // 2) for k in per]
+    found = spark.createDataFrame(half, "id long, links long")
+    share = sum(links[k] // 2 for k in asked) / sum(links[k] for k in asked)
+    assert vectors.audit(same, same.count(), found, 0.9) == pytest.approx(share)
+    before = vectors.ASKED, vectors.HELD
+    vectors.ASKED, vectors.HELD = 16, 50
+    try:
+        assert vectors.audit(same, same.count(), found, 0.9) == pytest.approx(share)
+    finally:
+        vectors.ASKED, vectors.HELD = before
+
+
+def test_query_on_a_table_with_links(spark, tmp_path):
+    rows = [(i, v) for i, v in enumerate(made())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = vectors.op8_vectors(spark, str(tmp_path)).collect()
+    want = brute(rows)
+    assert sum(r["n_links"] for r in got) >= 0.95 * sum(w[1] for w in want) > 0 and all(r["recall"] >= 0.95 for r in got)
+
+
 def test_graph_search_recall():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 32))
