@@ -183,13 +183,19 @@ def code_text(functions: DataFrame, lines: DataFrame, gate: int = 0x8000, most:
 
 
 def containing(points: DataFrame, ranges: DataFrame, width: int = 4096) -> DataFrame:
-    """Join points (addr, ...) to the disjoint ranges (start, end, ...) that hold them, as an equi-join on address blocks.
+    """Join points (addr, ...) to all ranges (start, end, ...) that hold them, overlapping or not, as an equi-join on address blocks.
 
-    A range is listed under every block of `width` addresses that it touches, so the join is by hash and never compares
-    all points with all ranges.
+    A range is listed under the one or two blocks that it touches of the smallest power of two not below its length and width, so
+    its length does not matter. A point is listed under its block of each size that occurs; there are at most 63 of them.
     """
-    blocks = ranges.withColumn("_block", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"greatest(end - 1, start) div {width}"))))
-    return points.withColumn("_block", F.expr(f"addr div {width}")).join(blocks, "_block").filter((F.col("addr") >= F.col("start")) & (F.col("addr") < F.col("end"))).drop("_block")
+    least = max(0, (width - 1).bit_length())
+    long = F.col("end").cast("double") - F.col("start").cast("double")
+    sized = ranges.filter("end > start").withColumn("_size", F.least(F.lit(62), F.greatest(F.lit(least), F.ceil(F.log2(long)))).cast("int"))
+    block = lambda c: F.expr(f"shiftright({c}, _size)")
+    listed = sized.withColumn("_block", F.explode(F.sequence(block("start"), block("end - 1"))))
+    sizes = sized.select("_size").distinct()  # at most 63 rows
+    placed = points.crossJoin(F.broadcast(sizes)).withColumn("_block", block("addr"))
+    return placed.join(listed, ["_size", "_block"]).filter((F.col("addr") >= F.col("start")) & (F.col("addr") < F.col("end"))).drop("_size", "_block")
 
 
 def decoded_for_functions(records: DataFrame, functions: DataFrame, limit: int = 30, width: int = 4096) -> DataFrame:

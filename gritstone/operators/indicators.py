@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import saved
+
 # A pattern for each indicator type. Case is ignored where the pattern begins with (?i); digits are ASCII.
 PATTERNS = {
     "ipv4": r"\b(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b",
@@ -21,6 +23,23 @@ PATTERNS = {
     "env_var": r"(?i)%(?:APPDATA|LOCALAPPDATA|TEMP|TMP|WINDIR|SYSTEMROOT|PROGRAMFILES|USERPROFILE|COMSPEC|PUBLIC|ALLUSERSPROFILE|USERNAME|USERDOMAIN|COMPUTERNAME|SystemDrive|SystemRoot)%?",
     "email": r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b",
 }
+#: What every match of a type holds, cheap to look for: literals, or a pattern that hardly ever has to try twice at one place. A text
+#: without it is not searched for the type.
+NEEDS = {
+    "ipv4": r"\d\.\d",
+    "ipv6": r"[0-9a-fA-F:]:[0-9a-fA-F:]",
+    "domain": r"(?i)[a-z0-9\-]\." + PATTERNS["domain"].partition(r"+\.)+")[2],
+    "url": ("://",),
+    "win_path": (":\\",),
+    "unc_path": ("\\\\",),
+    "registry": ("\\",),
+    "mutex": ("Global\\",),
+    "user_agent": r"(?i)mozilla/",
+    "base64": r"[A-Za-z0-9+/]{40}",
+    "pe_artifact": r"(?i)" + PATTERNS["pe_artifact"].partition("{3,80}")[2],
+    "env_var": ("%",),
+    "email": ("@",),
+}
 # The order of types in the text report.
 REPORT_ORDER = ("url", "domain", "ipv4", "ipv6", "win_path", "unc_path", "registry", "mutex", "user_agent", "pe_artifact", "email", "env_var", "base64")
 
@@ -34,11 +53,19 @@ def is_indicator(kind: Column, value: Column) -> Column:
 
 
 def found_in(text: Column, types=tuple(PATTERNS)) -> Column:
-    """Array of (type, value) of all matches in a text; every pattern runs over one reading of the column."""
-    lists = [_labelled(t, F.regexp_extract_all(text, F.lit(PATTERNS[t]), F.lit(0))) for t in types]
+    """Array of (type, value) of all matches in a text; a pattern runs only where the text has what all its matches need.
+
+    `\\b` and `\\w` know ASCII letters, digits and the underscore only, so a match may begin or end beside an accented letter.
+    """
+    lists = [_labelled(t, F.when(_may_hold(text, t), F.regexp_extract_all(text, F.lit(PATTERNS[t]), F.lit(0))).otherwise(F.array().cast("array<string>"))) for t in types]
     return F.concat(*lists) if len(lists) > 1 else lists[0]
 
 
+def _may_hold(text: Column, kind: str) -> Column:
+    needs = NEEDS[kind]
+    return text.rlike(needs) if isinstance(needs, str) else F.contains(text, F.lit(needs[0]))
+
+
 def _labelled(kind: str, values: Column) -> Column:
     return F.transform(F.array_distinct(values), lambda v: F.struct(F.lit(kind).alias("type"), F.trim(v).alias("value")))
 
@@ -69,14 +96,18 @@ def type_counts(found: DataFrame) -> DataFrame:
 
 
 def report_lines(merged: DataFrame, known: int = 30, other: int = 10) -> DataFrame:
-    """(section, line_no, line): a heading for each type, its first values and a line that counts the rest."""
+    """(section, line_no, line): a heading for each type, its first values and a line that counts the rest.
+
+    Values are counted by groups, and only the first of each type are ordered: tasks drop the others before they meet.
+    """
+    merged = saved(merged.select("type", "value", "sources"))
     order = F.array_position(F.array(*[F.lit(t) for t in REPORT_ORDER]), F.col("type"))
     section = F.when(order > 0, order).otherwise(len(REPORT_ORDER) + 1)
     limit = F.when(order > 0, known).otherwise(other)
-    by = Window.partitionBy("type").orderBy("value")
-    # one pass: the first line of a type carries its heading, the first one beyond the limit the line that counts the rest
-    size = F.count("*").over(Window.partitionBy("type"))
-    ranked = merged.withColumns({"section": section, "limit": limit, "rn": F.row_number().over(by), "n": size}).filter("rn <= limit + 1")
+    nth = F.row_number().over(Window.partitionBy("type").orderBy("value"))
+    first = merged.withColumn("rn", nth).filter(F.col("rn") <= max(known, other) + 1)
+    sizes = merged.groupBy("type").agg(F.count("*").alias("n"))
+    ranked = first.join(sizes, "type").withColumns({"section": section, "limit": limit}).filter("rn <= limit + 1")
     line = lambda at, text: F.struct(at.cast("int").alias("line_no"), text.alias("line"))
     body = F.when(F.col("rn") <= F.col("limit"), line(F.col("rn"), F.concat(F.lit("  "), F.col("value"), F.lit("  ["), F.array_join("sources", ","), F.lit("]"))))
     head = F.when(F.col("rn") == 1, line(F.lit(0), F.concat(F.lit("["), F.upper("type"), F.lit("] ("), F.col("n"), F.lit(")"))))

@@ -124,14 +124,17 @@ def review_score(df: DataFrame) -> DataFrame:
         "wrapper": holds_any(name, ("wrapper", "resolve")) | F.startswith(name, F.lit("j_")),
         "tiny": (n > 0) & (n <= 4) & quiet,
     }
+    # each test is evaluated once, into a column that no filter or sort key can be traced through
+    flagged = df.select("*", F.inline(F.array(F.struct(*[F.coalesce(test, F.lit(False)).alias(f"_is_{rule}") for rule, test in tests.items()]))))
+    tests = {rule: F.col(f"_is_{rule}") for rule in tests}
     points = reduce(lambda a, b: a + b, [F.when(test, SCORE_RULES[rule][0]).otherwise(0) for rule, test in tests.items()])
     tests["library"] = holds_any(name, LIBRARY_NAMES) & (points <= 2)
     score = points + F.when(tests["library"], SCORE_RULES["library"][0]).otherwise(0)
     reasons = F.array_compact(F.array(*[F.when(test, SCORE_RULES[rule][1]) for rule, test in tests.items()]))
     tags = F.array_compact(F.array(*[F.when(test, SCORE_RULES[rule][2]) for rule, test in tests.items() if SCORE_RULES[rule][2]]))
-    out = df.withColumns({"score": score.cast("int"), "reasons": reasons, "tags": F.sort_array(F.array_union(listed["pre_tags"], tags))})
+    out = flagged.withColumns({"score": score.cast("int"), "reasons": reasons, "tags": F.sort_array(F.array_union(listed["pre_tags"], tags))})
     priority = F.when(F.col("score") >= 9, "critical").when(F.col("score") >= 6, "high").when(F.col("score") >= 3, "medium").otherwise("low")
-    return out.withColumns({"priority": priority, "interesting": F.col("score") >= 3})
+    return out.withColumns({"priority": priority, "interesting": F.col("score") >= 3}).drop(*[f"_is_{rule}" for rule in SCORE_RULES])
 
 
 def rank_of(priority: Column) -> Column:

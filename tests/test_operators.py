@@ -496,3 +496,39 @@ def test_versions_are_numbered(spark, tmp_path):
     store.save(store.load(spark, str(tmp_path), "blobs").withColumn("value", F.lit("b")), str(tmp_path), "blobs")
     assert store.load(spark, str(tmp_path), "blobs").first()["value"] == "b"
     assert sorted(r["number"] for r in spark.read.json(f"{tmp_path}/blobs/_versions_json").collect()) == [1, 2]
+
+
+def test_ranges_of_any_length(spark):
+    """Short, nested, overlapping, empty and very long ranges, and negative addresses."""
+    r = random.Random(2)
+    ranges = [(i, a, a + r.choice([1, 3, 100, 5000, 70_000])) for i, a in enumerate(r.randrange(-10_000, 200_000) for _ in range(60))]
+    ranges += [(100, 5, 5), (101, -(2**61), 2**61), (102, 2**40, 2**41), (103, 9, 2), (104, 0, 2**40)]
+    points = [(i, r.randrange(-20_000, 250_000)) for i in range(300)] + [(1000, 2**40), (1001, 2**41 - 1), (1002, 2**41), (1003, -(2**61)), (1004, 5)]
+    got = code.containing(spark.createDataFrame(points, "p long, addr long"), spark.createDataFrame(ranges, "r long, start long, end long"), 16)
+    assert got.columns == ["p", "addr", "r", "start", "end"]
+    assert sorted((x["p"], x["r"]) for x in got.collect()) == sorted((p, k) for p, a in points for k, s, e in ranges if s <= a < e)
+
+
+LITERALS = {
+    "ipv4": ["10.1.2.3"], "ipv6": ["2001:0db8:0000:0000:0000:ff00:0042:8329", "::1"], "domain": ["evil.example.com"], "url": ["http://evil.example.com/a"], "win_path": ["C:\\Windows\\x"], "unc_path": ["\\\\srv\\share\\x"],
+    "registry": ["HKLM\\Software\\Run"], "mutex": ["Global\\abc_123"], "user_agent": ["Mozilla/5.0 (Windows NT 10.0; x64)"], "base64": ["QWxhZGRpbjpvcGVuIHNlc2FtZVF3ZXJ0eTEyMzQ1Njc4OTA="], "pe_artifact": ["dropper.exe", "a_b.DLL"], "env_var": ["%APPDATA%", "%temp"], "email": ["a.b@c.org"],
+}
+
+
+@pytest.mark.parametrize("kind", sorted(LITERALS))
+def test_gate_keeps_every_match(spark, kind):
+    """Literals of each type alone, in prose, beside accented letters and at both ends; the gated search finds what the pattern does."""
+    texts = [t for v in LITERALS[kind] for t in (v, f"see {v} now", f"é{v}é", f"\n{v}\n{v}", v.upper(), v.lower())] + ["", "plain prose. no match", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = df.select(F.explode(F.regexp_extract_all("text", F.lit(indicators.PATTERNS[kind]), F.lit(0))).alias("value")).select(F.trim("value").alias("value"))
+    want = {r[0] for r in plain.filter(indicators.is_indicator(F.lit(kind), F.col("value"))).collect()}
+    got = {r["value"] for r in indicators.extract(df, types=(kind,)).collect()}
+    assert got == want and any(v in got for v in LITERALS[kind])
+
+
+def test_score_is_planned_once(spark):
+    """Filter, priority and sort key name a column, not the rules again."""
+    df = spark.createDataFrame([(1, "sub_1", ["CreateRemoteThread"], ["x"], ["http://a.com"], [], [], 9)], "ea long, name string, apis array<string>, callees array<string>, strings array<string>, decoded array<string>, pre_tags array<string>, n_insn int")
+    top = triage.top_candidates(triage.review_score(df).withColumns({"is_root": F.lit(False), "ord": F.col("ea")}), 80, 1)
+    assert top.count() == 1
+    assert top._jdf.queryExecution().optimizedPlan().toString().count("https?") == 1
