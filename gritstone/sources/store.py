@@ -1,7 +1,14 @@
-"""Tables of state and reports: read with a declared schema, written beside the old version and then named as current."""
+"""Tables of state and reports: read with a declared schema, written beside the old version and then named as current.
+
+A version is one small file under _versions_json that names the table's files and is created only where there is none of its number; who
+comes second starts again from the version that came first. Old files stay, so readers of an old version can go on.
+"""
 
 from __future__ import annotations
 
+import json
+import threading
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,32 +22,112 @@ SCHEMAS = {
 }
 
 
-def _current(spark: SparkSession, root: str, name: str) -> tuple[str, int] | None:
-    """The version of the highest number, with it, read with Spark so that any store it can open will do."""
+#: Buckets of a table that is changed by key; attempts to name a new version before a writer gives up.
+BUCKETS, TRIES = 64, 8
+#: Half seconds to wait for the content of a version that a writer has just created; one that stays empty was given up by its writer.
+WAITS = 20
+#: Writers of one process take turns, as a local disk does not create files exclusively; other stores do.
+_NAMING = threading.Lock()
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system that holds path, and path for it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def manifest(spark: SparkSession, root: str, name: str) -> dict:
+    """The current version of a table: number, key, and its files by bucket (-1: rows of all buckets); number 0 if there is none yet."""
+    files, folder = _files(spark, f"{root}/{name}/_versions_json")
+    numbers = [int(f.getPath().getName().partition(".")[0]) for f in (files.listStatus(folder) if files.exists(folder) else ()) if f.getPath().getName().endswith(".json")]
+    if not numbers:
+        return {"number": 0, "key": "", "files": {}}
+    for number in sorted(numbers, reverse=True):
+        for _ in range(WAITS):
+            row = spark.read.schema("number long, key string, files map<string,string>").json(f"{root}/{name}/_versions_json/{number:020d}.json").first()
+            if row is not None:
+                return {"number": max(numbers), "key": row["key"], "files": {int(b): p for b, p in row["files"].items()}}
+            time.sleep(0.5)
+    return {"number": max(numbers), "key": "", "files": {}}
+
+
+def _named(spark: SparkSession, root: str, name: str, number: int, key: str, files: dict[int, str]) -> bool:
+    """Makes these files version `number`; False if another writer has taken it. The file is created only where there is none."""
+    system, path = _files(spark, f"{root}/{name}/_versions_json/{number:020d}.json")
     try:
-        versions = spark.read.schema("version string, number long").json(f"{root}/{name}/_versions_json")
-        last = versions.sort(F.col("number").desc(), F.col("version")).first()
+        with _NAMING:
+            out = system.create(path, False)
+            out.write(bytearray(json.dumps({"number": number, "key": key, "files": files}).encode()))
+            out.close()
     except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
-    return (last["version"], last["number"]) if last else None
+        if "FileAlreadyExists" in str(e) or "already exists" in str(e):
+            return False
+        raise
+    return True
+
+
+def _read(spark: SparkSession, root: str, name: str, paths: list[str]) -> DataFrame:
+    if not paths:
+        return spark.createDataFrame([], SCHEMAS[name])
+    return spark.read.schema(SCHEMAS[name]).parquet(*[f"{root}/{name}/{p}" for p in sorted(paths)])
 
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The current version of a table, empty if there is none yet."""
-    version = _current(spark, root, name)
-    if version is None:
-        return spark.createDataFrame([], SCHEMAS[name])
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}/{version[0]}")
+    return _read(spark, root, name, list(manifest(spark, root, name)["files"].values()))
 
 
 def save(df: DataFrame, root: str, name: str) -> None:
-    """Write a new version, then name it as current; readers never see half a table, and df may read the old version."""
+    """Write a whole new version, then name it as current; readers never see half a table, and df may read the old version."""
     spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{name}/{version}")
-    before = _current(spark, root, name)
-    spark.range(1).select(F.lit(version).alias("version"), F.lit(before[1] + 1 if before else 1).cast("long").alias("number")).coalesce(1).write.mode("append").json(f"{root}/{name}/_versions_json")
+    for _ in range(TRIES):
+        if _named(spark, root, name, manifest(spark, root, name)["number"] + 1, "", {-1: version}):
+            return
+    raise RuntimeError(f"{name} changes too often to be saved")
+
+
+def fold(changes: DataFrame, root: str, name: str, key: str, merge, buckets: int = BUCKETS) -> int:
+    """Rewrites the buckets (by hash of `key`) that changes touch as merge(their rows, changes); returns the new version's number.
+
+    merge sees all rows whose key is in a touched bucket. Files of other buckets are neither read nor written; a table that was
+    saved whole, or by another key, is dealt to buckets the first time. If another writer has named a version meanwhile, the
+    merge is done again on that version, so no update is lost. merge may run more than once.
+    """
+    spark, by = changes.sparkSession, f"{key}/{buckets}"
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    touched = {r[0] for r in changes.select(bucket.alias("b")).distinct().collect()}  # at most `buckets` rows
+    for _ in range(TRIES):
+        now = manifest(spark, root, name)
+        same = now["key"] == by
+        old = {b: p for b, p in now["files"].items() if not same or b in touched}
+        if not touched and same:
+            return now["number"]
+        version = f"v-{uuid.uuid4().hex}"
+        merged = merge(_read(spark, root, name, list(old.values())), changes).withColumn("_bucket", bucket)
+        merged.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{root}/{name}/{version}")
+        system, folder = _files(spark, f"{root}/{name}/{version}")
+        made = [f.getPath().getName() for f in system.listStatus(folder) if f.isDirectory()]
+        files = {b: p for b, p in now["files"].items() if b not in old} | {int(m.partition("=")[2]): f"{version}/{m}" for m in made if m.startswith("_bucket=")}
+        if _named(spark, root, name, now["number"] + 1, by, files):
+            return now["number"] + 1
+        system.delete(folder, True)
+    raise RuntimeError(f"{name} changes too often to be folded")
+
+
+def upsert(changes: DataFrame, root: str, name: str, key: str, gone: DataFrame | None = None, buckets: int = BUCKETS) -> int:
+    """Rows of changes replace all rows of the same key (null is a key); keys in gone (key) go. Untouched buckets are left as they are."""
+    columns = changes.columns
+    marked = changes.withColumn("_keep", F.lit(True))
+    if gone is not None:
+        marked = marked.unionByName(gone.select(key).distinct().withColumn("_keep", F.lit(False)), allowMissingColumns=True)
+
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        named = new.select(F.col(key).alias("_key")).distinct()
+        kept = old.join(named, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+        return kept.select(*columns).unionByName(new.filter("_keep").select(*columns))
+
+    return fold(marked, root, name, key, merge, buckets)
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.state import sort_queue, upsert_queue
-from ..sources.store import load, save
+from ..operators.state import upsert_queue
+from ..sources.store import fold
 
 
 def follow(proposals: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Upsert each micro-batch of queue rows into the table under root. A batch that runs twice changes nothing the second time."""
+    """Upsert each micro-batch of queue rows into the table under root. A batch that runs twice changes nothing the second time.
 
-    def fold(batch: DataFrame, epoch: int) -> None:
-        save(sort_queue(upsert_queue(load(batch.sparkSession, root, "queue"), batch)), root, "queue")
+    The stored queue is bucketed by function address: a batch reads and rewrites the buckets of its own addresses only. Readers sort (state.sort_queue).
+    """
 
-    return proposals.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    def merge(batch: DataFrame, epoch: int) -> None:
+        fold(batch, root, "queue", "ea", upsert_queue)
+
+    return proposals.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

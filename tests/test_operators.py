@@ -532,3 +532,44 @@ def test_score_is_planned_once(spark):
     top = triage.top_candidates(triage.review_score(df).withColumns({"is_root": F.lit(False), "ord": F.col("ea")}), 80, 1)
     assert top.count() == 1
     assert top._jdf.queryExecution().optimizedPlan().toString().count("https?") == 1
+
+
+def test_keyed_changes_rewrite_their_buckets_only(spark, tmp_path):
+    root, blobs = str(tmp_path), store.SCHEMAS["blobs"]
+    rows = lambda *r: spark.createDataFrame(list(r), blobs)
+    store.save(rows(*[(i, "notes", f"v{i}") for i in range(200)], (None, "notes", "n")), root, "blobs")
+    assert store.upsert(rows((5, "notes", "new"), (None, "code", "m")), root, "blobs", "func_ea") == 2  # deals the saved table to buckets
+    before = store.manifest(spark, root, "blobs")["files"]
+    assert len(before) > 40
+    store.upsert(rows((5, "notes", "newer"), (1000, "notes", "x")), root, "blobs", "func_ea", gone=rows((7, None, None)))
+    after = store.manifest(spark, root, "blobs")["files"]
+    assert 1 <= sum(after.get(b) != p for b, p in before.items()) <= 3
+    got = {r["func_ea"]: (r["kind"], r["value"]) for r in store.load(spark, root, "blobs").collect()}
+    assert got == {i: ("notes", f"v{i}") for i in range(200) if i != 7} | {5: ("notes", "newer"), 1000: ("notes", "x"), None: ("code", "m")}
+    assert store.upsert(rows((5, "a", "b")).limit(0), root, "blobs", "func_ea") == 3
+
+
+def test_no_update_is_lost_to_another_writer(spark, tmp_path):
+    """A second writer names a version between the first one's read and its commit; the first merges again."""
+    root, blobs = str(tmp_path), store.SCHEMAS["blobs"]
+    one, two = (spark.createDataFrame([(7, k, "v")], blobs) for k in ("one", "two"))
+    runs = []
+
+    def merge(old, new):
+        runs.append(old.count())
+        if len(runs) == 1:
+            store.fold(two, root, "blobs", "func_ea", lambda a, b: a.unionByName(b))
+        return old.unionByName(new)
+
+    assert store.fold(one, root, "blobs", "func_ea", merge) == 2
+    assert runs == [0, 1] and {r["kind"] for r in store.load(spark, root, "blobs").collect()} == {"one", "two"}
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root, blobs = str(tmp_path), store.SCHEMAS["blobs"]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: store.fold(spark.createDataFrame([(i % 2, str(i), "v")], blobs), root, "blobs", "func_ea", lambda a, b: a.unionByName(b)), range(8)))
+    assert {r["kind"] for r in store.load(spark, root, "blobs").collect()} == {str(i) for i in range(8)}
+    assert store.manifest(spark, root, "blobs")["number"] == 8
