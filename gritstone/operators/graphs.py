@@ -38,6 +38,17 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def shared_folder(spark: SparkSession):
+    """A new folder's path in the shared folder; it goes when the block ends."""
+    folder = f"{_folder(spark)}/rounds-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
 def rounds(spark: SparkSession):
     """A function that computes a DataFrame once, as a table in the shared folder; the tables go when the block ends.
@@ -45,19 +56,15 @@ def rounds(spark: SparkSession):
     Rounds join their own results with themselves. A checkpoint would carry the estimate of its size on, squared by every such join;
     a table has the size of its files.
     """
-    folder = f"{_folder(spark)}/rounds-{uuid.uuid4().hex}"
     number = itertools.count()
+    with shared_folder(spark) as folder:
 
-    def keep(df: DataFrame) -> DataFrame:
-        path = f"{folder}/{next(number)}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        def keep(df: DataFrame) -> DataFrame:
+            path = f"{folder}/{next(number)}"
+            df.write.parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
 
-    try:
         yield keep
-    finally:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import answers, names
 from ..operators import code, contexts, graphs, indicators, state, triage
 from ..settings import Settings
 from ..sources import decoded, provider, store
+from ..streaming import slots
 from . import runs
 from .tables import EDGES_SQL, FUNCTIONS_SQL, INSTRUCTIONS_SQL, QUEUE_SQL, call_edges, functions, instructions, messy, review_queue, table
 
@@ -695,6 +696,19 @@ def queue_upsert(spark, sf):
     return state.upsert_queue(q, _new_rows(q)).select("kind", "ea", "suggested_name", "status", "ord")
 
 
+@query(f"""WITH {QUEUE_SQL}, e AS (SELECT kind, ord // 20 AS ea, old_var, 'name_' || (ord % 3) AS suggested_name, status, ts, ord FROM q),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_SLOT_SQL} ORDER BY ts DESC, ord DESC) AS k FROM e WHERE status = 'pending') WHERE k = 1)
+SELECT kind, ea, suggested_name, status, ord FROM e WHERE status <> 'pending' UNION ALL SELECT kind, ea, suggested_name, status, ord FROM p
+WHERE NOT EXISTS (SELECT 1 FROM e d WHERE d.status <> 'pending' AND d.kind = p.kind AND d.ea = p.ea AND d.suggested_name = p.suggested_name AND (d.ts > p.ts OR (d.ts = p.ts AND d.ord >= p.ord)))""")
+def queue_stream(spark, sf):
+    """The queue's events as a stream through keyed state, kept as a table in the shared folder."""
+    third = (F.col("ord") % 3).cast("string")
+    events = review_queue(spark, sf, streamed=True).withColumns({"ea": F.floor(F.col("ord") / 20), "suggested_name": F.concat(F.lit("name_"), third), "new_var": F.concat(F.lit("var_"), third), "new_prototype": F.concat(F.lit("int f"), third, F.lit("(void);"))})
+    with slots.state_store(spark), graphs.shared_folder(spark) as root:
+        slots.follow_slots(events, root, f"{root}/checkpoint").awaitTermination()
+        return graphs.saved(store.load(spark, root, "queue").select("kind", "ea", "suggested_name", "status", "ord"))
+
+
 @query(f"WITH {QUEUE_SQL} SELECT ord, row_number() OVER (ORDER BY n_deps > 0, dependency_level, n_deps, ts, ord) AS place FROM q WHERE status = 'pending'")
 def queue_sort(spark, sf):
     pending = review_queue(spark, sf).filter("status = 'pending'")

@@ -51,9 +51,11 @@ raw AS (SELECT o_custkey AS caller, o_orderkey % (SELECT count(*) FROM customer)
 edge AS (SELECT DISTINCT caller, callee FROM raw WHERE caller > callee)"""
 
 
-def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+def review_queue(spark: SparkSession, sf_dir: str, streamed: bool = False) -> DataFrame:
     """customers as review-queue rows of three kinds, with dependencies on the previous functions' pending names."""
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    if streamed:
+        c = spark.readStream.schema(c.schema).parquet(f"{sf_dir}/customer.parquet*")  # a pattern, as the table may be one file
     kind = F.when(k % 5 == 0, "variable_rename").when(k % 7 == 0, "prototype_change").otherwise("function_rename")
     status = F.when(F.col("c_mktsegment") == "BUILDING", "applied").when(F.col("c_mktsegment") == "MACHINERY", "rejected").otherwise("pending")
     dep = lambda d: F.struct((F.floor((k - d) / 2)).alias("ea"), F.concat(F.lit("name_"), k - d).alias("suggested_name"))
