@@ -71,6 +71,18 @@ def clip(text: Column, limit: int = 120) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 3), F.lit("..."))).otherwise(text)
 
 
+def lines_of(values: Column, limit: int = 20) -> Column:
+    """The first values, one to a line; a dash where there are none."""
+    return F.when(F.size(F.coalesce(values, F.array().cast("array<string>"))) > 0, F.array_join(F.slice(values, 1, limit), "\n", "")).otherwise("-")
+
+
+def as_list(v: Column, limit: int = 300) -> Column:
+    """A variant as a list of texts of at most `limit` characters: a list's values that are not blank, a text that is not blank, else none."""
+    kept = lambda values: F.transform(F.filter(values, lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""), lambda x: F.substring(x, 1, limit))
+    text = F.when(F.schema_of_variant(v) == "STRING", F.array(F.try_variant_get(v, "$", "string")))
+    return F.coalesce(kept(F.coalesce(F.try_variant_get(v, "$", "array<string>"), text)), F.array().cast("array<string>"))
+
+
 def hex_address(ea: Column) -> Column:
     """0x and upper-case hexadecimal digits."""
     return F.concat(F.lit("0x"), F.hex(ea))
@@ -108,19 +120,21 @@ def hash_ror13(name: Column) -> Column:
 
 
 CACHE_VERSION = "v5"
+# Fixed value: the version in keys of caches that are filled without a separator.
+JOINED_VERSION = "v5.2"
 FIELD_MARK = "\x1f"
 
 
-def cache_key(ea: Column, name: Column, code: Column, callers: Column, callees: Column, strings: Column, decoded: Column, apis: Column, model: Column, provider: Column) -> Column:
+def cache_key(ea: Column, name: Column, code: Column, callers: Column, callees: Column, strings: Column, decoded: Column, apis: Column, model: Column, provider: Column, version: str = CACHE_VERSION, mark: str = FIELD_MARK) -> Column:
     """SHA-256 over all that a result depends on. A separator keeps neighbouring fields apart, so no two inputs share a key by
-    running together."""
+    running together. An empty mark and version JOINED_VERSION give the keys of caches that are filled without a separator."""
 
     def listed(a):
         return F.array_join(F.sort_array(F.coalesce(a, F.array().cast("array<string>"))), ",")
 
     empty = F.lit("")
-    parts = [F.concat(F.lit("0x"), F.lower(F.hex(ea))), F.coalesce(name, empty), F.coalesce(code, empty), listed(callers), listed(callees), listed(strings), listed(decoded), listed(apis), F.lit(CACHE_VERSION), F.coalesce(model, empty), F.coalesce(provider, empty)]
-    return F.sha2(F.concat_ws(FIELD_MARK, *parts), 256)
+    parts = [F.concat(F.lit("0x"), F.lower(F.hex(ea))), F.coalesce(name, empty), F.coalesce(code, empty), listed(callers), listed(callees), listed(strings), listed(decoded), listed(apis), F.lit(version), F.coalesce(model, empty), F.coalesce(provider, empty)]
+    return F.sha2(F.concat_ws(mark, *parts), 256)
 
 
 def input_hash(fields: Column) -> Column:

@@ -13,8 +13,8 @@ MODES = {
     "blog": "Choose readable names that could stand in a published write-up, each backed by evidence from the code.",
 }
 ANALYZE = 'Explain the function. Answer with one JSON object: {"function_name", "confidence", "priority", "category", "summary", "technical_behavior", "evidence", "data_flows", "called_behaviors", "warnings", "rename_recommendation": {"apply", "name", "reason"}, "analyst_notes"}.'
-RANGE = 'Explain this piece of code. Answer with one JSON object: {"summary", "evidence", "warnings"}.'
-PROGRAM = 'Say what the whole program is for. Answer with one JSON object: {"summary", "capabilities", "evidence", "risk"}.'
+RANGE = 'Task: range\nExplain this piece of code. Answer with one JSON object: {"summary", "evidence", "warnings"}.'
+PROGRAM = 'Task: program\nSay what the whole program is for. Answer with one JSON object: {"summary", "capabilities", "evidence", "risk"}.'
 STRUCTURE = 'Task: structure\nInfer the structure behind these accesses. Answer with one JSON object: {"struct_name", "confidence", "fields": [{"offset", "name", "type", "purpose"}]}.'
 PROTOTYPE = 'Task: prototype\nGive the function its C prototype, on one line. Answer with one JSON object: {"prototype", "confidence", "reason"}.'
 VARIABLES = 'Task: variables\nGive local variables better names. Answer with one JSON object: {"variables": [{"old_name", "new_name", "confidence", "reason"}]}.'

@@ -10,6 +10,24 @@ from . import code, triage
 LIBRARY_BIT, THUNK_BIT = 0x4, 0x80
 
 
+def refreshed(candidates: DataFrame, inner: DataFrame, names: DataFrame) -> DataFrame:
+    """candidates whose callees, callers and code say the names that functions have now.
+
+    inner (caller, callee) edges among candidates; names (ea, idb_name): applied names, not those that wait for review. Only names of a function
+    itself and of its neighbours are looked for, as whole words. Other columns stay as they are.
+    """
+    now = candidates.select(F.col("ea").alias("_n"), F.col("name").alias("was")).join(names.select(F.col("ea").alias("_e"), F.col("idb_name").alias("is")), F.col("_n") == F.col("_e")).filter("was <> is").select("_n", "was", "is")
+    near = inner.select(F.col("caller").alias("_c"), F.col("callee").alias("_t")).union(inner.select("callee", "caller")).union(candidates.select("ea", "ea")).distinct()
+    found = near.join(now, F.col("_t") == F.col("_n")).groupBy("_c", "was").agg(F.min("is").alias("is"))
+    maps = found.groupBy("_c").agg(F.map_from_entries(F.collect_list(F.struct("was", "is"))).alias("_names"))
+    renamed = lambda x: F.coalesce(F.try_element_at(F.col("_names"), x), x)
+    words = F.split("code", r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])")
+    new = {c: F.when(F.col("_names").isNull(), F.col(c)).otherwise(F.transform(c, renamed)) for c in ("callees", "callers") if c in candidates.columns}
+    if "code" in candidates.columns:
+        new["code"] = F.when(F.col("_names").isNull(), F.col("code")).otherwise(F.array_join(F.transform(words, renamed), ""))
+    return candidates.join(maps, F.col("ea") == F.col("_c"), "left").withColumns(new).select(*candidates.columns)
+
+
 def is_library_or_thunk(flags):
     return flags.bitwiseAND(F.lit(LIBRARY_BIT | THUNK_BIT)) != 0
 

@@ -84,6 +84,18 @@ def edges_within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return kept.join(a, F.col("caller") == F.col("_a"), "left_semi").join(b, F.col("callee") == F.col("_b"), "left_semi")
 
 
+def candidate_edges(candidates: DataFrame, edges: DataFrame) -> DataFrame:
+    """edges_within the candidates, unless one of them brings `callee_eas` (addresses) of its own: then those lists alone are the graph.
+
+    A list of nulls, and an empty or null one, bring nothing.
+    """
+    if "callee_eas" not in candidates.columns:
+        return edges_within(edges, candidates)
+    own = candidates.select(F.col("ea").alias("caller"), F.explode("callee_eas").alias("callee")).filter("callee IS NOT NULL")
+    has = own.select(F.lit(1).alias("_x")).limit(1)
+    return edges_within(own.unionByName(edges.select("caller", "callee").join(has, F.lit(True), "left_anti")), candidates)
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """(ea, callers, callees): distinct, sorted, without the function itself."""
     e = edges.filter(F.col("caller") != F.col("callee"))

@@ -61,3 +61,17 @@ def variables(contexts: DataFrame, locals_: DataFrame, settings: Settings, provi
     given = _parsed(asked, settings, provider).select("ea", F.posexplode(F.try_variant_get("v", "$.variables", kind)).alias("ord", "x")).select("ea", "ord", "x.*")
     checked = answers.check_suggestions(given, locals_.select("ea", F.col("name").alias("var"))).join(contexts.select("ea", "name"), "ea")
     return _queue_rows(checked, "variable_rename", old_name=F.col("name"), old_var=F.col("old_name"), new_var=F.col("new_name"))
+
+
+def ranges(snippets: DataFrame, settings: Settings, provider: Callable[[str, str], str] = offline) -> DataFrame:
+    """(ea, summary, evidence, warnings) of pieces of code (ea, code), one request each; empty pieces are not asked about."""
+    asked = snippets.filter(F.trim(F.coalesce("code", F.lit(""))) != "").select("ea", prompts.range_request(F.col("code")).alias("prompt"))
+    return _parsed(asked, settings, provider).select("ea", F.coalesce(F.try_variant_get("v", "$.summary", "string"), F.lit("")).alias("summary"), *[names.as_list(F.try_variant_get("v", f"$.{k}", "variant")).alias(k) for k in ("evidence", "warnings")])
+
+
+def program(summary: DataFrame, settings: Settings, provider: Callable[[str, str], str] = offline) -> DataFrame:
+    """(summary, capabilities, evidence, risk): what a model makes of a whole program from runs.program_summary's one row (text)."""
+    asked = summary.select(F.lit(0).cast("long").alias("ea"), prompts.program_request(F.col("text")).alias("prompt"))
+    told = lambda k: F.coalesce(F.try_variant_get("v", f"$.{k}", "string"), F.lit("")).alias(k)
+    listed = lambda k: names.as_list(F.try_variant_get("v", f"$.{k}", "variant")).alias(k)
+    return _parsed(asked, settings, provider).select(told("summary"), listed("capabilities"), listed("evidence"), told("risk"))

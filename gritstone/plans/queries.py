@@ -12,7 +12,7 @@ from ..operators import code, contexts, graphs, indicators, state, triage
 from ..settings import Settings
 from ..sources import decoded, provider, store
 from ..streaming import slots
-from . import runs
+from . import drivers, reports, runs
 from .tables import EDGES_SQL, FUNCTIONS_SQL, INSTRUCTIONS_SQL, QUEUE_SQL, call_edges, functions, instructions, messy, review_queue, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -938,3 +938,70 @@ SELECT 'Binary: sample' || chr(10) || 'Total functions: ' || (SELECT count(*) FR
   || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY line) FROM ln) AS text""")
 def program_summary(spark, sf):
     return runs.program_summary(functions(spark, sf), _merged(spark, sf), "sample")
+
+
+# Reports, candidates' own graphs and names that change between levels
+
+
+@query("""SELECT doc_id, sha256('0x' || lower(to_hex(doc_id)) || 'sub_' || doc_id || coalesce(text, '') || 'a,b' || coalesce(lang, '') || 'v5.2' || 'm' || coalesce(source, '')) AS key FROM documents""")
+def cache_key_joined(spark, sf):
+    """Keys of a cache that is filled without a separator."""
+    none, lang = F.array().cast("array<string>"), F.filter(F.array("lang"), lambda x: x.isNotNull())
+    key = names.cache_key(F.col("doc_id"), F.concat(F.lit("sub_"), "doc_id"), F.col("text"), none, F.array(F.lit("b"), F.lit("a")), none, none, lang, F.lit("m"), F.col("source"), names.JOINED_VERSION, "")
+    return table(spark, sf, "documents").select("doc_id", key.alias("key"))
+
+
+@query("""WITH own AS (SELECT DISTINCT o_custkey AS caller, o_orderkey % (SELECT count(*) FROM customer) AS callee FROM orders WHERE o_custkey % 3 = 0)
+SELECT caller, callee FROM own WHERE caller <> callee AND callee % 2 = 0 AND caller % 2 = 0""")
+def candidate_calls(spark, sf):
+    """Even functions as candidates; every third brings its own list of callees, so the program's call edges do not count."""
+    n = table(spark, sf, "customer").agg(F.count("*").alias("n"))
+    o = table(spark, sf, "orders").crossJoin(F.broadcast(n)).select("o_custkey", (F.col("o_orderkey") % F.col("n")).alias("callee"))  # one row
+    lists = o.filter("o_custkey % 3 = 0").groupBy(F.col("o_custkey").alias("_f")).agg(F.collect_set("callee").alias("callee_eas"))
+    f = functions(spark, sf).filter("ea % 2 = 0")
+    return graphs.candidate_edges(f.join(lists, F.col("ea") == F.col("_f"), "left"), call_edges(spark, sf, False))
+
+
+def _calling(spark, sf):
+    """(ea, name, callees, code) of functions that call, and their edges: a line of code for each callee."""
+    f, e = functions(spark, sf), graphs.edges_within(call_edges(spark, sf, False), functions(spark, sf))
+    called = e.join(f.select("ea", "name"), F.col("callee") == F.col("ea")).groupBy(F.col("caller").alias("_c")).agg(F.sort_array(F.collect_list("name")).alias("callees"))
+    return f.select("ea", "name").join(called, F.col("ea") == F.col("_c")).withColumn("code", F.concat("name", F.lit(" { "), F.array_join("callees", "(); "), F.lit("(); }"))).drop("_c"), e
+
+
+@query(f"""WITH {EDGES_SQL}, {FUNCTIONS_SQL}, e AS (SELECT DISTINCT caller, callee FROM raw WHERE caller <> callee AND caller IN (SELECT ea FROM fn) AND callee IN (SELECT ea FROM fn)),
+has AS (SELECT DISTINCT caller AS ea FROM e), inn AS (SELECT * FROM e WHERE callee IN (SELECT ea FROM has)),
+near AS (SELECT caller AS c, callee AS t FROM inn UNION SELECT callee, caller FROM inn UNION SELECT ea, ea FROM has),
+names AS (SELECT c, name AS was, min('new_' || t) AS now FROM near JOIN fn ON t = ea WHERE t % 4 = 0 GROUP BY c, name),
+called AS (SELECT caller, fn.name AS was, coalesce(names.now, fn.name) AS now FROM e JOIN fn ON callee = fn.ea LEFT JOIN names ON names.c = caller AND names.was = fn.name)
+SELECT caller AS ea, array_to_string(list(now ORDER BY was, now), ',') AS callees, coalesce(any_value(n.now), any_value(fn.name)) || ' {{ ' || array_to_string(list(called.now ORDER BY called.was, called.now), '(); ') || '(); }}' AS code
+FROM called JOIN fn ON fn.ea = caller LEFT JOIN names n ON n.c = caller AND n.was = fn.name GROUP BY caller""".replace("list(now ORDER BY was, now)", "list(called.now ORDER BY called.was, called.now)"))
+def refreshed_contexts(spark, sf):
+    """Functions that call, after every fourth of them got a new name."""
+    f, e = _calling(spark, sf)
+    now = f.filter("ea % 4 = 0").select("ea", F.concat(F.lit("new_"), "ea").alias("idb_name"))
+    return contexts.refreshed(f, graphs.edges_within(e, f), now).select("ea", F.array_join("callees", ",").alias("callees"), "code")
+
+
+@query(f"""WITH {FUNCTIONS_SQL}, f AS (SELECT fn.*, c_mktsegment AS seg FROM fn JOIN customer ON ea = c_custkey)
+SELECT 2 AS section, ea + 2 AS ord, '<tr><td>0x' || to_hex(ea) || '</td><td>' || name || '</td><td>' || CASE WHEN starts_with(name, 'sub_') THEN 'unnamed' ELSE 'renamed' END || '</td><td>' || n_insn || '</td><td>' || n_insn * 4 || '</td><td>' || ea % 5 || '</td><td>' ||
+CASE WHEN ea % 11 = 0 THEN 'CRYPTO FILE' ELSE '' END || '</td><td>&lt;' || seg || '&amp;&quot;</td></tr>' AS html FROM f
+UNION ALL SELECT 3, ea + 2, '<tr><td>0x' || to_hex(ea) || '</td><td>' || name || '</td><td>CRYPTO FILE</td><td>T1486</td></tr>' FROM f WHERE ea % 11 = 0
+UNION ALL SELECT 1, 3, '<tr><td>' || count(*) || '</td><td>' || count(*) FILTER (name NOT LIKE 'sub%') || '</td><td>' || count(*) FILTER (name LIKE 'sub%') || '</td><td>' || (count(*) FILTER (name NOT LIKE 'sub%')) * 100 // count(*) || '%</td></tr>' FROM f""")
+def forensic_page(spark, sf):
+    """The page's lines on coverage, on every function and on those at risk."""
+    seg = table(spark, sf, "customer").select(F.col("c_custkey").alias("_c"), F.concat(F.lit("<"), "c_mktsegment", F.lit('&"')).alias("comment"))
+    risky, none = F.col("ea") % 11 == 0, F.array().cast("array<string>")
+    f = functions(spark, sf).join(seg, F.col("ea") == F.col("_c")).withColumns({"size": F.col("n_insn") * 4, "n_callers": F.col("ea") % 5, "pre_tags": F.when(risky, F.array(F.lit("CRYPTO"), F.lit("FILE"))).otherwise(none), "hints": F.when(risky, F.array(F.lit("T1486"))).otherwise(none), **{c: none for c in ("apis", "strings", "decoded")}})
+    empty = lambda schema: spark.createDataFrame([], schema)
+    iocs = empty("type string, value string, source string, sources array<string>")
+    parts = runs.forensic_report(f, iocs, empty("string string"), empty(store.SCHEMAS["history"]), empty(store.SCHEMAS["queue"]))
+    page = reports.forensic_page(parts, f, empty(store.SCHEMAS["blobs"]), iocs)
+    return page.filter(F.col("section").between(1, 3) & F.col("ord").between(2, 2**61))
+
+
+@query("""WITH s AS (SELECT doc_id, text FROM documents WHERE trim(coalesce(text, ''), ' ') <> '') SELECT doc_id AS ea, (len(substr(text, 1, 4000)) - len(replace(substr(text, 1, 4000), chr(10), ''))) + 1 AS n_lines FROM s""")
+def range_answers(spark, sf):
+    """Each document as a piece of code that the offline model counts the lines of."""
+    told = drivers.ranges(table(spark, sf, "documents").select(F.col("doc_id").alias("ea"), F.col("text").alias("code")), Settings())
+    return told.select("ea", F.regexp_extract("summary", r"^(\d+)", 1).cast("long").alias("n_lines"))

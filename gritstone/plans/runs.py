@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, names, prompts
 from ..operators import code, graphs, indicators, state, triage
+from ..operators.contexts import refreshed
 from ..settings import Settings, request_size
 from ..sources.provider import ask, offline
 
@@ -76,10 +77,11 @@ def rename_program(candidates: DataFrame, edges: DataFrame, settings: Settings,
 
     candidates (ea, name and prompt fields). best_effort asks for everything at once, callees first; strict finishes a level before
     the next and pauses when something waits for review; proposal-aware hands pending names of callees to their callers and
-    holds the callers' confidence down accordingly. cache (ea, raw) answers are used without asking.
+    holds the callers' confidence down accordingly. Applied names of one step stand in the next one's prompts. Where candidates bring
+    callee_eas, those are the graph. cache (ea, raw) answers are used without asking.
     """
     s = settings
-    inner = graphs.saved(graphs.edges_within(edges, candidates))
+    inner = graphs.saved(graphs.candidate_edges(candidates, edges))
     candidates = graphs.saved(graphs.reduced_scope(candidates, inner, s.max_functions_per_rename_run).select(*candidates.columns))
     inner = graphs.saved(graphs.edges_within(inner, candidates))
     levels = graphs.saved(graphs.bottom_up_levels(candidates.select("ea"), inner))
@@ -95,7 +97,7 @@ def rename_program(candidates: DataFrame, edges: DataFrame, settings: Settings,
     order = graphs.saved(graphs.callees_first(levels))
     outcomes, paused, sent, retried, asked_rows, unasked = None, None, 0, 0, None, candidates.select("ea").filter("false")
     for k, (step, members) in enumerate(steps):
-        now = candidates.join(members.select("ea"), "ea")
+        now = refreshed(candidates, inner, virtual.filter("status = 'applied'")).join(members.select("ea"), "ea")
         children = graphs.child_context(inner, virtual)
         now = now.join(children.select("ea", "context", "least_confidence"), "ea", "left")
         with_children = s.rename_order == "proposal_aware_bottom_up" and s.proposal_use_pending_child_names

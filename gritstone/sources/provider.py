@@ -84,6 +84,10 @@ def offline(prompt: str, key: str) -> str:
         return json.dumps({"struct_name": f"{field('Function')}_data", "confidence": 0.7, "fields": [{"offset": int(o, 16), "name": f"field_{o}", "type": "QWORD"} for o in re.findall(r"0x([0-9a-f]+) ", field("Offsets") + " ")]})
     if task and task[1] == "prototype":
         return json.dumps({"prototype": f"int {field('Function')}(void)", "confidence": 0.6, "reason": "no arguments seen"})
+    if task and task[1] == "range":
+        return json.dumps({"summary": f"{prompt.count(chr(10)) - 3} lines of code", "evidence": re.findall(r"\b[A-Z][a-z]+[A-Z]\w+", prompt.split("```")[1])[:8], "warnings": []})
+    if task and task[1] == "program":
+        return json.dumps({"summary": next((line for line in prompt.split("\n") if line.startswith("Binary: ")), ""), "capabilities": [line.split(": ")[0].lower() for line in prompt.split("\n") if re.match(r"[A-Z0-9_]+: ", line)], "evidence": [], "risk": "unknown"})
     if task and task[1] == "variables":
         return json.dumps({"variables": [{"old_name": name, "new_name": f"{kind}_{i}", "confidence": 0.6, "reason": f"a {kind}"} for i, (name, kind) in enumerate(re.findall(r"(?m)^- (\S+) : (\w+)", prompt))]})
     if len(re.findall(r"(?m)^--- .+ ---$", prompt)) > 1:
