@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import holds_any, is_default_name
+from .graphs import saved
 
 # Library functions by what they are used for; a later line wins for a name listed twice.
 API_CATEGORIES = {
@@ -180,6 +181,32 @@ def top_values(values: DataFrame, limit: int, least_length: int = 0) -> DataFram
     return counted.sort(F.col("n").desc(), "value").limit(limit)
 
 
+def heavy_values(values: DataFrame, limit: int, least_length: int = 0, rows: int = 3, width: int = 1 << 16) -> DataFrame:
+    """(value, n): as top_values, where most of very many distinct values are rare: only values that can be among the first are counted one by one.
+
+    Every value falls into one cell of each of `rows` hash tables of `width` cells, and a cell's sum is at least the count of each value
+    in it. Values whose cells are all among the largest are counted first; the count of the last of them that would be kept is a floor below
+    which no value is kept. Then the values all of whose cells reach the floor are counted, and no others can be in the result, ties
+    included. What is shuffled are the cells (at most rows * width a task) and the candidates; the input is read three times, the cells'
+    numbers are broadcast (at most rows * width of them). On flat counts everything is a candidate and top_values is cheaper.
+    """
+    kept = values.filter(F.length("value") >= least_length).select("value", *[F.pmod(F.xxhash64("value", F.lit(i)), F.lit(width)).cast("int").alias(f"_c{i}") for i in range(rows)])
+    each = kept.select(F.explode(F.array(*[F.struct(F.lit(i).alias("table"), F.col(f"_c{i}").alias("cell")) for i in range(rows)])).alias("c"))
+    sums = saved(each.groupBy("c.table", "c.cell").agg(F.count("*").alias("sum")))
+
+    def counted(cells: DataFrame) -> DataFrame:
+        within = kept
+        for i in range(rows):
+            within = within.join(F.broadcast(cells.filter(F.col("table") == i).select(F.col("cell").alias(f"_c{i}"))), f"_c{i}", "left_semi")
+        return within.groupBy("value").agg(F.count("*").alias("n"))
+
+    place = F.row_number().over(Window.partitionBy("table").orderBy(F.col("sum").desc(), "cell"))  # at most width rows in each
+    first = counted(sums.withColumn("_p", place).filter(F.col("_p") <= 4 * limit)).sort(F.col("n").desc()).limit(limit)
+    found = first.agg(F.count("*").alias("k"), F.min("n").alias("n")).first()
+    floor = found["n"] if found["k"] == limit else 1
+    return counted(sums.filter(F.col("sum") >= floor)).sort(F.col("n").desc(), "value").limit(limit)
+
+
 def analysis_summary(df: DataFrame) -> DataFrame:
     """Counts over analyzed functions (priority, ai_analyzed, apply)."""
     out = df.agg(F.count("*").alias("total"), F.count_if("ai_analyzed").alias("ai_analyzed"), F.count_if(F.col("priority").isin("high", "critical")).alias("high_or_critical"), F.count_if("apply").alias("suggestions"))

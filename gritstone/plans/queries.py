@@ -282,6 +282,13 @@ def tag_dispatch(spark, sf):
 _HINT_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in triage.TECHNIQUES.items())
 
 
+@query("SELECT value, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '[\\x20\\x09-\\x0D]+')) AS value FROM documents) WHERE length(value) >= 6 GROUP BY 1 ORDER BY n DESC, value LIMIT 40")
+def top_words(spark, sf):
+    """The most frequent words of six characters or more in all texts, rare words never counted one by one."""
+    words = table(spark, sf, "documents").select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("value"))
+    return triage.heavy_values(words, 40, 6)
+
+
 @query(f"""WITH t AS (SELECT DISTINCT l_suppkey AS ea, category AS tag FROM lineitem JOIN {_API_TAGS_SQL} ON {_API_SQL}[l_partkey % {len(_API_LIST)} + 1] = d.api)
 SELECT ea, string_agg(tag, ',' ORDER BY tag) AS tags, coalesce(string_agg(CASE tag {_HINT_SQL} END, ';' ORDER BY tag), '') AS hints FROM t GROUP BY ea""")
 def mitre_hints(spark, sf):
@@ -669,6 +676,20 @@ def offline_answers(spark, sf):
     return rows.select("id", "r.name", "r.confidence", "r.error")
 
 
+@query("SELECT c_custkey AS id, 'int f_' || c_custkey || '(void)' AS prototype, NULL AS error FROM customer")
+def shared_answers(spark, sf):
+    """Prototypes asked for every function by tasks that share three keys; one of them is refused, and no answer is lost by it."""
+
+    def refused(prompt, key):
+        if key == "bad":
+            raise RuntimeError("401 unauthorized")
+        return provider.offline(prompt, key)
+
+    requests = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("Task: prototype\nFunction: f_"), "c_custkey").alias("prompt"))
+    asked = provider.ask_together(requests, refused, keys=("bad", "good", "other"))
+    return asked.select("id", F.get_json_object("raw", "$.prototype").alias("prototype"), "error")
+
+
 @query("""SELECT doc, string, address FROM (SELECT event_id AS doc, unnest([{'string': 'text ' || (event_id % 10), 'address': event_id}, {'string': 'plain ' || event_type, 'address': NULL}]) AS x FROM events WHERE event_id % 2 = 0) t, (SELECT x.string AS string, x.address AS address)
 UNION ALL SELECT event_id, 'line ' || event_type, event_id FROM events WHERE event_id % 2 = 1""")
 def decoded_strings(spark, sf):
@@ -679,6 +700,27 @@ def decoded_strings(spark, sf):
     return decoded.parse_any(raw).select("doc", "string", "address")
 
 
+@query("""SELECT string, kind, address, function_ea, detail, NULL AS problem FROM (SELECT o_orderpriority || ' ' || o_orderkey AS string, CASE o_orderkey % 3 WHEN 0 THEN 'stack_strings' WHEN 1 THEN 'tight_strings' ELSE 'decoded_strings' END AS kind,
+  CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey * 16 WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS address, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS function_ea, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS detail FROM orders)
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'broken_json' FROM nation UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'no_lists' FROM region
+UNION ALL SELECT s_name, 'text_output', s_suppkey, NULL, NULL, NULL FROM supplier""")
+def decoded_files(spark, sf):
+    """Files of every kind, some of them damaged, followed as a stream; all columns of what they hold, and what is wrong with the others."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    kind = F.when(k % 3 == 0, "stack_strings").when(k % 3 == 1, "tight_strings").otherwise("decoded_strings")
+    records = table(spark, sf, "orders").select(F.concat("o_orderpriority", F.lit(" "), k).alias("string"), kind.alias("kind"), F.when(k % 11 != 0, k * 16).alias("address"), F.when(k % 5 != 0, c).alias("function_ea"), F.when(k % 7 != 0, F.col("o_orderstatus")).alias("detail"))
+    broken = table(spark, sf, "nation").select(F.concat(F.lit('{"stack_strings": ["'), "n_name").alias("value"), F.col("n_nationkey").alias("_part"))
+    listless = table(spark, sf, "region").select(F.to_json(F.struct("r_name")).alias("value"), F.col("r_regionkey").alias("_part"))
+    lines = table(spark, sf, "supplier").select(F.concat("s_suppkey", F.lit(": '"), "s_name", F.lit("'")).alias("value"))
+    with graphs.shared_folder(spark) as root:
+        decoded.store_cache(records, f"{root}/in/records")
+        for name, texts in (("broken", broken), ("listless", listless)):
+            texts.write.partitionBy("_part").text(f"{root}/in/{name}")
+        lines.write.text(f"{root}/in/lines")
+        decoded.follow_files(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", recursiveFileLookup=True, pathGlobFilter="*.txt").awaitTermination()
+        return graphs.saved(spark.read.parquet(f"{root}/out").select("string", "kind", "address", "function_ea", "detail", "problem"))
+
+
 # State
 
 

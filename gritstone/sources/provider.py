@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import ERROR_WORDS
+from ..operators.graphs import saved
 
 
 def error_kind(message: str) -> str:
@@ -194,3 +195,117 @@ def ask(requests: DataFrame, provider: Callable[[str, str], str] = offline, keys
     tasks = workers or len(keys)
     spread = requests.select(F.col("id").cast("long").alias("id"), "prompt", F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int").alias("part"))
     return spread.repartition(tasks, "part").mapInArrow(run, "id long, raw string, error string")
+
+
+class SharedKeys:
+    """What a task knows of all keys: those that are used up, and how long the others rest. `news` is what other tasks must hear of it."""
+
+    def __init__(self, keys: tuple[str, ...], first: int, clock: Callable[[], float]):
+        if not keys:
+            raise ValueError("no keys")
+        self.keys, self.clock = keys, clock
+        self.order = [(first + i) % len(keys) for i in range(len(keys))]
+        self.retired, self.free_at, self.waits = set(), {}, {}
+        self.news: list[tuple[int, float | None]] = []
+
+    def pick(self) -> int | None:
+        """The next key that is neither used up nor at rest, the task's own first."""
+        now = self.clock()
+        return next((k for k in self.order if k not in self.retired and self.free_at.get(k, now) <= now), None)
+
+    def rest(self) -> float | None:
+        """Seconds until some key may be used; None if all are used up."""
+        left = [self.free_at.get(k, 0.0) - self.clock() for k in self.order if k not in self.retired]
+        return max(0.0, min(left)) if left else None
+
+    def hear(self, news: list) -> None:
+        """News are (key, None) for a key that is used up and (key, seconds) for one that rests; clocks of machines are never compared."""
+        for key, seconds in news:
+            if seconds is None:
+                self.retired.add(key)
+            else:
+                self.free_at[key] = max(self.free_at.get(key, 0.0), self.clock() + seconds)
+                self.waits[key] = max(self.waits.get(key, 5), min(120, seconds * 2))
+
+    def failed(self, key: int, message: str) -> str:
+        """Takes note of a failure; returns its kind."""
+        kind = error_kind(message)
+        if kind in ("quota_exhausted", "auth_error"):
+            news = [(key, None)]
+        elif kind == "rate_limited":
+            news = [(key, self.waits.get(key, 5))]
+        else:
+            news = []
+        self.hear(news)
+        self.news += news
+        return kind
+
+    def told(self) -> list:
+        news, self.news = self.news, []
+        return news
+
+
+def ask_together(requests: DataFrame, provider: Callable[[str, str], str] = offline, keys: tuple[str, ...] = ("offline",), tries: int = 4, workers: int = 0, period: float = 1.0) -> DataFrame:
+    """As ask, from tasks that run at the same time and tell each other which keys are used up and which rest; computed once, as a checkpoint.
+
+    The tasks are one barrier stage and meet every `period` seconds (0: before each request), so a key that one of them finds dead is not
+    tried again after the next meeting, and a key's limit holds for all. A task whose key rests goes on with another. There are as many
+    tasks as keys, at most as many as the session runs side by side. When an executor is lost the stage begins again, so requests
+    of the lost attempt are sent twice. Requests left when every key is used up have the error quota_exhausted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import time
+
+        from pyspark import BarrierTaskContext
+
+        context = BarrierTaskContext.get()
+        me, met = context.partitionId(), time.monotonic()
+        ring = SharedKeys(keys, me % len(keys), time.monotonic)
+
+        def meet(done: bool) -> bool:
+            """Exchanges news; True when every task is done, for all of them in the same meeting."""
+            nonlocal met
+            all_told = [json.loads(t) for t in context.allGather(json.dumps([done, ring.told()]))]
+            for task, (_, news) in enumerate(all_told):
+                if task != me:
+                    ring.hear(news)
+            met = time.monotonic()
+            return all(d for d, _ in all_told)
+
+        def answer(prompt: str) -> tuple[str | None, str | None]:
+            error, left = None, tries
+            while left:
+                if time.monotonic() - met >= period:
+                    meet(False)
+                key = ring.pick()
+                if key is None:
+                    rest = ring.rest()
+                    if rest is None:
+                        return None, "quota_exhausted"
+                    time.sleep(min(rest, max(period, 0.05)))
+                    continue
+                left -= 1
+                try:
+                    return provider(prompt, keys[key]), None
+                except ProviderError as e:
+                    return None, e.kind
+                except Exception as e:
+                    error = ring.failed(key, str(e))
+                    if error in ("quota_exhausted", "auth_error"):
+                        left += 1  # a dead key is no try of the request; there are only so many keys
+                    elif error == "network_timeout":
+                        time.sleep(min(5, period * 5))
+                    elif error != "rate_limited":
+                        return None, error
+            return None, error
+
+        for batch in batches:
+            got = [answer(prompt) for prompt in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r for r, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], ["id", "raw", "error"])
+        while not meet(True):
+            pass
+
+    tasks = min(workers or len(keys), requests.sparkSession.sparkContext.defaultParallelism)
+    spread = requests.select(F.col("id").cast("long").alias("id"), "prompt").repartition(tasks)
+    return saved(spread.mapInArrow(run, "id long, raw string, error string", barrier=True))

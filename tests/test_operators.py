@@ -1,5 +1,6 @@
 import json
 import random
+import uuid
 from contextlib import contextmanager
 
 import pytest
@@ -304,6 +305,56 @@ def test_provider(spark):
     assert got[1][0] and got[2] == (None, "safety_block")
 
 
+def test_keys_are_shared(spark, tmp_path):
+    """A key that one task finds dead is tried once in all; more tasks than requests, no requests, and no key left."""
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def logged(prompt, key):
+        (log / f"{key}-{uuid.uuid4().hex}").write_text(prompt)
+        if key == "dead":
+            raise RuntimeError("401 invalid api key")
+        if "blocked" in prompt:
+            raise RuntimeError("blocked")
+        return f"{prompt}!"
+
+    requests = spark.createDataFrame([(i, "blocked" if i == 7 else f"p{i}") for i in range(40)], "id long, prompt string")
+    got = {r["id"]: (r["raw"], r["error"]) for r in provider.ask_together(requests, logged, ("dead", "k1", "k2"), period=0).collect()}
+    assert got == {i: (None, "safety_block") if i == 7 else (f"p{i}!", None) for i in range(40)}
+    tried = [p.name.split("-")[0] for p in log.iterdir()]
+    assert tried.count("dead") == 1 and len(tried) == 41
+    assert provider.ask_together(requests.limit(1), logged, ("k1", "k2", "k3"), period=0).count() == 1
+    assert provider.ask_together(requests.filter("id < 0"), logged, ("k1", "k2"), period=0).count() == 0
+    assert {r["error"] for r in provider.ask_together(requests, logged, ("dead",), period=0).collect()} == {"quota_exhausted"}
+
+
+def test_shared_keys():
+    now = [100.0]
+    one, two = (provider.SharedKeys(("a", "b"), i, lambda: now[0]) for i in (0, 1))
+    assert (one.pick(), two.pick()) == (0, 1)
+    assert one.failed(0, "429 slow") == "rate_limited"
+    two.hear(one.told())
+    assert one.told() == [] and one.pick() == 1
+    two.hear([(1, 7)])
+    assert two.pick() is None and two.rest() == 5
+    now[0] += 5
+    assert two.pick() == 0 and two.failed(0, "rate limit") == "rate_limited" and two.news == [(0, 10)]
+    two.hear([(0, None), (1, None)])
+    assert two.pick() is None and two.rest() is None
+    with pytest.raises(ValueError):
+        provider.SharedKeys((), 0, lambda: 0.0)
+
+
+def test_heavy_values(spark):
+    """As top_values, also where all values share few cells, with ties, nulls, fewer values than asked for, and none."""
+    r = random.Random(5)
+    rows = [(f"w{min(int(r.paretovariate(0.7)), 3000)}",) for _ in range(6000)] + [(None,), ("",), ("",)] + [(f"tie{i}",) for i in range(30)] * 50
+    values = spark.createDataFrame(rows, "value string").repartition(4)
+    for limit, least, width in ((10, 0, 1 << 16), (25, 4, 64), (40, 0, 4), (5000, 0, 512), (3, 99, 16)):
+        assert triage.heavy_values(values, limit, least, width=width).collect() == triage.top_values(values, limit, least).collect()
+    assert triage.heavy_values(values.limit(0), 5).collect() == []
+
+
 def test_rollback_and_cache(spark):
     items = spark.createDataFrame([("b1", "2024-01-01", 1, "function_rename", "sub_1", "x"), ("b2", "2024-01-02", 1, "function_rename", "sub_1", "y"), ("b2", "2024-01-02", 2, "function_rename", "", "z"), ("b2", "2024-01-02", 3, "function_rename", "sub_3", "w")], "batch_id string, ts string, ea long, kind string, old_name string, new_name string")
     now = spark.createDataFrame([(1, "y"), (3, "hand_made")], "ea long, name string")
@@ -490,6 +541,38 @@ def test_decoded_cache(spark, tmp_path):
     assert sorted(map(tuple, back)) == rows
 
 
+def test_decoded_files(spark, tmp_path):
+    """A bad file among others is a row that says why, read as a table and followed as a stream with a restart."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps({"stack_strings": [{"string": "one text", "va": "0x10", "function": 3, "encoding": "utf8"}], "tight_strings": ["two text", None, "two text"]}), encoding="utf-8-sig")
+    (folder / "b.txt").write_text("# c\n0x20: 'three text'\n")
+    (folder / "broken.json").write_text('{"stack_strings": ["cut of')
+    (folder / "bytes.txt").write_bytes(b"four \xff text\nfive text\n")
+    (folder / "empty.txt").write_text(" \n")
+    (folder / "long.txt").write_text("x" * 5000)
+    (folder / "none.json").write_text('{"other": 1}')
+    columns = ["string", "kind", "address", "function_ea", "detail", "problem"]
+    lines = lambda df: sorted(((r["doc"].rsplit("/", 1)[1], *[r[c] for c in columns]) for r in df.collect()), key=repr)
+    none = [None] * 5
+    want = sorted([
+        ("a.json", "one text", "stack_strings", 16, 3, "utf8", None), ("a.json", "two text", "tight_strings", None, None, None, None), ("b.txt", "three text", "text_output", 32, None, None, None), ("broken.json", *none, "broken_json"),
+        ("bytes.txt", *none, "not_utf8"), ("bytes.txt", "four \ufffd text", "text_output", None, None, None, None), ("bytes.txt", "five text", "text_output", None, None, None, None), ("empty.txt", *none, "empty"), ("long.txt", *none, "too_long"), ("none.json", *none, "no_lists"),
+    ], key=repr)
+    found = decoded.files_at(spark, str(folder), 4096)
+    assert lines(decoded.parse_reported(found)) == want
+    assert lines(decoded.parse_reported(decoded.files_at(spark, str(folder), 4096, pathGlobFilter="b*"))) == [w for w in want if w[0][0] == "b"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,4096)" in plan and "GreaterThan(length,4096)" in plan
+    follow = lambda: decoded.follow_files(spark, str(folder), f"{tmp_path}/out", f"{tmp_path}/ck", 4096).awaitTermination()
+    follow()
+    assert lines(spark.read.parquet(f"{tmp_path}/out")) == want
+    (folder / "late.txt").write_text("late text")
+    follow()
+    assert lines(spark.read.parquet(f"{tmp_path}/out")) == sorted([*want, ("late.txt", "late text", "text_output", None, None, None, None)], key=repr)
+    assert lines(decoded.parse_reported(found.filter("length < 0"))) == []
+
+
 def test_versions_are_numbered(spark, tmp_path):
     one = spark.createDataFrame([(1, "k", "a")], store.SCHEMAS["blobs"])
     store.save(one, str(tmp_path), "blobs")
