@@ -482,7 +482,12 @@ def range_join(spark, sf):
     return code.decoded_for_functions(r, f, width=1024).select("ea", "value")
 
 
-@query()
+_PROMPT_SQL = f"""SELECT doc_id AS ea, CASE WHEN doc_id % 5 = 0 THEN 'j_resolve' WHEN doc_id % 7 = 0 THEN 'my_malloc' ELSE 'sub_' || doc_id END AS name,
+  {_API_SQL}[doc_id % 9 + 1 : doc_id % 9 + doc_id % 4] AS apis, CASE WHEN doc_id % 2 = 0 THEN coalesce(text, '') ELSE '' END AS code, doc_id % 6 = 0 AS decoded FROM documents"""
+
+
+@query(f"""SELECT ea, concat_ws(chr(10), '--- ' || name || ' ---', '// Called by: main', CASE WHEN code <> '' THEN '// Strings: ' || code END, CASE WHEN decoded THEN '// Decoded strings: xor key' END,
+  CASE WHEN len(apis) > 0 THEN '// APIs: ' || array_to_string(apis, ', ') END, '// Constants: 0x10000', '```', substr(code, 1, 3000), '```') AS prompt FROM ({_PROMPT_SQL})""")
 def prompt_texts(spark, sf):
     c = _contexts(spark, sf).select("ea", F.struct("name", "callees", F.array(F.lit("main")).alias("callers"), "strings", "decoded", "apis", F.array(F.lit("0x10000")).alias("constants"), "pre_tags", F.array().cast("array<string>").alias("hints"), F.element_at(F.concat("strings", F.array(F.lit(""))), 1).alias("code")).alias("item"))
     return c.select("ea", code.prompt_text(F.col("item")).alias("prompt"))
@@ -522,7 +527,38 @@ def bfs_depth(spark, sf):
     return nodes.select("ea", "depth")
 
 
-@query()
+_REACHED_SQL = f"""WITH RECURSIVE {EDGES_SQL}, {FUNCTIONS_SQL}, lib AS (SELECT ea FROM fn WHERE is_library), e1 AS (SELECT DISTINCT caller, callee FROM raw WHERE caller <> callee),
+e2 AS (SELECT * FROM e1 WHERE callee NOT IN (SELECT ea FROM lib)), w(ea, depth) AS (SELECT ea, 0 FROM fn WHERE ea % 400 = 5 AND NOT is_library UNION SELECT callee, depth + 1 FROM w JOIN e2 ON caller = ea WHERE depth < 3)"""
+
+
+def _reached(spark, sf):
+    return graphs.reach(call_edges(spark, sf, False), _nodes(spark, sf).filter("ea % 400 = 5"), functions(spark, sf), 3, 100_000)
+
+
+@query(f"{_REACHED_SQL} SELECT caller, callee FROM e2 WHERE caller IN (SELECT ea FROM w)")
+def bfs_edges(spark, sf):
+    """The edges that a traversal took or may take from the functions it accepted."""
+    return _reached(spark, sf)[1]
+
+
+@query(f"{_REACHED_SQL} SELECT 'library_or_thunk' AS reason, count(*) AS n FROM e1 WHERE caller IN (SELECT ea FROM w) AND callee IN (SELECT ea FROM lib) HAVING count(*) > 0")
+def bfs_skipped(spark, sf):
+    """What a traversal left out, by reason."""
+    return _reached(spark, sf)[2]
+
+
+def _queue_order_sql(depth: int, most: int) -> str:
+    """Rounds of a queue, one after the other: a function's place follows its first parent's, then its address."""
+    rounds = ["f0 AS MATERIALIZED (SELECT ea, 0 AS depth, row_number() OVER (ORDER BY ea) AS pos FROM fn WHERE ea % 400 = 5 AND NOT is_library), s0 AS MATERIALIZED (SELECT * FROM f0)"]
+    for d in range(1, depth + 1):
+        rounds.append(f"""f{d} AS MATERIALIZED (SELECT callee AS ea, {d} AS depth, row_number() OVER (ORDER BY parent, callee) + (SELECT count(*) FROM s{d - 1}) AS pos
+  FROM (SELECT callee, min(pos) AS parent FROM f{d - 1} JOIN e2 ON caller = ea WHERE callee NOT IN (SELECT ea FROM s{d - 1}) GROUP BY callee)),
+s{d} AS MATERIALIZED (SELECT * FROM s{d - 1} UNION ALL SELECT * FROM f{d})""")
+    return f"""WITH {EDGES_SQL}, {FUNCTIONS_SQL}, e2 AS (SELECT DISTINCT caller, callee FROM raw WHERE caller <> callee AND callee NOT IN (SELECT ea FROM fn WHERE is_library)),
+{", ".join(rounds)} SELECT ea, depth, pos FROM s{depth} WHERE pos <= {most}"""
+
+
+@query(_queue_order_sql(5, 300))
 def bfs_capped(spark, sf):
     """The first 300 functions in queue order."""
     nodes, _, _ = graphs.reach(call_edges(spark, sf, False), _nodes(spark, sf).filter("ea % 400 = 5"), functions(spark, sf), 5, 300)
@@ -668,7 +704,7 @@ def variable_suggestions(spark, sf):
     return answers.check_suggestions(s, known)
 
 
-@query()
+@query(f"SELECT ea AS id, CASE WHEN len(apis) > 0 THEN regexp_replace('call_' || apis[1], '_+', '_', 'g') ELSE name END AS name, CASE WHEN len(apis) > 0 THEN 0.7 ELSE 0.3 END::DOUBLE AS confidence, false AS error FROM ({_PROMPT_SQL})")
 def offline_answers(spark, sf):
     """Prompts sent to the offline provider, its answers parsed and normalised."""
     asked = provider.ask(prompt_texts(spark, sf).select(F.col("ea").alias("id"), "prompt"), keys=("a", "b"))
@@ -839,6 +875,55 @@ def blob_upsert(spark, sf):
     return state.put_blobs(blobs, blobs.filter("func_ea % 4 = 0").withColumn("value", F.lit("new"))).select("func_ea", "value")
 
 
+@query("SELECT c_custkey AS func_ea FROM customer WHERE c_custkey % 4 <> 0")
+def blob_drop(spark, sf):
+    """Functions that have anything saved, once the rows of every fourth are dropped."""
+    blobs = table(spark, sf, "customer").select(F.col("c_custkey").alias("func_ea"), F.explode(F.array(F.lit("summary"), F.lit("struct"))).alias("kind"), F.col("c_name").alias("value"))
+    return state.saved_functions(state.drop_blobs(blobs, blobs.filter("func_ea % 4 = 0")))
+
+
+@query("SELECT count(*) AS entries, round(coalesce(sum(strlen(text)), 0) / 1024.0, 1)::DOUBLE AS size_kb FROM documents")
+def cache_stats(spark, sf):
+    return state.cache_stats(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("result")))
+
+
+@query("SELECT o_orderkey::VARCHAR AS batch_id, o_totalprice AS confidence FROM orders WHERE o_custkey = 7 ORDER BY o_orderdate DESC, batch_id DESC LIMIT 10")
+def function_history(spark, sf):
+    items = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("batch_id"), F.col("o_orderdate").alias("ts"), F.col("o_custkey").alias("ea"), F.col("o_totalprice").alias("confidence"))
+    return state.function_history(items, 7).select("batch_id", "confidence")
+
+
+@query(f"WITH {QUEUE_SQL} SELECT ord FROM q WHERE status = 'pending' AND ((round(c_acctbal * 100))::BIGINT % 100000 + 100000) % 100000 >= 69500")
+def queue_confident(spark, sf):
+    """Pending rows whose confidence, in hundredths, is 0.7 or more."""
+    return state.confident(review_queue(spark, sf), 0.7).select("ord")
+
+
+@query(f"WITH {QUEUE_SQL} SELECT ord, CASE WHEN n_deps > 0 THEN printf('0x%X -> name_%d', (ord - 1) // 2, ord - 1) || chr(10) || printf('0x%X -> name_%d', (ord - 2) // 2, ord - 2) ELSE '' END AS text FROM q")
+def dependency_texts(spark, sf):
+    return review_queue(spark, sf).select("ord", state.dependency_text(F.col("deps")).alias("text"))
+
+
+@query("SELECT s_suppkey AS ea, 'spa_' || sha256('{\"name\":\"' || s_name || '\",\"ea\":' || s_suppkey || '}') AS key FROM supplier")
+def input_hash(spark, sf):
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("ea"), names.input_hash(F.struct(F.col("s_name").alias("name"), F.col("s_suppkey").alias("ea"))).alias("key"))
+
+
+@query("SELECT event_id AS id, printf('0x%X', event_id) AS shown, event_id AS parsed FROM events")
+def address_texts(spark, sf):
+    """Addresses as shown, and read back from that text or from decimal digits."""
+    shown = names.hex_address(F.col("event_id"))
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), shown.alias("shown"), names.parse_address(F.when(F.col("event_id") % 2 == 0, shown).otherwise(F.concat(F.lit(" "), "event_id"))).alias("parsed"))
+
+
+@query(f"""WITH {INSTRUCTIONS_SQL}, l AS (SELECT func_ea, ea, pointer FROM (SELECT *, last_value(CASE WHEN mnem = 'mov' THEN addr END IGNORE NULLS) OVER (PARTITION BY func_ea, reg ORDER BY ea ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pointer FROM insn) WHERE mnem = 'call' AND pointer IS NOT NULL)
+SELECT func_ea, ea, p_partkey * 16 AS target FROM l JOIN part ON pointer = p_partkey""")
+def pass2_targets(spark, sf):
+    """Where calls through loaded pointers go, parts being the cells of memory."""
+    memory = table(spark, sf, "part").select(F.col("p_partkey").alias("cell"), (F.col("p_partkey") * 16).alias("target"))
+    return code.dereference(code.last_loads(instructions(spark, sf)), memory)
+
+
 # Contexts and whole runs
 
 
@@ -943,7 +1028,7 @@ def function_contexts(spark, sf):
 def analyzer_run(spark, sf):
     """The program analyzer over the call graph, with the offline provider."""
     edges = call_edges(spark, sf, False).select("caller", "callee")
-    parts = runs.analyze_program(function_context_frame(spark, sf), edges, _nodes(spark, sf).filter("ea % 400 = 5"), functions(spark, sf), Settings(spa_max_functions=60, spa_ai_function_limit=10, spa_min_priority_score=1))
+    parts = runs.analyze_program(function_context_frame(spark, sf), edges, _nodes(spark, sf).filter("ea % 400 = 5"), functions(spark, sf), Settings(spa_min_priority_score=1))
     return parts["results"].select("ea", "old_name", "mode", "r.function_name", "r.confidence", "r.priority")
 
 
