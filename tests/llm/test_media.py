@@ -1,4 +1,5 @@
 import hashlib
+import math
 import struct
 import zlib
 
@@ -85,3 +86,48 @@ def test_frames(spark):
     told = {r["doc_id"]: r["problem"] for r in media.read_media(bad).collect()}
     assert told[2] and told[3] == "no media" and told[4] is None
     assert media.read_media(media.store_media(docs.limit(0))).count() == 0
+
+
+def plain_cosine_hash(samples, channels):
+    """The hash by its definition: box means in 64ths, two sums of integer cosines, signs against the 32nd of the 63 others."""
+    height, width, side, low = samples.shape[0], samples.shape[1] // channels, media.SIDE, media.LOW
+    grey = [[sum(int(samples[y, x * channels + c]) for c in range(channels)) for x in range(width)] for y in range(height)]
+
+    def boxes(lines):
+        n = len(lines)
+        at = [i * n // side for i in range(side)]
+        if n < side:
+            return [[64 * v for v in lines[a]] for a in at]
+        spans = [lines[a:b] for a, b in zip(at, [*at[1:], n])]
+        return [[sum(column) * 64 // len(span) for column in zip(*span)] for span in spans]
+
+    small = boxes(grey)
+    small = [list(r) for r in zip(*boxes([list(c) for c in zip(*small)]))]
+    cosine = [[round(math.cos(math.pi * (2 * x + 1) * k / (2 * side)) * 4096) for x in range(side)] for k in range(low)]
+    found = [sum(cosine[v][y] * cosine[u][x] * small[y][x] for y in range(side) for x in range(side)) for v in range(low) for u in range(low)]
+    middle = sorted(found[1:])[31]
+    return f"{int(''.join(str(int(f > middle)) for f in found), 2):016x}"
+
+
+def test_hash_against_plain_transform():
+    rng = np.random.default_rng(3)
+    for height, width in ((1, 64), (5, 3), (33, 64), (100, 70), (64, 32)):
+        for channels in (1, 3):
+            samples = rng.integers(0, 256, (height, width * channels), dtype=np.uint8)
+            assert media.cosine_hash(samples, channels) == plain_cosine_hash(samples, channels)
+    for text in ("", "a", "some words of a text " * 300):
+        samples = media.decode_png(media.encode_png(media.padded(text)[1]))
+        assert media.cosine_hash(samples) == plain_cosine_hash(samples, media.BPP)
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in media.op1_media(spark, sf).collect()}
+    assert got.keys() == docs.keys()
+    for i, text in docs.items():
+        raw = (text or "").encode()
+        payload = raw.ljust(max(192, -(-len(raw) // 192) * 192))
+        image = media.encode_png(payload)
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(image), hashlib.sha256(image).hexdigest(), media.cosine_hash(media.decode_png(image)))
+        assert tuple(got[i][c] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")) == want
