@@ -180,7 +180,7 @@ def check_suggestions(df: DataFrame, known: DataFrame) -> DataFrame:
     """Variable suggestions (ea, ord, old_name, new_name, confidence, reason) that rename a known variable (ea, var); first of each old name.
 
     New names are sanitised and lower-cased and must change something; confidence is clamped, and is at most 0.5 without
-    a reason.
+    a reason. ord is of any type that sorts and should differ within an ea: which of equal ones is first is left open.
     """
     from pyspark.sql import Window
 

@@ -2,6 +2,8 @@ import pytest
 
 from gritstone.plans.queries import ORACLES, QUERIES
 
+from gritstone.plans.tables import table
+
 from .oracle import differences, views
 
 SF = "/root/testdata/sf0.001"
@@ -22,3 +24,17 @@ def test_runs(spark, name):
     df = QUERIES[name](spark, SF)
     assert len(df.columns) > 0
     df.collect()
+
+
+def test_equal_line_numbers_in_the_order_of_the_table(spark, tmp_path):
+    """Of rows that tie, the first of the table stands, in whichever file and order Spark reads them."""
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    for i, n in enumerate((2000, 1, 6000, 1, 4000, 1)):
+        rows = spark.range(n).selectExpr(f"id % {i + 1} + 1 AS l_orderkey", f"{16 + 15 * i} + 90 * (id * 7919 % 1000) AS l_partkey", "1 AS l_linenumber", "0.02D AS l_discount")
+        rows.coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+        next((tmp_path / f"part{i}").glob("*.parquet")).rename(folder / f"{i}.parquet")
+    spark.range(1, 7).withColumnRenamed("id", "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r["ea"]: r["new_name"] for r in QUERIES["variable_suggestions"](spark, str(tmp_path)).collect()}
+    # the first file has function 1 alone, the third 1 to 3, the fifth 1 to 5; function 4 comes with partkey 76 + 90 * 757
+    assert got == {1: "size_16", 2: f"size_{(46 + 90 * 919) % 100}", 3: f"size_{(46 + 90 * 838) % 100}", 4: f"size_{(76 + 90 * 757) % 100}", 5: f"size_{(76 + 90 * 676) % 100}"}
