@@ -160,19 +160,24 @@ def make_provider(settings, send: Callable = post) -> Callable[[str, str], str]:
 
 
 def ask(requests: DataFrame, provider: Callable[[str, str], str] = offline, keys: tuple[str, ...] = ("offline",), tries: int = 4, workers: int = 0) -> DataFrame:
-    """(id, raw, error) for requests (id, prompt) from `workers` tasks side by side, each beginning with its own key; 0: one for each key.
+    """(id, raw, error) for requests (id, prompt) from `workers` tasks, which begin with the keys in turn; 0: as many as a shuffle has partitions.
 
-    A failed request has a null raw and the kind of its error; it does not stop the others.
+    With `workers` no more requests than that are on their way at once, and a task's share grows with the input; without, the
+    session's cores are the limit, and a key may be in use by several tasks. A failed request has a null raw and the kind of its error; it does not
+    stop the others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import time
 
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() % len(keys) if keys else 0
         ring = None
         for batch in batches:
             raws, errors = [], []
-            for part, prompt in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist()):
-                ring = ring or KeyRing([*keys[part % len(keys) :], *keys[: part % len(keys)]], time.sleep)
+            for prompt in batch.column(1).to_pylist():
+                ring = ring or KeyRing([*keys[first:], *keys[:first]], time.sleep)
                 raw, error = None, None
                 for _ in range(tries):
                     try:
@@ -192,9 +197,9 @@ def ask(requests: DataFrame, provider: Callable[[str, str], str] = offline, keys
                 errors.append(error)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raws, pa.string()), pa.array(errors, pa.string())], ["id", "raw", "error"])
 
-    tasks = workers or len(keys)
-    spread = requests.select(F.col("id").cast("long").alias("id"), "prompt", F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int").alias("part"))
-    return spread.repartition(tasks, "part").mapInArrow(run, "id long, raw string, error string")
+    spread = requests.select(F.col("id").cast("long").alias("id"), "prompt")
+    spread = spread.repartition(workers, "id", "prompt") if workers else spread.repartition("id", "prompt")
+    return spread.mapInArrow(run, "id long, raw string, error string")
 
 
 class SharedKeys:

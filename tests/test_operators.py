@@ -305,6 +305,23 @@ def test_provider(spark):
     assert got[1][0] and got[2] == (None, "safety_block")
 
 
+def test_requests_are_dealt_over_the_partitions(spark):
+    """One key does not make one task; with `workers` there are no more tasks than that."""
+
+    def told(prompt, key):
+        from pyspark import TaskContext
+
+        return f"{TaskContext.get().partitionId()} {key} {len(prompt)}"
+
+    long = spark.range(64).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: F.sha2(F.concat_ws(" ", "id", i), 256)), "").alias("prompt"))
+    got = [r["raw"].split() for r in provider.ask(long, told).collect()]
+    assert len({part for part, _, _ in got}) > 1 and len(got) == 64 and {n for _, _, n in got} == {"192000"}
+    got = [r["raw"].split() for r in provider.ask(long, told, ("k1", "k2")).collect()]
+    assert {key for _, key, _ in got} == {"k1", "k2"}
+    got = [r["raw"].split() for r in provider.ask(long, told, ("k1", "k2", "k3"), workers=2).collect()]
+    assert len({part for part, _, _ in got}) <= 2 and {key for _, key, _ in got} <= {"k1", "k2"}
+
+
 def test_keys_are_shared(spark, tmp_path):
     """A key that one task finds dead is tried once in all; more tasks than requests, no requests, and no key left."""
     log = tmp_path / "log"
