@@ -49,12 +49,17 @@ def shared_folder(spark: SparkSession):
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df, whose joins deal out both sides by their key: nodes and edges are never collected in the driver to be broadcast, round after round."""
+    return df.hint("merge")
+
+
 @contextmanager
 def rounds(spark: SparkSession):
     """A function that computes a DataFrame once, as a table in the shared folder; the tables go when the block ends.
 
     Rounds join their own results with themselves. A checkpoint would carry the estimate of its size on, squared by every such join;
-    a table has the size of its files.
+    a table has the size of its files. Joins of these tables are `dealt`.
     """
     number = itertools.count()
     with shared_folder(spark) as folder:
@@ -62,7 +67,7 @@ def rounds(spark: SparkSession):
         def keep(df: DataFrame) -> DataFrame:
             path = f"{folder}/{next(number)}"
             df.write.parquet(path)
-            return spark.read.schema(df.schema).parquet(path)
+            return dealt(spark.read.schema(df.schema).parquet(path))
 
         yield keep
 
@@ -81,7 +86,7 @@ def edges_within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct edges (caller, callee) with both ends among nodes (ea), no self-calls."""
     a, b = nodes.select(F.col("ea").alias("_a")).distinct(), nodes.select(F.col("ea").alias("_b")).distinct()
     kept = edges.filter(F.col("caller") != F.col("callee")).select("caller", "callee").distinct()
-    return kept.join(a, F.col("caller") == F.col("_a"), "left_semi").join(b, F.col("callee") == F.col("_b"), "left_semi")
+    return kept.join(dealt(a), F.col("caller") == F.col("_a"), "left_semi").join(dealt(b), F.col("callee") == F.col("_b"), "left_semi")
 
 
 def candidate_edges(candidates: DataFrame, edges: DataFrame) -> DataFrame:
@@ -138,7 +143,7 @@ def reach(edges: DataFrame, roots: DataFrame, nodes: DataFrame, max_depth: int =
 def _without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with neither end among nodes."""
     a, b = nodes.select(F.col("ea").alias("_a")), nodes.select(F.col("ea").alias("_b"))
-    return edges.join(a, F.col("caller") == F.col("_a"), "left_anti").join(b, F.col("callee") == F.col("_b"), "left_anti")
+    return edges.join(dealt(a), F.col("caller") == F.col("_a"), "left_anti").join(dealt(b), F.col("callee") == F.col("_b"), "left_anti")
 
 
 def _busy_ranks(edges: DataFrame) -> DataFrame:
@@ -153,7 +158,7 @@ def _trimmed(edges: DataFrame, keep) -> DataFrame:
 
     def once(e: DataFrame) -> DataFrame:
         called, calling = e.select(F.col("b").alias("_t")).distinct(), e.select(F.col("a").alias("_s")).distinct()
-        return e.join(called, F.col("a") == F.col("_t"), "left_semi").join(calling, F.col("b") == F.col("_s"), "left_semi")
+        return e.join(dealt(called), F.col("a") == F.col("_t"), "left_semi").join(dealt(calling), F.col("b") == F.col("_s"), "left_semi")
 
     n = edges.count()
     while n:
@@ -210,7 +215,7 @@ def _furthest(edges: DataFrame, keep) -> DataFrame:
 def _coloured(edges: DataFrame, colour: DataFrame) -> DataFrame:
     """edges (a, b) whose ends have the same colour, and that colour, c."""
     x, y = colour.select(F.col("n").alias("_a"), F.col("c").alias("_ca")), colour.select(F.col("n").alias("_b"), F.col("c").alias("_cb"))
-    return edges.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b")).filter("_ca = _cb").select("a", "b", F.col("_ca").alias("c"))
+    return edges.join(dealt(x), F.col("a") == F.col("_a")).join(dealt(y), F.col("b") == F.col("_b")).filter("_ca = _cb").select("a", "b", F.col("_ca").alias("c"))
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -229,7 +234,7 @@ def _components(edges: DataFrame, keep) -> DataFrame:
     plain = edges.filter(F.col("caller") != F.col("callee")).select("caller", "callee").distinct()
     ranks = keep(_busy_ranks(plain))
     x, y = ranks.select(F.col("n").alias("_x"), F.col("rank").alias("a")), ranks.select(F.col("n").alias("_y"), F.col("rank").alias("b"))
-    rest = _trimmed(plain.join(x, F.col("caller") == F.col("_x")).join(y, F.col("callee") == F.col("_y")).select("a", "b"), keep)
+    rest = _trimmed(keep(plain.join(x, F.col("caller") == F.col("_x")).join(y, F.col("callee") == F.col("_y")).select("a", "b")), keep)
     rest, links = _without_chains(rest, keep)
     rest = rest if links is None else _trimmed(rest, keep)
     done = None
@@ -247,7 +252,7 @@ def _components(edges: DataFrame, keep) -> DataFrame:
         open_ = links.filter("ring IS NULL")
         if done is not None:
             p, q = done.select(F.col("n").alias("_p"), F.col("c").alias("_pc")), done.select(F.col("n").alias("_q"), F.col("c").alias("_qc"))
-            open_ = open_.join(p, F.col("l") == F.col("_p"), "left").join(q, F.col("r") == F.col("_q"), "left").withColumns({"l": F.coalesce("_pc", "l"), "r": F.coalesce("_qc", "r")})
+            open_ = open_.join(dealt(p), F.col("l") == F.col("_p"), "left").join(dealt(q), F.col("r") == F.col("_q"), "left").withColumns({"l": F.coalesce("_pc", "l"), "r": F.coalesce("_qc", "r")})
         label = label.union(open_.filter("l = r").select("v", F.col("l")))
         done = label if done is None else done.union(label)
     if done is None:
@@ -256,7 +261,7 @@ def _components(edges: DataFrame, keep) -> DataFrame:
     named = keep(named)
     least = named.groupBy("c").agg(F.min("n").alias("component"))
     members = named.join(least, "c").select(F.col("n").alias("_m"), "component")
-    return every.join(members, F.col("ea") == F.col("_m"), "left").select("ea", F.coalesce("component", "ea").alias("component"))
+    return every.join(dealt(members), F.col("ea") == F.col("_m"), "left").select("ea", F.coalesce("component", "ea").alias("component"))
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
@@ -264,7 +269,7 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
     found = saved(strong_components(edges))
     several = found.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
     own = edges.filter(F.col("caller") == F.col("callee")).select(F.col("caller").alias("_s")).distinct()
-    return found.join(several, "component", "left_semi").unionByName(found.join(own, F.col("ea") == F.col("_s"), "left_semi")).select("ea", F.col("component").alias("group_id")).distinct()
+    return found.join(dealt(several), "component", "left_semi").unionByName(found.join(dealt(own), F.col("ea") == F.col("_s"), "left_semi")).select("ea", F.col("component").alias("group_id")).distinct()
 
 
 def _longest_chains(edges: DataFrame, most: int, keep) -> DataFrame | None:
@@ -311,7 +316,7 @@ def _levels(nodes: DataFrame, edges: DataFrame, growth: int, keep) -> DataFrame:
     cyclic = saved(cyclic_nodes(edges))
     gone = cyclic.select(F.col("ea").alias("_g"))
     rest = keep(_without(edges.filter(F.col("caller") != F.col("callee")).select("caller", "callee").distinct(), cyclic))
-    left = keep(nodes.select("ea").distinct().join(gone, F.col("ea") == F.col("_g"), "left_anti"))
+    left = keep(nodes.select("ea").distinct().join(dealt(gone), F.col("ea") == F.col("_g"), "left_anti"))
     levels, level, burst = None, 0, 1
     while True:
         longest = _longest_chains(rest.select(F.col("caller").alias("a"), F.col("callee").alias("b")), growth * rest.count(), keep)
@@ -329,7 +334,7 @@ def _levels(nodes: DataFrame, edges: DataFrame, growth: int, keep) -> DataFrame:
             rest = keep(rest.join(done, F.col("callee") == F.col("_d"), "left_anti"))
             level += 1
         burst *= 2
-    loops = cyclic.join(nodes.select(F.col("ea").alias("_n")).distinct(), F.col("ea") == F.col("_n"), "left_semi").select("ea", F.lit(None).cast("int").alias("level"), F.lit(True).alias("is_cycle"), "group_id")
+    loops = cyclic.join(dealt(nodes.select(F.col("ea").alias("_n")).distinct()), F.col("ea") == F.col("_n"), "left_semi").select("ea", F.lit(None).cast("int").alias("level"), F.lit(True).alias("is_cycle"), "group_id")
     return levels.select("ea", "level", F.lit(False).alias("is_cycle"), F.lit(None).cast(dict(cyclic.dtypes)["group_id"]).alias("group_id")).unionByName(loops)
 
 
@@ -341,12 +346,12 @@ def callees_first_with_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     inner = saved(edges_within(edges, nodes))
     found = strong_components(inner)
-    placed = nodes.select("ea").distinct().join(found.withColumnRenamed("ea", "_e"), F.col("ea") == F.col("_e"), "left").select("ea", F.coalesce("component", "ea").alias("component"))
+    placed = nodes.select("ea").distinct().join(dealt(found.withColumnRenamed("ea", "_e")), F.col("ea") == F.col("_e"), "left").select("ea", F.coalesce("component", "ea").alias("component"))
     placed = saved(placed)
     x, y = placed.select(F.col("ea").alias("_x"), F.col("component").alias("_cx")), placed.select(F.col("ea").alias("_y"), F.col("component").alias("_cy"))
-    between = inner.join(x, F.col("caller") == F.col("_x")).join(y, F.col("callee") == F.col("_y")).filter("_cx <> _cy").select(F.col("_cx").alias("caller"), F.col("_cy").alias("callee")).distinct()
+    between = inner.join(dealt(x), F.col("caller") == F.col("_x")).join(dealt(y), F.col("callee") == F.col("_y")).filter("_cx <> _cy").select(F.col("_cx").alias("caller"), F.col("_cy").alias("callee")).distinct()
     heights = bottom_up_levels(placed.select(F.col("component").alias("ea")).distinct(), saved(between)).select(F.col("ea").alias("_c"), F.col("level").alias("height"))
-    rows = placed.join(heights, F.col("component") == F.col("_c")).drop("_c")
+    rows = placed.join(dealt(heights), F.col("component") == F.col("_c")).drop("_c")
     return numbered(rows, [F.col("height"), F.col("component"), F.col("ea")], "ord")
 
 

@@ -305,6 +305,19 @@ def test_provider(spark):
     assert got[1][0] and got[2] == (None, "safety_block")
 
 
+def test_no_round_of_a_graph_broadcasts_its_nodes(spark):
+    """A broadcast passes through the driver, in every round again, as long as a table is under its limit."""
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 2)], "caller long, callee long")
+    nodes = spark.createDataFrame([(1,), (2,), (3,)], "ea long")
+    for df in (graphs.edges_within(edges, nodes), graphs.cyclic_nodes(edges)):
+        assert "SortMergeJoin" in planned(df) and "BroadcastHashJoin" not in planned(df)
+    with graphs.rounds(spark) as keep:
+        e = keep(edges)
+        df = e.join(e.select(F.col("caller").alias("_c")).distinct(), F.col("callee") == F.col("_c"))
+        assert "SortMergeJoin" in planned(df) and "BroadcastHashJoin" not in planned(df) and df.count() == 3
+
+
 def test_requests_are_dealt_over_the_partitions(spark):
     """One key does not make one task; with `workers` there are no more tasks than that."""
 
