@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.names import parse_address
+from ..functions.names import bound, parse_address
 
 # Keys under which records, texts and addresses are found, in order of preference.
 KINDS = ("static_strings", "stack_strings", "tight_strings", "decoded_strings")
@@ -19,15 +19,18 @@ DETAIL_KEYS = ("decoder", "encoding", "location_type")
 LONGEST = 256 << 20
 
 
-def _text(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "string")
+# All fields of a record as texts, and the texts in one that is itself an object.
+FIELDS = "struct<" + ", ".join(f"`{k}`: string" for k in dict.fromkeys((*TEXT_KEYS, *ADDRESS_KEYS, *FUNCTION_KEYS, *DETAIL_KEYS))) + ">"
+NESTED = "struct<" + ", ".join(f"`{k}`: string" for k in TEXT_KEYS) + ">"
 
 
-def _record(v: Column, kind: Column) -> Column:
-    plain = F.when(F.schema_of_variant(v) == "STRING", _text(v, "$"))
-    nested = [x for k in TEXT_KEYS for x in (F.when(~F.startswith(F.coalesce(_text(v, f"$.{k}"), F.lit("{")), F.lit("{")), _text(v, f"$.{k}")), *[_text(v, f"$.{k}.{j}") for j in TEXT_KEYS])]
-    number = lambda keys: F.coalesce(*[parse_address(_text(v, f"$.{k}")) for k in keys])
-    detail = F.coalesce(*[F.nullif(_text(v, f"$.{k}"), F.lit("")) for k in DETAIL_KEYS])
+def _record(v: Column, f: Column, kind: Column) -> Column:
+    """A record from its JSON v and f, that JSON's FIELDS. Written short: generated code for each key and reading was too long to compile."""
+    inner = lambda k: bound(F.try_variant_get(v, f"$.{k}", NESTED), lambda n: F.coalesce(*[n[j] for j in TEXT_KEYS]))
+    nested = [F.when(~F.startswith(f[k], F.lit("{")), f[k]).when(f[k].isNotNull(), inner(k)) for k in TEXT_KEYS]
+    number = lambda keys: F.try_element_at(F.array_compact(F.transform(F.array_compact(F.array(*[f[k] for k in keys])), parse_address)), F.lit(1))
+    detail = F.coalesce(*[F.nullif(f[k], F.lit("")) for k in DETAIL_KEYS])
+    plain = F.when(f.isNull() & (F.schema_of_variant(v) == "STRING"), F.try_variant_get(v, "$", "string"))
     return F.struct(F.coalesce(plain, *nested).alias("string"), kind.alias("kind"), number(ADDRESS_KEYS).alias("address"), number(FUNCTION_KEYS).alias("function_ea"), F.substring(detail, 1, 80).alias("detail"))
 
 
@@ -38,17 +41,22 @@ def _lists(v: Column) -> Column:
     lists += [F.struct(F.lit(k).alias("kind"), F.coalesce(F.try_variant_get(v, f"$.strings.{k}", "array<variant>"), F.try_variant_get(v, f"$.{k}", "array<variant>")).alias("items")) for k in KINDS]
     rest = F.coalesce(*[F.try_variant_get(v, f"$.{k}", "array<variant>") for k in ("decoded", "results", "strings")])
     named = F.filter(F.array(*lists), lambda x: x["items"].isNotNull())
-    return F.when(F.size(named) > 0, named).otherwise(F.array(F.struct(F.lit("decoded_strings").alias("kind"), rest.alias("items"))))
+    return bound(named, lambda n: F.when(F.size(n) > 0, n).otherwise(F.array(F.struct(F.lit("decoded_strings").alias("kind"), rest.alias("items")))))
 
 
 def _line_record(line: Column) -> Column:
     """A plain line's record, a leading address read; null for comments, banners and headings."""
-    trimmed = F.regexp_replace(line, r"^\s+|\s+$", "")
-    head, tail = F.regexp_extract(trimmed, r"^(\S+)\s+\S", 1), F.regexp_extract(trimmed, r"^\S+\s+(.*)$", 1)
-    address = F.when(head != "", parse_address(F.rtrim(head, F.lit(":"))))
-    text = F.regexp_replace(F.when(address.isNotNull(), tail).otherwise(trimmed), "^[ \"']+|[ \"']+$", "")
-    told = (trimmed != "") & ~trimmed.rlike("^(#|FLOSS|WARNING|INFO)") & ~trimmed.rlike("(?i):$|strings:")
-    return F.when(told, F.struct(text.alias("string"), F.lit("text_output").alias("kind"), address.alias("address"), F.lit(None).cast("long").alias("function_ea"), F.lit(None).cast("string").alias("detail")))
+
+    def read(trimmed: Column) -> Column:
+        told = (trimmed != "") & ~trimmed.rlike("^(#|FLOSS|WARNING|INFO)") & ~trimmed.rlike("(?i):$|strings:")
+        head = F.regexp_extract(trimmed, r"^(\S+)\s+\S", 1)
+        return F.when(told, bound(F.when(head != "", parse_address(F.rtrim(head, F.lit(":")))), lambda address: record(trimmed, address)))
+
+    def record(trimmed: Column, address: Column) -> Column:
+        text = F.when(address.isNotNull(), F.regexp_extract(trimmed, r"^\S+\s+(.*)$", 1)).otherwise(trimmed)
+        return F.struct(F.regexp_replace(text, "^[ \"']+|[ \"']+$", "").alias("string"), F.lit("text_output").alias("kind"), address.alias("address"), F.lit(None).cast("long").alias("function_ea"), F.lit(None).cast("string").alias("detail"))
+
+    return bound(F.regexp_replace(line, r"^\s+|\s+$", ""), read)
 
 
 def _json_items(lists: Column) -> Column:
@@ -65,7 +73,9 @@ def _records(items: DataFrame, least: int) -> DataFrame:
     mark = F.when(F.col("problem").isNotNull(), F.array(F.lit(None).cast(items.schema["items"].dataType.elementType)))
     none = F.array().cast(items.schema["items"].dataType)
     rows = items.select("doc", "problem", F.explode(F.concat(F.coalesce(mark, none), F.coalesce("items", none))).alias("i")).withColumn("problem", F.when(F.col("i").isNull(), F.col("problem")))
-    record = F.when(F.col("i.json").isNotNull(), _record(F.col("i.json"), F.col("i.kind"))).otherwise(_line_record(F.col("i.line")))
+    json = F.col("i.json")
+    rows = rows.select("doc", "i", "problem", F.try_variant_get(json, "$", FIELDS).alias("_f"))
+    record = F.when(json.isNotNull(), _record(json, F.col("_f"), F.col("i.kind"))).otherwise(_line_record(F.col("i.line")))
     rows = rows.select("doc", F.col("i.ord").alias("ord"), record.alias("r"), "problem").select("doc", "ord", "r.*", "problem")
     return _once(rows.filter((F.length("string") >= least) | F.col("problem").isNotNull()))
 

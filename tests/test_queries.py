@@ -38,3 +38,14 @@ def test_equal_line_numbers_in_the_order_of_the_table(spark, tmp_path):
     got = {r["ea"]: r["new_name"] for r in QUERIES["variable_suggestions"](spark, str(tmp_path)).collect()}
     # the first file has function 1 alone, the third 1 to 3, the fifth 1 to 5; function 4 comes with partkey 76 + 90 * 757
     assert got == {1: "size_16", 2: f"size_{(46 + 90 * 919) % 100}", 3: f"size_{(46 + 90 * 838) % 100}", 4: f"size_{(76 + 90 * 757) % 100}", 5: f"size_{(76 + 90 * 676) % 100}"}
+
+
+def test_decoded_strings_compile(spark):
+    """Generated code that does not compile is otherwise passed over, and every row is interpreted."""
+    before = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert QUERIES["decoded_strings"](spark, SF).count() > 0
+        QUERIES["decoded_strings"](spark, SF).collect()
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", before)
