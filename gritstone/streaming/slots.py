@@ -18,6 +18,8 @@ from ..operators.state import item_key, slot_key
 from ..sources.store import SCHEMAS, fold
 
 DAY_MS = 86_400_000
+#: Items whose decisions a task gathers before it hands them to the state.
+SOME = 1000
 
 
 # What a session needs for keyed state with timers by the clock. Without data there would always be one more micro-batch,
@@ -75,21 +77,36 @@ class _Slots(_Aged):
         super().init(handle)
         self.decided = handle.getMapState("decided", "item string", "at long, ord long")
 
+    def keep_decided(self, found: dict[str, tuple[int, int]]) -> None:
+        """Takes the newest decisions of some items over into the state; found has the newest of all then."""
+        for item, age in found.items():
+            known = self.decided.getValue((item,))
+            if known is not None and tuple(known) >= age:
+                found[item] = tuple(known)
+            else:
+                self.decided.updateValue((item,), age)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        old = self.kept.get() if self.kept.exists() else None
-        best = old
+        # each call of the state is a message to the JVM and back, so a slot's decisions are gathered, for SOME items at most
+        old = self.kept.get()
+        best, found = old, {}
         for r in rows:
             age = (r.at, r.ord)
             if r.status == "pending":
                 if best is None or age > (best[0], best[1]):
                     best = (r.at, r.ord, r.item, r.body, True)
                 continue
-            if not self.decided.containsKey((r.item,)) or tuple(self.decided.getValue((r.item,))) < age:
-                self.decided.updateValue((r.item,), age)
+            if found.get(r.item, age) <= age:
+                found[r.item] = age
+            if len(found) >= SOME:
+                self.keep_decided(found)
+                found = {}
             yield Row(change="decided", body=r.body)
+        self.keep_decided(found)
         if best is None:
             return
-        closed = self.decided.containsKey((best[2],)) and tuple(self.decided.getValue((best[2],))) >= (best[0], best[1])
+        decision = found[best[2]] if best[2] in found else self.decided.getValue((best[2],))
+        closed = decision is not None and tuple(decision) >= (best[0], best[1])
         new = (best[0], best[1], best[2], best[3], bool(best[4]) and not closed)
         if old is not None and new == tuple(old):
             return

@@ -89,3 +89,22 @@ def test_cached_answers(session, tmp_path):
     assert step([(4, "k", NOW, None), (5, "old", NOW, None), (None, "k", day(3), "older")]) == {1: "r2", 2: None, 3: None, 4: "r2", 5: None}
     many = step([(100 + i, "k", NOW, None) for i in range(2500)])
     assert len(many) == 2505 and set(many[i] for i in range(100, 2600)) == {"r2"}
+
+
+def test_calls_of_the_state_do_not_grow_with_decisions(monkeypatch):
+    """Decisions of one item are gathered before the state is asked; also when they are handed over in parts."""
+    from types import SimpleNamespace as Ns
+
+    monkeypatch.setattr(slots, "SOME", 3, raising=False)
+    for n_items, most in ((2, 8), (10, 34)):
+        calls, state, value = [], {}, []
+        called = lambda name, f: lambda *a: (calls.append(name), f(*a))[1]
+        made = slots._Slots(None)
+        made.kept = Ns(exists=called("exists", lambda: bool(value)), get=called("get", lambda: value[-1] if value else None), update=called("update", value.append))
+        made.decided = Ns(containsKey=called("contains", state.__contains__), getValue=called("get", state.get), updateValue=called("put", state.__setitem__))
+        rows = [Ns(status="applied", at=i, ord=i, item=f"i{i * 7 % 100 % n_items if n_items == 2 else i // 10}", body=str(i)) for i in range(100)]
+        rows.insert(50, Ns(status="pending", at=50, ord=200, item="i1", body="p"))
+        out = list(made.handleInputRows(("s",), iter(rows), None))
+        newest = max(r.at for r in rows if r.item == "i1" and r.status == "applied")
+        assert len(out) == 101 and out[-1].change == ("closed" if newest > 50 else "pending") and state[("i1",)] == (newest, newest) and len(state) == n_items
+        assert len(calls) <= most
