@@ -160,11 +160,11 @@ def make_provider(settings, send: Callable = post) -> Callable[[str, str], str]:
 
 
 def ask(requests: DataFrame, provider: Callable[[str, str], str] = offline, keys: tuple[str, ...] = ("offline",), tries: int = 4, workers: int = 0) -> DataFrame:
-    """(id, raw, error) for requests (id, prompt) from `workers` tasks, which begin with the keys in turn; 0: as many as a shuffle has partitions.
+    """(id, raw, error) for requests (id, prompt) from `workers` tasks, which begin with the keys in turn; 0: as many as the requests fill.
 
-    With `workers` no more requests than that are on their way at once, and a task's share grows with the input; without, the
-    session's cores are the limit, and a key may be in use by several tasks. A failed request has a null raw and the kind of its error; it does not
-    stop the others.
+    With `workers` no more requests than that are on their way at once, and a task's share grows with the input; without, more requests make
+    more tasks, each of about the session's advisory partition size, the session's cores are the limit, and a key may be in use by several
+    tasks. A failed request has a null raw and the kind of its error; it does not stop the others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,7 @@ def ask(requests: DataFrame, provider: Callable[[str, str], str] = offline, keys
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raws, pa.string()), pa.array(errors, pa.string())], ["id", "raw", "error"])
 
     spread = requests.select(F.col("id").cast("long").alias("id"), "prompt")
-    spread = spread.repartition(workers, "id", "prompt") if workers else spread.repartition("id", "prompt")
+    spread = spread.repartition(workers, "id", "prompt") if workers else spread.hint("rebalance", "id", "prompt")
     return spread.mapInArrow(run, "id long, raw string, error string")
 
 

@@ -335,6 +335,31 @@ def test_requests_are_dealt_over_the_partitions(spark):
     assert len({part for part, _, _ in got}) <= 2 and {key for _, key, _ in got} <= {"k1", "k2"}
 
 
+def test_more_requests_make_more_tasks(spark):
+    """A task's share stays near the advisory size, whatever the number of a shuffle's partitions; equal requests are split as well."""
+
+    def told(prompt, key):
+        from pyspark import TaskContext
+
+        return str(TaskContext.get().partitionId())
+
+    def shares(n, same):
+        long = spark.range(0, n, 1, 8).select(F.lit(7).alias("id") if same else "id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: F.sha2(F.concat_ws(" ", F.lit(7) if same else "id", i), 256)), "").alias("prompt"))
+        return [r["count"] for r in provider.ask(long, told).groupBy("raw").count().collect()]
+
+    given = {"spark.sql.shuffle.partitions": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m"}
+    before = {k: spark.conf.get(k) for k in given}
+    try:
+        for k, v in given.items():
+            spark.conf.set(k, v)
+        few, many, same = shares(32, False), shares(128, False), shares(128, True)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert (sum(few), sum(many), sum(same)) == (32, 128, 128)
+    assert len(many) > len(few) >= 2 and max(many) <= 32 and max(same) <= 32
+
+
 def test_keys_are_shared(spark, tmp_path):
     """A key that one task finds dead is tried once in all; more tasks than requests, no requests, and no key left."""
     log = tmp_path / "log"
