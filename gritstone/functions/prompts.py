@@ -29,12 +29,17 @@ def _listed(values: Column, most: int, sep: str = ", ") -> Column:
     return F.array_join(F.slice(F.coalesce(values, F.array().cast("array<string>")), 1, most), sep)
 
 
+def _fenced(text: Column) -> Column:
+    return F.concat(F.lit("```\n"), F.coalesce(text, F.lit("")), F.lit("\n```"))
+
+
 def _code(text: Column, most: int) -> Column:
-    return F.concat(F.lit("```\n"), F.substring(F.coalesce(text, F.lit("")), 1, most), F.lit("\n```"))
+    return _fenced(F.substring(text, 1, most))
 
 
 def range_request(code: Column) -> Column:
-    return F.concat(F.lit(f"{RANGE}\n"), _code(code, 4000))
+    """The whole piece of code, however long."""
+    return F.concat(F.lit(f"{RANGE}\n"), _fenced(code))
 
 
 def program_request(text: Column) -> Column:

@@ -64,7 +64,10 @@ def variables(contexts: DataFrame, locals_: DataFrame, settings: Settings, provi
 
 
 def ranges(snippets: DataFrame, settings: Settings, provider: Callable[[str, str], str] = offline) -> DataFrame:
-    """(ea, summary, evidence, warnings) of pieces of code (ea, code), one request each; empty pieces are not asked about."""
+    """(ea, summary, evidence, warnings) of pieces of code (ea, code), one request each; empty pieces are not asked about.
+
+    A piece goes whole, however long; one that the model refuses or answers without JSON has no row.
+    """
     asked = snippets.filter(F.trim(F.coalesce("code", F.lit(""))) != "").select("ea", prompts.range_request(F.col("code")).alias("prompt"))
     return _parsed(asked, settings, provider).select("ea", F.coalesce(F.try_variant_get("v", "$.summary", "string"), F.lit("")).alias("summary"), *[names.as_list(F.try_variant_get("v", f"$.{k}", "variant")).alias(k) for k in ("evidence", "warnings")])
 

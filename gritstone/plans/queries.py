@@ -1128,8 +1128,8 @@ def forensic_page(spark, sf):
     return page.filter(F.col("section").between(1, 3) & F.col("ord").between(2, 2**61))
 
 
-@query("""WITH s AS (SELECT doc_id, text FROM documents WHERE trim(coalesce(text, ''), ' ') <> '') SELECT doc_id AS ea, (len(substr(text, 1, 4000)) - len(replace(substr(text, 1, 4000), chr(10), ''))) + 1 AS n_lines FROM s""")
+@query("""WITH s AS (SELECT doc_id, text FROM documents WHERE trim(coalesce(text, ''), ' ') <> '') SELECT doc_id AS ea, (len(text) - len(replace(text, chr(10), ''))) + 1 AS n_lines FROM s""")
 def range_answers(spark, sf):
-    """Each document as a piece of code that the offline model counts the lines of."""
+    """Each document, its whole text, as a piece of code that the offline model counts the lines of."""
     told = drivers.ranges(table(spark, sf, "documents").select(F.col("doc_id").alias("ea"), F.col("text").alias("code")), Settings())
     return told.select("ea", F.regexp_extract("summary", r"^(\d+)", 1).cast("long").alias("n_lines"))

@@ -86,7 +86,7 @@ def offline(prompt: str, key: str) -> str:
     if task and task[1] == "prototype":
         return json.dumps({"prototype": f"int {field('Function')}(void)", "confidence": 0.6, "reason": "no arguments seen"})
     if task and task[1] == "range":
-        return json.dumps({"summary": f"{prompt.count(chr(10)) - 3} lines of code", "evidence": re.findall(r"\b[A-Z][a-z]+[A-Z]\w+", prompt.split("```")[1])[:8], "warnings": []})
+        return json.dumps({"summary": f"{prompt.count(chr(10)) - 3} lines of code", "evidence": re.findall(r"\b[A-Z][a-z]+[A-Z]\w+", prompt.split("```", 1)[1].rsplit("```", 1)[0])[:8], "warnings": []})
     if task and task[1] == "program":
         return json.dumps({"summary": next((line for line in prompt.split("\n") if line.startswith("Binary: ")), ""), "capabilities": [line.split(": ")[0].lower() for line in prompt.split("\n") if re.match(r"[A-Z0-9_]+: ", line)], "evidence": [], "risk": "unknown"})
     if task and task[1] == "variables":

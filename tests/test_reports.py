@@ -5,7 +5,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from gritstone.functions import names
+from gritstone.functions import names, prompts
 from gritstone.operators import contexts, graphs
 from gritstone.plans import drivers, reports, runs
 from gritstone.settings import Settings
@@ -103,6 +103,17 @@ def test_range_and_program_requests(spark):
     assert drivers.program(told, Settings(), lambda p, k: '{"summary": null, "evidence": "one"}').first().asDict() == {"summary": "", "capabilities": [], "evidence": ["one"], "risk": ""}
 
 
+def test_range_requests_hold_whole_texts(spark):
+    """A piece's last line and last name count, behind any length and any fence inside it."""
+    long = "x = y;\n" * 60_000 + "LastCall(x)"
+    code = spark.createDataFrame([(1, long), (2, "a\n```\nAfterFence(b)\n```\nc"), (3, "x" * 4001 + "\nz")], "ea long, code string")
+    got = {r["ea"]: (r["summary"], r["evidence"]) for r in drivers.ranges(code, Settings()).collect()}
+    assert got == {1: ("60001 lines of code", ["LastCall"]), 2: ("5 lines of code", ["AfterFence"]), 3: ("2 lines of code", [])}
+    sent = code.select("ea", prompts.range_request(F.col("code")).alias("p")).filter("ea = 1").first()["p"]
+    assert sent == f"{prompts.RANGE}\n```\n{long}\n```"
+    assert code.limit(1).select(prompts.range_request(F.lit(None).cast("string")).alias("p")).first()["p"] == f"{prompts.RANGE}\n```\n\n```"
+
+
 def test_lists_from_answers(spark):
     df = spark.createDataFrame([(1, '["a", " ", 2, null]'), (2, '"one"'), (3, '" "'), (4, "7"), (5, '{"a": 1}'), (6, json.dumps(["x" * 400])), (7, None)], "i int, j string")
     got = {r["i"]: r["v"] for r in df.select("i", names.as_list(F.try_parse_json("j")).alias("v")).collect()}
