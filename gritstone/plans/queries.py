@@ -698,10 +698,13 @@ def normalize_analysis(spark, sf):
 @query("""WITH s AS (SELECT l_orderkey AS ea, l_linenumber AS ord, 'v' || (l_partkey % 3) AS o, CASE WHEN l_partkey % 5 = 0 THEN 'v' || (l_partkey % 3) ELSE 'size_' || (l_partkey % 100) END AS n, l_discount * 10 AS c, l_partkey % 2 = 0 AS why FROM lineitem),
 g AS (SELECT *, row_number() OVER (PARTITION BY ea, o ORDER BY ord) AS k FROM s WHERE o <> n AND o <> 'v2') SELECT ea, o AS old_name, n AS new_name, round(CASE WHEN why THEN least(1.0::DOUBLE, c) ELSE least(0.5::DOUBLE, c) END, 3) AS confidence, CASE WHEN why THEN 'because' ELSE '' END AS reason FROM g WHERE k = 1""")
 def variable_suggestions(spark, sf):
-    """Suggestions of a function in the order of their line numbers, those of one number in the order of the table."""
-    k, place = F.col("l_partkey"), F.struct("l_linenumber", "_metadata.file_path", "_metadata.row_index")
-    s = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("ea"), place.alias("ord"), F.concat(F.lit("v"), k % 3).alias("old_name"), F.when(k % 5 == 0, F.concat(F.lit("V"), k % 3)).otherwise(F.concat(F.lit("Size "), k % 100)).alias("new_name"), (F.col("l_discount") * 10).alias("confidence"), F.when(k % 2 == 0, "because").alias("reason"))
-    known = table(spark, sf, "orders").select(F.col("o_orderkey").alias("ea"), F.explode(F.array(F.lit("v0"), F.lit("v1"))).alias("var"))
+    """Suggestions of a function in the order of their line numbers, those of one number in the order of the table; every function has v0 and v1.
+
+    A suggestion without a line number comes last, one without a confidence is sure.
+    """
+    k, place = F.col("l_partkey"), F.struct(F.isnull("l_linenumber"), "l_linenumber", "_metadata.file_path", "_metadata.row_index")
+    s = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("ea"), place.alias("ord"), F.concat(F.lit("v"), k % 3).alias("old_name"), F.when(k % 5 == 0, F.concat(F.lit("V"), k % 3)).otherwise(F.concat(F.lit("Size "), k % 100)).alias("new_name"), F.least(F.lit(1.0), F.col("l_discount") * 10).alias("confidence"), F.when(k % 2 == 0, "because").alias("reason"))
+    known = s.select("ea").distinct().select("ea", F.explode(F.array(F.lit("v0"), F.lit("v1"))).alias("var"))
     return answers.check_suggestions(s, known)
 
 

@@ -40,6 +40,16 @@ def test_equal_line_numbers_in_the_order_of_the_table(spark, tmp_path):
     assert got == {1: "size_16", 2: f"size_{(46 + 90 * 919) % 100}", 3: f"size_{(46 + 90 * 838) % 100}", 4: f"size_{(76 + 90 * 757) % 100}", 5: f"size_{(76 + 90 * 676) % 100}"}
 
 
+def test_suggestions_of_any_function_against_sql(spark, tmp_path):
+    """Functions that orders lacks, suggestions without a line number or a confidence: as in the SQL."""
+    rows = [(1, 16, 1, 0.02), (1, 31, 2, 0.03), (7, 16, None, 0.02), (7, 46, 3, 0.01), (7, 61, None, 0.04), (8, 62, 1, 0.05), (9, 18, 2, None), (9, 21, 3, 0.07), (9, 31, 1, None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_discount double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1,)], "o_orderkey long").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = QUERIES["variable_suggestions"](spark, str(tmp_path))
+    assert got.filter("ea > 1").count() > 0
+    assert differences(got, views(str(tmp_path)), ORACLES["variable_suggestions"]) == ""
+
+
 def test_decoded_strings_compile(spark):
     """Generated code that does not compile is otherwise passed over, and every row is interpreted."""
     before = spark.conf.get("spark.sql.codegen.fallback")
